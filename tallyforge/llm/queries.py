@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, toxicity
-from .common import table
+from . import chat, decontaminate, line_dedup, simhash, toxicity
+from .common import stage, table
 from .pieces import digest_documents
 from .secrets import scan_secrets
 
@@ -27,6 +27,23 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"), "threshold", F.col("toxic_rejected").alias("rejected"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f, e, g = ("f1", "f2"), ("e1", "e2"), ("g1", "g2")
+    out = simhash.fingerprint_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_chars", "edited_sha256", simhash.shown(*f).alias("fingerprint"), simhash.shown(*e).alias("edited_fingerprint"), simhash.likeness(f, e).alias("near_edited"), simhash.likeness(f, g).alias("near_next"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = chat.as_events(chat.with_probe(table(spark, sf_dir, "conversations")))
+    formatted = stage(chat.render(chat.fold(log)), "chat")
+    return chat.digest(chat.read_back(formatted), formatted)
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
     return digest_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), model_path or public_path("piece_bpe_32k.model"))
 
@@ -47,6 +64,9 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_toxicity": op2_toxicity,
+        "op4_simhash": op4_simhash,
+        "op5_line_dedup": op5_line_dedup,
+        "op7_chat": op7_chat,
         "op8_sentencepiece": op8_sentencepiece,
         "op9_decontaminate": op9_decontaminate,
         "op10_secrets": op10_secrets,
@@ -54,4 +74,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_line_dedup": line_dedup.ORACLE, "op7_chat": chat.ORACLE}
