@@ -110,7 +110,7 @@ WITH turns AS (
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
   UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), escaped AS (
-  SELECT *, regexp_replace(regexp_replace(text, '<(\*)(\||/?s>)', '<\\1\2', 'g'), '\[(\*)(/?INST\])', '[\\1\2', 'g') AS body FROM turns
+  SELECT *, regexp_replace(regexp_replace(text, '<(\\*)(\||/?s>)', '<\\\1\2', 'g'), '\[(\\*)(/?INST\])', '[\\\1\2', 'g') AS body FROM turns
 )
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
