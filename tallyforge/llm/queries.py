@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, line_dedup, simhash, toxicity
+from . import chat, decontaminate, line_dedup, near_dedup, simhash, toxicity
 from .common import stage, table
 from .pieces import digest_documents
 from .secrets import scan_secrets
@@ -38,6 +38,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id")
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = chat.as_events(chat.with_probe(table(spark, sf_dir, "conversations")))
     formatted = stage(chat.render(chat.fold(log)), "chat")
@@ -66,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_toxicity": op2_toxicity,
         "op4_simhash": op4_simhash,
         "op5_line_dedup": op5_line_dedup,
+        "op6_near_dedup": op6_near_dedup,
         "op7_chat": op7_chat,
         "op8_sentencepiece": op8_sentencepiece,
         "op9_decontaminate": op9_decontaminate,
