@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, line_dedup, near_dedup, simhash, toxicity
-from .common import stage, table
+from . import chat, decontaminate, line_dedup, near_dedup, sharding, simhash, token_files, toxicity
+from .common import stage, staging_dir, table
 from .pieces import digest_documents
 from .secrets import scan_secrets
 
@@ -20,6 +20,18 @@ def public_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.write_shards(table(spark, sf_dir, "documents"), staging_dir(spark, "shards"))
+    text = F.coalesce("text", F.lit(""))
+    return out.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    path = staging_dir(spark, "tokens")
+    token_files.write_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), path, tokenizer_path or public_path("word_bpe_49k.json"))
+    return token_files.read_tokens(spark, path, digest=True)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -67,6 +79,8 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_sharding": op1_sharding,
+        "op3_token_files": op3_token_files,
         "op2_toxicity": op2_toxicity,
         "op4_simhash": op4_simhash,
         "op5_line_dedup": op5_line_dedup,
