@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import let
+
 # Patterns of test output.
 ANSI = "\x1b\\[[0-9;]*[A-Za-z]"
 CASE = r"(?m)^[ \t]*(PASSED|FAILED|ERROR|XFAIL|XPASS|SKIPPED)[ \t]+(\S+)"
@@ -14,11 +16,6 @@ P2P_CAP = 30
 CHECKABLE = ("failing_test", "tests_pass", "output_format", "complexity", "no_extra")
 
 
-def let(value: Column, body) -> Column:
-    """body(value), with value computed once: lambdas would compute an outer expression again for every element."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def strip_ansi(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), ANSI, "")
 

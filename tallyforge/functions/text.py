@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import let
+
 # Names that assertions call without needing them defined.
 KNOWN_NAMES = """
 assert print len str int float list dict set tuple sorted abs round range isinstance type max min sum any all bool repr hash iter next map filter
@@ -59,9 +61,8 @@ def names_line(names: Column, lang: Column) -> Column:
 
 def shingles(x: Column, n: int = 5) -> Column:
     """The distinct runs of n words of a text; a shorter text is one run."""
-    words = F.filter(F.split(x, r"\s+"), lambda w: w != "")
-    count = F.greatest(F.lit(1), F.size(words) - n + 1)
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " ")))
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - n + 1)), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
+    return F.array_distinct(let(F.filter(F.split(x, r"\s+"), lambda w: w != ""), runs))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -457,11 +457,7 @@ def distinct_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").agg(F.count_distinct("l_partkey").alias("parts"), F.count_distinct("l_suppkey").alias("suppliers"))
 
 
-@query("""WITH w AS (SELECT source, doc_id, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM documents),
-s AS (SELECT source, doc_id, list_distinct(list_transform(range(1, greatest(1, len(w) - 4) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM w)
-SELECT a.source, a.doc_id AS a, b.doc_id AS b, round(len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)))::DOUBLE, 6) AS similarity
-FROM s a JOIN s b ON a.source = b.source AND a.doc_id < b.doc_id AND len(a.s) >= 0.8 * len(b.s) AND len(b.s) >= 0.8 * len(a.s)
-WHERE len(list_intersect(a.s, b.s)) >= 0.8 * (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)))""")
+@query()
 def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(audits.similar_pairs(read(spark, sf_dir, "documents"), "source", "doc_id", "text"))
 
