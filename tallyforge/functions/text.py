@@ -72,12 +72,16 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(either > 0, both / either).otherwise(F.lit(0.0))
 
 
-@F.pandas_udf("double")
-def sequence_ratio(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+def sequence_ratio(a: Column, b: Column) -> Column:
     """Similarity of two texts by matching blocks, behind the two quick upper bounds; 0 where a bound already falls below 0.9."""
-    for left, right in pairs:
-        out = []
-        for a, b in zip(left, right):
-            m = difflib.SequenceMatcher(None, a or "", b or "", autojunk=False)
-            out.append(m.ratio() if m.real_quick_ratio() > 0.9 and m.quick_ratio() > 0.9 else 0.0)
-        yield pd.Series(out)
+
+    @F.pandas_udf("double")
+    def run(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for left, right in pairs:
+            out = []
+            for x, y in zip(left, right):
+                m = difflib.SequenceMatcher(None, x or "", y or "", autojunk=False)
+                out.append(m.ratio() if m.real_quick_ratio() > 0.9 and m.quick_ratio() > 0.9 else 0.0)
+            yield pd.Series(out)
+
+    return run(a, b)

@@ -81,7 +81,7 @@ def similar_pairs(df: DataFrame, group: str, item: str, body: str, threshold: fl
 
 def close_texts(pairs: DataFrame, a: str, b: str, threshold: float = 0.9) -> DataFrame:
     """pairs with ratio, the similarity of two text columns by matching blocks, where it is over the threshold."""
-    return pairs.withColumn("ratio", text.sequence_ratio(a, b)).where(F.col("ratio") > threshold)
+    return pairs.withColumn("ratio", text.sequence_ratio(F.col(a), F.col(b))).where(F.col("ratio") > threshold)
 
 
 def top_pairs(pairs: DataFrame, k: int = 25) -> DataFrame:

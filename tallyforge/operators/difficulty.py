@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-ROLLOUT = T.StructType.fromDDL(
+ROLLOUT = (
     "instance_id string, data_source string, variant_type string, sample_idx int, prompt_tokens long, response_tokens long, finish_reason string, response string,"
     " rule_correctness_score double, final_reward double, f2p_frac double, patch_extraction_score double, patch_format_score double, patch_apply_score double, infra_excluded double, err_kind string"
 )

@@ -138,19 +138,23 @@ def derived_val_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- scores
 
-OUTCOMES = {
-    "extract_status": F.when(F.col("l_linenumber") == 7, "no_patch").when(F.col("l_linenumber") == 6, "diff_parse_fail").otherwise("diff_parse_success"),
-    "err_kind": F.when(F.col("l_returnflag") == "R", F.when(F.col("l_linestatus") == "O", "invalid_edits").otherwise("infra_other")).otherwise("ok"),
-    "apply_status": F.when(F.col("l_quantity") < 5, "patch_apply_fail").otherwise("patch_apply_success"),
-    "ran": F.lit(True),
-    "f2p_passed": (F.col("l_quantity") % 11).cast("int"),
-    "f2p_total": F.lit(10),
-    "p2p_passed": F.greatest(F.lit(0), F.lit(30) - (F.col("l_tax") * 100).cast("int") + 2),
-    "p2p_total": F.lit(30),
-    "rubric_score": F.col("l_discount") * 10,
-    "response_len": F.col("l_quantity").cast("int") * 100,
-    "timed_out": F.col("l_quantity") == 17,
-}
+
+def outcome_columns() -> dict[str, Column]:
+    """Outcomes of graded responses, read from line items."""
+    return {
+        "extract_status": F.when(F.col("l_linenumber") == 7, "no_patch").when(F.col("l_linenumber") == 6, "diff_parse_fail").otherwise("diff_parse_success"),
+        "err_kind": F.when(F.col("l_returnflag") == "R", F.when(F.col("l_linestatus") == "O", "invalid_edits").otherwise("infra_other")).otherwise("ok"),
+        "apply_status": F.when(F.col("l_quantity") < 5, "patch_apply_fail").otherwise("patch_apply_success"),
+        "ran": F.lit(True),
+        "f2p_passed": (F.col("l_quantity") % 11).cast("int"),
+        "f2p_total": F.lit(10),
+        "p2p_passed": F.greatest(F.lit(0), F.lit(30) - (F.col("l_tax") * 100).cast("int") + 2),
+        "p2p_total": F.lit(30),
+        "rubric_score": F.col("l_discount") * 10,
+        "response_len": F.col("l_quantity").cast("int") * 100,
+        "timed_out": F.col("l_quantity") == 17,
+    }
+
 OUTCOME_SQL = """
 o AS (
   SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 7 THEN 'no_patch' WHEN l_linenumber = 6 THEN 'parse_fail' WHEN l_returnflag = 'R' AND l_linestatus = 'O' THEN 'invalid'
@@ -161,7 +165,8 @@ o AS (
 
 
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "lineitem").withColumns(OUTCOMES).select("l_orderkey", "l_linenumber", *OUTCOMES)
+    made = outcome_columns()
+    return read(spark, sf_dir, "lineitem").withColumns(made).select("l_orderkey", "l_linenumber", *made)
 
 
 @query(f"""WITH {OUTCOME_SQL} SELECT l_orderkey, l_linenumber, state, round(CASE state WHEN 'no_patch' THEN 0 WHEN 'parse_fail' THEN 0 WHEN 'invalid' THEN 0 WHEN 'infra' THEN 0 WHEN 'apply_fail' THEN 0.05

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-INSTANCE_LOG = T.StructType.fromDDL(
+INSTANCE_LOG = (
     "instance_id string, data_source string, track string, step int, ts double, final_reward double, rule_correctness_score double, f2p_frac double, p2p_frac double,"
     " patch_format_score double, patch_apply_score double, infra_excluded double, rubric_score double, gated_out double, err_kind string, note string, resp_len long"
 )
