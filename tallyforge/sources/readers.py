@@ -92,6 +92,12 @@ def parse_run_info(text: str) -> dict[str, str | int | None]:
     return {"end_rc": int(code) if code is not None else None, "end_time": get(r"END_TRAIN rc=\d+ (\S+)"), "start_time": get(r"start=(\S+)"), "git": get(r"git=(\S+)")}
 
 
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """path, sha: 16 hex digits of the SHA-256 of each file of a path or glob (files of up to 2 GB)."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select("path", F.substring(F.sha2("content", 256), 1, 16).alias("sha"))
+
+
 def read_yaml(path: str) -> dict:
     """Settings from a YAML file on the driver (needs the yaml package)."""
     try:

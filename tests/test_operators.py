@@ -1,4 +1,5 @@
 import difflib
+import hashlib
 import math
 import random
 from collections import Counter
@@ -136,6 +137,8 @@ def test_sources_and_sinks(spark, tmp_path):
     assert readers.read_jsonl(spark, f"{base}/log", df.schema).count() == 2
     m = sinks.manifest({"train": df})
     assert m["counts"]["train"] == {"total": 1, "k": 1} and m["digest"]["train"] == sinks.content_digest(df)
+    want = hashlib.sha256((tmp_path / "x2.jsonl").read_bytes()).hexdigest()[:16]
+    assert [r.sha for r in readers.file_digests(spark, f"{base}/x2.jsonl").collect()] == [want]
     assert sinks.to_markdown(df).splitlines()[2] == "| k | ['a', 'b'] | 1 |"
 
 
