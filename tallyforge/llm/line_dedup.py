@@ -12,31 +12,44 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import remove, staging_dir
+from .common import remove, stage, staging_dir
 
 MIN_DOCS, MIN_CHARS, BATCHES, FANOUT = 5, 40, 4, 2
 KEY = ["h1", "h2"]
+#: Most frequent keys (24 bytes each) that are broadcast; beyond that they are joined by a shuffle, whose skewed parts adaptive execution splits.
+BROADCAST_KEYS = 200_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LEAST_ID = -(1 << 63)
+#: Letters beyond ASCII that lower() would change.
+OTHER_UPPER = r"[\p{IsUppercase}\p{Lt}&&[^\x00-\x7F]]"
 
 
 def lines_of(text: str) -> Column:
     return F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
 
 
-def line_key(line: Column) -> Column:
-    return F.translate(F.btrim(line, F.lit(" \t\n\x0b\f\r")), UPPER, LOWER)
+def stripped(line: Column) -> Column:
+    return F.btrim(line, F.lit(" \t\n\x0b\f\r"))
 
 
-def hashed(line: Column) -> Column:
+def lowered(line: Column) -> Column:
+    """A-Z lower-cased, nothing else. lower() does that much faster than translate(), and the same where no other letter has a lower case."""
+    return F.when((F.octet_length(line) == F.length(line)) | ~line.rlike(OTHER_UPPER), F.lower(line)).otherwise(F.translate(line, UPPER, LOWER))
+
+
+def hashed(key: Column) -> Column:
     """(h1, h2) of a line's key."""
-    key = line_key(line)
     return F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("second"), key).alias("h2"))
 
 
+def long_keys(text: str, min_chars: int) -> Column:
+    """The keys of a text's lines, null for those that are too short; made once for each line."""
+    return F.transform(F.transform(lines_of(text), stripped), lambda x: F.when(F.length(x) >= min_chars, lowered(x)))
+
+
 def long_hashes(text: str, min_chars: int) -> Column:
     """The distinct hashes of a text's lines with keys long enough."""
-    return F.array_distinct(F.transform(F.filter(lines_of(text), lambda x: F.length(line_key(x)) >= min_chars), hashed))
+    return F.transform(F.array_distinct(F.array_compact(long_keys(text, min_chars))), hashed)
 
 
 def holder(doc_id: str) -> Column:
@@ -120,13 +133,15 @@ def dropped_keys(docs: DataFrame, frequent: DataFrame, text: str = "text", min_c
 
 def dedup_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, batches: int = BATCHES) -> DataFrame:
     """docs with n_lines (before), n_dropped, and text without the dropped lines."""
-    runs = build_runs(docs, text, min_docs, min_chars, batches)
-    drop = dropped_keys(docs, runs.frequent(), text, min_chars)
+    frequent = stage(build_runs(docs, text, min_docs, min_chars, batches).frequent(), "frequent")
+    if frequent.count() <= BROADCAST_KEYS:
+        frequent = F.broadcast(frequent)
+    drop = dropped_keys(docs, frequent, text, min_chars)
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     joined = docs.select(*columns, holder("doc_id").alias("_tf_doc")).join(drop, "_tf_doc", "left")
     lines = lines_of(text)
-    kept = F.filter(lines, lambda x: (F.length(line_key(x)) < min_chars) | ~F.array_contains("_tf_drop", hashed(x)))
-    kept = F.when(F.col("_tf_drop").isNull(), lines).otherwise(kept)
+    marked = F.zip_with(lines, long_keys(text, min_chars), lambda x, k: F.when(k.isNull() | ~F.array_contains("_tf_drop", hashed(k)), x))
+    kept = F.when(F.col("_tf_drop").isNull(), lines).otherwise(F.array_compact(marked))
     out = joined.select(*columns, F.size(lines).cast("long").alias("n_lines"), kept.alias("_tf_kept"))
     new = F.when(F.col(text).isNull(), F.col(text)).otherwise(F.array_join("_tf_kept", "\n"))
     return out.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in columns], "n_lines", (F.col("n_lines") - F.size("_tf_kept")).cast("long").alias("n_dropped"))
