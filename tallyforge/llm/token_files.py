@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import rans
 from .common import map_texts, small_batches, stage
 
-BLOCK_IDS, BLOCKS_AT_ONCE, CACHE_WORDS = 32_768, 24, 300_000
+BLOCK_IDS, BLOCKS_AT_ONCE, CACHE_WORDS = 32_768, 24, 500_000
 
 _tokenizers: dict[str, tuple[object, dict[str, bytes]]] = {}
 
@@ -37,16 +37,25 @@ def tokenizer_of(path: str):
     return _tokenizers[path]
 
 
+def core_of(word: str) -> tuple[str, str]:
+    """A word as (what its ids are looked up by, one mark behind it). A single full stop or comma after a letter is a piece of its own to the tokenizer, and ASCII letters are lower-cased by it."""
+    mark = word[-1] if len(word) > 1 and word[-1] in ".," and word[-2].isascii() and word[-2].isalpha() else ""
+    core = word[:-1] if mark else word
+    return (core.lower() if core.isascii() and "<|" not in core else core), mark
+
+
 def tokenise(texts: list[str], path: str, end_id: int | None) -> list[bytes]:
     """Ids of each whole text, as little-endian unsigned 32-bit integers, with the end id."""
     tokenizer, known = tokenizer_of(path)
     split = [t.replace("\n", " ").split(" ") for t in texts]
     if len(known) > CACHE_WORDS:
         known.clear()
-    new = sorted(set().union(*split).difference(known))
-    for k in range(0, len(new), 10_000):
-        part = new[k : k + 10_000]
-        known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, tokenizer.encode_batch(part, add_special_tokens=False)))
+    new = {w: core_of(w) for w in set().union(*split).difference(known)}
+    cores = sorted({x for pair in new.values() for x in pair}.difference(known))
+    for k in range(0, len(cores), 10_000):
+        part = cores[k : k + 10_000]
+        known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)))
+    known.update((w, known[core] + known[mark]) for w, (core, mark) in new.items())
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
     return [b"".join([*map(known.__getitem__, ws), end]) for ws in split]
 
