@@ -2,7 +2,7 @@
 
 A word is embedded as the sum of two hashed embeddings: of the word and of its first four letters (inflected and joined words share the latter). Filters of widths 1, 2 and 3 run over the words, each is pooled by its maximum over the whole text, and a logistic layer scores what is left. Training takes Adam steps over minibatches of whole texts; the gradient of a maximum reaches one place for each filter and text. As hashing, embedding and convolution are linear up to the pooling, each distinct word is projected onto all filters once, and scoring a text is gathering and adding rows.
 
-The classifier is fitted on at most SAMPLE labelled rows of each class, in hash order (a documented bound); rows beyond the bound count by weight. Decision thresholds are calibrated by language on a fifth of the training rows: a language is never an input of the score, only of the threshold that an accept-or-reject decision uses.
+The classifier is fitted on at most SAMPLE labelled rows of each class, in hash order (a documented bound); rows beyond the bound count by weight. Decision thresholds are calibrated by language on all labelled rows outside the held-out fifth, each scored by a model that was fitted without its text (the rows are dealt into FOLDS folds by their texts): a language is never an input of the score, only of the threshold that an accept-or-reject decision uses.
 
 Defined cases: a null text counts as empty, and an empty text has the score of no word at all; texts are scored whole; labels that are null are left out, a doc_id labelled twice counts twice; with no labelled rows of both classes every score is the share of positive labels (0 for none); repeated rows are scored alike; other columns pass through, except those named as a result column, which the result replaces.
 """
@@ -26,6 +26,10 @@ SAMPLE, SAMPLE_CHARS = 1500, 20_000_000
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 14, 12, 8, (1, 2, 3)
 EPOCHS, BATCH, RATE, DECAY = 14, 32, 0.012, 2e-5
 CACHE_WORDS = 150_000
+#: Folds of the calibration; thresholds to choose from; and toxic rows that a language needs for one of its own.
+FOLDS, GRID, LEAST_TOXIC = 3, np.round(np.arange(0.2, 0.81, 0.05), 2), 10
+#: Most labelled rows whose doc_ids are broadcast to score only their documents; beyond that all are scored, and only their doc_ids and scores are shuffled.
+BROADCAST_IDS = 1_000_000
 
 
 def features(word: bytes) -> tuple[int, int]:
@@ -193,15 +197,40 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray, seed: int = 7)
     return Model(p["embed"], filters, p["bias"], p["out"], float(p["out_bias"][0]))
 
 
-def best_threshold(score: np.ndarray, toxic: np.ndarray) -> float:
-    """The threshold from 0.2 to 0.8 with the best F1; the nearest to 0.5 of equally good ones."""
-    def f1(t: float) -> float:
-        hit = score >= t
-        both = (hit & (toxic == 1)).sum()
-        return 2 * both / max(1, hit.sum() + (toxic == 1).sum())
+def best_threshold(clean: np.ndarray, toxic: np.ndarray) -> float:
+    """The threshold of GRID with the best F1; the nearest to 0.5 of equally good ones. clean, toxic: the rows of each class by how many thresholds their scores reach."""
+    above = lambda n: n[::-1].cumsum()[::-1][1:]
+    both = above(toxic)
+    f1 = 2 * both / np.maximum(1, both + above(clean) + toxic.sum())
+    return float(max(zip(GRID, f1), key=lambda x: (round(x[1], 6), -abs(x[0] - 0.5)))[0])
 
-    grid = np.round(np.arange(0.2, 0.81, 0.05), 2)
-    return float(max(grid, key=lambda t: (round(f1(t), 6), -abs(t - 0.5))))
+
+def fold_of(text: str) -> int:
+    """The fold of a text; its copies share it."""
+    return zlib.crc32(text.encode()) % FOLDS
+
+
+def score_counts(docs: DataFrame, ours: DataFrame, n: int, parts: list[Model], text: str = "text") -> dict[str, np.ndarray]:
+    """For each language with LEAST_TOXIC toxic rows: all labelled rows (n of ours: doc_id, _tf_toxic) by class and by how many thresholds of GRID their scores reach. A text is scored by the model of its fold."""
+    shared = docs.sparkSession.sparkContext.broadcast(parts)
+
+    def batch(texts: list[str]) -> dict[str, pa.Array]:
+        fold = np.array([fold_of(t) for t in texts])
+        score = np.zeros(len(texts))
+        for k in range(FOLDS):
+            at = np.flatnonzero(fold == k)
+            if len(at):
+                score[at] = shared.value[k].score([texts[i] for i in at])
+        return {"_tf_bin": pa.array(np.searchsorted(GRID, score, "right"), pa.int32())}
+
+    source = docs.withColumn("_tf_lang", F.col("lang").cast("string")).where("_tf_lang IS NOT NULL")
+    if n <= BROADCAST_IDS:
+        source = source.join(F.broadcast(ours.select("doc_id").distinct()), "doc_id", "left_semi")
+    rows = map_texts(source, batch, "_tf_bin int", text, ["doc_id", "_tf_lang"]).join(ours, "doc_id")
+    counts = [F.count_if((F.col("_tf_toxic") == k) & (F.col("_tf_bin") == b)).alias(f"n{k}_{b}") for k in (0, 1) for b in range(len(GRID) + 1)]
+    found = rows.groupBy("_tf_lang").agg(F.sum("_tf_toxic").alias("toxic"), *counts).where(F.col("toxic") >= LEAST_TOXIC).drop("toxic").collect()
+    shared.destroy()
+    return {r[0]: np.array(r[1:], np.int64).reshape(2, -1) for r in found}
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -216,27 +245,23 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     for kind in (0, 1):
         part = ours.where(F.col("_tf_toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
         sample = part if sample is None else sample.unionByName(part)
-    lang = F.col("lang") if "lang" in docs.columns else F.lit(None)
-    joined = docs.select("doc_id", F.col(text).alias("_tf_text"), lang.cast("string").alias("_tf_lang")).join(F.broadcast(sample), "doc_id")  # 2 * SAMPLE rows at most
+    joined = docs.select("doc_id", F.col(text).alias("_tf_text")).join(F.broadcast(sample), "doc_id")  # 2 * SAMPLE rows at most
     rows, chars = [], 0
-    for r in sorted(joined.select("doc_id", "_tf_text", "_tf_lang", "_tf_toxic").toLocalIterator(), key=lambda r: (zlib.crc32(b"%d" % r[0]), r[0], r[1] or "")):
+    for r in sorted(joined.select("doc_id", "_tf_text", "_tf_toxic").toLocalIterator(), key=lambda r: (zlib.crc32(b"%d" % r[0]), r[0], r[1] or "")):
         chars += len(r[1] or "")
         if chars > SAMPLE_CHARS:
             break
         rows.append(r)
-    toxic = np.array([r[3] for r in rows], float)
+    toxic = np.array([r[2] for r in rows], float)
     seen = {k: max(1, int((toxic == k).sum())) for k in (0, 1)}
     weight = np.array([counts.get(int(k), 1) / seen[int(k)] for k in toxic])
-    tuned = np.array([zlib.crc32(b"%d" % r[0]) % 5 == 1 for r in rows], bool)
     texts = [r[1] or "" for r in rows]
     model = fit(texts, toxic, weight)
-    if model.constant is None and tuned.any():
-        part = fit([t for t, x in zip(texts, tuned) if not x], toxic[~tuned], weight[~tuned])
-        score = part.score([t for t, x in zip(texts, tuned) if x])
-        langs = np.array([r[2] or "" for r, x in zip(rows, tuned) if x])
-        for one in sorted(set(langs)):
-            if toxic[tuned][langs == one].sum() >= 10:
-                model.thresholds[one] = best_threshold(score[langs == one], toxic[tuned][langs == one])
+    if model.constant is None and "lang" in docs.columns:
+        fold = np.array([fold_of(t) for t in texts])
+        parts = [fit([t for t, f in zip(texts, fold) if f != k], toxic[fold != k], weight[fold != k]) for k in range(FOLDS)]
+        for one, (clean, bad) in sorted(score_counts(docs, ours, sum(counts.values()), parts, text).items()):
+            model.thresholds[one] = best_threshold(clean, bad)
     return model
 
 

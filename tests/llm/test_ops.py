@@ -80,6 +80,32 @@ def test_toxicity_learns_and_ignores_language(spark, nothing):
     assert [r.toxicity for r in toxicity.score_documents(odd, none).collect()] == [0.0] * 3
 
 
+def test_thresholds_count_all_labelled_rows(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(k, words(rng, 20) + (" vileness" if k % 9 == 0 else ""), "en" if k % 2 else "fr", int(k % 9 == 0)) for k in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    ours = Counter((lang, toxic) for k, _, lang, toxic in rows if zlib.crc32(str(k).encode()) % 5)
+    monkeypatch.setattr(toxicity, "SAMPLE", 60)
+    monkeypatch.setattr(toxicity, "EPOCHS", 2)
+    for at_once in (10_000, 0):  # doc_ids broadcast, and not
+        seen = []
+        with monkeypatch.context() as m:
+            m.setattr(toxicity, "BROADCAST_IDS", at_once, raising=False)
+            m.setattr(toxicity, "best_threshold", lambda clean, toxic: seen.append((int(clean.sum()), int(toxic.sum()))) or 0.35)
+            model = toxicity.train(df.drop("toxic"), df.select("doc_id", "toxic"))
+        assert seen == [(ours[x, 0], ours[x, 1]) for x in ("en", "fr")] and model.thresholds == {"en": 0.35, "fr": 0.35}
+
+
+def test_best_threshold_has_the_best_f1():
+    rng = np.random.default_rng(4)
+    toxic = rng.random(2000) < 0.1
+    score = np.clip(rng.normal(0.35 + 0.2 * toxic, 0.12), 0, 1)
+    f1 = {float(t): 2 * (toxic & (score >= t)).sum() / ((score >= t).sum() + toxic.sum()) for t in toxicity.GRID}
+    bins = np.searchsorted(toxicity.GRID, score, "right")
+    got = toxicity.best_threshold(*[np.bincount(bins[toxic == k], minlength=len(toxicity.GRID) + 1) for k in (0, 1)])
+    assert f1[got] == max(f1.values())
+
+
 def test_long_text_pools_over_parts():
     model = toxicity.fit(["a b c d", "x y z w"] * 20, np.array([0.0, 1.0] * 20), np.ones(40))
     text = " ".join(f"w{k}" for k in range(130_000))
