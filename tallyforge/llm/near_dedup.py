@@ -2,7 +2,7 @@
 
 Two documents are linked if the sets of their five-word shingles have a Jaccard similarity of 0.8 or more; classes are the connected components of the links.
 
-1. Every text gets a digest of its words (texts equal in that are one node), band hashes and eight bits of each register.
+1. Every text gets a digest of its words (texts equal in that are one node), band hashes and eight bits of each register. All shingles weigh 1 in them, so that two texts agree in a register with the probability that is the set Jaccard similarity of the links, however often either repeats a passage.
 2. Nodes that share a band meet in a bucket. In each, all are verified against one hub, once for each distinct pair; what that links are components.
 3. Buckets that still hold more than one component are dealt into blocks of at most BLOCK nodes, and every pair of blocks is a group of its own: pairs of nodes that belong to different components are compared by their registers, and those whose estimate isn't far below the threshold are verified exactly, unless the group has linked the two already. So no task holds more than two blocks, no bucket is capped or sampled, copies are never expanded into pairs, and only links that join components leave a group.
 4. The components of what both steps linked are the classes.
@@ -40,8 +40,8 @@ def sketch(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -
         raw = [t.encode() for t in texts]
         regs, bands, sizes = [], [], []
         for a, b in pmh.batches(raw):
-            of, shingle, weight, counts = pmh.weighted_shingles(raw[a:b])
-            kept = pmh.signatures(of, shingle, weight, b - a)
+            of, shingle, _, counts = pmh.weighted_shingles(raw[a:b])
+            kept = pmh.signatures(of, shingle, np.ones(len(of)), b - a)
             regs += [x.tobytes() for x in kept.astype(np.uint8)]
             has = counts > 0
             bands.append(pmh.bands(kept, ROWS)[has].ravel())

@@ -1,6 +1,6 @@
 """ProbMinHash of weighted word shingles, vectorised over a batch of texts.
 
-Shingles (five words; a text of fewer words, but not none, has one shingle of all its words) are weighted by how often a text has them: 1 + ln(count), so that a repeated passage does not drown the rest. Each shingle is a Poisson process whose rate is its weight and whose arrivals, drawn from its own hash, fall on random registers; a register keeps the first arrival on it and the shingle that it came from. A shingle is done as soon as an arrival is later than all registers of its text, so most take a single draw. Two texts agree in a register with the probability Jaccard similarity of their weighted shingles.
+Shingles (five words; a text of fewer words, but not none, has one shingle of all its words) are weighted by how often a text has them: 1 + ln(count), so that a repeated passage does not drown the rest. Each shingle is a Poisson process whose rate is its weight and whose arrivals, drawn from its own hash, fall on random registers; a register keeps the first arrival on it and the shingle that it came from. A shingle is done as soon as an arrival is later than all registers of its text, so most take a single draw. Two texts agree in a register with the probability Jaccard similarity of their weighted shingles; with all weights 1, as near-dedup draws them, with the Jaccard similarity of their sets.
 """
 
 from __future__ import annotations

@@ -287,6 +287,18 @@ def test_dense_groups_split_into_blocks(spark, monkeypatch):
     assert got == plain_classes(rows)
 
 
+def test_copies_that_repeat_passages(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(60):
+        passage, rest = words(rng, 20), words(rng, 80)
+        rows += [(2 * k, f"{passage} {passage} {rest}"), (2 * k + 1, f"{passage} " * 200 + rest)]  # the same shingles
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    regs = {r.doc_id: r.regs for r in near_dedup.sketch(df).collect()}
+    assert all(regs[2 * k] == regs[2 * k + 1] for k in range(60))
+    assert Counter((r.doc_id, r.class_id) for r in near_dedup.classes(df).collect()) == plain_classes(rows)
+
+
 def test_registers_estimate_similarity():
     rng = random.Random(3)
     a = words(rng, 1000).split()
