@@ -33,7 +33,7 @@ SENSITIVE = {"password": 3, "passwd": 3, "passphrase": 3, "pwd": 2, "secret": 3,
 PLACEHOLDER = re.compile(r"(?i)^(?:\$\{.*\}|<.*>|x+|\*+|changeme|example|none|null|true|false|your[_-].*)$")
 
 PAIR = re.compile(
-    r"""(?<![\w.-])["']?([A-Za-z_][\w.-]{1,63})["']?[\x20\t]*(?:=>|:=|=(?!=)|:)[\x20\t]*(?:"([^"\n]{1,4096})"|'([^'\n]{1,4096})'|([^\s"',;(){}\[\]]{1,4096}))""",
+    r"""(?<![\w.-])["']?([A-Za-z_][\w.-]+)["']?[\x20\t]*(?:=>|:=|=(?!=)|:)[\x20\t]*(?:"([^"\n]+)"|'([^'\n]+)'|([^\s"',;(){}\[\]]+))""",
     re.ASCII,
 )
 WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")

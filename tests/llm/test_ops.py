@@ -411,3 +411,12 @@ def test_secrets(spark, docs, nothing):
     rows = secrets.scan_secrets(docs).collect()
     assert Counter((r.doc_id, len(r.base_spans)) for r in rows) == Counter((k, len(plain_base(t or ""))) for k, t, _ in documents())
     assert secrets.scan_secrets(nothing).count() == 0
+
+
+def test_secrets_of_any_length():
+    found = lambda t: [t[s:e] for s, k, e in secrets.scan(t)[1] if k == 3]
+    long = "q8Wz-77kLmP/" * 400
+    assert found(f'private_credential = "{long}"') == found(f"private_credential: '{long}'") == found(f"private_credential={long}\n") == [long]
+    assert found(f"{'deploy_' * 12}passphrase = 'Xk29-lmQp!7'") == ["Xk29-lmQp!7"]
+    text = f"credential={long}"
+    assert secrets.redact(text, [(s, e) for s, _, e in secrets.scan(text)[1]]) == "credential=[secret]"
