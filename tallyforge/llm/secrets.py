@@ -1,6 +1,6 @@
 r"""Secret scan by assignment-aware lexing.
 
-A lexer reads source code and configuration text into (name, literal) pairs: `name = "literal"`, `name: literal`, `"name": "literal"`, `export NAME=literal`, `name := literal`. Constants are propagated: where a sensitive name is assigned another name (`password = DEFAULT`), the literal that the other name holds counts as assigned to the sensitive one, over any number of steps. A literal is scored by its target names and by its own look, and one at or over the threshold is a span of kind `literal`.
+A lexer reads source code and configuration text into (name, literal) pairs: `name = "literal"`, `name: literal`, `"name": "literal"`, `export NAME=literal`, `name := literal`. Constants are propagated: where a sensitive name is assigned another name (`password = DEFAULT`), the literal that the other name holds counts as assigned to the sensitive one, over any number of steps. An unquoted word is such a name only if the text assigns it, and else a literal. A literal is scored by its target names and by its own look, and one at or over the threshold is a span of kind `literal`.
 
 Beside that, three base patterns always hold (kinds assign, access, hex); their spans stay whatever the lexer says.
 
@@ -73,8 +73,9 @@ def lexed_spans(text: str, threshold: int = 4) -> list[tuple[int, int]]:
         return []
     holds: dict[str, list[int]] = {}
     aliases: dict[str, set[str]] = {}
+    assigned = {p[0] for p in pairs}
     for k, (name, value, _, _, quoted) in enumerate(pairs):
-        if not quoted and NAME.match(value):
+        if not quoted and value in assigned and NAME.match(value):
             aliases.setdefault(value, set()).add(name)
         else:
             holds.setdefault(name, []).append(k)

@@ -420,3 +420,10 @@ def test_secrets_of_any_length():
     assert found(f"{'deploy_' * 12}passphrase = 'Xk29-lmQp!7'") == ["Xk29-lmQp!7"]
     text = f"credential={long}"
     assert secrets.redact(text, [(s, e) for s, _, e in secrets.scan(text)[1]]) == "credential=[secret]"
+
+
+def test_unquoted_secrets():
+    found = lambda t: [t[s:e] for s, k, e in secrets.scan(t)[1] if k == 3]
+    assert found("DB_PWD=Xk29lmQp7abcZ\npassphrase: aB3dE5fG7hJ9kL\n") == ["Xk29lmQp7abcZ", "aB3dE5fG7hJ9kL"]
+    assert found("FALLBACK1=Xk29lmQp7abcZ\nclient_pwd=FALLBACK1\n") == ["Xk29lmQp7abcZ"]  # through a name that the text assigns, which is no literal
+    assert found("color=Xk29lmQp7abcZ") == []
