@@ -52,8 +52,8 @@ def field_profile(df: DataFrame) -> DataFrame:
 
 
 def duplicate_groups(df: DataFrame, *keys: str, item: str | None = None) -> DataFrame:
-    """Groups of more than one row, with their size (and, of up to 1,000 rows each, the sorted items)."""
-    extra = [F.slice(F.array_sort(F.collect_set(item)), 1, 1000).alias("items")] if item else []
+    """Groups of more than one row, with their size (and all their distinct items, sorted)."""
+    extra = [F.array_sort(F.collect_set(item)).alias("items")] if item else []
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *extra).where("n > 1")
 
 

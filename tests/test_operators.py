@@ -64,6 +64,12 @@ def test_close_texts(spark):
     assert audits.close_texts(near, "a", "b").head().ratio == difflib.SequenceMatcher(None, "abcdefghijklmnopqrst", "abcdefghijklmnopqrsu", autojunk=False).ratio()
 
 
+def test_identical_prompts_list_large_groups_whole(spark):
+    rows = spark.range(2600).select(F.col("id").alias("i"), F.when(F.col("id") < 2500, "same").otherwise(F.col("id").cast("string")).alias("t"))
+    got = audits.identical_prompts(rows, "t", "i").collect()
+    assert [(r.prompt_md5, r.n, r["items"]) for r in got] == [(hashlib.md5(b"same").hexdigest(), 2500, list(range(2500)))]
+
+
 def test_fold_tells_null_from_absent(spark):
     log = spark.createDataFrame([("a", 1, 5, "x", ["n", "s"]), ("a", 2, None, None, ["n"])], "id string, at int, n int, s string, present array<string>")
     assert tuple(ordering.fold_records(log, "id", "at", "present").head()) == ("a", None, "x")
