@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import math
+import zlib
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Iterations of the bootstrap that a task does for a track.
+BLOCK = 500
+
 
 def binomial_se(p: Column, n: Column, floor: float = 0.0) -> Column:
     """Standard error of a rate; null for no rows. floor: least variance that counts."""
@@ -37,20 +43,22 @@ def mcnemar(pairs: DataFrame) -> tuple[int, int, float]:
     return b, c, mcnemar_exact(b, c)
 
 
-def paired_bootstrap(pairs: DataFrame, iterations: int = 2000, seed: int = 0, track: str = "track", item: str = "item") -> DataFrame:
+def paired_bootstrap(pairs: DataFrame, iterations: int = 10_000, seed: int = 0, track: str = "track", item: str = "item") -> DataFrame:
     """lo, hi: the 95 % interval of the mean over tracks of the mean difference, items resampled within each track.
 
-    Pairs are first counted by track and difference, so a row here is a distinct difference, not an item: draws from those counts are multinomial. Each row is repeated for the iterations, seeded by iteration, track and draw, and no item leaves its executor.
+    Pairs are first counted by track and difference, and an iteration draws a multinomial from those counts, seeded by iteration and track. A task does BLOCK iterations of a track; it holds the track's distinct differences, not its items.
     """
-    counts = pairs.groupBy(track, (F.col("arm") - F.col("base")).alias("d")).agg(F.count(F.lit(1)).alias("n"))
-    from pyspark.sql import Window as W
-
-    ends = counts.withColumn("hi", F.sum("n").over(W.partitionBy(track).orderBy("d"))).withColumn("lo", F.col("hi") - F.col("n")).withColumn("size", F.sum("n").over(W.partitionBy(track)))
-    tracks = counts.groupBy(track).agg(F.sum("n").alias("size"))
-    draws = tracks.select(track, "size", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("it")).select(track, "it", "size", F.explode(F.sequence(F.lit(1), F.col("size").cast("int"))).alias("k"))
-    draws = draws.select(track, "it", F.pmod(F.xxhash64(F.lit(seed), "it", track, "k"), F.col("size")).alias("at")).groupBy(track, "it", "at").agg(F.count(F.lit(1)).alias("m"))
-    hits = draws.join(ends, (draws[track] == ends[track]) & (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi"))).select(draws[track].alias(track), "it", "m", "d", "size")
-    means = hits.groupBy(track, "it").agg((F.sum(F.col("d") * F.col("m")) / F.first("size")).alias("mean")).groupBy("it").agg(F.avg("mean").alias("delta"))
+    counts = pairs.where(F.col(track).isNotNull()).groupBy(F.col(track).cast("string").alias("track"), F.coalesce(F.col("arm") - F.col("base"), F.lit(0)).cast("double").alias("d")).agg(F.count(F.lit(1)).alias("n"))
+
+    def draw(x: pa.Table) -> pa.Table:
+        x = x.sort_by("d")
+        d, n = x.column("d").to_numpy(), x.column("n").to_numpy()
+        name, first = zlib.crc32(x.column("track")[0].as_py().encode()), x.column("block")[0].as_py() * BLOCK
+        its = range(first, min(iterations, first + BLOCK))
+        return pa.table({"it": pa.array(its, pa.int32()), "mean": pa.array([float(np.random.default_rng([seed, name, it]).multinomial(n.sum(), n / n.sum()) @ d) / n.sum() for it in its], pa.float64())})
+
+    blocks = F.explode(F.sequence(F.lit(0), F.lit((iterations - 1) // BLOCK)))
+    means = counts.withColumn("block", blocks).groupBy("track", "block").applyInArrow(draw, "it int, mean double").groupBy("it").agg(F.avg("mean").alias("delta"))
     sorted_ = means.agg(F.array_sort(F.collect_list("delta")).alias("ds"))  # a number for each iteration
     at = lambda q: F.element_at("ds", F.least(F.lit(iterations), F.lit(int(q * iterations) + 1)))
     return sorted_.select(at(0.025).alias("lo"), at(0.975).alias("hi"))

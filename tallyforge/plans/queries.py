@@ -631,7 +631,7 @@ def arm_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return statistics.paired_bootstrap(arm_pairs(spark, sf_dir), iterations=200)
+    return statistics.paired_bootstrap(arm_pairs(spark, sf_dir))
 
 
 @query("""SELECT o_orderpriority, round(p, 6) AS p, round(sqrt(greatest(p * (1 - p), 1e-6) / n), 6) AS se, round(p - 0.5, 6) AS delta, abs(p - 0.5) > sqrt(greatest(p * (1 - p), 1e-6) / n) * sqrt(2) AS significant

@@ -1,5 +1,6 @@
 import difflib
 import hashlib
+import inspect
 import math
 import random
 from collections import Counter
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import testruns, text
 from tallyforge.operators import audits, curation, difficulty, ordering, statistics
+from tallyforge.plans import queries
 from tallyforge.sources import readers, sinks
 from tallyforge.streaming import logs
 
@@ -108,6 +110,17 @@ def test_statistics(spark):
     assert statistics.decide(0.9, 0.1, guards={"kl": 1.0}, metrics={"kl": 2.0})[0] == "reject"
 
 
+def test_bootstrap_draws_the_references_iterations(spark, monkeypatch):
+    seen = []
+    inner = statistics.paired_bootstrap
+    monkeypatch.setattr(statistics, "paired_bootstrap", lambda pairs, **k: seen.append(k) or inner(pairs, **k))
+    monkeypatch.setattr(queries, "arm_pairs", lambda *_: spark.range(400).select(F.col("id").alias("item"), F.lit("t").alias("track"), F.lit(0.0).alias("base"), (F.col("id") % 4 == 0).cast("double").alias("arm")))
+    lo, hi = queries.QUERIES["paired_bootstrap"](spark, "").head()
+    se = math.sqrt(0.25 * 0.75 / 400)
+    assert inspect.signature(inner).parameters["iterations"].default == 10_000 and seen == [{}]
+    assert lo == pytest.approx(0.25 - 1.96 * se, abs=0.1 * se) and hi == pytest.approx(0.25 + 1.96 * se, abs=0.15 * se)
+
+
 def test_curation_decisions(spark):
     v = "struct<extract_ok:boolean,gold_touches_tests:boolean,gold_needs_ignore_ws:boolean,gold:struct<ran:boolean,apply:string,log_tail:string,err_kind:string>,empty:struct<ran:boolean,n_f2p:int>,f2p_effective:array<string>,f2p_dropped:array<string>,p2p_dropped:array<string>>"
     good = (True, False, False, (True, "ok", "", ""), (True, 0), ["a"], ["x"], None)
