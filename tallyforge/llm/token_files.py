@@ -2,66 +2,175 @@
 
 A token file is a folder of two tables. `table` has one row, the frequency table that all blocks share. `blocks` has a row for each block: part and block (their order is the order of doc_ids), first (ids before the block in its part), n_ids, doc_ids and lengths (the documents in it; a block holds whole documents, some BLOCK_IDS ids, or one longer document) and coded (the block's bytes, with checkpoints and checksums). Any block can be read alone, and the number of ids before it follows from first and the sums of the earlier parts, for which the coded bytes needn't be read.
 
-Documents are tokenised once, a word at a time: the tokenizer drops white space and never joins what stands on both sides of it, so a text's ids are those of its words in turn, and each worker remembers the words that it has met. The ids are staged as plain integers; their counts over all documents make the frequency table; then they are dealt by ranges of doc_id, sorted and coded.
+Documents are tokenised once. A tokenizer that drops white space and never joins what stands on both sides of it (form checked by Words) is asked for words: a worker takes some CHUNK_BYTES of texts at once, finds their distinct words by Arrow's hash table, has the library encode those it hasn't met, many in a call, and lays out all ids by array gathers. Any other tokenizer is asked for whole texts. The ids are staged as plain integers; their counts over all documents make the frequency table; then they are dealt by ranges of doc_id, sorted and coded.
 
-Defined cases: a null text counts as empty, and an empty text has the end id alone; whole texts are encoded; rows that tie in doc_id are ordered by their ids' checksum; null doc_ids come first; an empty table makes an empty file; other columns are ignored.
+Defined cases: a null text counts as empty, and an empty text has the end id alone; whole texts are encoded; rows that tie in doc_id are ordered by their ids' checksum, and may lie in several parts; null doc_ids come first; an empty table makes an empty file; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rans
-from .common import map_texts, small_batches, stage
+from .common import small_batches, stage
 
 BLOCK_IDS, BLOCKS_AT_ONCE, CACHE_WORDS = 32_768, 24, 500_000
-
-_tokenizers: dict[str, tuple[object, dict[str, bytes]]] = {}
-
-
-def tokenizer_of(path: str):
-    """The tokenizer of a file that every machine has at path, and the words that this worker has met."""
-    if path not in _tokenizers:
+#: Text that is tokenised at once (or a longer text); words of it that are laid out at once; words in one call of the library.
+CHUNK_BYTES, WORDS_AT_ONCE, CALL_WORDS = 16 << 20, 1 << 21, 4000
+#: Letters and then marks, of which the library always makes two words. Letters after an apostrophe may belong to it, so it isn't among the marks.
+MARKED = re.compile(r"[^\W\d_]+[!-&(-/:-@\[-`{-~]+\Z")
+# The normalizers and the splitting pattern of tokenizers whose words don't depend on their surroundings.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def word_wise(spec: dict) -> bool:
+    """Whether a tokenizer (its file's content) lower-cases, cuts texts at white space, drops that, and marks the last id of each of its words."""
+    normalizer, splits = spec.get("normalizer") or {}, (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    first = splits[0] if splits else {}
+    return (
+        normalizer.get("normalizers") == NORMALIZERS
+        and (first.get("type"), first.get("pattern"), first.get("invert"), first.get("behavior")) == ("Split", {"Regex": SPLITTER}, True, "Removed")
+        and [(x["type"], x.get("use_regex"), x.get("add_prefix_space")) for x in splits[1:]] == [("ByteLevel", False, False)]
+        and (spec["model"].get("type"), spec["model"].get("end_of_word_suffix"), spec["model"].get("dropout")) == ("BPE", "</w>", None)
+        and spec.get("post_processor") is None
+        and not any(x["normalized"] or x["lstrip"] or x["rstrip"] or x["single_word"] or not re.fullmatch(r"<\|\w+\|>", x["content"]) for x in spec["added_tokens"])
+    )
+
+
+class Words:
+    """The tokenizer of a file that every machine has at path, and the ids of words that this worker has met.
+
+    Beyond CACHE_WORDS, the words that only one chunk of texts had are forgotten.
+    """
+
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = Tokenizer.from_file(path), {}
-    return _tokenizers[path]
-
-
-def core_of(word: str) -> tuple[str, str]:
-    """A word as (what its ids are looked up by, one mark behind it). A single full stop or comma after a letter is a piece of its own to the tokenizer, and ASCII letters are lower-cased by it."""
-    mark = word[-1] if len(word) > 1 and word[-1] in ".," and word[-2].isascii() and word[-2].isalpha() else ""
-    core = word[:-1] if mark else word
-    return (core.lower() if core.isascii() and "<|" not in core else core), mark
-
-
-def tokenise(texts: list[str], path: str, end_id: int | None) -> list[bytes]:
-    """Ids of each whole text, as little-endian unsigned 32-bit integers, with the end id."""
-    tokenizer, known = tokenizer_of(path)
-    split = [t.replace("\n", " ").split(" ") for t in texts]
-    if len(known) > CACHE_WORDS:
-        known.clear()
-    new = {w: core_of(w) for w in set().union(*split).difference(known)}
-    cores = sorted({x for pair in new.values() for x in pair}.difference(known))
-    for k in range(0, len(cores), 10_000):
-        part = cores[k : k + 10_000]
-        known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)))
-    known.update((w, known[core] + known[mark]) for w, (core, mark) in new.items())
-    end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-    return [b"".join([*map(known.__getitem__, ws), end]) for ws in split]
-
-
-def narrowed(ids: bytes, wide: bool) -> bytes:
-    return ids if wide else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.size = max(vocabulary.values()) + 1
+        self.by_word = word_wise(json.loads(self.tokenizer.to_str()))
+        self.ends = np.zeros(self.size, bool)
+        self.ends[[k for w, k in vocabulary.items() if w.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.again = pa.array([""], pa.string()), np.zeros(1, bool)
+        self.sizes, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, and how many each has."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter((x for y in ids for x in y), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def joined(self, words: list[str], parts: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of which the library makes `parts` words each (if it doesn't, they are encoded one by one)."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != parts * len(words) or cuts[-1] != len(ids):
+            return self.each(words)
+        return ids, np.diff(cuts[parts - 1 :: parts], prepend=0)
+
+    def learn(self, words: list[str]) -> None:
+        kinds: tuple[list[str], list[str], list[str]] = ([], [], [])
+        for w in words:
+            kinds[0 if w.isalpha() else 1 if MARKED.match(w) else 2].append(w)
+        sizes, flat = [self.sizes], [self.flat]
+        for parts, kind in ((1, kinds[0]), (2, kinds[1]), (0, kinds[2])):
+            for k in range(0, len(kind), CALL_WORDS):
+                some = kind[k : k + CALL_WORDS]
+                ids, n = self.joined(some, parts) if parts else self.each(some)
+                flat.append(ids)
+                sizes.append(n)
+        self.sizes, self.flat = np.concatenate(sizes), np.concatenate(flat)
+        self.keys = pa.concat_arrays([self.keys, *[pa.array(k, pa.string()) for k in kinds if k]])
+        self.again = np.r_[self.again, np.zeros(len(words), bool)]
+
+    def shrink(self) -> None:
+        keep = self.again.copy()
+        if keep.sum() > CACHE_WORDS // 2:
+            self.forget()
+            return
+        keep[0] = True  # the empty word
+        self.flat = self.flat[np.repeat(keep, self.sizes)]
+        self.keys, self.sizes, self.again = self.keys.filter(pa.array(keep)), self.sizes[keep], np.zeros(int(keep.sum()), bool)
+
+    def words(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words, and how many each has."""
+        if len(self.keys) > CACHE_WORDS:
+            self.shrink()
+        coded = words.dictionary_encode()
+        there = pc.index_in(coded.dictionary, value_set=self.keys)
+        met = there.drop_null().to_numpy()
+        if new := coded.dictionary.filter(there.is_null()).to_pylist():
+            self.learn(new)
+            there = pc.index_in(coded.dictionary, value_set=self.keys)
+        self.again[met] = True
+        at = there.to_numpy()[coded.indices.to_numpy()]
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes)
+        first = np.cumsum(self.sizes) - self.sizes
+        return self.flat[np.repeat(first[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)], sizes
+
+    def texts(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of whole texts, and how many each has."""
+        if not self.by_word:
+            return self.each(texts.to_pylist())
+        # what looks like a special token keeps its case, by which the library tells it
+        lists = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
+        words, cuts = lists.flatten(), lists.offsets.to_numpy()
+        found = [self.words(words.slice(k, WORDS_AT_ONCE)) for k in range(0, len(words), WORDS_AT_ONCE)]
+        ids, sizes = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        return ids, np.diff(np.r_[0, np.cumsum(sizes)][cuts - cuts[0]])
+
+
+_words: dict[str, Words] = {}
+
+
+def words_of_tokenizer(path: str) -> Words:
+    if path not in _words:
+        _words[path] = Words(path)
+    return _words[path]
+
+
+def tokenise(texts: pa.StringArray, path: str, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of whole texts one after the other, each with the end id behind it, and where each text's begin (and the last one's end)."""
+    ids, sizes = words_of_tokenizer(path).texts(texts)
+    starts = np.r_[0, np.cumsum(sizes)]
+    if end_id is None:
+        return ids, starts
+    starts += np.arange(len(starts))
+    out = np.full(int(starts[-1]), end_id, np.uint32)
+    own = np.ones(len(out), bool)
+    own[starts[1:] - 1] = False
+    out[own] = ids
+    return out, starts
+
+
+def chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK_BYTES) -> Iterator[pa.Table]:
+    """The batches (last column: texts), brought together to some size in bytes."""
+    ready, n = [], 0
+    for x in batches:
+        ready.append(x)
+        n += x.column(x.num_columns - 1).nbytes
+        if n >= size:
+            yield pa.Table.from_batches(ready).combine_chunks()
+            ready, n = [], 0
+    if ready:
+        yield pa.Table.from_batches(ready).combine_chunks()
 
 
 def widened(ids: bytes, wide: bool) -> np.ndarray:
@@ -72,20 +181,26 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int |
     """Writes the token file of docs to path."""
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size = max(tokenizer_of(tokenizer_path)[0].get_vocab_size(), (end_id or 0) + 1)
+    size = max(words_of_tokenizer(tokenizer_path).size, (end_id or 0) + 1)
     wide = size > 1 << 16
+    small_batches(spark)
 
-    def batch(texts: list[str]) -> dict[str, pa.Array]:
-        ids = tokenise(texts, tokenizer_path, end_id)
-        return {"ids": pa.array([narrowed(x, wide) for x in ids], pa.binary()), "crc": pa.array([zlib.crc32(x) for x in ids], pa.int64())}
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in chunks(batches):
+            ids, starts = tokenise(pa.concat_arrays(x.column("text").chunks) if x.num_rows else pa.array([], pa.string()), tokenizer_path, end_id)
+            raw, bounds = memoryview(ids.astype("<u4", copy=False)).cast("B"), (4 * starts).tolist()
+            kept = ids.astype("<u4" if wide else "<u2", copy=False)
+            coded = pa.Array.from_buffers(pa.binary(), x.num_rows, [None, pa.py_buffer((starts * kept.itemsize).astype(np.int32)), pa.py_buffer(kept)])
+            crc = pa.array([zlib.crc32(raw[a:b]) for a, b in zip(bounds, bounds[1:])], pa.int64())
+            yield pa.RecordBatch.from_arrays([x.column("doc_id").combine_chunks(), coded, crc], names=["doc_id", "ids", "crc"])
 
-    staged = stage(map_texts(docs, batch, "ids binary, crc bigint", text, ["doc_id"]), "ids", compression="zstd")
+    source = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    staged = stage(source.mapInArrow(encode, "doc_id bigint, ids binary, crc bigint"), "ids", compression="zstd")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for x in batches:
-            for b in x.column(0).to_pylist():
-                total += np.bincount(widened(b, wide), minlength=size)
+            total += np.bincount(widened(b"".join(x.column(0).to_pylist()), wide), minlength=size)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "n"])
 
@@ -128,7 +243,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int |
         if ready:
             yield rows()
 
-    ordered = staged.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "crc")
+    # rows of a doc_id that repeats are told apart by their place, so that many of them are split too
+    placed = staged.withColumn("row", F.monotonically_increasing_id())
+    ordered = placed.repartitionByRange(parts, "doc_id", "crc", "row").sortWithinPartitions("doc_id", "crc", "row")
     ordered.select("doc_id", "ids").mapInArrow(code, "part int, block int, first bigint, n_ids bigint, doc_ids array<bigint>, lengths array<bigint>, coded binary").write.option("compression", "none").parquet(f"{path}/blocks")
 
 

@@ -155,16 +155,46 @@ def test_token_files(spark, docs, nothing, tmp_path):
     assert token_files.read_tokens(spark, f"file://{tmp_path}/n").count() == 0
 
 
-def test_word_wise_tokens_equal_whole_text_tokens():
+def test_word_wise_tokens_equal_whole_text_tokens(monkeypatch):
+    import pyarrow as pa
     from tokenizers import Tokenizer
 
     path = public.path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
     rng = random.Random(2)
-    pool = ["a", "I'm", " ", "  ", "\n", "\t", "é", "é", "ΑΣ", " ́", "<|endoftext|>", "12", "!?", "İ", "漢字", " ", "don't", "🙂", " "]
-    texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(40))) for _ in range(2000)]
-    got = token_files.tokenise(texts, path, None)
-    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    pool = ["a", "I'm", " ", "  ", "\n", "\t", "\x1c", "\x85", "\x0b", "é", "é", "ΑΣ", " ́", "<|endoftext|>", "<|ENDOFTEXT|>", "12", "!?", "İ", "漢字", "\xa0", "don't", "🙂", " ", "Über&&&", "x.", "'", "'S", "ª", "ǅ", "ᄀ", "ᅡ", "_"]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(40))) for _ in range(2000)] + ["", words(rng, 50_000)]
+    want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def got(end=None):
+        ids, starts = token_files.tokenise(pa.array(texts), path, end)
+        return [ids[a:b].tolist() for a, b in zip(starts, starts[1:])]
+
+    assert token_files.words_of_tokenizer(path).by_word
+    assert got() == want and got(2) == [x + [2] for x in want]
+    monkeypatch.setattr(token_files, "CACHE_WORDS", 50)  # words are forgotten, and texts are laid out in parts
+    monkeypatch.setattr(token_files, "WORDS_AT_ONCE", 37)
+    assert got() == want and got(2) == [x + [2] for x in want]
+
+
+def test_other_tokenizers_encode_whole_texts(spark, docs, tmp_path):
+    from tokenizers import Tokenizer
+
+    path = public.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    assert not token_files.words_of_tokenizer(path).by_word
+    token_files.write_tokens(docs.where("doc_id < 47"), f"file://{tmp_path}/b", path, end_id=None)
+    got = Counter((r.doc_id, tuple(r.ids)) for r in token_files.read_tokens(spark, f"file://{tmp_path}/b").collect())
+    assert got == Counter((k, tuple(tokenizer.encode(t or "", add_special_tokens=False).ids)) for k, t, _ in documents() if k < 47)
+
+
+def test_one_doc_id_is_split_over_parts(spark, tmp_path):
+    path = public.path("word_bpe_49k.json")
+    df = spark.range(400).select(F.lit(7).cast("long").alias("doc_id"), F.lit("the same text").alias("text"))
+    token_files.write_tokens(df, f"file://{tmp_path}/one", path, parts=4)
+    rows = token_files.read_tokens(spark, f"file://{tmp_path}/one").collect()
+    assert sorted(r.start for r in rows) == [k * rows[0].n_tokens for k in range(400)]
+    assert spark.read.parquet(f"file://{tmp_path}/one/blocks").select("part").distinct().count() > 1
 
 
 def test_simhash_of_edits_in_order(spark, docs, nothing):
