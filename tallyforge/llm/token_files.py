@@ -27,7 +27,7 @@ from .common import small_batches, stage
 
 BLOCK_IDS, BLOCKS_AT_ONCE, CACHE_WORDS = 32_768, 24, 500_000
 #: Text that is tokenised at once (or a longer text); words of it that are laid out at once; words in one call of the library.
-CHUNK_BYTES, WORDS_AT_ONCE, CALL_WORDS = 16 << 20, 1 << 21, 4000
+CHUNK_BYTES, WORDS_AT_ONCE, CALL_WORDS = 16 << 20, 1 << 18, 300
 #: Letters and then marks, of which the library always makes two words. Letters after an apostrophe may belong to it, so it isn't among the marks.
 MARKED = re.compile(r"[^\W\d_]+[!-&(-/:-@\[-`{-~]+\Z")
 # The normalizers and the splitting pattern of tokenizers whose words don't depend on their surroundings.
@@ -84,20 +84,25 @@ class Words:
             return self.each(words)
         return ids, np.diff(cuts[parts - 1 :: parts], prepend=0)
 
-    def learn(self, words: list[str]) -> None:
-        kinds: tuple[list[str], list[str], list[str]] = ([], [], [])
-        for w in words:
-            kinds[0 if w.isalpha() else 1 if MARKED.match(w) else 2].append(w)
+    def learn(self, words: list[str]) -> np.ndarray:
+        """Adds words; returns their places among the keys."""
+        kinds: tuple[list[int], list[int], list[int]] = ([], [], [])
+        for k, w in enumerate(words):
+            kinds[0 if w.isalpha() else 1 if MARKED.match(w) else 2].append(k)
         sizes, flat = [self.sizes], [self.flat]
         for parts, kind in ((1, kinds[0]), (2, kinds[1]), (0, kinds[2])):
-            for k in range(0, len(kind), CALL_WORDS):
-                some = kind[k : k + CALL_WORDS]
+            for at in range(0, len(kind), CALL_WORDS):
+                some = [words[k] for k in kind[at : at + CALL_WORDS]]
                 ids, n = self.joined(some, parts) if parts else self.each(some)
                 flat.append(ids)
                 sizes.append(n)
+        order = np.concatenate(kinds).astype(np.int64)
+        places = np.empty(len(words), np.int64)
+        places[order] = len(self.keys) + np.arange(len(words))
         self.sizes, self.flat = np.concatenate(sizes), np.concatenate(flat)
-        self.keys = pa.concat_arrays([self.keys, *[pa.array(k, pa.string()) for k in kinds if k]])
+        self.keys = pa.concat_arrays([self.keys, pa.array(words, pa.string()).take(pa.array(order))])
         self.again = np.r_[self.again, np.zeros(len(words), bool)]
+        return places
 
     def shrink(self) -> None:
         keep = self.again.copy()
@@ -108,22 +113,18 @@ class Words:
         self.flat = self.flat[np.repeat(keep, self.sizes)]
         self.keys, self.sizes, self.again = self.keys.filter(pa.array(keep)), self.sizes[keep], np.zeros(int(keep.sum()), bool)
 
-    def words(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the words, and how many each has."""
+    def places(self, words: pa.StringArray) -> np.ndarray:
+        """The places of distinct words among the keys; new ones are learnt."""
         if len(self.keys) > CACHE_WORDS:
             self.shrink()
-        coded = words.dictionary_encode()
-        there = pc.index_in(coded.dictionary, value_set=self.keys)
-        met = there.drop_null().to_numpy()
-        if new := coded.dictionary.filter(there.is_null()).to_pylist():
-            self.learn(new)
-            there = pc.index_in(coded.dictionary, value_set=self.keys)
-        self.again[met] = True
-        at = there.to_numpy()[coded.indices.to_numpy()]
-        sizes = self.sizes[at]
-        ends = np.cumsum(sizes)
-        first = np.cumsum(self.sizes) - self.sizes
-        return self.flat[np.repeat(first[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)], sizes
+        found = pc.index_in(words, value_set=self.keys)
+        unknown = found.is_null()
+        out = found.fill_null(0).to_numpy().astype(np.int64)
+        known = ~unknown.to_numpy(zero_copy_only=False)
+        self.again[out[known]] = True
+        if not known.all():
+            out[~known] = self.learn(words.filter(unknown).to_pylist())
+        return out
 
     def texts(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of whole texts, and how many each has."""
@@ -131,10 +132,19 @@ class Words:
             return self.each(texts.to_pylist())
         # what looks like a special token keeps its case, by which the library tells it
         lists = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
-        words, cuts = lists.flatten(), lists.offsets.to_numpy()
-        found = [self.words(words.slice(k, WORDS_AT_ONCE)) for k in range(0, len(words), WORDS_AT_ONCE)]
-        ids, sizes = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
-        return ids, np.diff(np.r_[0, np.cumsum(sizes)][cuts - cuts[0]])
+        cuts, coded = lists.offsets.to_numpy(), lists.flatten().dictionary_encode()
+        del lists
+        at = self.places(coded.dictionary)
+        sizes = self.sizes[at]
+        first = (np.cumsum(self.sizes) - self.sizes)[at]
+        word = coded.indices.to_numpy()
+        ends = np.r_[0, np.cumsum(sizes[word])]
+        ids = np.empty(int(ends[-1]), np.uint32)
+        for k in range(0, len(word), WORDS_AT_ONCE):
+            some = word[k : k + WORDS_AT_ONCE]
+            a, b = ends[k], ends[k + len(some)]
+            ids[a:b] = self.flat[np.repeat(first[some] - ends[k : k + len(some)], sizes[some]) + np.arange(a, b)]
+        return ids, np.diff(ends[cuts - cuts[0]])
 
 
 _words: dict[str, Words] = {}
