@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -52,6 +53,13 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def give_back() -> None:
+    """Returns a worker's freed memory to the system; a worker outlives its task, and other stages need the room."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_texts(docs: DataFrame, fn: Callable[[list[str]], dict[str, pa.Array]], schema: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """docs (the columns keep, all by default) and the columns of schema that fn makes of each batch of texts; a null text is handed over as empty.
 
@@ -70,5 +78,6 @@ def map_texts(docs: DataFrame, fn: Callable[[list[str]], dict[str, pa.Array]], s
             if batch.num_rows:
                 made = fn(batch.column(batch.num_columns - 1).to_pylist())
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[made[c] for c in new]], names=[*kept, *new])
+        give_back()
 
     return source.mapInArrow(run, out)

@@ -1,31 +1,32 @@
 """Toxicity by a convolutional text classifier, trained in numpy.
 
-A word is embedded as the sum of two hashed embeddings: of the word and of its first four letters (inflected and joined words share the latter). Filters of widths 1, 2 and 3 run over the words, each is pooled by its maximum over the whole text, and a logistic layer scores what is left. Training takes Adam steps over minibatches of whole texts; the gradient of a maximum reaches one place for each filter and text. As hashing, embedding and convolution are linear up to the pooling, each distinct word is projected onto all filters once, and scoring a text is gathering and adding rows.
+A word is embedded as the sum of two hashed embeddings: of the word and of its first four letters (inflected and joined words share the latter). Filters of widths 1, 2 and 3 run over the words, each is pooled by its maximum over the whole text, and a logistic layer scores what is left. Training takes Adam steps over minibatches of whole texts; the gradient of a maximum reaches one place for each filter and text. As hashing, embedding and convolution are linear up to the pooling, each bucket is projected onto all filters once, and scoring a text is gathering and adding rows for its words; a worker keeps nothing but these projections.
 
-The classifier is fitted on at most SAMPLE labelled rows of each class, in hash order (a documented bound); rows beyond the bound count by weight. Decision thresholds are calibrated by language on all labelled rows outside the held-out fifth, each scored by a model that was fitted without its text (the rows are dealt into FOLDS folds by their texts): a language is never an input of the score, only of the threshold that an accept-or-reject decision uses.
+The classifier is fitted on at most SAMPLE labelled rows of each class, in hash order, and of these on at most SAMPLE_BYTES of whole texts (documented bounds, applied before anything reaches the driver; a text that would pass the second is left out, whichever its class); rows beyond the bounds count by weight. Decision thresholds are calibrated by language on all labelled rows outside the held-out fifth, each scored by a model that was fitted without its text (the rows are dealt into FOLDS folds by their texts): a language is never an input of the score, only of the threshold that an accept-or-reject decision uses.
 
-Defined cases: a null text counts as empty, and an empty text has the score of no word at all; texts are scored whole; labels that are null are left out, a doc_id labelled twice counts twice; with no labelled rows of both classes every score is the share of positive labels (0 for none); repeated rows are scored alike; other columns pass through, except those named as a result column, which the result replaces.
+Defined cases: a null text counts as empty, and an empty text has the score of no word at all; texts are scored whole; labels that are null are left out; a doc_id that is labelled twice alike, or that several rows have, is fitted once (by the least of its texts), while thresholds count each such row; with no labelled rows of both classes every score is the share of positive labels (0 for none); repeated rows are scored alike; other columns pass through, except those named as a result column, which the result replaces.
 """
 
 from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass, field
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
-from .decontaminate import words_of
+from .common import map_texts, stage
+from .decontaminate import LOWERED, words_of
 
-#: Labelled rows of each class that training takes at most, and their characters.
-SAMPLE, SAMPLE_CHARS = 1500, 20_000_000
+#: Labelled rows of each class that training takes at most, and bytes of their texts in all.
+SAMPLE, SAMPLE_BYTES = 1500, 24 << 20
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 14, 12, 8, (1, 2, 3)
 EPOCHS, BATCH, RATE, DECAY = 14, 32, 0.012, 2e-5
-CACHE_WORDS = 150_000
+#: Text that is scored at once (or a longer text); and its words, laid out for the filters.
+CHUNK_BYTES, WORDS_AT_ONCE = 4 << 20, 60_000
 #: Folds of the calibration; thresholds to choose from; and toxic rows that a language needs for one of its own.
 FOLDS, GRID, LEAST_TOXIC = 3, np.round(np.arange(0.2, 0.81, 0.05), 2), 10
 #: Most labelled rows whose doc_ids are broadcast to score only their documents; beyond that all are scored, and only their doc_ids and scores are shuffled.
@@ -46,59 +47,77 @@ class Model:
     out_bias: float
     thresholds: dict[str, float] = field(default_factory=dict)
     constant: float | None = None
-    _rows: dict[bytes, int] = field(default_factory=dict, repr=False)
     _table: np.ndarray | None = field(default=None, repr=False)
 
     def __getstate__(self):
-        return {**self.__dict__, "_rows": {}, "_table": None}
-
-    def projected(self, words: list[bytes]) -> np.ndarray:
-        """What each word adds to each filter at each offset."""
-        f = np.array([features(w) for w in words], np.int64).reshape(-1, 2)
-        e = self.embed[f[:, 0]] + self.embed[f[:, 1]]
-        return np.concatenate([e @ w[o * DIM : (o + 1) * DIM] for w in self.filters for o in range(len(w) // DIM)], axis=1)
+        return {**self.__dict__, "_table": None}
+
+    def projected(self, words: pa.Array) -> list[np.ndarray]:
+        """What each of some distinct words adds to the filters, for each width and offset; the first row is no word."""
+        if self._table is None:
+            self._table = np.concatenate([self.embed @ w[o * DIM : (o + 1) * DIM] for w in self.filters for o in range(len(w) // DIM)], axis=1).astype(np.float32)
+        heads = pc.utf8_slice_codeunits(words, 0, 4).dictionary_encode()
+        head = np.array([BUCKETS + zlib.crc32(b"^" + w) % BUCKETS for w in heads.dictionary.cast(pa.binary()).to_pylist()], np.int64)
+        bucket = np.fromiter((zlib.crc32(w) % BUCKETS for w in words.cast(pa.binary()).to_pylist()), np.int64, len(words))
+        rows = np.zeros((len(words) + 1, self._table.shape[1]), np.float32)
+        if len(words):
+            rows[1:] = self._table[bucket] + self._table[head[heads.indices.to_numpy()]]
+        return [np.ascontiguousarray(rows[:, k : k + FILTERS]) for k in range(0, rows.shape[1], FILTERS)]
 
     def score(self, texts: list[str]) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
-        split = [words_of(t) for t in texts]
-        rows = self._rows
-        if self._table is None or len(rows) > CACHE_WORDS:
-            rows.clear()
-            self._table = np.zeros((1, sum(WIDTHS) * FILTERS), np.float32)  # row 0: no word
-        if new := sorted(set().union(*split).difference(rows)):
-            rows.update(zip(new, range(len(self._table), len(self._table) + len(new))))
-            self._table = np.concatenate([self._table, self.projected(new).astype(np.float32)])
         out = np.empty(len(texts))
+        raw = [t.encode() for t in texts]
+        at = 0
+        while at < len(raw):
+            to, n = at + 1, len(raw[at])
+            while to < len(raw) and n + len(raw[to]) <= CHUNK_BYTES:
+                n += len(raw[to])
+                to += 1
+            out[at:to] = self._chunk(raw[at:to])
+            at = to
+        return out
+
+    def _chunk(self, raw: list[bytes]) -> np.ndarray:
+        lists = pc.ascii_split_whitespace(pa.array([t.translate(LOWERED) for t in raw], pa.large_string()))
+        found = lists.flatten()
+        real = pc.binary_length(found).to_numpy() > 0  # white space at an end makes empty words
+        cuts = np.r_[0, np.cumsum(real)][lists.offsets.to_numpy()].tolist()
+        coded = found.filter(pa.array(real)).dictionary_encode()
+        ids, table = coded.indices.to_numpy() + 1, self.projected(coded.dictionary)
+        out = np.empty(len(raw))
         at = 0
-        while at < len(texts):  # so many texts at once that the gathered rows stay small
-            to, n = at + 1, len(split[at])
-            while to < len(texts) and n + len(split[to]) < 60_000:
-                n += len(split[to])
+        while at < len(raw):  # so many texts at once that the gathered rows stay small
+            to = at + 1
+            while to < len(raw) and cuts[to + 1] - cuts[at] < WORDS_AT_ONCE:
                 to += 1
-            out[at:to] = self._score([np.fromiter(map(rows.__getitem__, s), np.int64, len(s)) for s in split[at:to]])
+            out[at:to] = self._score([ids[a:b] for a, b in zip(cuts[at:to], cuts[at + 1 : to + 1])], table)
             at = to
         return out
 
-    def _score(self, ids: list[np.ndarray], part: int = 60_000) -> np.ndarray:
+    def _score(self, ids: list[np.ndarray], table: list[np.ndarray], part: int = WORDS_AT_ONCE) -> np.ndarray:
         if len(ids) == 1 and len(ids[0]) > part:  # a very long text: its parts overlap by what a filter spans
             x = ids[0]
-            pooled = np.max([self._pool([x[k : k + part + WIDTHS[-1] - 1]]) for k in range(0, len(x), part)], axis=0)
+            pooled = np.max([pool([x[k : k + part + WIDTHS[-1] - 1]], table) for k in range(0, len(x), part)], axis=0)
         else:
-            pooled = self._pool(ids)
+            pooled = pool(ids, table)
         z = np.maximum(pooled + self.bias, 0) @ self.out + self.out_bias
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-    def _pool(self, ids: list[np.ndarray]) -> np.ndarray:
-        flat, first, last = laid_out(ids)
-        pieces, column = [], 0
-        for w in WIDTHS:
-            sums = self._table[flat, column : column + FILTERS]
-            for o in range(1, w):
-                sums[: len(flat) - o] += self._table[flat[o:], column + o * FILTERS : column + (o + 1) * FILTERS]
-            column += w * FILTERS
-            pieces.append(np.maximum.reduceat(sums, np.stack([first, last], 1).ravel())[::2])
-        return np.concatenate(pieces, axis=1)
+
+def pool(ids: list[np.ndarray], table: list[np.ndarray]) -> np.ndarray:
+    """The maximum of each filter over each text (words as rows of the table)."""
+    flat, first, last = laid_out(ids)
+    ends = np.stack([first, last], 1).ravel()
+    pieces, column = [], 0
+    for w in WIDTHS:
+        sums = table[column].take(flat, axis=0)
+        for o in range(1, w):
+            sums[: len(flat) - o] += table[column + o].take(flat[o:], axis=0)
+        column += w
+        pieces.append(np.maximum.reduceat(sums, ends)[::2])
+    return np.concatenate(pieces, axis=1)
 
 
 def laid_out(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -245,17 +264,23 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     for kind in (0, 1):
         part = ours.where(F.col("_tf_toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
         sample = part if sample is None else sample.unionByName(part)
-    joined = docs.select("doc_id", F.col(text).alias("_tf_text")).join(F.broadcast(sample), "doc_id")  # 2 * SAMPLE rows at most
-    rows, chars = [], 0
-    for r in sorted(joined.select("doc_id", "_tf_text", "_tf_toxic").toLocalIterator(), key=lambda r: (zlib.crc32(b"%d" % r[0]), r[0], r[1] or "")):
-        chars += len(r[1] or "")
-        if chars > SAMPLE_CHARS:
-            break
-        rows.append(r)
+    joined = docs.select("doc_id", F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_tf_text")).join(F.broadcast(sample.distinct()), "doc_id")  # 2 * SAMPLE rows at most
+    joined = stage(joined.groupBy("doc_id", "_tf_toxic").agg(F.min("_tf_text").alias("_tf_text")), "labelled")
+    sizes = sorted(joined.select("doc_id", "_tf_toxic", F.octet_length("_tf_text")).collect(), key=lambda r: (zlib.crc32(b"%d" % r[0]), r[0], r[1]))  # a row for each of the sample
+    left, wanted = SAMPLE_BYTES, []
+    for doc, kind, size in sizes:
+        if size <= left:
+            left -= size
+            wanted.append((doc, kind))
+    taken = joined
+    if len(wanted) < len(sizes):
+        ids = docs.sparkSession.createDataFrame(wanted, joined.select("doc_id", "_tf_toxic").schema)
+        taken = joined.join(F.broadcast(ids), ["doc_id", "_tf_toxic"], "left_semi")
+    rows = sorted(taken.select("doc_id", "_tf_text", "_tf_toxic").collect(), key=lambda r: (zlib.crc32(b"%d" % r[0]), r[0], r[2]))
     toxic = np.array([r[2] for r in rows], float)
     seen = {k: max(1, int((toxic == k).sum())) for k in (0, 1)}
     weight = np.array([counts.get(int(k), 1) / seen[int(k)] for k in toxic])
-    texts = [r[1] or "" for r in rows]
+    texts = [r[1] for r in rows]
     model = fit(texts, toxic, weight)
     if model.constant is None and "lang" in docs.columns:
         fold = np.array([fold_of(t) for t in texts])
