@@ -24,9 +24,9 @@ def paired(arm: DataFrame, baseline: DataFrame, item: str, track: str, value: st
     return arm.select(item, track, F.col(value).alias("arm")).join(baseline.select(item, F.col(value).alias("base")), item)
 
 
-def discordant(pairs: DataFrame) -> DataFrame:
-    """b: pairs that only the arm solves; c: that only the baseline does."""
-    return pairs.agg(F.count(F.when((F.col("arm") > 0.5) & (F.col("base") <= 0.5), 1)).alias("b"), F.count(F.when((F.col("arm") <= 0.5) & (F.col("base") > 0.5), 1)).alias("c"))
+def discordant(pairs: DataFrame, *keys: str) -> DataFrame:
+    """b: pairs that only the arm solves; c: that only the baseline does (of each group)."""
+    return pairs.groupBy(*keys).agg(F.count(F.when((F.col("arm") > 0.5) & (F.col("base") <= 0.5), 1)).alias("b"), F.count(F.when((F.col("arm") <= 0.5) & (F.col("base") > 0.5), 1)).alias("c"))
 
 
 def mcnemar_exact(b: int, c: int) -> float:
@@ -38,6 +38,19 @@ def mcnemar_exact(b: int, c: int) -> float:
     return min(1.0, 2 * tail / 2**n)
 
 
+def mcnemar_p(b: Column, c: Column) -> Column:
+    """mcnemar_exact() as an expression: the tail's terms are summed from the first on, each from the one before, on a log scale."""
+    n, m = b + c, F.least(b, c)
+    start = F.struct((-n * math.log(2)).cast("double").alias("term"), F.exp(-n * math.log(2)).alias("total"))
+
+    def add(acc: Column, k: Column) -> Column:
+        term = acc["term"] + F.log((n - k + 1) / k)
+        return F.struct(term.alias("term"), (acc["total"] + F.exp(term)).alias("total"))
+
+    tail = F.aggregate(F.when(m > 0, F.sequence(F.lit(1).cast("long"), m)).otherwise(F.array().cast("array<bigint>")), start, add)["total"]
+    return F.when(n > 0, F.least(F.lit(1.0), 2 * tail)).otherwise(F.lit(1.0))
+
+
 def mcnemar(pairs: DataFrame) -> tuple[int, int, float]:
     b, c = discordant(pairs).head()
     return b, c, mcnemar_exact(b, c)
