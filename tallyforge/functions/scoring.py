@@ -50,6 +50,10 @@ class ScoreConfig:
     infra_score: float = 0.0
     notes: str = ""
 
+    def to_dict(self) -> dict:
+        """As a mapping that YAML can hold and from_dict() reads."""
+        return {f.name: [list(x) for x in value] if isinstance(value := getattr(self, f.name), tuple) else value for f in fields(self)}
+
     @classmethod
     def from_dict(cls, values: dict) -> ScoreConfig:
         """From a parsed YAML mapping; unknown names fail."""
@@ -141,7 +145,13 @@ def overlong(response_len: Column, cfg: ScoreConfig) -> Column:
 
 
 #: What scored() reads; those that a table lacks get these values.
-INPUTS = {"extract_status": "diff_parse_success", "err_kind": "ok", "apply_status": "patch_apply_success", "ran": True, "f2p_passed": 0, "f2p_total": 0, "p2p_passed": 0, "p2p_total": 0, "rubric_score": 0.0, "timed_out": False, "response_len": None}
+INPUTS = {"extract_status": "diff_parse_success", "err_kind": "ok", "apply_status": "patch_apply_success", "ran": True, "f2p_passed": 0, "f2p_total": 0, "p2p_passed": 0, "p2p_total": 0, "rubric_score": 0.0, "timed_out": False, "response_len": None, "patch_fmt": "none", "parser": "", "track": ""}
+#: The columns of a scored row, always all of them, in order; score repeats final_reward.
+ROW = (
+    "patch_extraction_score", "patch_format_score", "patch_apply_score", "f2p_score", "f2p_frac", "p2p_preservation_score", "p2p_frac", "rubric_score", "rule_correctness_score", "timeout_error_penalty", "length_component",
+    "final_reward", "score_before_overlong", "answer_match", "infra_excluded", "gated_out", "err_kind", "state", "patch_fmt", "parser", "track", "n_f2p", "t_f2p", "n_p2p", "t_p2p", "touched_files", "hack_flags",
+    "reward_version", "verifier_version", "rubric_version", "score",
+)
 
 
 def reward_columns(columns: list[str], cfg: ScoreConfig = ScoreConfig()) -> dict[str, Column]:
@@ -189,6 +199,18 @@ def reward_columns(columns: list[str], cfg: ScoreConfig = ScoreConfig()) -> dict
         "p2p_frac": kept,
         "p2p_preservation_score": factor,
         "rule_correctness_score": resolved.cast("double"),
+        "answer_match": resolved.cast("double"),
+        "rubric_score": rubric,
+        "n_f2p": get("f2p_passed").cast("double"),
+        "t_f2p": get("f2p_total").cast("double"),
+        "n_p2p": get("p2p_passed").cast("double"),
+        "t_p2p": get("p2p_total").cast("double"),
+        "patch_fmt": F.coalesce(get("patch_fmt"), F.lit("none")),
+        "parser": F.coalesce(get("parser"), F.lit("")),
+        "track": F.coalesce(get("track"), F.lit("")),
+        "touched_files": F.greatest(F.lit(0), F.size("touched_files")).cast("double") if "touched_files" in columns else F.lit(0.0),
+        "hack_flags": F.array_join(F.array_distinct("hack_flags"), ";") if "hack_flags" in columns else F.lit(""),
+        "reward_version": F.lit(cfg.version),
         "timeout_error_penalty": timeout,
         "infra_excluded": (st == "infra").cast("double"),
         "gated_out": st.isin("no_patch", "parse_fail", "invalid", "apply_fail").cast("double"),
@@ -199,11 +221,30 @@ def reward_columns(columns: list[str], cfg: ScoreConfig = ScoreConfig()) -> dict
 
 
 def scored(df, cfg: ScoreConfig = ScoreConfig()):
-    """df with the columns of reward_columns() and score, which repeats final_reward."""
+    """df with the columns of reward_columns() (those of df that are named alike give way) and score, which repeats final_reward."""
     out = df.withColumns(reward_columns(df.columns, cfg))
     return out.withColumn("score", F.col("final_reward"))
 
 
+def baseline_score(st: Column, f2p_frac: Column, p2p_frac: Column) -> Column:
+    """The baseline ladder in closed form, from a state and two shares: what scored() must give with default settings for states other than parse_fail and infra."""
+    lost = F.greatest(F.lit(0.0), 1 - p2p_frac)
+    factor = 1 - 0.75 * F.pow(lost, F.lit(1.5))
+    ran = F.when((f2p_frac >= 1) & (lost <= 0), 1.0).otherwise(F.greatest(F.lit(0.05), F.when(f2p_frac >= 1, 0.85).otherwise(0.10 + 0.60 * F.pow(f2p_frac, F.lit(1.5))) * factor))
+    return F.when(st.isin("no_patch", "invalid"), 0.0).when(st == "apply_fail", 0.05).otherwise(ran)
+
+
+def score_rows(df, cfg: ScoreConfig = ScoreConfig(), *, keep: tuple[str, ...] = (), verifier_version: str = "", rubric_version: str = ""):
+    """keep, the columns of ROW and resp_len, for outcomes as scored() takes them (and touched_files, hack_flags: arrays)."""
+    made = reward_columns(df.columns, cfg)
+    made |= {"err_kind": made.pop("err_kind_out"), "score": made["final_reward"], "verifier_version": F.lit(verifier_version), "rubric_version": F.lit(rubric_version)}
+    length = F.col("response_len") if "response_len" in df.columns else F.lit(None)
+    return df.select(*keep, *[F.coalesce(made[name], F.lit("")).alias(name) if name in TEXTS else F.coalesce(made[name].cast("double"), F.lit(0.0)).alias(name) for name in ROW], length.cast("long").alias("resp_len"))
+
+
+TEXTS = {"err_kind", "state", "patch_fmt", "parser", "track", "hack_flags", "reward_version", "verifier_version", "rubric_version"}
+
+
 def clean_number(x: Column, kind: str) -> Column:
     """Output cells: booleans as 0 or 1, null, NaN and infinities as 0, arrays joined by semicolons, else as they are."""
     if kind == "boolean":
