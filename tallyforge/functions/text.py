@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from . import let
 
 # Names that assertions call without needing them defined.
-KNOWN_NAMES = """
-assert print len str int float list dict set tuple sorted abs round range isinstance type max min sum any all bool repr hash iter next map filter
-zip enumerate reversed open Exception ValueError TypeError KeyError IndexError pytest raises approx frozenset bytes chr ord divmod pow format
-callable getattr hasattr math np array Decimal Fraction datetime date timedelta deque Counter defaultdict OrderedDict
-""".split()
+KNOWN_NAMES = (
+    "assert", "print", "len", "str", "int", "float", "list", "dict", "set", "tuple", "sorted", "abs", "round", "range", "isinstance", "type", "max", "min", "sum", "any", "all", "bool", "repr", "hash", "iter", "next", "map", "filter",
+    "zip", "enumerate", "reversed", "open", "Exception", "ValueError", "TypeError", "KeyError", "IndexError", "pytest", "raises", "approx", "frozenset", "bytes", "chr", "ord", "divmod", "pow", "format",
+    "callable", "getattr", "hasattr", "math", "np", "array", "Decimal", "Fraction", "datetime", "date", "timedelta", "deque", "Counter", "defaultdict", "OrderedDict",
+)
 MOST_NAMES = 6
 # Sections that an instance id is made of.
 INSTANCE_ID = r"^([^_]+)__([^.]+)\.([0-9a-f]+)\.([^_]+(?:_[^_]+)*)__(\w+)$"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from ..functions import text
 
@@ -26,17 +27,32 @@ def quantile_summary(df: DataFrame, value: str, *keys: str, at: tuple[float, ...
     Distinct values are counted first (with map-side combining) and only their running counts are windowed, so a group with many rows and few values is small.
     """
     rows = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_tf_v")).agg(F.count(F.lit(1)).alias("_tf_c"))
-    from pyspark.sql import Window as W
-
-    by = [F.lit(1).alias("_tf_all")] if not keys else list(keys)
-    upto = F.sum("_tf_c").over(W.partitionBy(*by).orderBy("_tf_v").rowsBetween(W.unboundedPreceding, W.currentRow))
-    total = F.sum("_tf_c").over(W.partitionBy(*by))
+    if not keys:
+        return _whole_quantiles(rows, at)
+    upto = F.sum("_tf_c").over(W.partitionBy(*keys).orderBy("_tf_v").rowsBetween(W.unboundedPreceding, W.currentRow))
+    total = F.sum("_tf_c").over(W.partitionBy(*keys))
     ranked = rows.withColumn("_tf_to", upto).withColumn("_tf_n", total)
     index = lambda p: F.bround(F.lit(p) * (F.col("_tf_n") - 1))
     pick = lambda p: F.min(F.when(F.col("_tf_to") > index(p), F.col("_tf_v"))).alias(f"p{round(100 * p)}")
     return ranked.groupBy(*keys).agg(F.sum("_tf_c").alias("n"), F.min("_tf_v").alias("min"), *map(pick, at), F.max("_tf_v").alias("max"), (F.sum(F.col("_tf_v") * F.col("_tf_c")) / F.sum("_tf_c")).alias("mean"))
 
 
+def _whole_quantiles(counted: DataFrame, at: tuple[float, ...], parts: int = 200) -> DataFrame:
+    """The same for a whole table, from its distinct values (_tf_v) and their counts (_tf_c). Values are dealt by ranges, the counts of the ranges (a number each, on the driver) say in which range a quantile lies, and running counts are made within ranges alone."""
+    cuts = sorted(set(counted.select(F.percentile_approx("_tf_v", [k / parts for k in range(1, parts)])).head()[0] or []))
+    part = F.size(F.filter(F.lit(cuts or [0]).cast("array<double>"), lambda c: c < F.col("_tf_v"))) if cuts else F.lit(0)
+    dealt = counted.withColumn("_tf_p", part)
+    sizes = dict(dealt.groupBy("_tf_p").agg(F.sum("_tf_c")).collect())
+    before, n = {}, 0
+    for p in sorted(sizes):
+        before[p], n = n, n + sizes[p]
+    start = F.element_at(F.lit([before.get(p, 0) for p in range(len(cuts) + 1)]).cast("array<bigint>"), F.col("_tf_p") + 1)
+    upto = start + F.sum("_tf_c").over(W.partitionBy("_tf_p").orderBy("_tf_v").rowsBetween(W.unboundedPreceding, W.currentRow))
+    pick = lambda p: F.min(F.when(F.col("_tf_to") > F.bround(F.lit(p) * (n - 1)), F.col("_tf_v"))).alias(f"p{round(100 * p)}")
+    ranked = dealt.withColumn("_tf_to", upto)
+    return ranked.agg(F.sum("_tf_c").alias("n"), F.min("_tf_v").alias("min"), *map(pick, at), F.max("_tf_v").alias("max"), (F.sum(F.col("_tf_v") * F.col("_tf_c")) / F.sum("_tf_c")).alias("mean"))
+
+
 def field_profile(df: DataFrame) -> DataFrame:
     """field, type, and the percentages of rows that are not null and not empty, in one pass."""
     def filled(f: T.StructField) -> Column:
@@ -52,9 +68,14 @@ def field_profile(df: DataFrame) -> DataFrame:
 
 
 def duplicate_groups(df: DataFrame, *keys: str, item: str | None = None) -> DataFrame:
-    """Groups of more than one row, with their size (and all their distinct items, sorted)."""
-    extra = [F.array_sort(F.collect_set(item)).alias("items")] if item else []
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *extra).where("n > 1")
+    """Groups of more than one row, with their size. With item: a row for each distinct item of such a group, beside the group's size and least item; no list grows with a group. Null keys are keys like others."""
+    if item is None:
+        return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    groups = df.groupBy(*[F.col(k).alias(f"_tf_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("n"), F.min(item).alias("first_item")).where("n > 1")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_tf_{k}"))
+    return df.select(*keys, item).distinct().join(groups, same).select(*keys, item, "n", "first_item")
 
 
 def duplicate_detail(df: DataFrame, key: str, *details: str) -> DataFrame:
@@ -62,21 +83,34 @@ def duplicate_detail(df: DataFrame, key: str, *details: str) -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *[(F.count_distinct(d) <= 1).alias(f"same_{d}") for d in details]).where("n > 1")
 
 
+def shingle_groups(df: DataFrame, group: str, item: str, body: str, n: int = 5) -> DataFrame:
+    """group, item, rep and s of each row: the sorted hashes of its distinct shingles, and the least item of its group with the same ones. So copies are one node, however many they are."""
+    hashes = F.array_sort(F.array_distinct(F.transform(text.shingles(F.coalesce(F.col(body), F.lit("")), n), lambda s: F.xxhash64(s))))
+    rows = df.select(F.col(group).alias("g"), F.col(item).alias("i"), hashes.alias("s")).withColumn("h", F.sha2(F.concat_ws(",", F.col("s").cast("array<string>")), 256))
+    reps = rows.groupBy(F.col("g").alias("rg"), F.col("h").alias("rh")).agg(F.min("i").alias("rep"))
+    return rows.join(reps, F.col("g").eqNullSafe(F.col("rg")) & (F.col("h") == F.col("rh"))).select("g", "i", "rep", "s")
+
+
 def similar_pairs(df: DataFrame, group: str, item: str, body: str, threshold: float = 0.8, n: int = 5) -> DataFrame:
-    """Pairs of items of one group whose shingle sets have a similarity of threshold or more, exactly.
+    """group, a, b, similarity: pairs of items of one group whose shingle sets have a similarity of threshold or more, exactly. Items with equal sets are one, by their least: a row of them is that least one, the other, and 1.0, so that copies give as many rows as there are, not their pairs.
 
     A pair that similar shares one of the rarest few shingles of both (prefix filtering), so candidates meet in those; no pair is formed that shares none.
     """
-    rows = df.select(F.col(group).alias("g"), F.col(item).alias("i"), F.transform(text.shingles(F.coalesce(F.col(body), F.lit("")), n), lambda s: F.xxhash64(s)).alias("s")).withColumn("s", F.array_distinct("s"))
-    each = rows.select("g", "i", F.size("s").alias("n"), F.explode("s").alias("x"))
-    rare = each.groupBy("g", "x").agg(F.count(F.lit(1)).alias("f"))
-    sorted_sets = each.join(rare, ["g", "x"]).groupBy("g", "i").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "x"))), lambda e: e["x"]).alias("s"))
+    rows = shingle_groups(df, group, item, body, n)
+    nodes = rows.where("i = rep").dropDuplicates(["g", "i"])
+    each = nodes.select("g", "i", F.explode("s").alias("x"))
+    rare = each.groupBy(F.col("g").alias("fg"), F.col("x").alias("fx")).agg(F.count(F.lit(1)).alias("f"))
+    ranked = each.join(rare, F.col("g").eqNullSafe(F.col("fg")) & (F.col("x") == F.col("fx")))
+    sorted_sets = ranked.groupBy("g", "i").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "x"))), lambda e: e["x"]).alias("s"))
     prefix = F.size("s") - F.ceil(F.size("s") * threshold).cast("int") + 1
     heads = sorted_sets.select("g", "i", F.explode(F.slice("s", F.lit(1), prefix)).alias("x"))
-    pairs = heads.alias("a").join(heads.alias("b"), (F.col("a.g") == F.col("b.g")) & (F.col("a.x") == F.col("b.x")) & (F.col("a.i") < F.col("b.i"))).select(F.col("a.g").alias("g"), F.col("a.i").alias("a"), F.col("b.i").alias("b")).distinct()
-    sets = sorted_sets.select("g", "i", "s")
-    out = pairs.join(sets.select("g", F.col("i").alias("a"), F.col("s").alias("sa")), ["g", "a"]).join(sets.select("g", F.col("i").alias("b"), F.col("s").alias("sb")), ["g", "b"])
-    return out.withColumn("similarity", text.jaccard(F.col("sa"), F.col("sb"))).where(F.col("similarity") >= threshold).select(F.col("g").alias(group), "a", "b", "similarity")
+    pairs = heads.alias("a").join(heads.alias("b"), F.col("a.g").eqNullSafe(F.col("b.g")) & (F.col("a.x") == F.col("b.x")) & (F.col("a.i") < F.col("b.i"))).select(F.col("a.g").alias("g"), F.col("a.i").alias("a"), F.col("b.i").alias("b")).distinct()
+    side = lambda c: nodes.select(F.col("g").alias(f"g{c}"), F.col("i").alias(f"i{c}"), F.col("s").alias(f"s{c}"))
+    at = lambda c: F.col("g").eqNullSafe(F.col(f"g{c}")) & (F.col(c) == F.col(f"i{c}"))
+    out = pairs.join(side("a"), at("a")).join(side("b"), at("b"))
+    out = out.withColumn("similarity", text.jaccard(F.col("sa"), F.col("sb"))).where(F.col("similarity") >= threshold).select("g", "a", "b", "similarity")
+    same = rows.where("i <> rep").select("g", F.col("rep").alias("a"), F.col("i").alias("b"), F.lit(1.0).alias("similarity"))
+    return out.unionByName(same).withColumnRenamed("g", group)
 
 
 def close_texts(pairs: DataFrame, a: str, b: str, threshold: float = 0.9) -> DataFrame:
@@ -157,6 +191,7 @@ def prompt_versus_statement(rows: DataFrame) -> DataFrame:
 
 
 def identical_prompts(rows: DataFrame, prompt: str, item: str) -> DataFrame:
+    """Members of the groups of rows with the same prompt (duplicate_groups())."""
     return duplicate_groups(rows.select(F.md5(prompt).alias("prompt_md5"), item), "prompt_md5", item=item)
 
 

@@ -30,8 +30,8 @@ def union_all(*frames: DataFrame) -> DataFrame:
 
 
 def first_seen(rows: DataFrame, key: Column, position: str, item: str) -> DataFrame:
-    """rows with dup_of: the item of the row with the same key that comes first by position, null for that row itself. The first is found by an aggregate, so a key that most rows share makes no large task."""
-    hashed = rows.withColumn("_tf_key", text.sha16(key))
+    """rows with dup_of: the item of the row with the same key that comes first by position, null for that row itself. The first is found by an aggregate, so a key that most rows share makes no large task. A null key is a key like others, and no text equals it."""
+    hashed = rows.withColumn("_tf_key", F.coalesce(text.sha16(key), F.lit("")))
     first = hashed.groupBy("_tf_key").agg(F.min(F.struct(F.col(position).alias("p"), F.col(item).alias("i"))).alias("_tf_first"))
     joined = hashed.join(first, "_tf_key")
     return joined.withColumn("dup_of", F.when(F.col(position) != F.col("_tf_first.p"), F.col("_tf_first.i"))).drop("_tf_key", "_tf_first")
@@ -111,23 +111,26 @@ def band(split: Column, p: Column, std: Column, lo: float = 0.05, hi: float = 0.
 
 
 def hash_order(item: Column, seed: int = 0) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), item.cast("string")))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(item.cast("string"), F.lit(""))))
 
 
 def hash_split(rows: DataFrame, item: str, n_test: int, n_val: int, seed: int = 0) -> DataFrame:
-    """rows with split: the first n_test by hash order are test, the next n_val validation, the rest train. The two cuts are found by a top-k, so nothing is sorted as a whole."""
+    """rows with split: the first n_test by hash order are test, the next n_val validation, the rest train. A null item is hashed as an empty text. The two cuts are the ends of two top-k reads, so nothing is sorted as a whole, and the driver holds two hashes."""
     order = hash_order(F.col(item), seed)
-    ranked = rows.select(order.alias("h")).orderBy("h").limit(n_test + n_val)
-    numbered = ranked.agg(F.array_sort(F.collect_list("h")).alias("hs"))  # n_test + n_val values
-    cut = lambda n: F.try_element_at("hs", F.lit(n)) if n else F.lit("")
-    cuts = numbered.select(F.coalesce(cut(n_test), F.lit("~")).alias("_tf_t"), F.coalesce(cut(n_test + n_val), F.lit("~")).alias("_tf_v"))
-    return rows.join(F.broadcast(cuts)).withColumn("split", F.when(order <= F.col("_tf_t"), "test").when(order <= F.col("_tf_v"), "validation").otherwise("train")).drop("_tf_t", "_tf_v")
+    hashes = rows.select(order.alias("h"))
+
+    def cut(n: int) -> str:
+        last = hashes.orderBy("h").limit(n).agg(F.max("h")).head()[0] if n else None
+        return last or ""
+
+    test, both = cut(n_test), cut(n_test + n_val)
+    return rows.withColumn("split", F.when(order <= test, "test").when(order <= both, "validation").otherwise("train"))
 
 
 def group_split(rows: DataFrame, group: str, n_test: int, n_val: int, seed: int = 0) -> DataFrame:
     """rows with split, a whole group (repository) in one split: groups in hash order, the first n_test test, the next n_val validation."""
-    groups = hash_split(rows.select(group).distinct(), group, n_test, n_val, seed)
-    return rows.join(groups, group)
+    groups = hash_split(rows.select(F.col(group).alias("_tf_group")).distinct(), "_tf_group", n_test, n_val, seed)
+    return rows.join(groups, F.col(group).eqNullSafe(F.col("_tf_group")), "left").drop("_tf_group")
 
 
 def train_groups(rows: DataFrame, group: str) -> DataFrame:
@@ -173,6 +176,14 @@ def resume(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return todo.join(done.select(key).distinct(), key, "left_anti")
 
 
+def registry_records(rows: DataFrame, repos: DataFrame, units: DataFrame, key: str = "instance_id", name: str = "instance") -> DataFrame:
+    """rows with the index record of their instance as a struct: the repository index's if it has one, else the unit tests', else null. Fields that one index lacks are null."""
+    both = union_all(repos.withColumn("_tf_at", F.lit(0)), units.withColumn("_tf_at", F.lit(1)))
+    fields = [c for c in both.columns if c not in (key, "_tf_at")]
+    first = both.groupBy(key).agg(F.min_by(F.struct(*fields), F.col("_tf_at")).alias(name))
+    return rows.join(first, key, "left")
+
+
 def registry_lookup(rows: DataFrame, units: DataFrame, repos: DataFrame, key: str = "instance_id", source: str = "data_source", prefixes: tuple[str, str] = ("t15_unittest", "t15_repo_patch")) -> DataFrame:
     """rows with track: by the id's place in an index first, then by the prefix of the data source."""
     u = units.select(key).distinct().withColumn("_tf_u", F.lit(True))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import patches, scaffold, scoring, testruns, text
-from ..operators import audits, curation, difficulty, ordering, statistics
+from ..operators import audits, curation, difficulty, grading, ordering, statistics
 from ..sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -157,7 +157,7 @@ def outcome_columns() -> dict[str, Column]:
 
 OUTCOME_SQL = """
 o AS (
-  SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 7 THEN 'no_patch' WHEN l_linenumber = 6 THEN 'parse_fail' WHEN l_returnflag = 'R' AND l_linestatus = 'O' THEN 'invalid'
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, CASE WHEN l_linenumber = 7 THEN 'no_patch' WHEN l_linenumber = 6 THEN 'parse_fail' WHEN l_returnflag = 'R' AND l_linestatus = 'O' THEN 'invalid'
     WHEN l_returnflag = 'R' THEN 'infra' WHEN l_quantity < 5 THEN 'apply_fail' ELSE 'ran' END AS state,
     least(1.0, (l_quantity::INT % 11) / 10.0) AS f, 30 - trunc(l_tax * 100)::INT + 2 AS p, least(30, 30 - trunc(l_tax * 100)::INT + 2) / 30.0 AS k, l_discount * 10 AS rub, l_quantity::INT * 100 AS len, l_quantity = 17 AS late, l_quantity >= 5 AS l_ok
   FROM lineitem
@@ -184,6 +184,24 @@ def score_additive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(scoring.scored(outcomes(spark, sf_dir), cfg).select("l_orderkey", "l_linenumber", "final_reward", (F.col("length_component") + 0.0).alias("length_component")))
 
 
+@query(f"""WITH {OUTCOME_SQL}, s AS (SELECT *, state = 'ran' AS r, CASE state WHEN 'no_patch' THEN 0 WHEN 'parse_fail' THEN 0 WHEN 'invalid' THEN 0 WHEN 'infra' THEN 0 WHEN 'apply_fail' THEN 0.05
+ELSE CASE WHEN f >= 1 AND b = 0 THEN 1.0 WHEN f >= 1 THEN greatest(0.05, 0.85 * fac) ELSE greatest(0.05, (0.1 + 0.6 * cr) * fac) END END AS score FROM m)
+SELECT l_orderkey, l_linenumber, (state <> 'no_patch')::DOUBLE AS patch_extraction_score, (l_linenumber < 6)::DOUBLE AS patch_format_score, (r OR l_ok)::DOUBLE AS patch_apply_score, round(CASE WHEN r THEN cr ELSE 0 END, 6) AS f2p_score,
+round(CASE WHEN r THEN f ELSE 0 END, 6)::DOUBLE AS f2p_frac, round(CASE WHEN r THEN fac ELSE 1 END, 6) AS p2p_preservation_score, round(CASE WHEN r THEN p / 30.0 ELSE 1 END, 6)::DOUBLE AS p2p_frac, round(rub, 6) AS rubric_score, (r AND f >= 1 AND b = 0)::DOUBLE AS rule_correctness_score,
+0.0::DOUBLE AS timeout_error_penalty, 0.0::DOUBLE AS length_component, round(score, 6) AS final_reward, round(score, 6) AS score_before_overlong, (r AND f >= 1 AND b = 0)::DOUBLE AS answer_match, (state = 'infra')::DOUBLE AS infra_excluded,
+(state NOT IN ('ran', 'infra'))::DOUBLE AS gated_out, CASE state WHEN 'no_patch' THEN 'format_no_patch' WHEN 'parse_fail' THEN 'format_parse_fail' WHEN 'invalid' THEN 'invalid_edits' WHEN 'infra' THEN 'infra_other' ELSE 'ok' END AS err_kind, state,
+'none' AS patch_fmt, '' AS parser, '' AS track, (l_quantity::INT % 11)::DOUBLE AS n_f2p, 10.0::DOUBLE AS t_f2p, p::DOUBLE AS n_p2p, 30.0::DOUBLE AS t_p2p, (l_partkey % 4)::DOUBLE AS touched_files,
+CASE l_suppkey % 3 WHEN 0 THEN 'edits_tests' WHEN 1 THEN 'edits_tests;pytest_skip' ELSE '' END AS hack_flags, 'baseline' AS reward_version, 'v1' AS verifier_version, 'r1' AS rubric_version, round(score, 6) AS score, len::BIGINT AS resp_len
+FROM s""")
+def score_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = outcome_columns()
+    flags = F.when(F.col("l_suppkey") % 3 == 0, F.array(F.lit("edits_tests"))).when(F.col("l_suppkey") % 3 == 1, F.array(F.lit("edits_tests"), F.lit("pytest_skip"), F.lit("edits_tests"))).otherwise(F.array().cast("array<string>"))
+    files = F.slice(F.array(*map(F.lit, ("a", "b", "c"))), F.lit(1), (F.col("l_partkey") % 4).cast("int"))
+    rows = read(spark, sf_dir, "lineitem").withColumns(made | {"hack_flags": flags, "touched_files": files})
+    out = rounded(scoring.score_rows(rows, keep=("l_orderkey", "l_linenumber"), verifier_version="v1", rubric_version="r1"))
+    return out.withColumns({c: F.col(c) + 0.0 for c in ("timeout_error_penalty", "length_component")})
+
+
 @query("""WITH x AS (SELECT p_partkey, p_size, least(1.0, p_size / 50.0) AS f, p_size % 31 AS b FROM part),
 w AS (SELECT *, greatest(0.0, (b / 30.0 + 1 / 60.0 - sqrt((b / 30.0) * (1 - b / 30.0) / 30 + 1 / 3600.0)) / (1 + 1 / 30.0)) AS lb FROM x)
 SELECT p_partkey, CASE WHEN f >= 1 THEN 1.0 ELSE 0.0 END::DOUBLE AS f_binary, round(f, 6) AS f_linear, round(sqrt(f), 6) AS f_sqrt, round(pow(f, 1.5), 6) AS f_pow,
@@ -312,12 +330,72 @@ def parser_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(difficulty.parser_rates(parsed(spark, sf_dir)).drop("fmts"))
 
 
-@query("""SELECT p AS parser, 'last' AS "select", CASE p WHEN 'strict' THEN 0.0 ELSE 1.0 END AS fenced_diff, CASE WHEN p IN ('fallback', 'baseline') THEN 1.0 ELSE 0.0 END AS fenced_python_lang,
-CASE p WHEN 'markdown' THEN 0.0 ELSE 1.0 END AS raw, CASE WHEN p = 'fallback' THEN 1.0 ELSE 0.0 END AS prose_around FROM (VALUES ('strict'), ('markdown'), ('fallback'), ('baseline')) AS v(p)""")
+@query("""SELECT p AS parser, 'last' AS "select", CASE p WHEN 'strict' THEN 0.0 ELSE 1.0 END::DOUBLE AS fenced_diff, CASE WHEN p IN ('fallback', 'baseline') THEN 1.0 ELSE 0.0 END::DOUBLE AS fenced_python_lang,
+CASE p WHEN 'markdown' THEN 0.0 ELSE 1.0 END::DOUBLE AS raw, CASE WHEN p = 'fallback' THEN 1.0 ELSE 0.0 END::DOUBLE AS prose_around FROM (VALUES ('strict'), ('markdown'), ('fallback'), ('baseline')) AS v(p)""")
 def recovery_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return difficulty.recovery_pivot(parsed(spark, sf_dir), ["fenced_diff", "fenced_python_lang", "raw", "prose_around"])
 
 
+# Responses that are graded whole: part p is answered in form p % 6 (no fences that fit for 4, wrong counts for 5); every 7th instance is not in the index, every 5th run was not recorded.
+@query("""WITH r AS (SELECT p_partkey AS response_id, p_partkey % 6 AS k, p_partkey % 7 = 0 AS gone, p_partkey % 5 = 0 AS lost, p_size % 11 AS f, p_size % 4 AS broken, p_partkey % 3 = 0 AS late FROM part),
+s AS (SELECT *, CASE WHEN gone OR k = 4 THEN 'no_patch' WHEN k = 5 THEN 'parse_fail' WHEN lost THEN 'infra' ELSE 'ran' END AS state FROM r),
+c AS (SELECT *, CASE WHEN state = 'ran' THEN f / 10.0 ELSE 0 END AS frac, CASE WHEN state = 'ran' THEN 1 - broken / 30.0 ELSE 1 END AS kept FROM s),
+t AS (SELECT *, 1 - 0.75 * pow(1 - kept, 1.5) AS fac FROM c)
+SELECT response_id, state, CASE state WHEN 'no_patch' THEN 'format_no_patch' WHEN 'parse_fail' THEN 'format_parse_fail' WHEN 'infra' THEN 'infra_other' ELSE 'ok' END AS err_kind, 'swe' AS track,
+CASE WHEN gone OR k = 4 THEN 'none' WHEN k IN (0, 5) THEN 'fenced_diff' WHEN k = 1 THEN 'fenced_any' ELSE 'raw_git' END AS patch_fmt, (state = 'ran' AND frac >= 1 AND kept >= 1)::DOUBLE AS answer_match,
+CASE WHEN state IN ('no_patch') THEN 0 ELSE 1 END::DOUBLE AS touched_files, CASE WHEN state = 'ran' THEN least(10, f) ELSE 0 END::DOUBLE AS n_f2p, CASE WHEN state = 'ran' THEN 30 - broken ELSE 0 END::DOUBLE AS n_p2p,
+round(CASE WHEN state <> 'ran' THEN 0 WHEN frac >= 1 AND kept >= 1 THEN 1 WHEN frac >= 1 THEN greatest(0.05, 0.85 * fac) ELSE greatest(0.05, (0.1 + 0.6 * pow(frac, 1.5)) * fac) END, 6) AS score FROM t""")
+def graded_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = read(spark, sf_dir, "part").select("p_partkey", "p_size")
+    key = F.col("p_partkey")
+    made = responses(spark, sf_dir).select(key.alias("response_id"), key.alias("instance_id"), F.lit("t15_repo_patch/x").alias("data_source"), "response", F.lit(100).alias("response_len"))
+    none = F.array().cast("array<string>")
+    tasks = parts.where(key % 7 != 0).select(key.alias("instance_id"), F.lit("swe").alias("track"), F.lit(None).cast("string").alias("files"), none.alias("test_ids"), F.lit("").alias("gold_patch"), F.expr("cast(null as array<struct<criterion:string,points:double,tags:map<string,string>>>)").alias("rubrics"))
+    ids = lambda n: F.transform(F.sequence(F.lit(1), n), lambda i: i.cast("string"))
+    some = lambda n: F.when(n > 0, ids(n)).otherwise(none)
+    f, broken = F.col("p_size") % 11, F.col("p_size") % 4
+    tests = lambda good, bad: F.struct(some(good).alias("passed"), some(bad).alias("failed"), none.alias("missing"))
+    o = F.struct(F.lit(True).alias("ran"), F.lit("ok").alias("err_kind"), F.lit("patch_apply_success").alias("apply_status"), F.lit(False).alias("timed_out"), tests(f, 10 - f).alias("f2p"), tests(30 - broken, broken).alias("p2p"))
+    out = grading.graded(made, tasks, parts.where(key % 5 != 0).select(key.alias("response_id"), o.alias("o")))
+    return rounded(out.select("response_id", "state", "err_kind", "track", "patch_fmt", "answer_match", "touched_files", "n_f2p", "n_p2p", "score"))
+
+
+@query("""WITH s AS (SELECT p_partkey, p_name, p_type, p_size % 3 AS n FROM part), t AS (SELECT *, p_type || chr(10) || repeat(p_name || chr(10), n) AS src FROM s)
+SELECT p_partkey, CASE WHEN (length(src) - length(replace(src, p_name, ''))) / length(p_name) = 1 THEN 'diff_parse_success' ELSE 'diff_parse_fail' END AS status,
+CASE WHEN (length(src) - length(replace(src, p_name, ''))) / length(p_name) = 1 THEN 'lib/' || p_partkey || '.txt' ELSE '' END AS files FROM t""")
+def search_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat(F.col("p_partkey"), F.lit(".txt"))
+    source = F.concat("p_type", F.lit("\n"), F.repeat(F.concat("p_name", F.lit("\n")), (F.col("p_size") % 3).cast("int")))
+    block = F.concat(F.lit("Here:\n### src/"), name, F.lit("\n<<<<<<< SEARCH\n"), "p_name", F.lit("\n=======\nnew\n>>>>>>> REPLACE\n"))
+    rows = read(spark, sf_dir, "part").select("p_partkey", block.alias("r"), F.to_json(F.create_map(F.concat(F.lit("lib/"), name), source)).alias("files"))
+    out = rows.withColumn("x", patches.extract_column(F.col("r"), "fallback", files=F.col("files")))
+    return out.select("p_partkey", F.col("x.status").alias("status"), F.array_join("x.touched_files", ",").alias("files"))
+
+
+@query("""WITH p AS (SELECT p_partkey, p_size, p_size % 4 AS a, p_partkey % 3 AS b FROM part), c AS (SELECT * FROM p, (VALUES ('first'), ('last'), ('longest'), ('concat_distinct')) AS v(policy)),
+f AS (SELECT *, 'f' || a || '.py' AS one, 'f' || b || '.py' AS two, length(repeat('x', p_size)) > 25 AS first_longer FROM c)
+SELECT p_partkey, policy, CASE policy WHEN 'first' THEN one WHEN 'last' THEN two WHEN 'longest' THEN CASE WHEN p_size >= 25 THEN one ELSE two END ELSE CASE WHEN one = two THEN two ELSE least(one, two) || ',' || greatest(one, two) END END AS files FROM f""")
+def selection_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    diff = lambda k, n: F.concat(F.replace(F.replace(F.lit(DIFF.format("")), F.lit("src/f.py"), F.concat(F.lit("f"), k.cast("string"), F.lit(".py"))), F.lit("+c"), F.concat(F.lit("+"), F.repeat(F.lit("x"), n))))
+    fence = lambda d: F.concat(F.lit("```diff\n"), d, F.lit("```\n"))
+    rows = read(spark, sf_dir, "part").select("p_partkey", F.concat(fence(diff(F.col("p_size") % 4, F.col("p_size").cast("int"))), fence(diff(F.col("p_partkey") % 3, F.lit(25)))).alias("r"))
+    out = None
+    for policy in ("first", "last", "longest", "concat_distinct"):
+        one = rows.select("p_partkey", F.lit(policy).alias("policy"), F.array_join(patches.extract_column(F.col("r"), "markdown", policy)["touched_files"], ",").alias("files"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'no_patch' WHEN p_size % 3 = 0 THEN 'diff_parse_fail' ELSE 'diff_parse_success' END AS status, CASE WHEN p_size % 5 = 0 THEN 0 ELSE 1 + (p_size % 2) END::INT AS n_candidates,
+CASE WHEN p_size % 5 = 0 THEN '' ELSE 'x = ' || p_size || CASE WHEN p_size % 3 = 0 THEN ' +' ELSE '' END || chr(10) END AS code FROM part""")
+def code_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size").cast("string")
+    code = F.concat(F.lit("```python\nx = "), size, F.when(F.col("p_size") % 3 == 0, " +").otherwise(""), F.lit("\n```\n"))
+    text_ = F.when(F.col("p_size") % 5 == 0, F.concat(F.lit("```rust\n"), size, F.lit("\n```"))).otherwise(F.concat(F.lit("```\nuntyped\n```\n"), F.when(F.col("p_size") % 2 == 1, "```py\ny = 1\n```\n").otherwise(""), code))
+    out = read(spark, sf_dir, "part").withColumn("x", patches.extract_code_column(text_))
+    return out.select("p_partkey", F.col("x.status").alias("status"), F.col("x.n_candidates").alias("n_candidates"), F.col("x.patch").alias("code"))
+
+
 @query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'edits_tests,pytest_skip' WHEN 1 THEN 'edits_config' WHEN 2 THEN '' ELSE 'path_escape,broad_except_pass' END AS flags, CASE WHEN p_partkey % 4 = 2 THEN 'ok' ELSE 'invalid' END AS verdict FROM part""")
 def patch_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.element_at(F.array(*map(F.lit, ("tests/test_a.py", "setup.cfg", "src/a.py", "../x.py"))), (F.col("p_partkey") % 4 + 1).cast("int"))
@@ -364,6 +442,64 @@ def flag_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curation.flag_counts(excluded(spark, sf_dir))
 
 
+# A validation record of each customer: every field follows another digit of the key or the balance.
+@query("""WITH c AS (SELECT c_custkey AS k, c_custkey % 3 = 0 AS tests, c_custkey % 5 = 0 AS missing, c_custkey % 7 = 0 AS no_env, c_nationkey % 4 = 0 AS empty_ok, c_custkey % 11 = 0 AS unapplied, c_custkey % 2 = 0 AS no_file, c_custkey % 13 = 0 AS no_run, c_nationkey % 6 AS n_f,
+c_nationkey % 5 AS n_drop, c_acctbal > 9000 AS long, c_custkey % 17 = 0 AS dup, c_acctbal < 0 AS judged FROM customer),
+d AS (SELECT *, NOT missing AS known FROM c)
+SELECT k AS c_custkey, CASE WHEN dup THEN 'DUPLICATE' WHEN long THEN 'CONTEXT_OVERFLOW' WHEN missing THEN 'UNVALIDATED' WHEN no_env THEN 'BROKEN_ENV' WHEN empty_ok THEN CASE WHEN tests THEN 'BUG_IN_TEST_FILE' ELSE 'BASELINE_ANOMALY' END
+WHEN unapplied THEN CASE WHEN tests THEN 'BUG_IN_TEST_FILE' WHEN no_file THEN 'BROKEN_BRANCH' ELSE 'REFERENCE_PATCH_INVALID' END WHEN no_run THEN 'BROKEN_ENV' WHEN n_f = 0 THEN 'NO_VALID_F2P' ELSE '' END AS reason,
+array_to_string(list_filter([CASE WHEN dup THEN 'dup_of:first' END, CASE WHEN long THEN 'prompt_gt_9000' END, CASE WHEN known AND NOT no_env AND NOT empty_ok AND NOT unapplied AND no_run THEN 'infra_timeout' END, CASE WHEN known AND no_file THEN 'GOLD_WHITESPACE_MISMATCH' END,
+CASE WHEN known AND tests THEN 'gold_touches_tests' END, CASE WHEN known AND n_drop > 0 THEN 'F2P_PRUNED:' || n_drop END, CASE WHEN known AND n_drop > 2 THEN 'P2P_PRUNED:' || (n_drop - 2) END, CASE WHEN judged THEN 'JUDGE_DROP' END], lambda x: x IS NOT NULL), ';') AS flags FROM d""")
+def repo_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    names = lambda m: F.transform(F.filter(F.sequence(F.lit(0), F.lit(9)), lambda i: i < m), lambda i: i.cast("string"))
+    gold = F.struct((k % 13 != 0).alias("ran"), F.when(k % 11 == 0, "patch_apply_fail").otherwise("patch_apply_success").alias("apply"), F.when(k % 2 == 0, "x: No such file or directory").otherwise("ok").alias("log_tail"), F.lit("infra_timeout").alias("err_kind"))
+    empty = F.struct((n % 4 == 0).alias("ran"), F.lit(3).alias("n_f2p"))
+    v = F.struct((k % 7 != 0).alias("extract_ok"), (k % 3 == 0).alias("gold_touches_tests"), (k % 2 == 0).alias("gold_needs_ignore_ws"), gold.alias("gold"), empty.alias("empty"), names(n % 6).alias("f2p_effective"), names(n % 5).alias("f2p_dropped"), names(n % 5 - 2).alias("p2p_dropped"))
+    rows = read(spark, sf_dir, "customer").select("c_custkey", F.when(k % 17 == 0, "first").alias("dup_of"), F.lit("swe_4k").alias("variant_type"), F.when(F.col("c_acctbal") > 9000, 9001).otherwise(10).alias("prompt_tokens"), F.when(F.col("c_acctbal") < 0, "drop").otherwise("keep").alias("judge_verdict"), F.when(k % 5 != 0, v).alias("v"))
+    reason, flags = curation.repo_decision(9000)
+    return rows.select("c_custkey", reason.alias("reason"), F.array_join(flags, ";").alias("flags"))
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, c_custkey % 17 = 0 AS dup, c_custkey % 5 = 0 AS missing, c_nationkey % 6 AS n_tests, c_custkey % 3 <> 0 AS ref, c_custkey % 4 <> 0 AS gold_ok, c_custkey % 2 = 0 AS empty_ok, c_nationkey % 5 AS passed, c_nationkey % 7 AS of FROM customer),
+d AS (SELECT *, CASE WHEN of > 0 THEN passed / of ELSE 0 END >= 0.5 AS half FROM c)
+SELECT k AS c_custkey, CASE WHEN dup THEN 'DUPLICATE' WHEN missing THEN 'UNVALIDATED' WHEN n_tests = 0 THEN 'NO_TESTS' WHEN ref AND NOT gold_ok THEN 'REFERENCE_SOLUTION_FAILS' WHEN NOT empty_ok AND half THEN 'BASELINE_ANOMALY' ELSE '' END AS reason,
+array_to_string(list_filter([CASE WHEN dup THEN 'dup_of:first' END, CASE WHEN NOT missing AND n_tests > 0 AND NOT (ref AND NOT gold_ok) AND NOT empty_ok AND NOT half THEN 'EMPTY_PASSES_SOME:' || passed || '/' || of END, CASE WHEN NOT missing AND NOT ref THEN 'no_reference_solution' END], lambda x: x IS NOT NULL), ';') AS flags FROM d""")
+def unit_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    v = F.struct((n % 6).alias("n_tests"), (k % 3 != 0).alias("has_reference"), (k % 4 != 0).alias("gold_ok"), (k % 2 == 0).alias("empty_ok"), F.struct((n % 5).alias("n_f2p"), (n % 7).alias("t_f2p")).alias("empty"))
+    reason, flags = curation.unit_decision()
+    return read(spark, sf_dir, "customer").select("c_custkey", F.when(k % 17 == 0, "first").alias("dup_of"), F.when(k % 5 != 0, v).alias("v")).select("c_custkey", reason.alias("reason"), F.array_join(flags, ";").alias("flags"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_nationkey % 4 = 0 THEN 'do ' || c_name ELSE 'do ' || c_name || CASE WHEN c_custkey % 2 = 0 THEN chr(10) || chr(10) || '테스트가 사용하는 이름을 정확히 이 이름으로 정의하세요: ' ELSE chr(10) || chr(10) || 'The hidden tests use exactly these names; define them: ' END
+|| array_to_string(list_transform(range(c_nationkey % 4), lambda i: '`g' || i || '`'), ', ') END AS content, CASE WHEN c_acctbal > 0 THEN CASE WHEN c_custkey % 3 = 0 THEN 'test' ELSE 'train' END ELSE 'excluded' END AS split FROM customer""")
+def prompt_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    message = lambda role, body: F.struct(F.lit(role).alias("role"), body.alias("content"))
+    rows = read(spark, sf_dir, "customer").withColumn("prompt", F.array(message("system", F.lit("s")), message("user", F.concat(F.lit("do "), "c_name", F.when(F.col("c_nationkey") % 4 == 0, "").otherwise("  \n"))), message("assistant", F.lit("a"))))
+    n = (F.col("c_nationkey") % 4).cast("int")
+    names = F.transform(F.filter(F.sequence(F.lit(0), F.lit(3)), lambda i: i < n), lambda i: F.concat(F.lit("g"), i.cast("string")))
+    fixed = curation.with_names_line(rows, names, F.when(F.col("c_custkey") % 2 == 0, "ko").otherwise("en"))
+    split = curation.split_label(F.when(F.col("c_acctbal") > 0, "ok").otherwise("excluded"), F.when(F.col("c_custkey") % 3 == 0, "test").otherwise("train"))
+    return fixed.select("c_custkey", F.element_at("prompt", 2)["content"].alias("content"), split.alias("split"))
+
+
+@query("""WITH v AS (SELECT o_custkey, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'O') AS o FROM orders WHERE o_custkey % 4 <> 0 GROUP BY 1) SELECT c_custkey, coalesce(f, 0) AS n_f2p, coalesce(o, 0) AS n_p2p FROM customer LEFT JOIN v ON c_custkey = o_custkey""")
+def effective_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = lambda status: F.array_compact(F.collect_list(F.when(F.col("o_orderstatus") == status, F.col("o_orderkey").cast("string"))))
+    validation = read(spark, sf_dir, "orders").where("o_custkey % 4 <> 0").groupBy(F.col("o_custkey").alias("c_custkey")).agg(ids("F").alias("f2p_effective"), ids("O").alias("p2p_effective"))
+    out = curation.effective_index(read(spark, sf_dir, "customer").select("c_custkey"), validation, "c_custkey")
+    return out.select("c_custkey", F.size("f2p_effective").cast("long").alias("n_f2p"), F.size("p2p_effective").cast("long").alias("n_p2p"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN s_suppkey IS NOT NULL THEN 'supplier' WHEN c_custkey IS NOT NULL THEN 'customer' END AS kind, coalesce(s_name, c_name) AS name, CASE WHEN s_suppkey IS NULL THEN c_mktsegment END AS segment FROM orders LEFT JOIN supplier ON o_custkey = s_suppkey LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) ON o_custkey = c_custkey""")
+def registry_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    repos = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.lit("supplier").alias("kind"), F.col("s_name").alias("name"))
+    units = read(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.lit("customer").alias("kind"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    out = curation.registry_records(read(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("id")), repos, units, "id")
+    return out.select("o_orderkey", "instance.kind", "instance.name", "instance.segment")
+
+
 @query(f"""WITH {PHAT} SELECT instance_id, CASE WHEN p_hat < 0.4 AND reward_std = 0 THEN 'TOO_HARD' WHEN p_hat > 0.6 THEN 'TOO_EASY' ELSE '' END AS reason, CASE WHEN p_hat < 0.4 AND NOT reward_std = 0 THEN 'HARD_BUT_PARTIAL_SIGNAL' END AS flag FROM phat""")
 def difficulty_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     reason, flag = curation.band(F.lit("train"), F.col("p_hat"), F.col("reward_std"), 0.4, 0.6)
@@ -447,9 +583,9 @@ def field_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audits.field_profile(read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "props"))
 
 
-@query("SELECT md5(text) AS prompt_md5, count(*) AS n, array_to_string(list_sort(list(DISTINCT doc_id)), ',') AS items FROM documents GROUP BY 1 HAVING count(*) > 1")
+@query("SELECT DISTINCT md5(text) AS prompt_md5, doc_id, n, first_item FROM (SELECT text, doc_id, count(*) OVER w AS n, min(doc_id) OVER w AS first_item FROM documents WINDOW w AS (PARTITION BY text)) WHERE n > 1")
 def identical_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audits.identical_prompts(read(spark, sf_dir, "documents").select("doc_id", "text"), "text", "doc_id").withColumn("items", F.array_join(F.col("items").cast("array<string>"), ","))
+    return audits.identical_prompts(read(spark, sf_dir, "documents").select("doc_id", "text"), "text", "doc_id")
 
 
 @query("SELECT md5(text) AS h, count(*) AS n, count(DISTINCT lang) <= 1 AS same_lang, count(DISTINCT source) <= 1 AS same_source FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -467,10 +603,14 @@ def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(audits.similar_pairs(read(spark, sf_dir, "documents"), "source", "doc_id", "text"))
 
 
-@query("""SELECT a.doc_id FROM documents a WHERE lang = 'en' AND EXISTS (SELECT 1 FROM documents b WHERE b.doc_id % 2 = 1 AND trim(regexp_replace(b.text, '\\s+', ' ', 'g')) = trim(regexp_replace(a.text, '\\s+', ' ', 'g'))) AND a.doc_id % 2 = 0""")
+@query("""WITH t AS (SELECT doc_id, lang, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS body FROM documents) SELECT doc_id FROM t WHERE lang = 'en' AND body IN (SELECT body FROM t WHERE lang <> 'en')
+UNION ALL SELECT doc_id FROM t WHERE lang <> 'en' AND body IN (SELECT body FROM t WHERE lang = 'en')
+UNION ALL SELECT -item_id - 1 FROM benchmark WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) IN (SELECT body FROM t)""")
 def shared_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    return audits.shared_texts(docs.where("lang = 'en' AND doc_id % 2 = 0").select("doc_id", "text"), docs.where("doc_id % 2 = 1").select("text"), "text").select("doc_id")
+    docs, items = read(spark, sf_dir, "documents").select("doc_id", "text", "lang"), read(spark, sf_dir, "benchmark")
+    english, others = docs.where("lang = 'en'"), docs.where("lang <> 'en'")
+    both = audits.shared_texts(english, others, "text").unionByName(audits.shared_texts(others, english, "text")).select("doc_id")
+    return both.unionByName(audits.shared_texts(items, docs, "text").select((-F.col("item_id") - 1).alias("doc_id")))
 
 
 @query("SELECT count(*) AS n_rows, count(*) FILTER (c_custkey % 3 <> 0) AS n_matched, 0::BIGINT AS differs_c_name, count(*) FILTER (c_custkey % 3 <> 0 AND c_custkey % 2 = 0) AS differs_c_acctbal FROM customer")
@@ -596,9 +736,25 @@ def hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordering.hash_sample(read(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 100, 7)
 
 
-@query()
+#: (0, 1) from the first 12 hex digits of a text's md5.
+UNIFORM = "((CAST('0x' || substr(md5({}), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0)"
+
+
+@query(f"""SELECT c_custkey, c_mktsegment, (c_nationkey + 1)::INT AS w, row_number() OVER (PARTITION BY c_mktsegment ORDER BY -ln({UNIFORM.format("'0:' || c_custkey")}) / (c_nationkey + 1), c_custkey) AS place FROM customer""")
 def weighted_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ordering.weighted_order(read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", (F.col("c_nationkey") + 1).alias("w")), ["c_mktsegment"], "c_custkey", "w")
+    rows = read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", (F.col("c_nationkey") + 1).cast("int").alias("w"))
+    return ordering.weighted_order(rows, ["c_mktsegment"], "c_custkey", "w").withColumn("place", F.col("place").cast("long"))
+
+
+@query(f"""WITH d AS (SELECT range AS position, {UNIFORM.format("'3:0:draw:' || range")} AS u FROM range(3000)), b AS (SELECT c_mktsegment AS t, c_nationkey % 2 AS v, count(*) AS n FROM customer GROUP BY 1, 2),
+w AS (SELECT *, sum(share) OVER (ORDER BY t, v) AS upto, row_number() OVER (ORDER BY t, v) AS k FROM (SELECT *, (n / sum(n) OVER (PARTITION BY t)) * CASE t WHEN 'BUILDING' THEN 0.7 WHEN 'MACHINERY' THEN 0.3 ELSE 0 END AS share FROM b)),
+p AS (SELECT position, 1 + (SELECT count(*) FROM w WHERE upto <= u + 1e-13 AND k < (SELECT count(*) FROM b)) AS k FROM d), r AS (SELECT position, k, t, v, n, row_number() OVER (PARTITION BY k ORDER BY position) - 1 AS rank FROM p JOIN w USING (k)),
+x AS (SELECT position, t, v, rank // n AS round, rank % n + 1 AS place FROM r), rounds AS (SELECT DISTINCT t, v, round FROM x),
+o AS (SELECT t, v, round, c_custkey, row_number() OVER (PARTITION BY t, v, round ORDER BY -ln({UNIFORM.format("'3:0:' || round || ':' || c_custkey")}), c_custkey) AS place FROM rounds JOIN customer ON c_mktsegment = t AND c_nationkey % 2 = v)
+SELECT position, c_custkey FROM x JOIN o USING (t, v, round, place)""")
+def hierarchical_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", (F.col("c_nationkey") % 2).alias("v"))
+    return ordering.Sampler(rows, "c_mktsegment", "v", "c_custkey", task_weights={"BUILDING": 0.7, "MACHINERY": 0.3}, seed=3, draws=3000).order().select("position", "c_custkey")
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
@@ -623,6 +779,13 @@ def discordant_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.discordant(arm_pairs(spark, sf_dir))
 
 
+@query("""WITH a AS (SELECT o_custkey, avg((o_orderstatus = 'F')::INT) AS arm FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1), b AS (SELECT o_custkey, avg((o_orderstatus = 'F')::INT) AS base FROM orders WHERE o_orderkey % 2 = 1 GROUP BY 1),
+d AS (SELECT 't' || (o_custkey % 2) AS track, count(*) FILTER (arm > 0.5 AND base <= 0.5) AS b, count(*) FILTER (arm <= 0.5 AND base > 0.5) AS c FROM a JOIN b USING (o_custkey) GROUP BY 1)
+SELECT track, b, c, round(CASE WHEN b + c = 0 THEN 1.0 ELSE least(1.0, 2 * (SELECT sum(exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))) FROM (SELECT unnest(range(least(b, c) + 1)) AS i))) END, 6) AS p FROM d""")
+def mcnemar_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(statistics.discordant(arm_pairs(spark, sf_dir), "track").withColumn("p", statistics.mcnemar_p(F.col("b"), F.col("c"))))
+
+
 def arm_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read(spark, sf_dir, "orders")
     rate = lambda odd: orders.where(F.col("o_orderkey") % 2 == odd).groupBy(F.col("o_custkey").alias("item")).agg(F.avg((F.col("o_orderstatus") == "F").cast("double")).alias("v")).withColumn("track", F.concat(F.lit("t"), F.col("item") % 2))

@@ -55,16 +55,24 @@ def to_json(value: dict) -> str:
     return json.dumps(value, indent=1, ensure_ascii=False, default=str)
 
 
+def small(df: DataFrame, limit: int) -> list:
+    """All rows of a result for the driver, which must not have more than limit."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} rows; aggregate first, or raise the limit")
+    return rows
+
+
 def to_markdown(df: DataFrame, limit: int = 1000) -> str:
-    """A Markdown table of a small result."""
-    rows = df.limit(limit).collect()
+    """A Markdown table of a small result; fails where that has over limit rows."""
+    rows = small(df, limit)
     cell = lambda x: "" if x is None else f"{x:.4g}" if isinstance(x, float) else str(x).replace("|", "\\|").replace("\n", " ")
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join([*lines, *("| " + " | ".join(map(cell, r)) + " |" for r in rows)]) + "\n"
 
 
 def write_workbook(sheets: dict[str, DataFrame], path: str, limit: int = 100_000) -> None:
-    """One sheet for each small result (needs the openpyxl package)."""
+    """One sheet for each small result (needs the openpyxl package); fails where one has over limit rows."""
     try:
         import openpyxl
     except ImportError as e:
@@ -74,6 +82,6 @@ def write_workbook(sheets: dict[str, DataFrame], path: str, limit: int = 100_000
     for name, df in sheets.items():
         sheet = book.create_sheet(name[:31])
         sheet.append(df.columns)
-        for r in df.limit(limit).collect():
+        for r in small(df, limit):
             sheet.append([x if isinstance(x, (int, float, str, type(None))) else str(x) for x in r])
     book.save(path)

@@ -55,10 +55,18 @@ def test_similar_pairs_equal_brute_force(spark):
     rows = [(k, f"g{k % 2}", " ".join(base[k % 6][:j] + ["zz"] + base[k % 6][j + 1 :])) for k in range(24) for j in [rng.randrange(38, 40) if k % 3 else 20]] + [(99, "g0", None), (100, "g0", "")]
     got = {(r.g, r.a, r.b) for r in audits.similar_pairs(spark.createDataFrame(rows, "i int, g string, t string"), "g", "i", "t").collect()}
     sets = {i: (g, {" ".join(w[k : k + 5]) for w in [(t or "").split()] for k in range(max(1, len(w) - 4))}) for i, g, t in rows}
-    want = {(sets[a][0], a, b) for a in sets for b in sets if a < b and sets[a][0] == sets[b][0] and len(sets[a][1] & sets[b][1]) >= 0.8 * len(sets[a][1] | sets[b][1])}
+    rep = {i: min(j for j in sets if sets[j] == sets[i]) for i in sets}
+    want = {(sets[a][0], a, b) for a in set(rep.values()) for b in set(rep.values()) if a < b and sets[a][0] == sets[b][0] and len(sets[a][1] & sets[b][1]) >= 0.8 * len(sets[a][1] | sets[b][1])}
+    want |= {(sets[i][0], rep[i], i) for i in sets if rep[i] != i}
     assert got == want and len(want) > 3
 
 
+def test_copies_give_rows_not_pairs(spark):
+    rows = spark.range(400).select(F.col("id").alias("i"), F.lit("g").alias("g"), F.lit("one two three four five six seven").alias("t"))
+    got = audits.similar_pairs(rows, "g", "i", "t").collect()
+    assert sorted((r.a, r.b) for r in got) == [(0, k) for k in range(1, 400)]
+
+
 def test_close_texts(spark):
     df = spark.createDataFrame([("abcdefghij", "abcdefghik"), ("abc", "xyz"), (None, "a")], "a string, b string")
     assert [round(r.ratio, 3) for r in audits.close_texts(df, "a", "b", 0.85).collect()] == []
@@ -66,10 +74,10 @@ def test_close_texts(spark):
     assert audits.close_texts(near, "a", "b").head().ratio == difflib.SequenceMatcher(None, "abcdefghijklmnopqrst", "abcdefghijklmnopqrsu", autojunk=False).ratio()
 
 
-def test_identical_prompts_list_large_groups_whole(spark):
-    rows = spark.range(2600).select(F.col("id").alias("i"), F.when(F.col("id") < 2500, "same").otherwise(F.col("id").cast("string")).alias("t"))
-    got = audits.identical_prompts(rows, "t", "i").collect()
-    assert [(r.prompt_md5, r.n, r["items"]) for r in got] == [(hashlib.md5(b"same").hexdigest(), 2500, list(range(2500)))]
+def test_identical_prompts_keep_all_of_a_large_group(spark):
+    rows = spark.range(2600).select(F.col("id").alias("i"), F.when(F.col("id") < 2500, "same").when(F.col("id") < 2502, None).otherwise(F.col("id").cast("string")).alias("t"))
+    got = Counter((r.prompt_md5, r.n, r.first_item) for r in audits.identical_prompts(rows, "t", "i").collect())
+    assert got == {(hashlib.md5(b"same").hexdigest(), 2500, 0): 2500, (None, 2, 2500): 2}
 
 
 def test_fold_tells_null_from_absent(spark):
@@ -86,21 +94,43 @@ def test_shorter_correct_response_has_the_higher_advantage(spark):
     assert plain["g", 10] == plain["g", 90]
 
 
-def test_sampler_resumes_and_weighs():
+def test_sampler_resumes_and_weighs(spark):
     tasks = ["swe"] * 40 + ["ut"] * 360
     variants = ["swe_32k"] * 40 + ["function"] * 200 + ["pytest"] * 100 + ["stdio"] * 60
-    a = ordering.Sampler(tasks, variants, task_weights={"swe": 0.5, "ut": 0.5}, seed=3)
+    rows = spark.createDataFrame([(k, t, v) for k, (t, v) in enumerate(zip(tasks, variants))], "i long, t string, v string").cache()
+    make = lambda **k: ordering.Sampler(rows, "t", "v", "i", **k)
+    a = make(task_weights={"swe": 0.5, "ut": 0.5}, seed=3)
+    whole = [r.i for r in a.order(0).orderBy("position").collect()]
+    assert len(whole) == 400 == len(a)
+    for bucket in set(variants):  # every item of a bucket once before any comes again
+        n, of = variants.count(bucket), [k for k in whole if variants[k] == bucket]
+        assert all(len(set(of[k : k + n])) == len(of[k : k + n]) for k in range(0, len(of), n))
     first = [x for _, x in zip(range(100), iter(a))]
-    b = ordering.Sampler(tasks, variants, task_weights={"swe": 0.5, "ut": 0.5}, seed=3)
+    b = make(task_weights={"swe": 0.5, "ut": 0.5}, seed=3)
     b.restore(a.state())
-    assert first + list(b) == ordering.Sampler(tasks, variants, task_weights={"swe": 0.5, "ut": 0.5}, seed=3).order(0)
-    share = Counter(tasks[k] for k in a.order(1))["swe"] / 400
-    assert 0.4 < share < 0.6
-    assert 0.05 < Counter(tasks[k] for k in ordering.Sampler(tasks, variants, seed=1).order(0))["swe"] / 400 < 0.16
+    assert first + list(b) == whole and b.state() == {"seed": 3, "epoch": 1, "cursor": 0}
+    other = [r.i for r in a.order(1).orderBy("position").collect()]
+    assert other != whole and 0.4 < Counter(tasks[k] for k in other)["swe"] / 400 < 0.6
+    assert 0.05 < Counter(tasks[r.i] for r in make(seed=1).order(0).collect())["swe"] / 400 < 0.16
+    named = Counter(variants[r.i] for r in make(variant_weights={"function": 0.5, "pytest": 0.5}, task_weights={"ut": 1.0}).order().collect())
+    assert set(named) == {"function", "pytest"}
+    assert ordering.Sampler(rows.where("i < 0"), "t", "v", "i").order().count() == 0
+    with pytest.raises(ValueError):
+        make(task_weights={"nothing": 1.0}).order()
+
+
+def test_weighted_order_prefers_weight_and_splits_buckets(spark):
+    rows = spark.range(2000).select(F.col("id").alias("i"), F.when(F.col("id") < 1990, "hot").alias("b"), F.when(F.col("id") % 2 == 0, 9.0).otherwise(1.0).alias("w"))
+    got = ordering.weighted_order(rows, ["b"], "i", "w").collect()
+    assert sorted(r.place for r in got if r.b == "hot") == list(range(1, 1991)) and sorted(r.place for r in got if r.b is None) == list(range(1, 11))
+    early = [r.i % 2 == 0 for r in got if r.b == "hot" and r.place <= 200]
+    assert 0.8 < sum(early) / len(early) < 0.97
 
 
 def test_statistics(spark):
     assert statistics.mcnemar_exact(0, 0) == 1.0
+    tails = spark.createDataFrame([(b, c) for b in (0, 1, 7, 400) for c in (0, 1, 2, 9, 380)], "b long, c long").withColumn("p", statistics.mcnemar_p(F.col("b"), F.col("c")))
+    assert all(r.p == pytest.approx(statistics.mcnemar_exact(r.b, r.c)) for r in tails.collect())
     assert statistics.mcnemar_exact(1, 9) == pytest.approx(2 * sum(math.comb(10, k) for k in (0, 1)) / 2**10)
     pairs = spark.createDataFrame([(k, f"t{k % 2}", float(k % 3 == 0), float(k % 4 == 0)) for k in range(60)], "item int, track string, arm double, base double")
     lo, hi = statistics.paired_bootstrap(pairs, 200).head()
@@ -121,6 +151,33 @@ def test_bootstrap_draws_the_references_iterations(spark, monkeypatch):
     assert lo == pytest.approx(0.25 - 1.96 * se, abs=0.1 * se) and hi == pytest.approx(0.25 + 1.96 * se, abs=0.15 * se)
 
 
+def test_null_keys_keep_their_rows(spark):
+    rows = spark.createDataFrame([(1, None, "a"), (2, None, "b"), (3, "x", "c")], "i long, k string, r string")
+    assert sorted((r.i, r.dup_of) for r in curation.first_seen(rows, F.col("k"), "i", "i").collect()) == [(1, None), (2, 1), (3, None)]
+    assert sorted(r.i for r in curation.group_split(rows, "k", 1, 1).collect()) == [1, 2, 3]
+    assert len({r.split for r in curation.group_split(rows, "k", 1, 0).collect()}) == 2
+    assert sorted(r.split for r in curation.hash_split(rows, "k", 0, 0).collect()) == ["train"] * 3
+    assert curation.hash_split(rows, "r", 5, 1).where("split <> 'test'").count() == 0
+    log = spark.createDataFrame([(None, "a", 1, 1), (None, "a", 2, 2), (None, "a", 2, 3), ("x", None, 1, 4)], "arm string, item string, step int, at int")
+    assert sorted((r.arm or "", r.item or "", r.step, r["at"]) for r in ordering.final_step(log, "arm", "item", "step", "at").collect()) == [("", "a", 2, 3), ("x", "", 1, 4)]
+
+
+def test_quantiles_of_a_whole_table(spark):
+    rng = random.Random(2)
+    values = [rng.choice([rng.random(), 0.5, -3.0]) for _ in range(999)]
+    got = audits.quantile_summary(spark.createDataFrame([(v,) for v in values] + [(None,)], "v double"), "v").head()
+    values.sort()
+    assert (got.n, got.min, got.max) == (999, values[0], values[-1])
+    assert [got[f"p{round(100 * p)}"] for p in audits.QUANTILES] == [values[round(p * 998)] for p in audits.QUANTILES]
+    assert audits.quantile_summary(spark.createDataFrame([], "v double"), "v").head().n is None
+
+
+def test_small_sinks_refuse_large_results(spark):
+    assert sinks.to_markdown(spark.range(3), 3).count("\n") == 5
+    with pytest.raises(ValueError):
+        sinks.to_markdown(spark.range(4), 3)
+
+
 def test_curation_decisions(spark):
     v = "struct<extract_ok:boolean,gold_touches_tests:boolean,gold_needs_ignore_ws:boolean,gold:struct<ran:boolean,apply:string,log_tail:string,err_kind:string>,empty:struct<ran:boolean,n_f2p:int>,f2p_effective:array<string>,f2p_dropped:array<string>,p2p_dropped:array<string>>"
     good = (True, False, False, (True, "ok", "", ""), (True, 0), ["a"], ["x"], None)
