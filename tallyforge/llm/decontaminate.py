@@ -1,8 +1,10 @@
 """Benchmark decontamination by a broadcast hash set of normalised n-grams.
 
-The windows of all benchmark items (13 consecutive words; an item of fewer words, but not none, is one window of its own length) are hashed and sent to the workers, behind a check of their number. Each text is cut into words, words outside the benchmark's vocabulary are ruled out first, windows of the rest are looked up by hash, and hits are verified word by word. Where a benchmark has more windows than WINDOWS_AT_ONCE, its items are dealt into blocks below that bound, and the texts are scanned once for each block.
+The windows of all benchmark items (13 consecutive words; an item of fewer words, but not none, is one window of its own length) are hashed and sent to the workers. Each text is cut into words, words outside the benchmark's vocabulary are ruled out first, windows of the rest are looked up by hash, and hits are verified word by word.
 
-Defined cases: a null text has no words, and neither has a null item; texts are scanned whole; repeated items count each by its own id, repeated documents each alike; empty tables give an empty result or no hits; other columns pass through, except those named as a result column, which the result replaces.
+The windows are counted before anything is sent. Where they pass WINDOWS_AT_ONCE, items are cut into pieces (overlapping, so that no window is lost), pieces are dealt into blocks below that bound by their hash, and the texts are scanned once for each block: each scan is written to the shared folder, and its windows are dropped everywhere, before the next block is read. The driver never holds more than one block and a number for each block.
+
+Defined cases: a null text has no words, and neither has a null item; texts are scanned whole; an item without an id counts for nothing; repeated items count each by its own id, repeated documents each alike; empty tables give an empty result or no hits; other columns pass through, except those named as a result column, which the result replaces.
 """
 
 from __future__ import annotations
@@ -17,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_texts, small_batches, stage
 
 N = 13
-#: Windows sent to the workers at once: about 150 bytes each there, so some 300 MB at most.
-WINDOWS_AT_ONCE = 2_000_000
+#: Windows sent to the workers at once: 64 bytes each in arrays, and a word of the vocabulary (some 120 bytes) each at worst.
+WINDOWS_AT_ONCE = 1_000_000
+#: Windows of a piece of an item, where a benchmark is dealt into blocks.
+PIECE = 10_000
 
 # A word is a run of [^\x00-\x2F\x3A-\x60\x7B-\x7F] after A-Z are lower-cased; in UTF-8 these are digits, a-z and all bytes from 0x80.
 LOWERED = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -33,20 +37,24 @@ def words_of(text: str) -> list[bytes]:
 
 
 class Windows:
-    """The windows of some items: word ids, a hash set for each length, and the exact windows with their items."""
+    """The windows of some items: word ids and, for each length, the windows sorted by hash beside their words and items."""
 
     def __init__(self, items: Iterable[tuple[object, str]], n: int = N) -> None:
         self.ids: dict[bytes, int] = {}
-        self.exact: dict[tuple[int, ...], list[str]] = {}
+        self.items: list[str] = []
+        rows: dict[int, list[tuple[np.ndarray, int]]] = {}
         for item, text in items:
-            words = [self.ids.setdefault(w, len(self.ids) + 1) for w in words_of(text or "")]
-            size = min(n, len(words))
-            for window in {tuple(words[k : k + size]) for k in range(len(words) - size + 1)} if size else ():
-                self.exact.setdefault(window, []).append(str(item))
-        by_size: dict[int, list[tuple[int, ...]]] = {}
-        for window in self.exact:
-            by_size.setdefault(len(window), []).append(window)
-        self.hashes = {size: np.unique(self.hash(np.array(ws, np.uint64).T)) for size, ws in sorted(by_size.items())}
+            words = np.array([self.ids.setdefault(w, len(self.ids) + 1) for w in words_of(text or "")], np.int32)
+            if size := min(n, len(words)):
+                rows.setdefault(size, []).append((np.lib.stride_tricks.sliding_window_view(words, size), len(self.items)))
+                self.items.append(str(item))
+        self.by_size: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size, found in sorted(rows.items()):
+            words = np.concatenate([w for w, _ in found])
+            owner = np.repeat(np.array([k for _, k in found], np.int32), [len(w) for w, _ in found])
+            hashes = self.hash(words.T.astype(np.uint64))
+            order = np.argsort(hashes, kind="stable")
+            self.by_size[size] = hashes[order], words[order], owner[order]
 
     @staticmethod
     def hash(columns: np.ndarray) -> np.ndarray:
@@ -69,19 +77,26 @@ class Windows:
         seen = np.r_[0, np.cumsum(flat > 0)]
         runs: list[list[tuple[int, int]]] = [[] for _ in texts]
         items: list[set[str]] = [set() for _ in texts]
-        for size, hashes in self.hashes.items():
+        for size, (hashes, windows, owner) in self.by_size.items():
             if total < size:
                 continue
             at = np.flatnonzero(seen[size:] - seen[:-size] == size)
             if not at.size:
                 continue
-            at = at[np.isin(self.hash(np.stack([flat[at + k] for k in range(size)]).astype(np.uint64)), hashes)]
-            owner = np.searchsorted(first, at, "right") - 1
-            for k, doc in zip(at.tolist(), owner.tolist()):
-                if found := self.exact.get(tuple(flat[k : k + size].tolist())):
-                    items[doc].update(found)
-                    start = k - int(first[doc])
-                    runs[doc].append((start, start + size))
+            h = self.hash(np.stack([flat[at + k] for k in range(size)]).astype(np.uint64))
+            low, high = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+            n = high - low
+            at, low, n = at[n > 0], low[n > 0], n[n > 0]
+            pair = np.repeat(np.arange(len(at)), n)
+            window = np.repeat(low - np.cumsum(n) + n, n) + np.arange(len(pair))
+            same = (flat[at[pair][:, None] + np.arange(size)] == windows[window]).all(1)
+            pair, window = pair[same], window[same]
+            doc = np.searchsorted(first, at, "right") - 1
+            for d, k in set(zip(doc[pair].tolist(), owner[window].tolist())):
+                items[d].add(self.items[k])
+            for d, k in zip(doc[np.unique(pair)].tolist(), at[np.unique(pair)].tolist()):
+                start = k - int(first[d])
+                runs[d].append((start, start + size))
         return [(int(n), merged(r), sorted(i)) for n, r, i in zip(sizes, runs, items)]
 
 
@@ -107,29 +122,53 @@ def without(text: str, runs: list[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def item_blocks(benchmark: DataFrame, n: int, at_once: int) -> list[list[tuple[object, str]]]:
-    """The items, in blocks of at most at_once windows (or a single item)."""
-    blocks: list[list[tuple[object, str]]] = [[]]
-    left = at_once
-    for item, text in benchmark.select("item_id", F.coalesce("text", F.lit(""))).toLocalIterator():
-        need = max(1, len(words_of(text)) - n + 1)
-        if need > left and blocks[-1]:
-            blocks.append([])
-            left = at_once
-        blocks[-1].append((item, text))
-        left -= need
-    return blocks
+RUNS, ITEMS = "array<struct<start:bigint,end:bigint>>", "array<string>"
+
+
+def pieces(benchmark: DataFrame, n: int) -> DataFrame:
+    """item_id, text and windows of the items, each cut into pieces of at most PIECE windows; neighbours share n - 1 words."""
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        for x in batches:
+            rows = []
+            for item, text in zip(x.column("item_id").to_pylist(), x.column("text").to_pylist()):
+                words = words_of(text)
+                for k in range(0, max(1, len(words) - n + 1), PIECE):
+                    part = words[k : k + PIECE + n - 1]
+                    rows.append((item, b" ".join(part).decode(), max(1, len(part) - n + 1)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((), (), ()), (pa.string(), pa.string(), pa.int64()))], names=["item_id", "text", "windows"])
+
+    small_batches(benchmark.sparkSession)
+    return benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.col("item_id").isNotNull()).mapInArrow(cut, "item_id string, text string, windows bigint")
+
+
+def item_blocks(benchmark: DataFrame, n: int, at_once: int) -> list[DataFrame]:
+    """The pieces of all items, in tables of at most at_once windows each."""
+    cut = stage(pieces(benchmark, n), "items")
+    total, largest = cut.agg(F.sum("windows"), F.max("windows")).head()
+    if (total or 0) <= at_once:
+        return [cut]
+    blocks = -(-2 * total // at_once)
+    while True:
+        dealt = cut.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
+        sizes = dict(dealt.groupBy("block").agg(F.sum("windows")).collect())  # a number for each block
+        if max(sizes.values()) <= max(at_once, largest) or blocks > 64 * total:
+            return [dealt.where(F.col("block") == b).drop("block") for b in sorted(sizes)]
+        blocks *= 2
 
 
 def find_windows(docs: DataFrame, benchmark: DataFrame, text: str = "text", n: int = N, keep: list[str] | None = None, at_once: int = WINDOWS_AT_ONCE) -> DataFrame:
     """docs with n_words, hit_runs (array of struct start, end: merged runs of hit words, end exclusive) and hit_items (array of item ids as strings, sorted)."""
+    spark = docs.sparkSession
     columns = docs.columns if keep is None else keep
     keep = [c for c in columns if c not in ("n_words", "hit_runs", "hit_items")]
-    out = docs.withColumn("_tf_runs", F.expr("array()").cast("array<struct<start:bigint,end:bigint>>")).withColumn("_tf_items", F.expr("array()").cast("array<string>"))
-    for items in item_blocks(benchmark, n, at_once):
-        shared = docs.sparkSession.sparkContext.broadcast(Windows(items, n))
+    blocks = item_blocks(benchmark, n, at_once)
+
+    def scanned(source: DataFrame, block: DataFrame, carry: list[str]) -> tuple[DataFrame, object]:
+        items = block.select("item_id", "text").collect()  # at most at_once windows
+        shared = spark.sparkContext.broadcast(Windows(items, n))
 
-        def batch(texts: list[str], shared=shared) -> dict[str, pa.Array]:
+        def batch(texts: list[str]) -> dict[str, pa.Array]:
             found = shared.value.scan(texts)
             return {
                 "n_words": pa.array([x[0] for x in found], pa.int64()),
@@ -137,16 +176,25 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, text: str = "text", n: i
                 "hit_items": pa.array([x[2] for x in found], pa.list_(pa.string())),
             }
 
-        out = map_texts(out.select(*dict.fromkeys([*keep, text]), "_tf_runs", "_tf_items"), batch, "n_words bigint, hit_runs array<struct<start:bigint,end:bigint>>, hit_items array<string>", text)
-        out = out.withColumn("_tf_runs", F.concat("_tf_runs", "hit_runs")).withColumn("_tf_items", F.concat("_tf_items", "hit_items"))
-        out = out.withColumn(text, F.col(text)) if text in out.columns else out
-    # runs of several blocks are merged once more: fold the sorted runs, joining those that touch
+        return map_texts(source, batch, f"n_words bigint, hit_runs {RUNS}, hit_items {ITEMS}", text, carry), shared
+
+    if len(blocks) == 1:
+        return scanned(docs, blocks[0], keep)[0].select(*keep, "n_words", "hit_runs", "hit_items")
+    carried = [*dict.fromkeys([*keep, text])]
+    out = docs.select(*carried).withColumn("_tf_runs", F.expr("array()").cast(RUNS)).withColumn("_tf_items", F.expr("array()").cast(ITEMS))
+    for block in blocks:
+        one, shared = scanned(out, block, [*carried, "_tf_runs", "_tf_items"])
+        out = stage(one.withColumn("_tf_runs", F.concat("_tf_runs", "hit_runs")).withColumn("_tf_items", F.concat("_tf_items", "hit_items")).drop("hit_runs", "hit_items"), "scanned")
+        shared.destroy()  # written: no later task needs the windows
+    # runs of several blocks are merged: fold the sorted runs, joining those that touch
+    empty = F.expr("array()").cast(RUNS)
+    last = lambda acc: F.element_at(acc, -1)
     joined = F.aggregate(
         F.array_sort("_tf_runs"),
-        F.expr("array()").cast("array<struct<start:bigint,end:bigint>>"),
-        lambda acc, r: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= r["start"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], r["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(r))),
+        empty,
+        lambda acc, r: F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] >= r["start"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["end"], r["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(r))),
     )
-    return out.select(*keep, "n_words", F.when(F.size("_tf_runs") > 0, joined).otherwise(F.col("_tf_runs")).alias("hit_runs"), F.array_sort(F.array_distinct("_tf_items")).alias("hit_items"))
+    return out.select(*keep, "n_words", F.when(F.size("_tf_runs") > 1, joined).otherwise(F.col("_tf_runs")).alias("hit_runs"), F.array_sort(F.array_distinct("_tf_items")).alias("hit_items"))
 
 
 def judged(found: DataFrame) -> DataFrame:
