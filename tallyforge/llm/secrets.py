@@ -1,6 +1,14 @@
 r"""Secret scan by assignment-aware lexing.
 
-A lexer reads source code and configuration text into (name, literal) pairs: `name = "literal"`, `name: literal`, `"name": "literal"`, `export NAME=literal`, `name := literal`. Constants are propagated: where a sensitive name is assigned another name (`password = DEFAULT`), the literal that the other name holds counts as assigned to the sensitive one, over any number of steps. An unquoted word is such a name only if the text assigns it, and else a literal. A literal is scored by its target names and by its own look, and one at or over the threshold is a span of kind `literal`.
+A lexer goes through source code and configuration text and reads (name, literal) pairs. A name (plain, dotted, quoted, subscripted `x["name"]`, with a type annotation, as `--option`) with an assignment sign opens a pair; what follows is lexed as a value:
+
+- strings in single, double, back or triple quotes, with prefixes and escapes; several that are joined by `+`, `.` or a backslash at a line end, or that follow one another in parentheses or on a line, are one literal of several spans; a string whose end is missing ends with its line (a triple-quoted one with the text);
+- calls: each string among the arguments, up to the closing parenthesis or the line's end, is a literal of its own;
+- block scalars (`name: |` and the more indented lines below it);
+- XML elements (`<name>literal</name>`);
+- unquoted words. A word, or a reference `$NAME`, `${NAME}`, that the text assigns is a name, not a literal.
+
+Constants are propagated: a name that is assigned another name holds what the last assignment before gave to that one (or, in files whose order is free, the first one after), over any number of steps. A literal is scored by all names that come to hold it and by its own look, and one at or over the threshold is a span of kind `literal`. Names and literals may be of any length, and comments are lexed like the rest: a secret that is commented out is still one.
 
 Beside that, three base patterns always hold (kinds assign, access, hex); their spans stay whatever the lexer says.
 
@@ -13,6 +21,7 @@ import hashlib
 import math
 import re
 from collections import Counter
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,10 +41,24 @@ SENSITIVE = {"password": 3, "passwd": 3, "passphrase": 3, "pwd": 2, "secret": 3,
 #: Literals that only stand for a value.
 PLACEHOLDER = re.compile(r"(?i)^(?:\$\{.*\}|<.*>|x+|\*+|changeme|example|none|null|true|false|your[_-].*)$")
 
-PAIR = re.compile(
-    r"""(?<![\w.-])["']?([A-Za-z_][\w.-]+)["']?[\x20\t]*(?:=>|:=|=(?!=)|:)[\x20\t]*(?:"([^"\n]+)"|'([^'\n]+)'|([^\s"',;(){}\[\]]+))""",
+#: A name, what may stand between it and its sign, and the sign. The name is taken whole or not at all.
+OPENING = re.compile(
+    r"""(?<![\w.])(?:--)?["'`]?([A-Za-z_][\w.-]*+)["'`]?[\x20\t]*\]?[\x20\t]*(=>|:=|\?\?=|\|\|=|\+=|=(?!=)|:(?![:=/]))[\x20\t]*""",
     re.ASCII,
 )
+ELEMENT = re.compile(r"<([A-Za-z_][\w.:-]*+)(?:\s[^<>]*+)?>([^<>]++)</\1\s*>", re.ASCII)
+STRING = re.compile(
+    r"""[rRbBuUfF]{0,2}(?:\"{3}((?:[^"\\]|\\.|"(?!""))*+)(?:\"{3}|\Z)|'{3}((?:[^'\\]|\\.|'(?!''))*+)(?:'{3}|\Z)|"((?:[^"\\\n]|\\.)*+)"?|'((?:[^'\\\n]|\\.)*+)'?|`([^`\n]*+)`?)""",
+    re.DOTALL,
+)
+JOINT = re.compile(r"[\x20\t]*(?:(?:\+|\.{1,2}|&)[\x20\t]*(?:\\?\r?\n[\x20\t]*)?|\\?\r?\n[\x20\t]*(?:\+|\.{1,2}|&)[\x20\t]*|\\\r?\n[\x20\t]*)?(?=[rRbBuUfF]{0,2}[\"'`])")
+INSIDE = re.compile(r"[\s+]*(?=[rRbBuUfF]{0,2}[\"'`])")
+BARE = re.compile(r"""[^\s"'`,;(){}\[\]<>]++""")
+ANNOTATED = re.compile(r"(?:\[[^\[\]\n]*+\])?[\x20\t]*=(?!=)[\x20\t]*")
+BLOCK = re.compile(r"[|>][+-]?[0-9]?[+-]?[\x20\t]*\r?\n")
+REFERENCE = re.compile(r"\$(?:([A-Za-z_]\w*+)|\{([A-Za-z_]\w*+)(?::?[-=?][^{}\n]*+)?\})", re.ASCII)
+CALL = re.compile(r"[()\n\"'`]")
+KEYED = re.compile(r"[=:][\x20\t]*[\w.]*\Z")
 WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 NAME = re.compile(r"[A-Za-z_]\w*\Z", re.ASCII)
 
@@ -57,40 +80,135 @@ def literal_score(value: str) -> int:
     return (classes >= 2) + (classes >= 3) + (bits >= 3.0) - 2 * (" " in value)
 
 
-def lex(text: str) -> list[tuple[str, str, int, int, bool]]:
-    """(name, literal, start, end, quoted) of every assignment in text."""
-    out = []
-    for m in PAIR.finditer(text):
-        g = 2 if m.start(2) >= 0 else 3 if m.start(3) >= 0 else 4
-        out.append((m[1], m[g], m.start(g), m.end(g), g < 4))
-    return out
+@dataclass
+class Pair:
+    """A name, the spans of each literal that it is assigned, and the name that it is assigned, if that is one."""
+
+    name: str
+    literals: list[list[tuple[int, int]]]
+    other: str | None = None
+
+
+def strings_at(text: str, at: int, joint: re.Pattern) -> tuple[list[tuple[int, int]], int]:
+    """The spans of the strings from `at` on that joints hold together, and where they end."""
+    spans = []
+    while m := STRING.match(text, at):
+        spans.append(m.span(m.lastindex))
+        at = m.end()
+        if not (gap := joint.match(text, at)):
+            break
+        at = gap.end()
+    return spans, at
+
+
+def block_at(text: str, opening: int, at: int) -> list[tuple[int, int]]:
+    """The span of the lines from `at` on that are indented deeper than the line of the opening (empty ones among them too)."""
+    begin = text.rfind("\n", 0, opening) + 1
+    depth = len(text[begin:opening]) - len(text[begin:opening].lstrip(" \t-"))
+    first = last = None
+    while at < len(text):
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        line = text[at:end]
+        indent = len(line) - len(line.lstrip(" \t"))
+        if line.strip():
+            if indent <= depth:
+                break
+            first = at + indent if first is None else first
+            last = at + len(line.rstrip())
+        at = end + 1
+    return [] if first is None else [(first, last)]
+
+
+Calls = dict[int, list[list[tuple[int, int]]]]
+
+
+def arguments_at(text: str, at: int, calls: Calls) -> list[list[tuple[int, int]]]:
+    """The strings between a parenthesis (at) and the one that closes it, or the end of the line, but for those of calls inside that have a name of their own. calls keeps those of the calls inside, so that no part of a text is read for each of them."""
+    if at in calls:
+        return calls[at]
+    open_ = [calls.setdefault(at, [])]
+    place = at + 1
+    while open_ and (m := CALL.search(text, place)):
+        place = m.end()
+        if m[0] == "\n":
+            break
+        if m[0] == "(":
+            own = KEYED.search(text[max(0, m.start() - 80) : m.start()])
+            open_.append(calls.setdefault(m.start(), [] if own else open_[-1]))
+        elif m[0] == ")":
+            open_.pop()
+        else:
+            spans, place = strings_at(text, m.start(), JOINT)
+            open_[-1].append(spans)
+    return calls[at]
+
+
+def value_at(text: str, opening: int, sign: str, at: int, calls: Calls) -> tuple[list[list[tuple[int, int]]], str | None]:
+    """The literals, or the name, that stand as a value at `at`."""
+    if text.startswith("(", at):
+        inner = INSIDE.match(text, at + 1)
+        return ([strings_at(text, inner.end(), INSIDE)[0]] if inner else []), None
+    if STRING.match(text, at):
+        return [strings_at(text, at, JOINT)[0]], None
+    if sign == ":" and (m := BLOCK.match(text, at)):
+        return [block_at(text, opening, m.end())], None
+    if m := REFERENCE.match(text, at):
+        return [], m[1] or m[2]
+    m = BARE.match(text, at)
+    if not m:
+        return [], None
+    if sign == ":" and (note := ANNOTATED.match(text, m.end())):
+        return value_at(text, opening, "=", note.end(), calls)
+    if text.startswith("(", m.end()):
+        return arguments_at(text, m.end(), calls), None
+    return [[m.span()]], m[0] if NAME.match(m[0]) else None
+
+
+def lex(text: str) -> list[Pair]:
+    """All pairs of a text, in order."""
+    found, calls = [], {}
+    for m in OPENING.finditer(text):
+        literals, other = value_at(text, m.start(), m[2], m.end(), calls)
+        if literals or other:
+            found.append((m.start(), Pair(m[1], [x for x in literals if x], other)))
+    if "</" in text:
+        for m in ELEMENT.finditer(text):
+            s, e = m.span(2)
+            s, e = s + len(m[2]) - len(m[2].lstrip()), e - len(m[2]) + len(m[2].rstrip())
+            if s < e:
+                found.append((m.start(), Pair(m[1], [[(s, e)]])))
+    return [p for _, p in sorted(found, key=lambda x: x[0])]
 
 
 def lexed_spans(text: str, threshold: int = 4) -> list[tuple[int, int]]:
     """Spans of literals whose target names and look together reach the threshold, with constants propagated."""
     pairs = lex(text)
-    if not pairs:
-        return []
-    holds: dict[str, list[int]] = {}
-    aliases: dict[str, set[str]] = {}
-    assigned = {p[0] for p in pairs}
-    for k, (name, value, _, _, quoted) in enumerate(pairs):
-        if not quoted and value in assigned and NAME.match(value):
-            aliases.setdefault(value, set()).add(name)
-        else:
-            holds.setdefault(name, []).append(k)
+    first: dict[str, int] = {}
+    for k, p in enumerate(pairs):
+        first.setdefault(p.name, k)
+    # what each pair's name holds: its own literals, or what the pair holds that assigned the other name last (or first, after it)
+    last: dict[str, int] = {}
+    source: list[int | None] = []
+    for k, p in enumerate(pairs):
+        known = p.other is not None and p.other != p.name and p.other in first
+        source.append(last.get(p.other, first[p.other]) if known else None)
+        last[p.name] = k
+    best = [0] * len(pairs)
+    for k, p in enumerate(pairs):
+        score, at, seen = name_score(p.name), k, set()
+        while at is not None and at not in seen:
+            seen.add(at)
+            if best[at] >= score and at != k:
+                break  # what lies behind has this score already
+            best[at] = max(best[at], score)
+            at = source[at]
     spans = set()
-    for name, found in holds.items():
-        best, seen, todo = 0, {name}, [name]
-        while todo:
-            now = todo.pop()
-            best = max(best, name_score(now))
-            for x in aliases.get(now, ()):
-                if x not in seen:
-                    seen.add(x)
-                    todo.append(x)
-        if best >= 2:
-            spans.update(pairs[k][2:4] for k in found if best + literal_score(pairs[k][1]) >= threshold)
+    for p, score, origin in zip(pairs, best, source):
+        if score >= 2 and origin is None:
+            for parts in p.literals:
+                if score + literal_score("".join(text[s:e] for s, e in parts)) >= threshold:
+                    spans.update(x for x in parts if x[0] < x[1])
     return sorted(spans)
 
 
