@@ -4,7 +4,7 @@ A log is a table of events: conversation, sequence number, turn, kind, role, tex
 
 Template: a turn is `<|im_start|>` role `\n` text `<|im_end|>` `\n`. Inside texts and roles the control strings are escaped: where `<` and `|`, `s>` or `/s>`, or `[` and `INST]` or `/INST]`, stand together or have only backslashes between them, one backslash is added after the bracket. Unescaping takes one away, so every text comes back exactly, and no text can hold a mark. The loss mask is the spans (code points) of assistant texts.
 
-Defined cases: a null text counts as empty, a null role as an empty one (a role's line breaks are escaped as a space mark `<\n>`); events that tie in sequence and turn are ordered by kind and text, and of repeated `message` rows for one turn and sequence all are kept, as turns of their own (a log that repeats a turn has two); an empty log gives no conversations; other columns of the log are ignored.
+Defined cases: a null text counts as empty, a null role as an empty one (a role's line breaks are escaped as a mark `<|nl|>`); rows with a null conv_id are one conversation, whose conv_id stays null; a null turn comes before all others; texts are handled whole; events that tie in sequence and turn are ordered by kind and text, and of repeated `message` rows for one turn and sequence all are kept, as turns of their own (a log that repeats a turn has two); an empty log gives no conversations; other columns of the log are ignored.
 """
 
 from __future__ import annotations
@@ -36,13 +36,15 @@ def unescape_role(x: Column) -> Column:
 
 
 def as_events(turns: DataFrame) -> DataFrame:
-    """A log of whole messages (conv_id, turn, role, text) as events: a message that opens the turn and deltas that fill it, a line each."""
+    """A log of whole messages (conv_id, turn, role, text) as events, as a chat in use would leave them: an assistant's turn is opened, begun, regenerated and then filled by deltas of a line each; another role's turn is a draft, which an edit empties and deltas fill."""
     text = F.coalesce("text", F.lit(""))
     lines = F.split(text, "(?<=\n)", -1)
     copies = W.partitionBy("conv_id", "turn").orderBy("role", "text")
     numbered = turns.select("conv_id", "turn", "role", "text").withColumn("copy", F.row_number().over(copies))
-    opened = F.array(F.struct(F.lit(0).alias("part"), F.lit("message").alias("kind"), F.lit("").alias("piece")))
-    filled = F.transform(lines, lambda x, k: F.struct((k + 1).alias("part"), F.lit("delta").alias("kind"), x.alias("piece")))
+    event = lambda part, kind, piece: F.struct(F.lit(part).alias("part"), kind.alias("kind"), F.lit(piece).alias("piece"))
+    ours = F.coalesce(F.col("role") == LOSS_ROLE, F.lit(False))
+    opened = F.array(event(0, F.lit("message"), "Well"), event(1, F.when(ours, "delta").otherwise("edit"), ""), event(2, F.when(ours, "regenerate").otherwise("delta"), ""))
+    filled = F.transform(lines, lambda x, k: F.struct((k + 3).alias("part"), F.lit("delta").alias("kind"), x.alias("piece")))
     return numbered.select("conv_id", "turn", "copy", "role", F.explode(F.concat(opened, filled)).alias("e")).select("conv_id", "turn", "copy", F.col("e.part").cast("long").alias("seq"), F.col("e.kind").alias("kind"), "role", F.col("e.piece").alias("text"))
 
 
@@ -75,17 +77,17 @@ def render(messages: DataFrame) -> DataFrame:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """conv_id, k (place), role, text, loss of each turn, from the rendered strings and their masks alone."""
+    """conv_id, k (place), role, text, loss of each turn, and the formatted_chars of its conversation, from the rendered strings and their masks alone."""
     pieces = F.filter(F.split("formatted", r"(?<=<\|im_end\|>\n)(?=<\|im_start\|>|$)", -1), lambda p: p != "")
-    at = formatted.select("conv_id", "loss_spans", F.posexplode(pieces).alias("k", "piece"))
+    at = formatted.select("conv_id", F.length("formatted").cast("long").alias("formatted_chars"), F.posexplode(pieces).alias("k", "piece"))
     ends = F.sum(F.length("piece")).over(W.partitionBy("conv_id").orderBy("k").rowsBetween(W.unboundedPreceding, W.currentRow))
     inner = F.expr(f"substring(piece, {len(START) + 1}, length(piece) - {len(START) + len(END)})")
     cut = F.locate("\n", inner)
-    turns = at.drop("loss_spans").withColumn("stop", ends - len(END)).withColumn("inner", inner).withColumn("cut", cut)
-    turns = turns.select("conv_id", "k", unescape_role(F.expr("substring(inner, 1, cut - 1)")).alias("role"), F.expr("substring(inner, cut + 1)").alias("body"), "stop")
-    spans = formatted.select("conv_id", F.explode("loss_spans").alias("s")).select("conv_id", F.col("s.start").alias("from"), F.col("s.end").alias("stop"))
-    marked = turns.join(spans, ["conv_id", "stop"], "left")
-    return marked.select("conv_id", "k", "role", unescape(F.col("body")).alias("text"), (F.coalesce(F.col("stop") - F.col("from") == F.length("body"), F.lit(False))).alias("loss"))
+    turns = at.withColumn("stop", ends - len(END)).withColumn("inner", inner).withColumn("cut", cut)
+    turns = turns.select("conv_id", "k", "formatted_chars", unescape_role(F.expr("substring(inner, 1, cut - 1)")).alias("role"), F.expr("substring(inner, cut + 1)").alias("body"), "stop")
+    spans = formatted.select(F.col("conv_id").alias("of"), F.explode("loss_spans").alias("s")).select("of", F.col("s.start").alias("from"), F.col("s.end").alias("to"))
+    marked = turns.join(spans, turns["conv_id"].eqNullSafe(spans["of"]) & (turns["stop"] == spans["to"]), "left")
+    return marked.select("conv_id", "k", "role", unescape(F.col("body")).alias("text"), (F.coalesce(F.col("stop") - F.col("from") == F.length("body"), F.lit(False))).alias("loss"), "formatted_chars")
 
 
 def with_probe(conversations: DataFrame) -> DataFrame:
@@ -95,12 +97,12 @@ def with_probe(conversations: DataFrame) -> DataFrame:
     return conversations.select("conv_id", "turn", "role", "text").unionByName(probe)
 
 
-def digest(turns: DataFrame, formatted: DataFrame) -> DataFrame:
-    """One row for each conversation: digests of the turns read back, and of the text under the mask."""
+def digest(turns: DataFrame) -> DataFrame:
+    """One row for each conversation: digests of the turns read back (read_back()), and of the text under the mask."""
     row = F.struct("k", F.concat("role", F.lit("\n"), "text", F.lit("\n")).alias("whole"), F.when(F.col("loss"), F.col("text")).otherwise("").alias("loss"))
-    back = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"), F.array_sort(F.collect_list(row)).alias("ts"))
+    back = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"), F.array_sort(F.collect_list(row)).alias("ts"), F.max("formatted_chars").alias("formatted_chars"))
     text = lambda c: F.array_join(F.transform("ts", lambda t: t[c]), "")
-    return back.join(formatted.select("conv_id", F.length("formatted").cast("long").alias("formatted_chars")), "conv_id").select("conv_id", "n_turns", F.sha2(text("whole"), 256).alias("turns_sha256"), F.length(text("loss")).cast("long").alias("loss_chars"), F.sha2(text("loss"), 256).alias("loss_sha256"), "formatted_chars")
+    return back.select("conv_id", "n_turns", F.sha2(text("whole"), 256).alias("turns_sha256"), F.length(text("loss")).cast("long").alias("loss_chars"), F.sha2(text("loss"), 256).alias("loss_sha256"), "formatted_chars")
 
 
 #: The digests of all conversations and the probe, in DuckDB.
