@@ -4,7 +4,7 @@ A text's terms are its pairs of neighbouring words (a text of one word has that
 
 Searches split fingerprints into blocks. Two fingerprints within Hamming radius r differ in at most r blocks, so with b blocks they agree in some choice of b - r; a table for each such choice holds every fingerprint under those blocks, permuted to the front, and an equi-join on them finds all candidates, which are verified. A pair is taken only from the first table in which it agrees. Equal fingerprints are joined once, with their number.
 
-Defined cases: a null or empty text has no terms and the fingerprint 0, likeness of two such is 1; whole texts are used; rows that tie in doc_id follow each other in the order of their text's hash, and a null doc_id comes first; the document after the last is the first, of a single document itself; an empty table gives an empty result; other columns are ignored.
+Defined cases: a null or empty text has no terms and the fingerprint 0, likeness of two such is 1; whole texts are used; rows that tie in doc_id follow each other in the order of their text's hash, and a null doc_id comes first; the document after the last is the first, of a single document itself; an empty table gives an empty result; other columns are ignored. In searches, rows with a null half of a fingerprint find nothing and aren't found.
 """
 
 from __future__ import annotations
@@ -138,3 +138,11 @@ def within_radius(queries: DataFrame, prints: DataFrame, radius: int = 3, blocks
     for t, (m1, m2) in reversed(list(enumerate(masks))):
         agree = F.when((F.col("f1").bitwiseXOR(F.col("g1")).bitwiseAND(F.lit(m1)) == 0) & (F.col("f2").bitwiseXOR(F.col("g2")).bitwiseAND(F.lit(m2)) == 0), F.lit(t)).otherwise(agree)
     return q.join(p, ["t", "k1", "k2"]).where((d <= radius) & (agree == F.col("t"))).select("f1", "f2", "g1", "g2", d.alias("distance"), "n")
+
+
+def count_near(prints: DataFrame, asked: Column, radius: int = 3, blocks: int | None = None) -> DataFrame:
+    """prints with n_near: for rows that are asked for, the number of other rows whose fingerprints (f1, f2) are at most radius bits away; null for others. Found through the block tables, equal fingerprints as one."""
+    near = within_radius(prints.where(asked), prints, radius, blocks).groupBy(F.col("f1").alias("_tf_f1"), F.col("f2").alias("_tf_f2")).agg((F.sum("n") - 1).alias("n_near"))
+    columns = [c for c in prints.columns if c != "n_near"]
+    joined = prints.select(*columns).join(near, (F.col("f1") == F.col("_tf_f1")) & (F.col("f2") == F.col("_tf_f2")), "left")
+    return joined.select(*columns, F.when(asked, F.coalesce("n_near", F.lit(0))).alias("n_near"))
