@@ -1,6 +1,6 @@
 """ProbMinHash of weighted word shingles, vectorised over a batch of texts.
 
-Shingles (five words; a text of fewer words, but not none, has one shingle of all its words) are weighted by how often a text has them: 1 + ln(count), so that a repeated passage does not drown the rest. Each shingle is a Poisson process whose rate is its weight and whose arrivals, drawn from its own hash, fall on random registers; a register keeps the first arrival on it and the shingle that it came from. A shingle is done as soon as an arrival is later than all registers of its text, so most take a single draw. Two texts agree in a register with the probability Jaccard similarity of their weighted shingles; with all weights 1, as near-dedup draws them, with the Jaccard similarity of their sets.
+Shingles (five words; a text of fewer words, but not none, has one shingle of all its words) are weighted by how often a text has them: 1 + ln(count), so that a repeated passage does not drown the rest. Each shingle is a Poisson process whose rate is its weight and whose arrivals, drawn from its own hash, fall on random registers; a register keeps the first arrival on it and the shingle that it came from. A shingle is done as soon as an arrival is later than all registers of its text, so most take a single draw. Two texts agree in a register with the probability Jaccard similarity of their weighted shingles; with all weights 1 that is the Jaccard similarity of their sets.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import numpy as np
 from .decontaminate import LOWERED
 
 WORDS, REGISTERS = 5, 100
-BYTES_AT_ONCE = 1 << 21
+BYTES_AT_ONCE = 1 << 19
 MULT = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(MULT), -1, 1 << 64))
 #: Odd constants for the words of a shingle.
@@ -91,6 +91,24 @@ def signatures(of: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int,
     return kept.reshape(n, registers)
 
 
+def probability_jaccard(sa: np.ndarray, wa: np.ndarray, sb: np.ndarray, wb: np.ndarray) -> float:
+    """The probability Jaccard similarity of two weighted sets: the sum over common shingles i of 1 / sum over all j of max(a_j / a_i, b_j / b_i). By the order of the ratios a_j / b_j, the inner sums are those of a's weights from some place on and of b's before it."""
+    shared, at, to = np.intersect1d(sa, sb, assume_unique=True, return_indices=True)
+    if not len(shared):
+        return 0.0
+    a = np.r_[wa, np.zeros(len(sb) - len(to))]
+    b = np.zeros(len(a))
+    b[at] = wb[to]
+    b[len(wa) :] = np.delete(wb, to)
+    with np.errstate(divide="ignore"):
+        ratio = a / b
+    order = np.argsort(ratio, kind="stable")
+    from_a = np.r_[0, np.cumsum(a[order][::-1])][::-1]
+    upto_b = np.r_[0, np.cumsum(b[order])]
+    place = np.searchsorted(ratio[order], ratio[at], "left")
+    return float((1 / (from_a[place] / wa[at] + upto_b[place] / wb[to])).sum())
+
+
 def bands(kept: np.ndarray, rows: int) -> np.ndarray:
     """(n, registers / rows) hashes of consecutive registers, each with its band's number in it."""
     n, registers = kept.shape
