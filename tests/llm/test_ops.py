@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,6 +64,29 @@ def test_shards(spark, docs, nothing, tmp_path):
     assert key(again) == key(out)
 
 
+def test_fisher_yates_is_uniform_and_plain():
+    def plain(bucket, n, seed):
+        draws = np.random.default_rng([seed, bucket]).integers(0, [n - k for k in range(n)])
+        out = list(range(n))
+        for step, j in enumerate(draws[: max(0, n - 1)]):
+            k = n - 1 - step
+            out[k], out[int(j)] = out[int(j)], out[k]
+        return out
+
+    assert all(sharding.order_in_bucket(b, n, 5).tolist() == plain(b, n, 5) for b in range(20) for n in (0, 1, 2, 7, 100))
+    seen = Counter(tuple(sharding.order_in_bucket(b, 4, 1).tolist()) for b in range(4800))
+    assert len(seen) == 24 and sum((n - 200) ** 2 / 200 for n in seen.values()) < 50  # chi square, 23 degrees
+
+
+def test_each_bucket_is_one_partition(spark, docs, tmp_path):
+    wide = docs.withColumn("wide", F.repeat(F.lit("x"), 5000)).withColumn("nested", F.array(F.lit("y")))
+    n = wide.agg(F.sum(sharding.row_bytes(wide))).head()[0]
+    assert n > 5000 * docs.count()
+    sharding.write_shards(wide, f"file://{tmp_path}/w", shards=2, bucket_bytes=20_000)
+    files = spark.read.parquet(f"file://{tmp_path}/w").select(F.input_file_name().alias("f")).distinct().count()
+    assert files >= n // 20_000 // 2  # a file for each bucket that has rows, at least
+
+
 def test_toxicity_learns_and_ignores_language(spark, nothing):
     rng = random.Random(1)
     rows = [(k, words(rng, 40) + (" vileness " + rng.choice(["vilely", "vilest"]) if k % 5 == 0 else "") + " " + words(rng, 40), "en" if k % 2 else "fr", int(k % 5 == 0)) for k in range(600)]
@@ -106,16 +130,47 @@ def test_best_threshold_has_the_best_f1():
     assert f1[got] == max(f1.values())
 
 
+def plain_score(model, text):
+    """The network's score, a word and a filter at a time."""
+    vectors = [model.embed[a] + model.embed[b] for a, b in map(toxicity.features, decontaminate.words_of(text))]
+    pooled = []
+    for w, f in zip(toxicity.WIDTHS, model.filters):
+        best = np.full(toxicity.FILTERS, -np.inf)
+        for at in range(max(1, len(vectors))):
+            best = np.maximum(best, sum((v @ f[o * toxicity.DIM : (o + 1) * toxicity.DIM] for o, v in enumerate(vectors[at : at + w])), np.zeros(toxicity.FILTERS)))
+        pooled.append(best)
+    z = np.maximum(np.concatenate(pooled) + model.bias, 0) @ model.out + model.out_bias
+    return 1 / (1 + np.exp(-z))
+
+
+def test_scores_equal_a_plain_network(monkeypatch):
+    rng = random.Random(3)
+    train = [words(rng, 30) for _ in range(40)]
+    model = toxicity.fit(train, np.array([0.0, 1.0] * 20), np.ones(40))
+    texts = ["", "   ", "one", "Ünï cödé!", "two words", " lead and trail ", "\u3000wide", *[words(rng, n) for n in (3, 50, 400)]]
+    want = [plain_score(model, t) for t in texts]
+    assert model.score(texts) == pytest.approx(want, abs=1e-5)
+    monkeypatch.setattr(toxicity, "CHUNK_BYTES", 100)
+    assert model.score(texts) == pytest.approx(want, abs=1e-5)
+
+
 def test_long_text_pools_over_parts():
     model = toxicity.fit(["a b c d", "x y z w"] * 20, np.array([0.0, 1.0] * 20), np.ones(40))
-    text = " ".join(f"w{k}" for k in range(130_000))
-    ids = np.arange(1)
-    whole = model.score([text])
-    model2 = model
-    rows = [model2._rows[w] for w in decontaminate.words_of(text)]
-    ids = np.array(rows)
-    z = np.maximum(model2._pool([ids]) + model2.bias, 0) @ model2.out + model2.out_bias
-    assert whole[0] == pytest.approx(float(1 / (1 + np.exp(-z[0]))))
+    rng = np.random.default_rng(1)
+    table = model.projected(pa.array([f"w{k}" for k in range(500)]))
+    ids = rng.integers(1, 501, 1300)
+    assert model._score([ids], table, 100)[0] == pytest.approx(model._score([ids], table)[0])
+
+
+def test_training_sample_is_bounded_before_it_is_collected(spark, monkeypatch):
+    rows = [(k, "bad " * 10 if k % 2 else "good " * 10, int(k % 2)) for k in range(60)] + [(61, "bad " * 1000, 1), (62, None, 0), (2, "zz", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    labels = df.select("doc_id", "toxic").unionByName(spark.createDataFrame([(3, None), (None, 1), (5, 1)], "doc_id long, toxic int"))
+    seen = []
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 1000)
+    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic, weight: seen.append(texts) or toxicity.Model(np.zeros((1, 1)), [], np.zeros(0), np.zeros(0), 0.0, constant=0.0))
+    toxicity.train(df.drop("toxic"), labels)
+    assert 900 < sum(map(len, seen[0])) <= 1000 and "bad " * 1000 not in seen[0] and seen[0].count("bad " * 10) > 5
 
 
 def test_rans_round_trip_and_damage():
@@ -156,7 +211,6 @@ def test_token_files(spark, docs, nothing, tmp_path):
 
 
 def test_word_wise_tokens_equal_whole_text_tokens(monkeypatch):
-    import pyarrow as pa
     from tokenizers import Tokenizer
 
     path = public.path("word_bpe_49k.json")
@@ -256,6 +310,48 @@ def plain_lines(rows, least=5):
     return out
 
 
+def plain_print(text):
+    import xxhash
+
+    w = text.split()
+    terms = w if len(w) < 2 else [f"{a} {b}" for a, b in zip(w, w[1:])]
+    votes, total = [0] * 128, 0
+    for t in terms:
+        weight = int(1 + min(len(t), 24) / 8)
+        total += weight
+        for h, seed in enumerate(simhash.SEEDS):
+            x = xxhash.xxh64_intdigest(t, xxhash.xxh64_intdigest(seed, 42))
+            for k in range(64):
+                votes[64 * h + k] += weight * (x >> k & 1)
+    halves = [sum((2 * votes[64 * h + k] > total) << k for k in range(64)) for h in (0, 1)]
+    return tuple(x - (1 << 64) if x >> 63 else x for x in halves)
+
+
+def test_fingerprints_equal_plain_ones(spark):
+    rng = random.Random(5)
+    texts = [None, "", "one", "a b", "a b a b", " tab\tand\nline ", words(rng, 300), words(rng, 5000), "é ü 漢字 " * 3]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in simhash.fingerprint_documents(df, parts=3).withColumn("like", simhash.likeness(("f1", "f2"), ("g1", "g2"))).collect()}
+    for k, t in enumerate(texts):
+        mine, following = plain_print(t or ""), plain_print(texts[(k + 1) % len(texts)] or "")
+        assert (got[k].f1, got[k].f2) == mine and (got[k].g1, got[k].g2) == following
+        apart = sum((a ^ b) % (1 << 64) >> i & 1 for a, b in zip(mine, following) for i in range(64))
+        assert got[k].like == 1 - apart / 128
+
+
+def test_near_counts_equal_brute_force(spark):
+    rng = random.Random(9)
+    base = [(rng.getrandbits(63), rng.getrandbits(63)) for _ in range(20)]
+    rows = [(k, *base[k % 20]) if k % 3 else (k, base[k % 20][0] ^ (1 << k % 60), base[k % 20][1] ^ (k & 7)) for k in range(200)] + [(400, None, None), (None, *base[0]), (420, 0, 0), (440, 0, 0)]
+    df = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, f1 long, f2 long, n_near int")
+    got = {r.doc_id: r.n_near for r in simhash.count_near(df, F.col("doc_id") % 20 == 0).collect()}
+    for k, a, b in rows:
+        asked = k is not None and k % 20 == 0
+        want = sum((a ^ x).bit_count() + (b ^ y).bit_count() <= 3 for _, x, y in rows if x is not None) - 1 if asked and a is not None else 0 if asked else None
+        assert got[k] == want
+    assert simhash.count_near(df.where("doc_id < 0"), F.col("doc_id") % 20 == 0).count() == 0
+
+
 def test_line_dedup(spark, docs, nothing):
     got = Counter((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in line_dedup.dedup_lines(docs).collect())
     assert got == plain_lines(documents()) and any(k[3] for k in got)
@@ -329,6 +425,57 @@ def test_copies_that_repeat_passages(spark):
     assert Counter((r.doc_id, r.class_id) for r in near_dedup.classes(df).collect()) == plain_classes(rows)
 
 
+def plain_probability_jaccard(a, b):
+    return sum(1 / sum(max(a.get(j, 0) / a[i], b.get(j, 0) / b[i]) for j in a.keys() | b.keys()) for i in a.keys() & b.keys())
+
+
+def test_probability_jaccard_is_what_registers_estimate():
+    rng = random.Random(6)
+    for _ in range(40):
+        a, b = ({rng.randrange(30): rng.choice([1.0, 1.0, 2.5, 9.0]) for _ in range(rng.randrange(20))} for _ in range(2))
+        arrays = [np.array(f(sorted(x)), t) for x in (a, b) for f, t in ((lambda k: k, np.uint64), (lambda k, x=x: [x[i] for i in k], np.float64))]
+        assert probminhash.probability_jaccard(*arrays) == pytest.approx(plain_probability_jaccard(a, b))
+    passage, rest = words(rng, 20), words(rng, 100)
+    texts = [f"{passage} {passage} {rest}".encode(), (f"{passage} " * 60 + rest).encode()]
+    of, s, w, _ = probminhash.weighted_shingles(texts)
+    kept = probminhash.signatures(of, s, w, 2, 4000)
+    sides = [(s[of == k], w[of == k]) for k in (0, 1)]
+    assert (kept[0] == kept[1]).mean() == pytest.approx(probminhash.probability_jaccard(*sides[0], *sides[1]), abs=0.04)
+
+
+def test_weighted_classes_equal_brute_force(spark):
+    rng = random.Random(14)
+    rows = []
+    for k in range(12):
+        passage, rest = words(rng, 20), words(rng, 90)
+        rows += [(4 * k + j, f"{passage} " * n + rest) for j, n in enumerate((1, 2, 3, 60))]
+    parent = list(range(len(rows)))
+    sets = [Counter(zip(*[t.split()[i:] for i in range(5)])) for _, t in rows]
+    sets = [{x: 1 + np.log(n) for x, n in c.items()} for c in sets]
+    linked = {(i, j) for i in range(len(rows)) for j in range(i) if i // 4 == j // 4 and plain_probability_jaccard(sets[i], sets[j]) >= 0.8}
+    for i, j in sorted(linked):
+        a, b = parent[i], parent[j]
+        parent = [min(a, b) if p in (a, b) else p for p in parent]
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string"), weighted=True).collect()}
+    assert linked and len(set(parent)) > 12 and got == dict(enumerate(parent))
+
+
+def test_strays_beside_a_large_component_cost_little(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 10)
+    rows = [(1, f"g{k}", "giant") for k in range(200)] + [(1, "s1", "s1"), (1, "s2", "s2")] + [(2, f"g{k}", "giant") for k in range(50)] + [(3, f"a{k}", "a") for k in range(30)] + [(3, f"b{k}", "b") for k in range(30)]
+    met = spark.createDataFrame([(k, n.encode(), c.encode()) for k, n, c in rows], "key long, node binary, comp binary")
+    got = near_dedup.block_pairs(met).collect()
+    of = lambda key: [r for r in got if r.key == key]
+    assert not of(2) and len(of(1)) == 200 + 2 * 20 + 2  # one block of strays meets twenty others and itself
+    groups = defaultdict(list)
+    for r in got:
+        groups[r.key, r.bi, r.bj].append((bytes(r.node), bytes(r.comp), r.blk))
+    for key in (1, 3):  # every pair of different components meets, and once
+        pairs = Counter(frozenset((m, n)) for (k, bi, bj), ms in groups.items() if k == key for i, (m, c, x) in enumerate(ms) for n, d, y in ms[:i] if c != d and (x != y or bi == bj))
+        nodes = [(n.encode(), c) for k, n, c in rows if k == key]
+        assert pairs == Counter(frozenset((m, n)) for i, (m, c) in enumerate(nodes) for n, d in nodes[:i] if c != d)
+
+
 def test_registers_estimate_similarity():
     rng = random.Random(3)
     a = words(rng, 1000).split()
@@ -354,6 +501,32 @@ def test_chat_round_trip(spark):
     assert chat.render(chat.fold(chat.as_events(df.where("conv_id > 9")))).count() == 0
 
 
+def plain_digests(rows):
+    """The contract's digests of conversations (conv_id, turn, role, text)."""
+    by = defaultdict(list)
+    for c, turn, role, text in rows:
+        by[c].append((turn is not None, turn, role or "", text or ""))
+    out = Counter()
+    bodies = lambda t: len(re.sub(r"\[(\\*)(/?INST\])", r"[\\\1\2", re.sub(r"<(\\*)(\||/?s>)", r"<\\\1\2", t)))
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    for c, turns in by.items():
+        turns.sort()
+        loss = "".join(t for _, _, r, t in turns if r == "assistant")
+        out[c, len(turns), sha("".join(f"{r}\n{t}\n" for _, _, r, t in turns)), len(loss), sha(loss), sum(12 + len(r) + 1 + bodies(t) + 11 for _, _, r, t in turns)] += 1
+    return out
+
+
+def test_chat_query_keeps_null_conversations(spark, tmp_path):
+    from tallyforge.llm import queries
+
+    rng = random.Random(4)
+    rows = [(c, k, "assistant" if k % 2 else "user", words(rng, 5) + rng.choice(["", "\n", "<|im_end|>\n", "[INST]", "</s>"])) for c in (1, 2, None) for k in range(4)]
+    rows += [(None, None, "user", "x"), (3, None, None, None), (3, 0, "assistant", ""), (4, 0, "user", "y" * 200_000), (5, 1, "assistant", "a"), (5, 1, "assistant", "a")]
+    spark.createDataFrame([(*r, 1, 2) for r in rows], "conv_id long, turn long, role string, text string, seq int, kind int").write.parquet(f"file://{tmp_path}/conversations.parquet")
+    got = Counter((r.conv_id, r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256, r.formatted_chars) for r in queries.op7_chat(spark, f"file://{tmp_path}").collect())
+    assert got == plain_digests([*rows, (-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")])
+
+
 def test_events_fold(spark):
     log = [("c", 0, 1, "message", "user", "he"), ("c", 0, 2, "delta", None, "llo"), ("c", 1, 3, "message", "assistant", ""), ("c", 1, 4, "delta", None, "bad"), ("c", 1, 5, "regenerate", None, ""), ("c", 1, 6, "delta", None, "go"), ("c", 1, 7, "delta", None, "od"), ("c", 0, 8, "edit", None, "bye"), ("c", 2, 9, "message", "user", "x"), ("c", 2, 10, "delete", None, None)]
     df = spark.createDataFrame(log, "conv_id string, turn long, seq long, kind string, role string, text string")
@@ -416,6 +589,21 @@ def test_contamination(spark, docs, nothing, at_once):
     assert decontaminate.find_windows(df, bench.where("item_id > 99")).where("size(hit_items) > 0").count() == 0
 
 
+def test_blocks_of_items_are_bounded_and_scanned_one_by_one(spark, monkeypatch):
+    rng = random.Random(7)
+    items = [(k, words(rng, 30)) for k in range(20)] + [(50, words(rng, 400)), (51, "short item"), (None, words(rng, 30))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "PIECE", 40)
+    blocks = decontaminate.item_blocks(bench, 13, 100)
+    assert len(blocks) > 5 and all(b.agg(F.sum("windows")).head()[0] <= 100 for b in blocks)
+    long = items[20][1].split()
+    df = spark.createDataFrame([(1, items[3][1] + " x " + items[4][1]), (2, " ".join(long[30:70])), (3, "a short item"), (4, " ".join(long)), (5, None)], "doc_id long, text string")
+    out = decontaminate.find_windows(df, bench, at_once=100)
+    assert "MapInArrow" not in out._jdf.queryExecution().executedPlan().toString()  # every scan is written before the next
+    want = Counter((k, *plain_hits(t, [x for x in items if x[0] is not None])[:2], ",".join(plain_hits(t, [x for x in items if x[0] is not None])[2])) for k, t in [(r.doc_id, r.text) for r in df.collect()])
+    assert Counter((r.doc_id, r.n_words, sum(x["end"] - x["start"] for x in r.hit_runs), ",".join(r.hit_items)) for r in out.collect()) == want
+
+
 def plain_base(text):
     found = []
     for kind, pattern, least in (("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12), ("access", r"AKIA[A-Z0-9]+", 18), ("hex", r"[0-9a-f]+", 16)):
@@ -452,6 +640,65 @@ def test_secrets_of_any_length():
     assert secrets.redact(text, [(s, e) for s, _, e in secrets.scan(text)[1]]) == "credential=[secret]"
 
 
+SECRET, OTHER = "q8Wz-77kLmP/x9", "Zk4%vT2!mmRq81"
+LEXED = [
+    (f'db_pwd = "{SECRET}"', [SECRET]),
+    (f'db_pwd = "q8Wz\\"77kLmP-Zx9" + x', ['q8Wz\\"77kLmP-Zx9']),
+    (f"db_pwd = 'q8Wz77\\\nkLmP-Zx9'", ["q8Wz77\\\nkLmP-Zx9"]),
+    (f'private_credential = """\n{SECRET}\n  "quoted" {OTHER}\n"""\nx = 1', [f'\n{SECRET}\n  "quoted" {OTHER}\n']),
+    (f"private_credential: r\'\'\'{SECRET}\'\'\'", [SECRET]),
+    ('passphrase = "q8Wz77" + \n  "kLmPx9"', ["q8Wz77", "kLmPx9"]),
+    ('passphrase = ("q8Wz77"\n   "kLmPx9")', ["q8Wz77", "kLmPx9"]),
+    ('passphrase = "q8Wz77" "kLmPx9"', ["q8Wz77", "kLmPx9"]),
+    (f"signing_key_secret: |\n  {SECRET}\n\n  {OTHER}\nnext: 1", [f"{SECRET}\n\n  {OTHER}"]),
+    (f"  - auth_pwd: >-\n      {SECRET}\n    other: {OTHER}", [SECRET]),
+    (f'config["client_credential"] = "{SECRET}"', [SECRET]),
+    (f'db_pwd: Final[str] = "{SECRET}"', [SECRET]),
+    (f"run --client-pwd={SECRET} --user=q8Wz-77kLmP", [SECRET]),
+    (f"<dbPwd>{SECRET}</dbPwd><dbUser>{OTHER}</dbUser>", [SECRET]),
+    (f"<set credential='{SECRET}'/>", [SECRET]),
+    (f'db_pwd = os.environ.get("DB_PWD", "{SECRET}")', [SECRET]),
+    ("db_pwd = os.getenv_Value9(", []),
+    (f"# don't use\n// db_pwd = '{SECRET}'", [SECRET]),
+    (f"/* it's */ pwd: '{SECRET}', isn't", [SECRET]),
+    (f'db_pwd = "{SECRET}\nx = 1', [SECRET]),
+    (f"a = '{SECRET}'\na = '{OTHER}'\ndb_pwd = a", [OTHER]),
+    (f"a = '{SECRET}'\ndb_pwd = a\na = '{OTHER}'", [SECRET]),
+    (f"db_pwd = a\na = b\nb = '{SECRET}'", [SECRET]),
+    (f"SALT='{SECRET}'\nDB_PWD=${{SALT}}\n", [SECRET]),
+    (f"SALT='{SECRET}'\nDB_PWD=$SALT\n", [SECRET]),
+    ("a = b\nb = a\npassword = a", []),
+    ('x == "q8Wz-77kLmP"; pwd == "q8Wz-77kLmP"', []),
+    ('pwd := ""\npwd2 = \'\'', []),
+    (f"db_pwd = f(g('{SECRET}'), k='x')", [SECRET]),
+    (f"db_pwd = f(user=g('{SECRET}'))", []),
+    (f"db_pwd = f(g('x'), '{SECRET}')", [SECRET]),
+]
+
+
+@pytest.mark.parametrize("text, want", LEXED)
+def test_lexer(text, want):
+    got = secrets.lexed_spans(text)
+    assert [text[s:e] for s, e in got] == want
+
+
+def test_lexer_on_any_text():
+    rng = random.Random(3)
+    pool = ["pwd", "secret_key", "=", ":", '"', "'", "`", "\\", "\n", " ", "(", ")", "|", ">", "<pwd>", "</pwd>", "+", "${", "}", "q8Wz-77kLmP", '"' * 3, "'" * 3, "[", "]", "--", "x"]
+    for _ in range(4000):
+        t = "".join(rng.choice(pool) for _ in range(rng.randrange(40)))
+        spans = secrets.lexed_spans(t)
+        assert all(0 <= s < e <= len(t) for s, e in spans) and spans == sorted(set(spans))
+    for t in ('pwd="' + "\\" * 200_001, "pwd=" + "'" * 150_000, "pwd: |\n" + "  x\n" * 50_000, "a" * 300_000 + "=", "x=(" * 50_000, "<pwd>" * 40_000, '"' * 100_000, "pwd=f(" * 20_000):
+        secrets.lexed_spans(t)  # in time that grows with the length alone
+
+
+def test_secret_columns_replace_those_of_the_input(spark):
+    df = spark.createDataFrame([(1, f"db_pwd = '{SECRET}'", 1, 2), (2, None, 1, 2)], "doc_id long, text string, base_spans int, secret_spans int")
+    got = {r.doc_id: r for r in secrets.scan_secrets(df).collect()}
+    assert got[1].base_spans == [] and [tuple(x) for x in got[1].secret_spans] == [("literal", 10, 10 + len(SECRET))] and got[2].secret_spans == []
+
+
 def test_unquoted_secrets():
     found = lambda t: [t[s:e] for s, k, e in secrets.scan(t)[1] if k == 3]
     assert found("DB_PWD=Xk29lmQp7abcZ\npassphrase: aB3dE5fG7hJ9kL\n") == ["Xk29lmQp7abcZ", "aB3dE5fG7hJ9kL"]
