@@ -55,23 +55,22 @@ def selected_ids(ids: Column, effective: Column | None = None, cap: int | None =
     return F.slice(out, 1, cap) if cap else out
 
 
+def matched_by(names: Column) -> Column:
+    """All ids that match one of the names: a name itself, and what stands before each `[` or `::` in it."""
+    parts = lambda name: F.split(name, r"(?=\[|::)")
+    heads = lambda p: F.transform(F.sequence(F.lit(1), F.size(p)), lambda i: F.array_join(F.slice(p, F.lit(1), i), ""))
+    return F.array_distinct(F.flatten(F.transform(names, lambda name: let(parts(name), heads))))
+
+
 def evaluate(results: Column, ids: Column) -> Column:
-    """struct(passed, failed, missing): an id passes if all that match it (itself, its parameters, its members) passed; without a match it is missing."""
-
-    def found(r: Column) -> Column:
-        matches = lambda t: F.map_filter(r, lambda k, v: (k == t) | k.startswith(F.concat(t, F.lit("["))) | k.startswith(F.concat(t, F.lit("::"))))
-        return F.transform(ids, lambda t: F.struct(t.alias("id"), F.map_values(matches(t)).alias("s")))
-
-    def split(f: Column) -> Column:
-        pick = lambda keep: F.transform(F.filter(f, keep), lambda x: x["id"])
-        good = lambda x: F.forall(x["s"], lambda s: s == "PASSED")
-        return F.struct(
-            pick(lambda x: (F.size(x["s"]) > 0) & good(x)).alias("passed"),
-            pick(lambda x: (F.size(x["s"]) > 0) & ~good(x)).alias("failed"),
-            pick(lambda x: F.size(x["s"]) == 0).alias("missing"),
-        )
-
-    return let(let(results, found), split)
+    """struct(passed, failed, missing): an id passes if all that match it (itself, its parameters, its members) passed; without a match it is missing. Ids keep their order, a repeated one counts once. Ids and what matches them meet in hash sets, so a row costs what it holds."""
+
+    def sorted_out(x: Column) -> Column:
+        there = F.array_intersect(ids, x["all"])
+        return F.struct(F.array_except(there, x["bad"]).alias("passed"), F.array_intersect(ids, x["bad"]).alias("failed"), F.array_except(ids, x["all"]).alias("missing"))
+
+    known = lambda r: F.struct(matched_by(F.map_keys(r)).alias("all"), matched_by(F.map_keys(F.map_filter(r, lambda k, v: v != "PASSED"))).alias("bad"))
+    return let(let(results, known), sorted_out)
 
 
 def outcome_fraction(outcome: Column, empty: float = 0.0) -> Column:

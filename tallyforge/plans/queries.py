@@ -272,31 +272,37 @@ def effective_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.select("l_orderkey", F.array_join(testruns.effective_f2p(F.col("ids"), F.col("empty"), F.col("gold")), ",").alias("f2p"), F.array_join(testruns.effective_p2p(F.col("ids"), F.col("empty"), F.col("gold")), ",").alias("p2p"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'm.py::t' ELSE 'm.py::t,m.py::u[x]' END AS ids FROM orders""")
+@query("""WITH i AS (SELECT o_orderkey, o_custkey % 4 AS c, 'f' || (o_orderkey % 3) || '.py::' AS f FROM orders), e AS (SELECT *, [f || 't', f || 'u[x]', f || c] AS ids FROM i)
+SELECT o_orderkey, array_to_string((CASE WHEN c = 0 THEN ids ELSE list_filter(ids, lambda x: x <> f || 'u[x]') END)[1:2], ',') AS ids FROM e""")
 def selected_test_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = F.array(F.lit("m.py::t[cut"), F.lit("m.py::t"), F.lit("noise"), F.lit("p/__init__.py::x"), F.lit("m.py::u[x]"), F.lit("m.py::v"))
-    effective = F.when(F.col("o_orderkey") % 3 == 0, F.array(F.lit("m.py::t"))).otherwise(F.array().cast("array<string>"))
+    """Noise, a package's __init__, a cut parameter and repeats go; an effective set (where there is one) has no u[x]; two stay."""
+    c = F.col("o_custkey") % 4
+    f = F.concat(F.lit("f"), F.col("o_orderkey") % 3, F.lit(".py::"))
+    ids = F.array(F.lit("noise"), F.concat(f, F.lit("t[cut")), F.concat(f, F.lit("t")), F.lit("p/__init__.py::x"), F.concat(f, F.lit("u[x]")), F.concat(f, c.cast("string")))
+    effective = F.when(c == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(f, c.cast("string")), F.concat(f, F.lit("t")), F.lit("other")))
     return read(spark, sf_dir, "orders").select("o_orderkey", F.array_join(testruns.selected_ids(ids, effective, 2), ",").alias("ids"))
 
 
 # ---- text and patches
 
 
-@query("""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'f_' || p_size || ',g' ELSE 'solve,h' || p_size END AS names, 'owner' AS owner, 'repo-x' AS repo, 'abc123' AS commit, 'func_pm' AS kind, 'h' || p_size AS hash,
-substr(sha256('part ' || p_partkey), 1, 16) AS sha, 'a b' AS squashed, p_size % 5 = 0 AS hangul FROM part""")
+@query("""SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'f_' || p_size || ',g' ELSE 'solve,h' || p_size END AS names, CASE WHEN p_size % 7 <> 0 THEN 'own' || p_size ELSE '' END AS owner, CASE WHEN p_size % 7 <> 0 THEN 'repo-' || p_partkey ELSE '' END AS repo,
+CASE WHEN p_size % 7 <> 0 THEN substr(md5(p_name), 1, 8) ELSE '' END AS commit, CASE WHEN p_size % 7 <> 0 THEN CASE WHEN p_size % 3 = 0 THEN 'func_pm_' || p_size ELSE 'lm' END ELSE '' END AS kind, CASE WHEN p_size % 7 <> 0 THEN 'h' || p_size ELSE '' END AS hash,
+substr(sha256('part ' || p_partkey), 1, 16) AS sha, p_type || ' ' || p_brand AS squashed, p_size % 5 = 0 AS hangul FROM part""")
 def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("p_size").cast("string")
     even = F.col("p_size") % 2 == 0
     harness = F.when(even, "pytest").otherwise("function")
     tests = F.when(even, F.array(F.concat(F.lit("from solution import f_"), size, F.lit(" as f, g\nassert f(1)")))).otherwise(F.array(F.concat(F.lit("assert h"), size, F.lit("(len(x)) == solve(2)"))))
-    parts = text.instance_id_parts(F.concat(F.lit("owner__repo-x.abc123.func_pm__h"), size))
+    kind = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("func_pm_"), size)).otherwise("lm")
+    parts = text.instance_id_parts(F.concat(F.when(F.col("p_size") % 7 == 0, "no-id ").otherwise(""), F.lit("own"), size, F.when(F.col("p_size") % 7 == 0, " ").otherwise("__"), F.lit("repo-"), F.col("p_partkey"), F.lit("."), F.substring(F.md5("p_name"), 1, 8), F.lit("."), kind, F.lit("__h"), size))
     return read(spark, sf_dir, "part").select(
         "p_partkey",
         F.array_join(text.required_names(harness, F.when(even, None).otherwise("solve"), tests), ",").alias("names"),
         *[parts[f].alias(f) for f in ("owner", "repo", "commit", "kind", "hash")],
         text.sha16(F.concat(F.lit("part "), F.col("p_partkey"))).alias("sha"),
-        text.squashed(F.lit(" a \n\t b ")).alias("squashed"),
-        text.has_hangul(F.when(F.col("p_size") % 5 == 0, "x 한글").otherwise("x")).alias("hangul"),
+        text.squashed(F.concat(F.lit(" \n"), F.replace("p_type", F.lit(" "), F.lit("\t \n")), F.repeat(F.lit(" "), F.col("p_size").cast("int")), F.col("p_brand"), F.lit("\t"))).alias("squashed"),
+        text.has_hangul(F.when(F.col("p_size") % 5 == 0, F.concat("p_name", F.lit(" 한글"))).otherwise(F.col("p_name"))).alias("hangul"),
     )
 
 
@@ -396,10 +402,21 @@ def code_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("p_partkey", F.col("x.status").alias("status"), F.col("x.n_candidates").alias("n_candidates"), F.col("x.patch").alias("code"))
 
 
-@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'edits_tests,pytest_skip' WHEN 1 THEN 'edits_config' WHEN 2 THEN '' ELSE 'path_escape,broad_except_pass' END AS flags, CASE WHEN p_partkey % 4 = 2 THEN 'ok' ELSE 'invalid' END AS verdict FROM part""")
+#: Paths and added lines, each with the flag that it must get.
+TOUCHED = (("src/a.py", ""), ("tests/test_a.py", "edits_tests"), ("setup.cfg", "edits_config"), ("../x.py", "path_escape"), ("runner.sh", "edits_verifier"))
+ADDED_LINES = (
+    ("+y = 2", ""), ("+    pytest.skip('x')", "pytest_skip"), ("+os._exit(0)", "sys_exit_in_test_path"), ("+except Exception: pass", "broad_except_pass"), ("+sys.modules['pytest'] = x", "monkeypatch_assert"),
+    ("+def pytest_configure(c):", "conftest_hook"), ("+os.symlink(a, b)", "symlink_or_path_escape"), ("+    def __eq__(self, o): return True", "always_true_eq"),
+)
+FLAG_LISTS = ", ".join("[" + ", ".join("'" + flag + "'" for _, flag in pairs) + "]" for pairs in (TOUCHED, ADDED_LINES))
+HARD = ", ".join(f"'{f}'" for f in patches.HARD_FLAGS)
+
+
+@query(f"""WITH f AS (SELECT p_partkey, [{FLAG_LISTS.split("], [")[0].removeprefix("[")}][1 + p_partkey % 5] AS a, [{FLAG_LISTS.split("], [")[1].removesuffix("]")}][1 + p_size % 8] AS b FROM part)
+SELECT p_partkey, array_to_string(list_filter([a, b], lambda x: x <> ''), ',') AS flags, CASE WHEN a IN ({HARD}) OR b IN ({HARD}) THEN 'invalid' ELSE 'ok' END AS verdict FROM f""")
 def patch_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = F.element_at(F.array(*map(F.lit, ("tests/test_a.py", "setup.cfg", "src/a.py", "../x.py"))), (F.col("p_partkey") % 4 + 1).cast("int"))
-    line = F.element_at(F.array(*map(F.lit, ("+    pytest.skip('x')", "+x = 1", "+y = 2", "+except Exception: pass"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    nth = lambda pairs, k: F.element_at(F.array(*[F.lit(x) for x, _ in pairs]), (k % len(pairs) + 1).cast("int"))
+    path, line = nth(TOUCHED, F.col("p_partkey")), nth(ADDED_LINES, F.col("p_size"))
     patch = F.concat(F.lit("--- a/"), path, F.lit("\n+++ b/"), path, F.lit("\n@@ -1 +1,2 @@\n a\n"), line, F.lit("\n"))
     out = read(spark, sf_dir, "part").select("p_partkey", patch.alias("patch")).withColumn("paths", patches.touched_column(F.col("patch")))
     flags = patches.inspect_flags(F.col("patch"), F.col("paths"))
@@ -577,10 +594,13 @@ def quantile_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(audits.quantile_summary(read(spark, sf_dir, "customer"), "c_acctbal", "c_mktsegment"))
 
 
-@query("""SELECT f AS field, t AS type, 100.0::DOUBLE AS pct_non_null, CASE WHEN f = 'props' THEN (SELECT round(100 * avg((props <> '')::INT), 4) FROM events) ELSE 100.0 END AS pct_non_empty
-FROM (VALUES ('event_id', 'bigint'), ('user_id', 'bigint'), ('event_type', 'string'), ('value', 'double'), ('props', 'string')) AS v(f, t)""")
+SHARES = " UNION ALL ".join(f"SELECT '{f}' AS field, '{t}' AS type, round(100 * avg(({e} IS NOT NULL)::INT), 4) AS pct_non_null, round(100 * avg(coalesce({e}{' <> ' + chr(39) * 2 if t == 'string' else ' IS NOT NULL'}, false)::INT), 4) AS pct_non_empty FROM events" for f, t, e in (("event_id", "bigint", "event_id"), ("user_id", "bigint", "CASE WHEN user_id % 3 <> 0 THEN user_id END"), ("event_type", "string", "CASE WHEN value > 20 THEN event_type WHEN value > 10 THEN '' END"), ("value", "double", "value"), ("props", "string", "props")))
+
+
+@query(SHARES)
 def field_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audits.field_profile(read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "props"))
+    rows = read(spark, sf_dir, "events").select("event_id", F.when(F.col("user_id") % 3 != 0, F.col("user_id")).alias("user_id"), F.when(F.col("value") > 20, F.col("event_type")).when(F.col("value") > 10, "").alias("event_type"), "value", "props")
+    return audits.field_profile(rows)
 
 
 @query("SELECT DISTINCT md5(text) AS prompt_md5, doc_id, n, first_item FROM (SELECT text, doc_id, count(*) OVER w AS n, min(doc_id) OVER w AS first_item FROM documents WINDOW w AS (PARTITION BY text)) WHERE n > 1")
@@ -613,10 +633,11 @@ def shared_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.unionByName(audits.shared_texts(items, docs, "text").select((-F.col("item_id") - 1).alias("doc_id")))
 
 
-@query("SELECT count(*) AS n_rows, count(*) FILTER (c_custkey % 3 <> 0) AS n_matched, 0::BIGINT AS differs_c_name, count(*) FILTER (c_custkey % 3 <> 0 AND c_custkey % 2 = 0) AS differs_c_acctbal FROM customer")
+@query("""WITH o AS (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN lower(c_name) ELSE c_name END AS c_name, CASE WHEN c_custkey % 2 = 1 THEN c_acctbal END AS c_acctbal FROM customer WHERE c_custkey % 3 <> 0)
+SELECT count(*) AS n_rows, count(o.c_custkey) AS n_matched, count(*) FILTER (o.c_custkey IS NOT NULL AND c.c_name IS DISTINCT FROM o.c_name) AS differs_c_name, count(*) FILTER (o.c_custkey IS NOT NULL AND c.c_acctbal IS DISTINCT FROM o.c_acctbal) AS differs_c_acctbal FROM customer c LEFT JOIN o USING (c_custkey)""")
 def mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
-    other = c.where("c_custkey % 3 <> 0").withColumn("c_acctbal", F.when(F.col("c_custkey") % 2 == 1, F.col("c_acctbal")))
+    other = c.where("c_custkey % 3 <> 0").withColumn("c_acctbal", F.when(F.col("c_custkey") % 2 == 1, F.col("c_acctbal"))).withColumn("c_name", F.when(F.col("c_custkey") % 5 == 0, F.lower("c_name")).otherwise(F.col("c_name")))
     return audits.mismatches(c, other, "c_custkey", ["c_name", "c_acctbal"])
 
 
@@ -631,12 +652,13 @@ def token_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audits.token_buckets(read(spark, sf_dir, "documents"), "text", 2000)
 
 
-@query("""WITH t AS (SELECT p_partkey % 2 AS k, p_size FROM part) SELECT CASE k WHEN 0 THEN 'pytest' ELSE 'function' END AS harness, p_size % 3 = 0 AS agrees, count(*) AS n FROM t GROUP BY 1, 2""")
+@query("""SELECT CASE p_partkey % 2 WHEN 0 THEN 'pytest' ELSE 'function' END AS harness, p_size % 4 = p_partkey % 5 AS agrees, count(*) AS n FROM part GROUP BY 1, 2""")
 def test_count_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pytest = F.array(F.struct(F.lit("def test_a():\n  pass\ndef test_b():\n  pass").alias("assertion")))
-    function = F.array(F.struct(F.lit("assert f(1)").alias("assertion")), F.struct(F.lit("assert f(2)").alias("assertion")))
-    even = F.col("p_partkey") % 2 == 0
-    tasks = read(spark, sf_dir, "part").select(F.when(even, "pytest").otherwise("function").alias("harness"), F.when(F.col("p_size") % 3 == 0, 2).otherwise(5).alias("n_tests"), F.when(even, pytest).otherwise(function).alias("tests"))
+    """p_size % 4 tests: as many functions in one assertion, or as many assertions; stated are p_partkey % 5."""
+    n, even = (F.col("p_size") % 4).cast("int"), F.col("p_partkey") % 2 == 0
+    one = F.array(F.struct(F.concat(F.lit("import x\n"), F.repeat(F.lit("def test_a():\n  pass\n\n"), n), F.lit("def helper_test_():\n  pass")).alias("assertion")))
+    each = F.slice(F.array_repeat(F.struct(F.lit("assert f(1)").alias("assertion")), 3), F.lit(1), n)
+    tasks = read(spark, sf_dir, "part").select(F.when(even, "pytest").otherwise("function").alias("harness"), (F.col("p_partkey") % 5).alias("n_tests"), F.when(even, one).otherwise(each).alias("tests"))
     return audits.test_count_check(tasks)
 
 
@@ -653,14 +675,22 @@ def odd_test_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audits.odd_test_files(read(spark, sf_dir, "part").select(F.col("p_brand").alias("repo"), ids.alias("test_ids")))
 
 
-@query("SELECT v.verify, v.scaffold_rank, count(*) AS n FROM part, (VALUES ('tests_pass', '3'), ('failing_test', '0'), ('style', '1'), ('output_format', '4')) AS v(verify, scaffold_rank) GROUP BY 1, 2")
+#: The tags of rubric(), in its order, of which a part has the first p_size % 5.
+TAGS = "(VALUES (1, 'tests_pass', '3'), (2, 'failing_test', '0'), (3, 'style', '1'), (4, 'output_format', '4')) AS v(k, verify, scaffold_rank)"
+
+
+def some_rubric() -> Column:
+    return F.slice(rubric(F.col("p_size")), F.lit(1), (F.col("p_size") % 5).cast("int"))
+
+
+@query(f"SELECT verify, scaffold_rank, count(*) AS n FROM part JOIN {TAGS} ON k <= p_size % 5 GROUP BY 1, 2")
 def rubric_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audits.rubric_tags(read(spark, sf_dir, "part").select(rubric(F.col("p_size")).alias("rubrics")), "verify", "scaffold_rank")
+    return audits.rubric_tags(read(spark, sf_dir, "part").select(some_rubric().alias("rubrics")), "verify", "scaffold_rank")
 
 
-@query("SELECT 'tests_pass,failing_test,style,output_format' AS sequence, count(*) AS n FROM part")
+@query(f"SELECT sequence, count(*) AS n FROM (SELECT p_partkey, coalesce(string_agg(verify, ',' ORDER BY k), '') AS sequence FROM part LEFT JOIN {TAGS} ON k <= p_size % 5 GROUP BY 1) GROUP BY 1")
 def rubric_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audits.rubric_sequences(read(spark, sf_dir, "part").select(rubric(F.col("p_size")).alias("rubrics")), "verify")
+    return audits.rubric_sequences(read(spark, sf_dir, "part").select(some_rubric().alias("rubrics")), "verify")
 
 
 @query("SELECT CASE p_size % 3 WHEN 0 THEN 'equal' WHEN 1 THEN 'equal_stripped' ELSE 'different' END AS agreement, p_size % 3 <> 2 AS has_entry_point, count(*) AS n FROM part GROUP BY 1, 2")
@@ -763,11 +793,15 @@ def top_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audits.top_pairs(pairs, 25).select(F.col("a").alias("o_orderkey"), F.col("similarity").alias("o_totalprice"))
 
 
-@query("""WITH v AS (SELECT l_linenumber AS step, max(l_discount) AS reward, max(l_quantity) AS kl FROM lineitem GROUP BY 1) SELECT step::BIGINT AS step, reward, kl, NULL::DOUBLE AS entropy FROM v""")
+@query("""SELECT o_orderkey AS step, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS reward, CASE o_orderstatus WHEN 'F' THEN 'nan'::DOUBLE WHEN 'O' THEN -o_totalprice / 8 ELSE 'inf'::DOUBLE END AS kl, NULL::DOUBLE AS entropy FROM orders""")
 def training_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    newest = read(spark, sf_dir, "lineitem").groupBy("l_linenumber").agg(F.max("l_discount").alias("d"), F.max("l_quantity").alias("q"))
-    line = F.concat(F.lit("\x1b[36m(main)\x1b[0m step:"), F.col("l_linenumber"), F.lit(" - critic/score/mean:np.float64("), F.col("d"), F.lit(") actor/ppo_kl:"), F.col("q"), F.lit(" other:x"))
-    return readers.curves(readers.parse_train_log(newest.select(line.alias("value")))).select("step", "reward", "kl", "entropy")
+    """A step for each order; every 7th lacks one metric, and each step is logged twice, the later line with the other."""
+    orders = read(spark, sf_dir, "orders")
+    head = F.concat(F.lit("\x1b[36m(main)\x1b[0m step:"), F.col("o_orderkey"), F.lit(" - "))
+    reward = F.when(F.col("o_orderkey") % 7 == 0, "other:x").otherwise(F.concat(F.lit("critic/score/mean:np.float64("), F.col("o_totalprice"), F.lit(")")))
+    kl = F.concat(F.lit("actor/ppo_kl:"), F.when(F.col("o_orderstatus") == "F", "nan").when(F.col("o_orderstatus") == "O", (-F.col("o_totalprice") / 8).cast("string")).otherwise("inf"))
+    lines = orders.select(F.explode(F.array(F.concat(head, reward, F.lit(" actor/ppo_kl:1.5")), F.concat(head, kl, F.lit(" broken:1e")), F.lit("no step"))).alias("value"))
+    return readers.curves(readers.parse_train_log(lines)).select("step", "reward", "kl", "entropy")
 
 
 # ---- statistics
