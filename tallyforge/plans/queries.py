@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import patches, scaffold, scoring, testruns, text
 from ..operators import audits, curation, difficulty, grading, ordering, statistics
-from ..sources import readers
+from ..sources import readers, sinks
+from ..sources.staging import staging_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -846,5 +847,73 @@ def windowed_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(logs.windowed_rates(log, "1 hour").select("track", F.col("window.start").alias("start"), "n", "infra_rate", "mean_reward"))
 
 
+# ---- sources and sinks, there and back
+
+
+@query("SELECT c_custkey, c_name, c_acctbal, [c_mktsegment, 'é \"x\"'] AS tags FROM customer WHERE c_nationkey % 2 = 0 UNION ALL SELECT c_custkey, NULL, c_acctbal, NULL FROM customer WHERE c_nationkey % 2 = 1")
+def jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    even = F.col("c_nationkey") % 2 == 0
+    rows = read(spark, sf_dir, "customer").select("c_custkey", F.when(even, F.col("c_name")).alias("c_name"), "c_acctbal", F.when(even, F.array("c_mktsegment", F.lit('é "x"'))).alias("tags"))
+    path = staging_dir(spark, "jsonl")
+    sinks.write_jsonl(rows, path, gzip=True)
+    return readers.read_jsonl(spark, path, rows.schema)
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey % 10 NOT IN (3, 4)")
+def jsonl_tolerant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth line is cut off, every tenth blank; a missing file adds nothing."""
+    line = F.to_json(F.struct("c_custkey", "c_name"))
+    k = F.col("c_custkey") % 10
+    path = staging_dir(spark, "broken")
+    read(spark, sf_dir, "customer").select(F.when(k == 3, F.expr("left(to_json(struct(c_custkey, c_name)), 18)")).when(k == 4, " ").otherwise(line).alias("value")).write.text(path)
+    schema = "c_custkey bigint, c_name string"
+    return readers.read_jsonl(spark, path, schema, tolerant=True).unionByName(readers.read_jsonl(spark, f"{path}-nowhere", schema))
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'third' WHEN s_suppkey % 2 = 0 THEN 'second' ELSE 'first' END AS origin FROM supplier")
+def index_glob(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, suppliers = staging_dir(spark, "index"), read(spark, sf_dir, "supplier")
+    for k, (name, origin) in enumerate((("c", "third"), ("a", "first"), ("b", "second"))):  # written in another order than read
+        part = suppliers.where({"first": "true", "second": "s_suppkey % 2 = 0", "third": "s_suppkey % 3 = 0"}[origin])
+        sinks.write_jsonl(part.select("s_suppkey", F.lit(origin).alias("origin")), f"{path}/t15_{name}.jsonl")
+    return readers.read_index(spark, f"{path}/t15_*.jsonl", "s_suppkey bigint, origin string", "s_suppkey")
+
+
+@query("""SELECT p_partkey, p_name, p_retailprice, p_type || ';' || p_brand AS tags, CASE WHEN p_size % 2 = 0 THEN '{"size":' || p_size || '}' END AS extra FROM part""")
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice", F.array("p_type", "p_brand").alias("tags"), F.when(F.col("p_size") % 2 == 0, F.struct(F.col("p_size").alias("size"))).alias("extra"))
+    path = staging_dir(spark, "csv")
+    sinks.write_csv(rows, path)
+    return spark.read.schema("p_partkey bigint, p_name string, p_retailprice double, tags string, extra string").option("escape", "\\").csv(path, header=True)
+
+
+@query("SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders WHERE o_orderstatus <> 'P'")
+def parquet_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = staging_dir(spark, "parquet")
+    sinks.write_parquet(read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus"), path, partition_by=["o_orderstatus"])
+    return readers.read_parquet(spark, path).where("o_orderstatus <> 'P'")
+
+
+@query("SELECT c_custkey, c_name, CASE WHEN c_custkey % 2 = 0 THEN -c_acctbal ELSE c_acctbal END AS balance FROM customer")
+def append_log_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, c = staging_dir(spark, "log"), read(spark, sf_dir, "customer")
+    sinks.append_log(c.select("c_custkey", F.lit(1).alias("at"), "c_name", F.col("c_acctbal").alias("balance")), path)
+    sinks.append_log(c.where("c_custkey % 2 = 0").select("c_custkey", F.lit(2).alias("at"), F.lit(None).cast("string").alias("c_name"), (-F.col("c_acctbal")).alias("balance")), path)
+    return ordering.fold_records(readers.read_jsonl(spark, path, "c_custkey bigint, at int, c_name string, balance double"), "c_custkey", "at")
+
+
+@query("""WITH t AS (SELECT CASE WHEN c_custkey % 3 = 0 THEN 'test' ELSE 'train' END AS split, c_mktsegment FROM customer) SELECT split, 'total' AS variant, count(*) AS n FROM t GROUP BY 1 UNION ALL SELECT split, c_mktsegment, count(*) FROM t GROUP BY 1, 2""")
+def manifest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = read(spark, sf_dir, "customer")
+    made = sinks.manifest({"test": c.where("c_custkey % 3 = 0"), "train": c.where("c_custkey % 3 <> 0")}, "c_mktsegment")
+    return spark.createDataFrame([(split, k, n) for split, counts in made["counts"].items() for k, n in counts.items()], "split string, variant string, n bigint")
+
+
+@query("""SELECT r_regionkey AS k, '| ' || r_regionkey || ' | ' || replace(r_name, '|', '\\|') || ' |' AS line FROM region""")
+def markdown_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = sinks.to_markdown(read(spark, sf_dir, "region").orderBy("r_regionkey"), 100).splitlines()[2:]
+    return spark.createDataFrame(list(enumerate(table)), "k int, line string")
+
+
 #: The flagship: success rates by instance, then by variant.
 FLAGSHIP = phat_per_variant
