@@ -1,12 +1,15 @@
 r"""Line dedup over levelled sorted runs of line hashes, in DataFrame operations only.
 
-A run is a table, sorted by key, of line keys with the number of documents that hold them and the largest doc_id among those; a key is a pair of 64-bit hashes of the line (stripped, A-Z lower-cased). Documents come in batches of descending doc_id. Each new batch is merge-anti-joined against the runs' settled keys (those already in min_docs documents: their fate and their last holder can't change any more, as later batches have smaller ids) and the rest is added as a new run of level 0. When a level holds `fanout` runs, they are merged into one of the next level. In the end the keys of all runs in min_docs documents or more are the frequent ones, and documents lose the lines with such keys unless they are the key's last holder.
+Texts are read twice: once to hash their long lines into a staged table (document, key), 24 bytes a line, and once to drop lines. A key is a pair of 64-bit hashes of the line (stripped, A-Z lower-cased).
+
+A run is a table of line keys with the number of documents that hold them and the largest doc_id among those, in buckets by key, each bucket sorted by key. All runs have the same buckets, so they are folded, merged and anti-joined bucket by bucket, and no run is shuffled again. Documents come in batches of descending doc_id. Each new batch is merge-anti-joined against the runs' settled keys (those already in min_docs documents: their fate and their last holder can't change any more, as later batches have smaller ids) and the rest is added as a new run of level 0. When a level holds `fanout` runs, they are merged into one of the next level. In the end the keys of all runs in min_docs documents or more are the frequent ones, and documents lose the lines with such keys unless they are the key's last holder. A batch is combined by document and key before it is brought together by key, so a line that most documents share makes no large task.
 
 Defined cases: a null or empty text is one empty line, which is never dropped, and a null text stays null; lines of any length and texts of any size are handled whole; a doc_id that repeats is one document, all of whose rows are treated alike; a null doc_id counts as the smallest; keys of fewer than min_chars code points always stay; a text that loses all its lines becomes empty; an empty table gives an empty result; other columns pass through.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,7 +61,7 @@ def holder(doc_id: str) -> Column:
 
 @dataclass
 class Runs:
-    """The levelled runs, as folders below root."""
+    """The levelled runs, as bucketed tables whose files lie below root."""
 
     spark: SparkSession
     root: str
@@ -67,30 +70,42 @@ class Runs:
     levels: list[list[str]] = field(default_factory=list)
     made: int = 0
 
-    def read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema("h1 long, h2 long, n_docs long, last_doc long").parquet(*paths)
+    def __post_init__(self) -> None:
+        # as many buckets as a shuffle has partitions, so that a new batch meets the runs as it is dealt
+        self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def read(self, names: list[str]) -> DataFrame:
+        first, *rest = [self.spark.table(n) for n in names]
+        for run in rest:
+            first = first.unionByName(run)
+        return first
 
-    def paths(self) -> list[str]:
-        return [p for level in self.levels for p in level]
+    def names(self) -> list[str]:
+        return [n for level in self.levels for n in level]
 
     def write(self, run: DataFrame, level: int) -> None:
-        path = f"{self.root}/level{level}-{self.made}"
+        name = f"tf_run_{uuid.uuid4().hex}"
         self.made += 1
-        run.sortWithinPartitions(*KEY).write.parquet(path)
+        run.write.format("parquet").bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", f"{self.root}/{name}").saveAsTable(name)
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(path)
+        self.levels[level].append(name)
+
+    def drop(self, names: list[str]) -> None:
+        for n in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {n}")
+            remove(self.spark, f"{self.root}/{n}")
 
     def folded(self, rows: DataFrame) -> DataFrame:
         return rows.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
 
     def frequent(self) -> DataFrame:
-        return self.folded(self.read(self.paths())).where(F.col("n_docs") >= self.min_docs)
+        return self.folded(self.read(self.names())).where(F.col("n_docs") >= self.min_docs)
 
     def add(self, held: DataFrame) -> None:
         """held: h1, h2, doc (a row for each document and key, possibly repeated), all of documents below those added before."""
         batch = held.select("doc", *KEY).distinct().groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc").alias("last_doc"))
-        if self.paths():
+        if self.names():
             batch = batch.join(self.frequent().select(*KEY).hint("merge"), KEY, "left_anti")
         self.write(batch, 0)
         self.compact()
@@ -101,42 +116,46 @@ class Runs:
             if len(self.levels[level]) >= self.fanout:
                 old, self.levels[level] = self.levels[level], []
                 self.write(self.folded(self.read(old)), level + 1)
-                for p in old:
-                    remove(self.spark, p)
+                self.drop(old)
             level += 1
 
 
-def build_runs(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, batches: int = BATCHES) -> Runs:
-    """Runs over all of docs, in batches of descending doc_id, each about as large."""
-    spark = docs.sparkSession
+def line_hashes(docs: DataFrame, text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+    """doc, h1, h2: a staged row for each document row and each distinct key of its lines that is long enough."""
+    held = docs.select(holder("doc_id").alias("doc"), F.explode(long_hashes(text, min_chars)).alias("x"))
+    return stage(held.select("doc", "x.h1", "x.h2"), "line-hashes")
+
+
+def build_runs(held: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> Runs:
+    """Runs over all of held (line_hashes()), in batches of descending doc_id, each about as large."""
+    spark = held.sparkSession
     runs = Runs(spark, staging_dir(spark, "line-runs"), min_docs)
-    bounds = docs.select(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)])).head()[0] or []
-    bounds = sorted(set(bounds))
+    bounds = sorted(set(held.select(F.percentile_approx("doc", [k / batches for k in range(1, batches)])).head()[0] or []))
     for k in range(len(bounds), -1, -1):
-        part = docs
+        part = held
         if k < len(bounds):
-            below = F.col("doc_id") < bounds[k]
-            part = part.where(below | F.col("doc_id").isNull() if k == 0 else below)
+            part = part.where(F.col("doc") < bounds[k])
         if k:
-            part = part.where(F.col("doc_id") >= bounds[k - 1])
-        held = part.select(holder("doc_id").alias("doc"), F.explode(long_hashes(text, min_chars)).alias("x"))
-        runs.add(held.select("doc", "x.h1", "x.h2"))
+            part = part.where(F.col("doc") >= bounds[k - 1])
+        runs.add(part)
     return runs
 
 
-def dropped_keys(docs: DataFrame, frequent: DataFrame, text: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
+def dropped_keys(held: DataFrame, frequent: DataFrame) -> DataFrame:
     """_tf_doc, _tf_drop: for each document that loses lines, the hashes of those lines."""
-    held = docs.select(holder("doc_id").alias("_tf_doc"), F.explode(long_hashes(text, min_chars)).alias("x")).select("_tf_doc", "x.h1", "x.h2")
-    lost = held.join(frequent.select(*KEY, "last_doc"), KEY).where(F.col("_tf_doc") != F.col("last_doc"))
-    return lost.groupBy("_tf_doc").agg(F.collect_set(F.struct(*KEY)).alias("_tf_drop"))
+    lost = held.join(frequent.select(*KEY, "last_doc"), KEY).where(F.col("doc") != F.col("last_doc"))
+    return lost.groupBy(F.col("doc").alias("_tf_doc")).agg(F.collect_set(F.struct(*KEY)).alias("_tf_drop"))
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, batches: int = BATCHES) -> DataFrame:
     """docs with n_lines (before), n_dropped, and text without the dropped lines."""
-    frequent = stage(build_runs(docs, text, min_docs, min_chars, batches).frequent(), "frequent")
+    held = line_hashes(docs, text, min_chars)
+    runs = build_runs(held, min_docs, batches)
+    frequent = stage(runs.frequent(), "frequent")
+    runs.drop(runs.names())
     if frequent.count() <= BROADCAST_KEYS:
         frequent = F.broadcast(frequent)
-    drop = dropped_keys(docs, frequent, text, min_chars)
+    drop = dropped_keys(held, frequent)
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     joined = docs.select(*columns, holder("doc_id").alias("_tf_doc")).join(drop, "_tf_doc", "left")
     lines = lines_of(text)
