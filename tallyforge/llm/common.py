@@ -3,31 +3,18 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.staging import staging_dir, staging_root
+
 #: Rows of an Arrow batch handed to Python. A batch of texts then stays at some MB even when many are long.
 BATCH_ROWS = 512
 
 
-def staging_root(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session. Where that is unset (tests on one machine), a fresh temporary folder is made the session's checkpoint folder."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='tallyforge-')}"
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def staging_dir(spark: SparkSession, name: str) -> str:
-    return f"{staging_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Writes df into the shared folder and reads it back: cuts the lineage, and survives the loss of executors."""
     path = staging_dir(df.sparkSession, name)
@@ -35,6 +22,13 @@ def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Deletes the folder of a table that stage() gave and that nothing reads any more."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if folder.startswith(staging_root(df.sparkSession).replace("file:///", "file:/").rstrip("/")) or folder.startswith(staging_root(df.sparkSession)):
+            remove(df.sparkSession, folder)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a staged folder through the file system that holds it."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import probminhash as pmh
-from .common import map_texts, stage
+from .common import forget, map_texts, stage
 
 THRESHOLD, ROWS = 0.8, 5
 #: Nodes in a block, about; and how far below the threshold an estimate from the registers may fall before a pair is ruled out.
@@ -103,7 +103,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = stage(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        last, now = now, stage(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        forget(last)
         after = mark(now)
         if after == before:
             break

@@ -45,6 +45,8 @@ class Pieces:
         if proto.trainer_spec.model_type != 2 or spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.escape_whitespaces:
             raise ValueError("only BPE models with identity normalisation that keep white space are supported")
         self.dummy_prefix = spec.add_dummy_prefix
+        if other := {p.type for p in proto.pieces} - {1, 2, 3, 6}:
+            raise ValueError(f"pieces of types {sorted(other)} (4: user-defined, 5: unused) aren't supported")
         normal = {p.piece: (k, p.score) for k, p in enumerate(proto.pieces) if p.type == 1}
         if any(SPACE in p.lstrip(SPACE) for p in normal):
             raise ValueError("a piece goes over the start of a word")
