@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.staging import staging_dir, staging_root
+from .wordtable import chunks
 
-#: Rows of an Arrow batch handed to Python. A batch of texts then stays at some MB even when many are long.
-BATCH_ROWS = 512
+#: Rows and bytes of an Arrow batch handed to Python (a longer row is a batch of its own), so that it stays small even when many texts are long.
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
 
 def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
@@ -40,38 +41,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the rows of Arrow batches for this session, unless it already asks for fewer."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Bounds the Arrow batches of this session, unless it already asks for smaller ones."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key).rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def give_back() -> None:
     """Returns a worker's freed memory to the system; a worker outlives its task, and other stages need the room."""
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)
 
 
-def map_texts(docs: DataFrame, fn: Callable[[list[str]], dict[str, pa.Array]], schema: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs (the columns keep, all by default) and the columns of schema that fn makes of each batch of texts; a null text is handed over as empty.
+def map_texts(docs: DataFrame, fn: Callable[[list[str]], dict[str, pa.Array]], schema: str, text: str = "text", keep: list[str] | None = None, chunk: int = 0) -> DataFrame:
+    """docs (the columns keep, all by default) and the columns of schema that fn makes of each batch of texts; a null text is handed over as empty. chunk: bytes of text to which batches are brought together.
 
-    No shuffle: each input partition streams through Python in bounded Arrow batches. Columns of docs that are named as one of schema give way to the new one.
+    No shuffle: each input partition streams through Python in bounded Arrow batches, in which a text that is kept goes once. Columns of docs that are named as one of schema give way to the new one.
     """
     spark = docs.sparkSession
     small_batches(spark)
     new = [f.split()[0] for f in schema.split(", ")]
     kept = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("_tf_text"))
+    source = docs.select(*[F.col(f"`{c}`") for c in kept])
     full = spark.createDataFrame([], schema).schema
-    out = type(full)([*source.select(*[F.col(f"`{c}`") for c in kept]).schema.fields, *full.fields])
+    out = type(full)([*source.schema.fields, *full.fields])
+    at = kept.index(text) if text in kept and dict(docs.dtypes)[text] == "string" else len(kept)
+    if at == len(kept):
+        source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("_tf_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in chunks(batches, chunk, at):
             if batch.num_rows:
-                made = fn(batch.column(batch.num_columns - 1).to_pylist())
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *[made[c] for c in new]], names=[*kept, *new])
+                made = fn([x or "" for x in batch.column(at).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *[made[c] for c in new]], names=[*kept, *new])
         give_back()
 
     return source.mapInArrow(run, out)
