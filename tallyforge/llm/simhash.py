@@ -9,6 +9,7 @@ Defined cases: a null or empty text has no terms and the fingerprint 0, likeness
 
 from __future__ import annotations
 
+from collections import Counter
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -74,23 +75,37 @@ def likeness(a: tuple[str, str], b: tuple[str, str]) -> Column:
 def in_order(docs: DataFrame, text: str = "text", parts: int | None = None) -> DataFrame:
     """doc_id, text, next_text (that of the document after it, by ascending doc_id), own (false for a copy of the first row of the part that follows), part and pos.
 
-    Rows are dealt once, by ranges of doc_id; a part also gets a copy of the row that follows its last one, so that nothing is sorted as a whole.
+    Rows are dealt once, by ranges of doc_id, and by ranges of the text's hash where many rows share a doc_id; a part also gets a copy of the row that follows its last one, so that nothing is sorted as a whole. The driver holds some numbers for each part.
     """
     spark = docs.sparkSession
     parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)).alias("id"))
-    bounds = sorted(set(ids.select(F.percentile_approx("id", [k / parts for k in range(1, parts)] or [0.5], 100 * parts)).head()[0] or []))
-    part = F.size(F.filter(F.lit(bounds).cast("array<bigint>"), lambda b: b <= F.col("id")))
-    starts = dict(ids.groupBy(part.alias("part")).agg(F.min("id").alias("start")).collect())  # a row for each part
+    body = F.coalesce(F.col(text), F.lit(""))
+    keys = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)).alias("id"), F.xxhash64(body).alias("h"))
+    shares = [k / parts for k in range(1, parts)] or [0.5]
+    found = Counter(keys.select(F.percentile_approx("id", shares, 100 * parts)).head()[0] or [])
+    bounds, heavy = sorted(found), [k for k, n in found.items() if n > 1]
+    inner = {}
+    if heavy:  # at most as many as there are parts
+        cut = keys.where(F.col("id").isin(heavy)).groupBy("id").agg(F.percentile_approx("h", shares, 100 * parts)).collect()
+        inner = {k: sorted(set(hs[:: max(1, parts // (found[k] + 1))])) for k, hs in cut}
+    most = max(map(len, inner.values()), default=-1) + 2
+    upto = lambda array, c: F.size(F.filter(array, lambda b: b <= c))
+    part = upto(F.lit(bounds).cast("array<bigint>"), F.col("id")) * most
+    if inner:
+        of_id = F.create_map(*[x for k, hs in inner.items() for x in (F.lit(k).cast("long"), F.lit(hs).cast("array<bigint>"))])
+        # a heavy id opens its range: what follows it there comes after all its hashes
+        part = part + F.when(F.col("id").isin(heavy), upto(F.try_element_at(of_id, F.col("id")), F.col("h"))).otherwise(F.lit(most - 1))
+    starts = dict(keys.groupBy(part.alias("part")).agg(F.min(F.struct("id", "h")).alias("start")).collect())  # a row for each part
     there = sorted(starts)
     before = {p: q for p, q in zip(there, [there[-1], *there] if there else [])}
-    start_of = F.lit([starts.get(p) for p in range(len(bounds) + 1)]).cast("array<bigint>")
-    before_of = F.lit([before.get(p) for p in range(len(bounds) + 1)]).cast("array<int>")
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)).alias("id"), "doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("home", part)
-    first = F.element_at(start_of, F.col("home") + 1) == F.col("id")
-    goes = F.when(first, F.array(F.struct(F.col("home").alias("part"), F.lit(0).alias("copy")), F.struct(F.element_at(before_of, F.col("home") + 1).alias("part"), F.when(F.col("home") == (there[0] if there else 0), F.lit(2)).otherwise(F.lit(1)).alias("copy")))).otherwise(F.array(F.struct(F.col("home").alias("part"), F.lit(0).alias("copy"))))
-    dealt = rows.select("doc_id", "id", "text", F.explode(goes).alias("g")).select("doc_id", "id", "text", "g.part", "g.copy")
-    w = W.partitionBy("part").orderBy("copy", "id", F.xxhash64("text"))
+    every = range((len(bounds) + 1) * most)
+    at = lambda values, kind: F.element_at(F.lit([values(p) for p in every]).cast(f"array<{kind}>"), F.col("home") + 1)
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)).alias("id"), "doc_id", body.alias("text"), F.xxhash64(body).alias("h")).withColumn("home", part)
+    first = (at(lambda p: starts[p][0] if p in starts else None, "bigint") == F.col("id")) & (at(lambda p: starts[p][1] if p in starts else None, "bigint") == F.col("h"))
+    own = F.struct(F.col("home").alias("part"), F.lit(0).alias("copy"))
+    ahead = F.struct(at(before.get, "int").alias("part"), F.when(F.col("home") == (there[0] if there else 0), F.lit(2)).otherwise(F.lit(1)).alias("copy"))
+    dealt = rows.select("doc_id", "id", "h", "text", F.explode(F.when(first, F.array(own, ahead)).otherwise(F.array(own))).alias("g")).select("doc_id", "id", "h", "text", "g.part", "g.copy")
+    w = W.partitionBy("part").orderBy("copy", "id", "h")
     return dealt.select("doc_id", "text", "part", (F.col("copy") == 0).alias("own"), F.row_number().over(w).alias("pos"), F.lead("text").over(w).alias("next_text"))
 
 
