@@ -13,15 +13,17 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import map_texts
+from .wordtable import WordTable
 
 SPACE = "▁"
 SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*")
 NONE = np.int64(1 << 40)
-#: Distinct words that a worker remembers.
-CACHE_WORDS = 300_000
+#: Text that is encoded at once (or a longer text); distinct words that are merged together.
+CHUNK_BYTES, MERGE_WORDS = 8 << 20, 20_000
 
 codecs.register_error("tallyforge_each_byte", lambda e: ("�", e.start + 1))
 
@@ -33,7 +35,7 @@ def lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: in
     return np.where(keys[at] == wanted, values[at], default)
 
 
-class Pieces:
+class Pieces(WordTable):
     """A BPE model of the sentencepiece library with identity normalisation, from its serialised bytes."""
 
     def __init__(self, model: bytes) -> None:
@@ -44,6 +46,7 @@ class Pieces:
         spec = proto.normalizer_spec
         if proto.trainer_spec.model_type != 2 or spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.escape_whitespaces:
             raise ValueError("only BPE models with identity normalisation that keep white space are supported")
+        super().__init__()
         self.dummy_prefix = spec.add_dummy_prefix
         if other := {p.type for p in proto.pieces} - {1, 2, 3, 6}:
             raise ValueError(f"pieces of types {sorted(other)} (4: user-defined, 5: unused) aren't supported")
@@ -78,7 +81,7 @@ class Pieces:
         for piece, (k, _) in normal.items():
             if len(piece) == 1:
                 self.char_ids[ord(piece)] = k
-        self.cache: dict[str, bytes] = {}
+        self.texts_of = pa.array(self.text_of, pa.binary())
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of the pairs (place in pair_keys for the merged id comes with a later look)."""
@@ -143,10 +146,13 @@ class Pieces:
             sym, seg, rank = new, nseg, nrank
         return np.concatenate([x for x, _ in done]), np.concatenate([x for _, x in done])
 
-    def encode_words(self, words: list[str]) -> list[bytes]:
-        """Ids of each word (little-endian unsigned 32-bit), whose leading SPACE the caller has left off."""
-        if not words:
-            return []
+    def encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.argsort(np.fromiter(map(len, words), np.int64, len(words)), kind="stable")  # long words aside: rounds are as many as the longest needs
+        found = [self.encode_words([words[j] for j in order[k : k + MERGE_WORDS]]) for k in range(0, len(words), MERGE_WORDS)]
+        return order, np.concatenate([x for x, _ in found]), np.concatenate([n for _, n in found])
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words, whose leading SPACE the caller has left off, and how many each has."""
         chars = np.frombuffer((SPACE + SPACE.join(words)).encode("utf-32-le"), np.uint32).astype(np.int64)
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
         cut = np.ones(len(chars), bool)
@@ -166,9 +172,7 @@ class Pieces:
             for k in unknown.tolist():
                 out[at[k] : at[k] + times[k]] = into[int(sym[k])]
             sym = out
-        flat = sym.astype("<u4").tobytes()
-        bounds = [0, *(4 * np.searchsorted(pos, ends)).tolist()]
-        return [flat[a:b] for a, b in zip(bounds, bounds[1:])]
+        return sym.astype(np.uint32), np.diff(np.searchsorted(pos, ends), prepend=0)
 
     def words(self, text: str) -> list[str]:
         """The words of a text without their first SPACE."""
@@ -181,23 +185,33 @@ class Pieces:
 
     def encode(self, texts: list[str], ends: bool = True) -> list[bytes]:
         """Ids of each whole text as little-endian unsigned 32-bit integers, with begin and end ids unless ends is False."""
-        split = [self.words(t) for t in texts]
-        cache = self.cache
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-        missing = sorted(set().union(*split).difference(cache))
-        for k in range(0, len(missing), 20_000):
-            part = missing[k : k + 20_000]
-            cache.update(zip(part, self.encode_words(part)))
-        b, e = (np.array([x], "<u4").tobytes() if ends else b"" for x in (self.bos, self.eos))
-        return [b"".join([b, *map(cache.__getitem__, ws), e]) for ws in split]
+        out: list[bytes] = [b""] * len(texts)
+        begin, end = (np.array([x], "<u4").tobytes() if ends else b"" for x in (self.bos, self.eos))
+        plain = [self.dummy_prefix and t[:1] not in ("", " ") and SPACE not in t and "  " not in t for t in texts]
+        for group in (True, False):
+            rows = [k for k, x in enumerate(plain) if x == group]
+            if not rows:
+                continue
+            if group:
+                lists = pc.split_pattern(pa.array([texts[k] for k in rows], pa.large_string()), " ")
+                words, cuts = lists.flatten().cast(pa.string()), lists.offsets.to_numpy()
+            else:
+                split = [self.words(texts[k]) for k in rows]
+                words, cuts = pa.array([w for ws in split for w in ws], pa.string()), np.cumsum([0, *map(len, split)])
+            ids, sizes = self.ids(words, cuts)
+            raw, at = ids.astype("<u4", copy=False).tobytes(), (4 * np.r_[0, np.cumsum(sizes)]).tolist()
+            for k, a, b in zip(rows, at, at[1:]):
+                out[k] = begin + raw[a:b] + end
+        return out
 
     def decode(self, ids: list[bytes]) -> list[str]:
         """The texts of ids as encode() returns them; bytes that are no UTF-8 become U+FFFD one by one."""
+        whole = self.texts_of.take(pa.array(np.frombuffer(b"".join(ids), "<u4")))
+        raw = whole.buffers()[2].to_pybytes() if len(whole) else b""
+        at = np.frombuffer(whole.buffers()[1], np.int32)[np.cumsum([0, *map(len, ids)]) // 4].tolist() if len(whole) else [0] * (len(ids) + 1)
         out = []
-        for x in ids:
-            numbers = np.frombuffer(x, "<u4").tolist()
-            text = b"".join(map(self.text_of.__getitem__, numbers)).decode("utf-8", "tallyforge_each_byte")
+        for a, b in zip(at, at[1:]):
+            text = raw[a:b].decode("utf-8", "tallyforge_each_byte")
             out.append(text[1:] if self.dummy_prefix and text[:1] == " " else text)
         return out
 
@@ -225,7 +239,7 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text", decod
             out["piece_text"] = pa.array(model.decode(ids), pa.string())
         return out
 
-    return map_texts(docs, batch, "piece_ids array<int>" + ", piece_text string" * decoded, text)
+    return map_texts(docs, batch, "piece_ids array<int>" + ", piece_text string" * decoded, text, chunk=CHUNK_BYTES)
 
 
 def digest_documents(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
@@ -237,4 +251,4 @@ def digest_documents(docs: DataFrame, model_path: str, text: str = "text") -> Da
         back = model.decode(ids)
         return {"n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in ids]), "decoded_sha256": pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back])}
 
-    return map_texts(docs, batch, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", text, ["doc_id"])
+    return map_texts(docs, batch, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", text, ["doc_id"], CHUNK_BYTES)

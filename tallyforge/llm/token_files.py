@@ -23,11 +23,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rans
-from .common import small_batches, stage
+from .common import give_back, small_batches, stage
+from .wordtable import WordTable, chunks
 
-BLOCK_IDS, BLOCKS_AT_ONCE, CACHE_WORDS = 32_768, 24, 500_000
-#: Text that is tokenised at once (or a longer text); words of it that are laid out at once; words in one call of the library.
-CHUNK_BYTES, WORDS_AT_ONCE, CALL_WORDS = 16 << 20, 1 << 18, 300
+BLOCK_IDS, BLOCKS_AT_ONCE = 32_768, 24
+#: Text that is tokenised at once (or a longer text); words in one call of the library.
+CHUNK_BYTES, CALL_WORDS = 16 << 20, 300
 #: Letters and then marks, of which the library always makes two words. Letters after an apostrophe may belong to it, so it isn't among the marks.
 MARKED = re.compile(r"[^\W\d_]+[!-&(-/:-@\[-`{-~]+\Z")
 # The normalizers and the splitting pattern of tokenizers whose words don't depend on their surroundings.
@@ -49,27 +50,20 @@ def word_wise(spec: dict) -> bool:
     )
 
 
-class Words:
-    """The tokenizer of a file that every machine has at path, and the ids of words that this worker has met.
-
-    Beyond CACHE_WORDS, the words that only one chunk of texts had are forgotten.
-    """
+class Words(WordTable):
+    """The tokenizer of a file that every machine has at path, and the ids of words that this worker has met."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         self.size = max(vocabulary.values()) + 1
         self.by_word = word_wise(json.loads(self.tokenizer.to_str()))
         self.ends = np.zeros(self.size, bool)
         self.ends[[k for w, k in vocabulary.items() if w.endswith("</w>")]] = True
-        self.forget()
-
-    def forget(self) -> None:
-        self.keys, self.again = pa.array([""], pa.string()), np.zeros(1, bool)
-        self.sizes, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and how many each has."""
@@ -84,47 +78,18 @@ class Words:
             return self.each(words)
         return ids, np.diff(cuts[parts - 1 :: parts], prepend=0)
 
-    def learn(self, words: list[str]) -> np.ndarray:
-        """Adds words; returns their places among the keys."""
+    def encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         kinds: tuple[list[int], list[int], list[int]] = ([], [], [])
         for k, w in enumerate(words):
             kinds[0 if w.isalpha() else 1 if MARKED.match(w) else 2].append(k)
-        sizes, flat = [self.sizes], [self.flat]
+        sizes, flat = [], []
         for parts, kind in ((1, kinds[0]), (2, kinds[1]), (0, kinds[2])):
             for at in range(0, len(kind), CALL_WORDS):
                 some = [words[k] for k in kind[at : at + CALL_WORDS]]
                 ids, n = self.joined(some, parts) if parts else self.each(some)
                 flat.append(ids)
                 sizes.append(n)
-        order = np.concatenate(kinds).astype(np.int64)
-        places = np.empty(len(words), np.int64)
-        places[order] = len(self.keys) + np.arange(len(words))
-        self.sizes, self.flat = np.concatenate(sizes), np.concatenate(flat)
-        self.keys = pa.concat_arrays([self.keys, pa.array(words, pa.string()).take(pa.array(order))])
-        self.again = np.r_[self.again, np.zeros(len(words), bool)]
-        return places
-
-    def shrink(self) -> None:
-        keep = self.again.copy()
-        if keep.sum() > CACHE_WORDS // 2:
-            self.forget()
-            return
-        keep[0] = True  # the empty word
-        self.flat = self.flat[np.repeat(keep, self.sizes)]
-        self.keys, self.sizes, self.again = self.keys.filter(pa.array(keep)), self.sizes[keep], np.zeros(int(keep.sum()), bool)
-
-    def places(self, words: pa.StringArray) -> np.ndarray:
-        """The places of distinct words among the keys; new ones are learnt."""
-        if len(self.keys) > CACHE_WORDS:
-            self.shrink()
-        found = pc.index_in(words, value_set=self.keys)
-        unknown = found.is_null()
-        out = found.fill_null(0).to_numpy().astype(np.int64)
-        known = ~unknown.to_numpy(zero_copy_only=False)
-        self.again[out[known]] = True
-        if not known.all():
-            out[~known] = self.learn(words.filter(unknown).to_pylist())
-        return out
+        return np.concatenate(kinds).astype(np.int64), np.concatenate(flat), np.concatenate(sizes)
 
     def texts(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of whole texts, and how many each has."""
@@ -132,19 +97,7 @@ class Words:
             return self.each(texts.to_pylist())
         # what looks like a special token keeps its case, by which the library tells it
         lists = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
-        cuts, coded = lists.offsets.to_numpy(), lists.flatten().dictionary_encode()
-        del lists
-        at = self.places(coded.dictionary)
-        sizes = self.sizes[at]
-        first = (np.cumsum(self.sizes) - self.sizes)[at]
-        word = coded.indices.to_numpy()
-        ends = np.r_[0, np.cumsum(sizes[word])]
-        ids = np.empty(int(ends[-1]), np.uint32)
-        for k in range(0, len(word), WORDS_AT_ONCE):
-            some = word[k : k + WORDS_AT_ONCE]
-            a, b = ends[k], ends[k + len(some)]
-            ids[a:b] = self.flat[np.repeat(first[some] - ends[k : k + len(some)], sizes[some]) + np.arange(a, b)]
-        return ids, np.diff(ends[cuts - cuts[0]])
+        return self.ids(lists.flatten(), lists.offsets.to_numpy())
 
 
 _words: dict[str, Words] = {}
@@ -170,19 +123,6 @@ def tokenise(texts: pa.StringArray, path: str, end_id: int | None) -> tuple[np.n
     return out, starts
 
 
-def chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK_BYTES) -> Iterator[pa.Table]:
-    """The batches (last column: texts), brought together to some size in bytes."""
-    ready, n = [], 0
-    for x in batches:
-        ready.append(x)
-        n += x.column(x.num_columns - 1).nbytes
-        if n >= size:
-            yield pa.Table.from_batches(ready).combine_chunks()
-            ready, n = [], 0
-    if ready:
-        yield pa.Table.from_batches(ready).combine_chunks()
-
-
 def widened(ids: bytes, wide: bool) -> np.ndarray:
     return np.frombuffer(ids, "<u4" if wide else "<u2").astype(np.int64)
 
@@ -196,13 +136,15 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int |
     small_batches(spark)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in chunks(batches):
-            ids, starts = tokenise(pa.concat_arrays(x.column("text").chunks) if x.num_rows else pa.array([], pa.string()), tokenizer_path, end_id)
+        for x in chunks(batches, CHUNK_BYTES, 1):
+            ids, starts = tokenise(x.column("text"), tokenizer_path, end_id)
             raw, bounds = memoryview(ids.astype("<u4", copy=False)).cast("B"), (4 * starts).tolist()
             kept = ids.astype("<u4" if wide else "<u2", copy=False)
             coded = pa.Array.from_buffers(pa.binary(), x.num_rows, [None, pa.py_buffer((starts * kept.itemsize).astype(np.int32)), pa.py_buffer(kept)])
             crc = pa.array([zlib.crc32(raw[a:b]) for a, b in zip(bounds, bounds[1:])], pa.int64())
-            yield pa.RecordBatch.from_arrays([x.column("doc_id").combine_chunks(), coded, crc], names=["doc_id", "ids", "crc"])
+            yield pa.RecordBatch.from_arrays([x.column("doc_id"), coded, crc], names=["doc_id", "ids", "crc"])
+            del ids, raw, kept, coded
+        give_back()
 
     source = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     staged = stage(source.mapInArrow(encode, "doc_id bigint, ids binary, crc bigint"), "ids", compression="zstd")
