@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, stage
+from .common import give_back, map_texts, stage
 from .decontaminate import LOWERED, words_of
 
 #: Labelled rows of each class that training takes at most, and bytes of their texts in all.
@@ -287,6 +287,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
         parts = [fit([t for t, f in zip(texts, fold) if f != k], toxic[fold != k], weight[fold != k]) for k in range(FOLDS)]
         for one, (clean, bad) in sorted(score_counts(docs, ours, sum(counts.values()), parts, text).items()):
             model.thresholds[one] = best_threshold(clean, bad)
+    del rows, texts, joined, taken
+    give_back()
     return model
 
 
