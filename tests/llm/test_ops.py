@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.llm import chat, decontaminate, line_dedup, near_dedup, probminhash, rans, secrets, sharding, simhash, token_files, toxicity
+from tallyforge.llm import chat, decontaminate, line_dedup, near_dedup, probminhash, rans, secrets, sharding, simhash, token_files, toxicity, wordtable
 from tallyforge.llm.pieces import SPACE, Pieces, digest_documents, encode_documents, pieces_of
 
 public = pytest.importorskip("public_tokenizers")
@@ -226,8 +226,8 @@ def test_word_wise_tokens_equal_whole_text_tokens(monkeypatch):
 
     assert token_files.words_of_tokenizer(path).by_word
     assert got() == want and got(2) == [x + [2] for x in want]
-    monkeypatch.setattr(token_files, "CACHE_WORDS", 50)  # words are forgotten, and texts are laid out in parts
-    monkeypatch.setattr(token_files, "WORDS_AT_ONCE", 37)
+    monkeypatch.setattr(wordtable, "CACHE_WORDS", 50)  # words are forgotten, and texts are laid out in parts
+    monkeypatch.setattr(wordtable, "WORDS_AT_ONCE", 37)
     assert got() == want and got(2) == [x + [2] for x in want]
 
 
@@ -313,7 +313,7 @@ def plain_lines(rows, least=5):
 def plain_print(text):
     import xxhash
 
-    w = text.split()
+    w = [x for x in re.split(r"[ \t\n\x0b\f\r]+", text) if x]
     terms = w if len(w) < 2 else [f"{a} {b}" for a, b in zip(w, w[1:])]
     votes, total = [0] * 128, 0
     for t in terms:
@@ -339,6 +339,36 @@ def test_fingerprints_equal_plain_ones(spark):
         assert got[k].like == 1 - apart / 128
 
 
+def test_edited_fingerprints_equal_plain_ones(spark):
+    rng = random.Random(12)
+    pool = ["a", "bb", " ", " ", "\n", "  ", "\t", "é", "ccc", "\u3000", "漢", "\x1c", "d"]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(14))) for _ in range(500)] + [words(rng, n) + rng.choice(["", " "]) for n in (1, 2, 3, 200, 3, 900, 5) for _ in range(4)]
+    rng.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for parts in (1, 7):
+        got = {r.doc_id: r for r in simhash.fingerprint_documents(df, parts=parts).collect()}
+        for k, t in enumerate(texts):
+            n = texts[(k + 1) % len(texts)]
+            edit = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
+            assert got[k].edited_sha256 == hashlib.sha256(edit.encode()).hexdigest()
+            assert ((got[k].f1, got[k].f2), (got[k].e1, got[k].e2), (got[k].g1, got[k].g2)) == (plain_print(t), plain_print(edit), plain_print(n)), (t, n, edit)
+
+
+def test_rows_of_one_doc_id_are_split(spark):
+    import xxhash
+
+    rng = random.Random(8)
+    rows = [(7, f"{words(rng, 3)} {k}") for k in range(300)] + [(k, f"other {k}") for k in range(20)] + [(None, f"none {k}") for k in range(100)] + [(9, "same")] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = simhash.in_order(df, parts=8).where("own").collect()
+    assert Counter((r.doc_id, r.text) for r in out) == Counter(rows)
+    parts = Counter(r.part for r in out if r.doc_id == 7)
+    assert len(parts) >= 4 and max(parts.values()) < 150
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0], signed(xxhash.xxh64_intdigest(r[1], 42))))
+    assert Counter((r.doc_id, r.text, r.next_text) for r in out) == Counter((k, t, n) for (k, t), (_, n) in zip(order, order[1:] + order[:1]))
+
+
 def test_near_counts_equal_brute_force(spark):
     rng = random.Random(9)
     base = [(rng.getrandbits(63), rng.getrandbits(63)) for _ in range(20)]
@@ -361,9 +391,35 @@ def test_line_dedup(spark, docs, nothing):
     assert Counter((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in line_dedup.dedup_lines(df, batches=2).collect()) == plain_lines(upper)
 
 
-def test_runs_compact_into_levels(spark, docs):
-    runs = line_dedup.build_runs(docs, batches=4)
+def test_runs_compact_into_levels(spark, docs, nothing):
+    runs = line_dedup.build_runs(line_dedup.line_hashes(docs), batches=4)
     assert [len(x) for x in runs.levels] == [0, 0, 1] or sum(map(len, runs.levels)) < runs.made
+    runs.drop(runs.names())
+    held = spark.range(4000).select((F.col("id") % 100).alias("doc"), F.xxhash64(F.col("id") % 300).alias("h1"), F.xxhash64(F.lit(1), F.col("id") % 300).alias("h2"))
+    runs = line_dedup.build_runs(held, batches=3)
+    assert [len(x) for x in runs.levels] == [1, 1]
+    plan = runs.frequent()._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and "Exchange" not in plan  # runs are folded bucket by bucket
+    rows = [(r["doc"], (r.h1, r.h2)) for r in held.collect()]
+    docs_of = defaultdict(set)
+    for d, k in rows:
+        docs_of[k].add(d)
+    got = {(r.h1, r.h2): r.last_doc for r in runs.frequent().collect()}
+    assert got == {k: max(v) for k, v in docs_of.items() if len(v) >= 5}
+    runs.drop(runs.names())
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("tf_run_")]
+    assert line_dedup.build_runs(line_dedup.line_hashes(nothing)).frequent().count() == 0
+
+
+def test_line_dedup_of_odd_rows(spark):
+    long = "A line that is surely longer than forty characters, " * 2
+    rows = [(k, f"{long}\n{long}\n{k}", 1, 2) for k in range(6)] + [(None, f"{long}\nx", 1, 2), (None, None, 1, 2), (7, "", 1, 2), (8, f" \t{long.upper()}\x0b", 1, 2), (8, long, 1, 2), (9, "z" * 300_000 + "\n" + long, 1, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_lines int, h1 int")
+    out = line_dedup.dedup_lines(df)
+    assert out.columns == ["doc_id", "text", "h1", "n_lines", "n_dropped"]
+    want = plain_lines([(-(1 << 63) if k is None else k, t) for k, t, *_ in rows])
+    assert Counter((-(1 << 63) if r.doc_id is None else r.doc_id, r.text, r.n_lines, r.n_dropped) for r in out.collect()) == want
+    assert sorted((r.doc_id, r.n_dropped) for r in line_dedup.dedup_lines(df.where("doc_id < 4")).collect()) == [(k, 0) for k in range(4)]  # four documents are too few
 
 
 def plain_classes(rows):
@@ -544,7 +600,9 @@ def test_pieces_equal_the_library(spark, docs, nothing):
     ids = own.encode(texts)
     want = library.encode(texts, add_bos=True, add_eos=True)
     assert [np.frombuffer(x, "<u4").tolist() for x in ids] == want
-    assert own.decode(ids) == library.decode(want)
+    assert own.decode(ids) == library.decode(want) and own.decode([]) == [] and own.encode([]) == [] and own.decode([b""]) == [""]
+    again = own.encode(texts[::-1])
+    assert again[::-1] == ids
     assert own.decode([np.array([own.byte_ids[0xE2], own.byte_ids[0x82], own.byte_ids[65]], "<u4").tobytes()]) == ["��A"]
     got = Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in digest_documents(docs, path).collect())
     sha = lambda x: hashlib.sha256(x).hexdigest()
