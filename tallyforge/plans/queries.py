@@ -619,7 +619,11 @@ def distinct_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").agg(F.count_distinct("l_partkey").alias("parts"), F.count_distinct("l_suppkey").alias("suppliers"))
 
 
-@query()
+@query(r"""WITH d AS (SELECT doc_id, source, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\v\f\r]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, source, unnest(list_transform(range(1, greatest(1, len(w) - 4) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS x FROM d), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.source, a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.source = b.source AND a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2, 3),
+p AS (SELECT c.*, k / (na.n + nb.n - k) AS sim FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b), r AS (SELECT b AS doc_id, source, min(a) AS rep FROM p WHERE sim = 1 GROUP BY 1, 2)
+SELECT source, a, b, round(sim, 6) AS similarity FROM p WHERE sim >= 0.8 AND sim < 1 AND a NOT IN (SELECT doc_id FROM r) AND b NOT IN (SELECT doc_id FROM r) UNION ALL SELECT source, rep, doc_id, 1.0::DOUBLE FROM r""")
 def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(audits.similar_pairs(read(spark, sf_dir, "documents"), "source", "doc_id", "text"))
 
