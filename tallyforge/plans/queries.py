@@ -330,11 +330,14 @@ def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH p AS (SELECT p_partkey % 6 AS k FROM part), c AS (SELECT * FROM p, (VALUES ('strict'), ('markdown'), ('fallback'), ('baseline')) AS v(parser)),
-s AS (SELECT parser, CASE parser WHEN 'strict' THEN CASE k WHEN 2 THEN 's' WHEN 4 THEN 'n' ELSE 'f' END WHEN 'markdown' THEN CASE k WHEN 0 THEN 's' WHEN 4 THEN 'n' ELSE 'f' END
-WHEN 'fallback' THEN CASE k WHEN 4 THEN 'n' WHEN 5 THEN 'f' ELSE 's' END ELSE CASE k WHEN 4 THEN 'n' ELSE 's' END END AS s FROM c)
-SELECT parser, 'last' AS "select", round(avg((s <> 'n')::INT), 6) AS extract_rate, round(avg((s = 's')::INT), 6) AS valid_rate, count(*) AS n FROM s GROUP BY 1""")
+s AS (SELECT parser, k, CASE parser WHEN 'strict' THEN CASE k WHEN 2 THEN 's' WHEN 4 THEN 'n' ELSE 'f' END WHEN 'markdown' THEN CASE k WHEN 0 THEN 's' WHEN 4 THEN 'n' ELSE 'f' END
+WHEN 'fallback' THEN CASE k WHEN 4 THEN 'n' WHEN 5 THEN 'f' ELSE 's' END ELSE CASE k WHEN 4 THEN 'n' ELSE 's' END END AS s FROM c),
+f AS (SELECT *, CASE WHEN k = 4 THEN 'none' WHEN parser = 'strict' THEN CASE WHEN k = 5 THEN 'fenced_diff' ELSE 'raw' END WHEN k IN (0, 5) THEN 'fenced_diff' WHEN parser = 'markdown' THEN 'unfenced' WHEN k = 1 THEN 'fenced_any' ELSE 'raw_git' END AS fmt FROM s),
+h AS (SELECT parser, string_agg(fmt || ':' || n, ',' ORDER BY fmt) AS fmts FROM (SELECT parser, fmt, count(*) AS n FROM f GROUP BY 1, 2) GROUP BY 1)
+SELECT parser, 'last' AS "select", round(avg((s <> 'n')::INT), 6) AS extract_rate, round(avg((s = 's')::INT), 6) AS valid_rate, count(*) AS n, any_value(fmts) AS fmts FROM f JOIN h USING (parser) GROUP BY 1""")
 def parser_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(difficulty.parser_rates(parsed(spark, sf_dir)).drop("fmts"))
+    shown = F.array_join(F.transform(F.array_sort(F.map_entries("fmts")), lambda e: F.concat(e["key"], F.lit(":"), e["value"])), ",")
+    return rounded(difficulty.parser_rates(parsed(spark, sf_dir)).withColumn("fmts", shown))
 
 
 @query("""SELECT p AS parser, 'last' AS "select", CASE p WHEN 'strict' THEN 0.0 ELSE 1.0 END::DOUBLE AS fenced_diff, CASE WHEN p IN ('fallback', 'baseline') THEN 1.0 ELSE 0.0 END::DOUBLE AS fenced_python_lang,
