@@ -1,6 +1,8 @@
 """A corpus pipeline: toxicity, line dedup, near-dedup, decontamination, SentencePiece encoding.
 
 Each stage takes (spark, docs, sf_dir), works on every row that the stage before it kept, and returns a DataFrame that is written as Parquet and read back as the next one's docs.
+
+Defined cases, alike in all stages: a null text counts as empty (and stays null where texts pass), texts of any length are handled whole, rows with a null or repeated doc_id are rows like others (near-dedup keeps one row of each class, whatever its doc_id), an empty table gives an empty table, and columns of docs pass through all stages but the last, except that one named as a result of a stage's operator has that result.
 """
 
 from __future__ import annotations
@@ -15,18 +17,18 @@ from tallyforge.llm.queries import public_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose score is below the threshold of their language."""
+    """Documents whose score is below the threshold of their language (0.5 where a language has none, or is null)."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.score_documents(docs, model).where("NOT toxic_rejected").select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the long lines that many of them share."""
+    """All documents, without the long lines that many of them share; n_chars follows the text."""
     return line_dedup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class."""
+    """One document of each near-duplicate class: that with the least doc_id."""
     return near_dedup.keep_one(docs)
 
 
