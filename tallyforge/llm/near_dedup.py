@@ -9,7 +9,7 @@ Two documents are linked if their five-word shingles have a similarity of 0.8 or
 
 With 20 bands of 5 registers, a pair at the threshold misses all bands with probability (1 - 0.8^5)^20 = 0.0004; an estimate from 100 registers is more than 0.18 too low with probability below 0.00001.
 
-Components are found by alternating large-star and small-star rounds; each round is written to the shared folder.
+Components are found by alternating large-star and small-star rounds; each round is written to the shared folder. Where the links are few (counted), the least neighbours are broadcast, so that a hub's links aren't dealt to one task; beyond that adaptive execution splits such joins.
 
 Defined cases: texts without words (null, empty, only marks) are alike only if equal, a null text counting as empty; whole texts are used; repeated rows, and different texts under one doc_id, each get a row, whose class is that of the row's text; a null doc_id takes part and is the smallest of its class only if there is no other; an empty table gives an empty result; other columns are ignored (classes) or pass through (keep_one).
 """
@@ -29,8 +29,8 @@ from .common import forget, map_texts, stage
 THRESHOLD, ROWS = 0.8, 5
 #: Nodes in a block, about; and how far below the threshold an estimate from the registers may fall before a pair is ruled out.
 BLOCK, SLACK = 256, 0.18
-#: Most doc_ids (8 bytes each) that are broadcast; beyond that the rows are shuffled.
-BROADCAST_IDS = 1_000_000
+#: Most doc_ids (8 bytes each) and links (of each of which two nodes' least neighbours, 32 bytes each) that are broadcast; beyond that the rows are shuffled.
+BROADCAST_IDS, BROADCAST_LINKS = 1_000_000, 300_000
 
 
 def sketch(docs: DataFrame, text: str = "text", keep: list[str] | None = None, weighted: bool = False) -> DataFrame:
@@ -98,11 +98,12 @@ def components(edges: DataFrame) -> DataFrame:
     mark = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).head()
     before = mark(now)
     while before[0]:
+        small_enough = F.broadcast if before[0] <= BROADCAST_LINKS else lambda df: df  # a hub's links then stay where they are
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(small_enough(least), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(small_enough(least), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         last, now = now, stage(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
         forget(last)
         after = mark(now)
