@@ -10,6 +10,7 @@ Defined cases: a null or empty text has no terms and the fingerprint 0, likeness
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -23,15 +24,20 @@ BITS = 128
 SEEDS = ("first", "second")
 
 
-def terms(text: Column) -> Column:
-    """array of struct(a, b, w): two hashes and the weight of each term."""
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"[\s]+", -1), lambda x: x != "")
+SPACE = r"[\s]+"
 
-    def of(pairs: Column) -> Column:
-        return F.transform(pairs, lambda p: F.struct(F.xxhash64(F.lit(SEEDS[0]), p).alias("a"), F.xxhash64(F.lit(SEEDS[1]), p).alias("b"), (1 + F.least(F.length(p), F.lit(24)) / 8).cast("long").alias("w")))
 
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.size(words)), lambda x, y: F.concat(x, F.lit(" "), y))
-    return of(F.when(F.size(words) < 2, words).otherwise(pairs))
+def words_of(text: Column) -> Column:
+    return F.filter(F.split(text, SPACE, -1), lambda x: x != "")
+
+
+def pairs(words: Column) -> Column:
+    return F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.size(words)), lambda x, y: F.concat(x, F.lit(" "), y))
+
+
+def hashed(terms: Column, zone: Callable[[Column], Column]) -> Column:
+    """array of struct(zone, a, b, w): two hashes and the weight of each term, and the zone of its place (from 0)."""
+    return F.transform(terms, lambda t, k: F.struct(zone(k).cast("int").alias("zone"), F.xxhash64(F.lit(SEEDS[0]), t).alias("a"), F.xxhash64(F.lit(SEEDS[1]), t).alias("b"), (1 + F.least(F.length(t), F.lit(24)) / 8).cast("long").alias("w")))
 
 
 def votes() -> list[Column]:
@@ -42,22 +48,20 @@ def votes() -> list[Column]:
     return out
 
 
-def half(h: str) -> Column:
-    """64 bits of the fingerprint from the sums of votes()."""
-    total = F.coalesce(F.col("w"), F.lit(0))
+def half(votes: Column, first: int) -> Column:
+    """64 bits of a fingerprint from the votes (array of the weight and then the lanes), whose lanes begin at place `first`."""
+    total = F.element_at(votes, 1)
     bits = []
     for k in range(HALF):
-        x = F.coalesce(F.col(f"{h}{k}"), F.lit(0))
+        x = F.element_at(votes, first + k)
         bits += [F.when(x.bitwiseAND(F.lit(0xFFFFFFFF)) * 2 > total, F.lit(1 << k)).otherwise(F.lit(0)), F.when(F.shiftrightunsigned(x, 32) * 2 > total, F.lit(1 << (k + 32) if k < 31 else -(1 << 63))).otherwise(F.lit(0))]
     while len(bits) > 1:
         bits = [x.bitwiseOR(y) for x, y in zip(bits[::2], bits[1::2])]
     return bits[0]
 
 
-def fingerprints(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """keys with f1 and f2, the halves of the fingerprint of each row's text. keys must tell rows apart; where texts are dealt by some of the keys already, nothing is shuffled."""
-    one = texts.select(*keys, F.explode_outer(terms(F.col(text))).alias("t")).select(*keys, F.col("t.a").alias("a"), F.col("t.b").alias("b"), F.col("t.w").alias("w"))
-    return one.groupBy(*keys).agg(*votes()).select(*keys, half("a").alias("f1"), half("b").alias("f2"))
+def halves(votes: Column) -> tuple[Column, Column]:
+    return half(votes, 2), half(votes, 2 + HALF)
 
 
 def shown(f1: Column | str, f2: Column | str) -> Column:
@@ -73,7 +77,7 @@ def likeness(a: tuple[str, str], b: tuple[str, str]) -> Column:
 
 
 def in_order(docs: DataFrame, text: str = "text", parts: int | None = None) -> DataFrame:
-    """doc_id, text, next_text (that of the document after it, by ascending doc_id), own (false for a copy of the first row of the part that follows), part and pos.
+    """doc_id, text, n_chars, next_text (that of the document after it, by ascending doc_id), before_chars (the length of the one before it in the part), own (false for a copy of the first row of the part that follows), part and pos.
 
     Rows are dealt once, by ranges of doc_id, and by ranges of the text's hash where many rows share a doc_id; a part also gets a copy of the row that follows its last one, so that nothing is sorted as a whole. The driver holds some numbers for each part.
     """
@@ -106,7 +110,8 @@ def in_order(docs: DataFrame, text: str = "text", parts: int | None = None) -> D
     ahead = F.struct(at(before.get, "int").alias("part"), F.when(F.col("home") == (there[0] if there else 0), F.lit(2)).otherwise(F.lit(1)).alias("copy"))
     dealt = rows.select("doc_id", "id", "h", "text", F.explode(F.when(first, F.array(own, ahead)).otherwise(F.array(own))).alias("g")).select("doc_id", "id", "h", "text", "g.part", "g.copy")
     w = W.partitionBy("part").orderBy("copy", "id", "h")
-    return dealt.select("doc_id", "text", "part", (F.col("copy") == 0).alias("own"), F.row_number().over(w).alias("pos"), F.lead("text").over(w).alias("next_text"))
+    dealt = dealt.withColumn("n_chars", F.length("text").cast("long"))
+    return dealt.select("doc_id", "text", "n_chars", "part", (F.col("copy") == 0).alias("own"), F.row_number().over(w).alias("pos"), F.lead("text").over(w).alias("next_text"), F.lag("n_chars").over(w).alias("before_chars"))
 
 
 def edited(text: str = "text", following: str = "next_text") -> Column:
@@ -117,17 +122,45 @@ def edited(text: str = "text", following: str = "next_text") -> Column:
 
 
 def fingerprint_documents(docs: DataFrame, text: str = "text", parts: int | None = None) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, (f1, f2) of the text, (e1, e2) of the edited text, (g1, g2) of the next document's text, all in one shuffle."""
-    rows = in_order(docs, text, parts)
-    # the edited version comes second; versions are told apart by their place
-    versions = rows.withColumn("n_chars", F.length("text").cast("long")).select("part", "pos", "doc_id", "own", "n_chars", F.posexplode(F.when(F.col("own"), F.array("text", edited())).otherwise(F.array("text"))).alias("kind", "version"))
-    versions = versions.withColumn("sha", F.unhex(F.sha2("version", 256)))
-    prints = fingerprints(versions, ["part", "pos", "doc_id", "own", "n_chars", "kind", "sha"], "version")
-    of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
-    both = prints.groupBy("part", "pos", "doc_id", "own", "n_chars").agg(of(0, "f1").alias("f1"), of(0, "f2").alias("f2"), of(1, "f1").alias("e1"), of(1, "f2").alias("e2"), of(1, "sha").alias("sha"))
+    """doc_id, n_chars, edited_sha256, (f1, f2) of the text, (e1, e2) of the edited text, (g1, g2) of the next document's text, all in one shuffle.
+
+    An edited text is a prefix of the text and one of the next text, so its terms are those of the two texts but for some at the seam. Every term becomes a row once, in a zone that says in which of the two prefixes of its text it lies (one for the own edited text: 1, one for that of the document before: 2, both: 3, none: 0; zone 4: the terms at the own seam), votes are summed by zone, and the three fingerprints are made of sums of zones.
+    """
+    ends_open = lambda c: ~c.rlike(r"\s\z") & (c != "")
+    prefix = lambda c, n: F.substring(c, F.lit(1), n.cast("int"))
+    # words of a prefix that its cut leaves whole: the last one may go on behind it
+    cut = lambda c, n: ends_open(prefix(c, n)) & (F.length(c) > n) & ~F.substring(c, (n + 1).cast("int"), F.lit(1)).rlike(r"\s")
+    rows = in_order(docs, text, parts).withColumn("h", F.floor(F.col("n_chars") / 2)).withColumn("edited", F.when(F.col("own"), edited()))
+    rows = rows.withColumn("head", prefix(F.col("text"), F.col("n_chars") - F.col("h"))).withColumn("tail", F.when(F.col("own"), prefix(F.coalesce("next_text", F.lit("")), F.col("h"))).otherwise(""))
+    lent = F.least(F.floor(F.coalesce("before_chars", F.lit(0)) / 2), F.col("n_chars"))
+    rows = rows.withColumn("lent", lent).withColumn("ws", words_of(F.col("text"))).withColumn("hs", words_of(F.col("head"))).withColumn("ts", words_of(F.col("tail")))
+    kept = F.size("hs") - ends_open(F.col("head")).cast("int")  # words of the head with white space behind them
+    given = F.size(words_of(prefix(F.col("text"), F.col("lent")))) - cut(F.col("text"), F.col("lent")).cast("int")
+    taken = F.size("ts") - (F.col("own") & cut(F.coalesce("next_text", F.lit("")), F.col("h"))).cast("int")
+    rows = rows.select("part", "pos", "doc_id", "own", "n_chars", F.unhex(F.sha2("edited", 256)).alias("sha"), "ws", "ts", (ends_open(F.col("head")) & (F.size("ts") > 0) & ~F.col("tail").rlike(r"\A\s")).alias("joined"), kept.alias("kept"), given.alias("given"), taken.alias("taken"), "hs")
+    # the words around the seam: the last whole one of the head, what follows it, and the first two of the tail
+    last = F.slice("hs", F.greatest(F.col("kept"), F.lit(1)), F.lit(2))
+    near = F.when(F.col("joined"), F.concat(F.slice(last, F.lit(1), F.size(last) - 1), F.array(F.concat(F.try_element_at(last, F.lit(-1)), F.try_element_at("ts", F.lit(1)))), F.slice("ts", 2, 1))).otherwise(F.concat(last, F.slice("ts", 1, 2)))
+    far = F.slice("ts", F.greatest(F.col("taken"), F.lit(2)), F.size("ts") + 1)
+    alone = F.size("hs") + F.size("ts") - F.col("joined").cast("int") < 2
+    seam = F.when(F.col("own"), F.when(alone, F.col("near")).otherwise(F.concat(pairs(F.col("near")), pairs(far)))).otherwise(F.array().cast("array<string>"))
+    zone = lambda k: (k < F.col("kept") - 1).cast("int") + 2 * ((k >= 1) & (k < F.col("given") - 1)).cast("int")
+    rows = rows.withColumn("near", near).withColumn("seam", seam).withColumn("terms", F.when(F.size("ws") < 2, F.col("ws")).otherwise(pairs(F.col("ws"))))
+    keys = ["part", "pos", "doc_id", "own", "n_chars", "sha"]
+    each = rows.select(*keys, F.explode_outer(F.concat(hashed(F.col("terms"), zone), hashed(F.col("seam"), lambda k: F.lit(4)))).alias("t"))
+    sums = each.select(*keys, F.col("t.zone").alias("zone"), F.col("t.a").alias("a"), F.col("t.b").alias("b"), F.col("t.w").alias("w")).groupBy(*keys, "zone").agg(*votes())
+    lanes = F.array("w", *[f"{h}{k}" for h in ("a", "b") for k in range(HALF)])
+    docs_ = sums.groupBy(*keys).agg(F.collect_list(F.when(F.col("zone").isNotNull(), F.struct("zone", lanes.alias("v")))).alias("zones"))  # five at most
+    none = F.array_repeat(F.lit(0).cast("long"), 1 + 2 * HALF)
+    added = lambda x, y: F.zip_with(x, y, lambda i, j: i + j)
+    of = lambda *chosen: F.aggregate(F.filter("zones", lambda z: z["zone"].isin(*chosen)), none, lambda acc, z: added(acc, z["v"]))
+    docs_ = docs_.select(*keys, of(0, 1, 2, 3).alias("whole"), of(1, 3, 4).alias("mine"), of(2, 3).alias("lent"))
+    f1, f2 = halves(F.col("whole"))
+    docs_ = docs_.select(*keys, f1.alias("f1"), f2.alias("f2"), "mine", "lent")
     w = W.partitionBy("part").orderBy("pos")
-    out = both.withColumn("g1", F.lead("f1").over(w)).withColumn("g2", F.lead("f2").over(w)).where("own")
-    return out.select("doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), "f1", "f2", "e1", "e2", "g1", "g2")
+    out = docs_.withColumn("g1", F.lead("f1").over(w)).withColumn("g2", F.lead("f2").over(w)).withColumn("both", added(F.col("mine"), F.lead("lent").over(w))).where("own")
+    e1, e2 = halves(F.col("both"))
+    return out.select("doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), "f1", "f2", e1.alias("e1"), e2.alias("e2"), "g1", "g2")
 
 
 def tables(radius: int, blocks: int | None = None) -> list[tuple[int, int]]:
