@@ -1,4 +1,4 @@
-"""The queries op1 to op10 over the whole tables, each a thin digest of its operator's output."""
+"""The queries op1 to op13 over the whole tables, each a thin digest of its operator's output."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, line_dedup, near_dedup, sharding, simhash, token_files, toxicity
+from . import bpe, chat, decontaminate, line_dedup, near_dedup, sharding, simhash, token_files, toxicity
 from .common import stage, staging_dir, table
 from .pieces import digest_documents
 from .secrets import scan_secrets
@@ -78,6 +78,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(joined("base_spans"), 256).alias("base_sha256"), joined("secret_spans").alias("spans"))
 
 
+def op13_bpe(spark: SparkSession, sf_dir: str, tokenizer_path: str | None = None) -> DataFrame:
+    return bpe.digest_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path or public_path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
@@ -90,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sentencepiece": op8_sentencepiece,
         "op9_decontaminate": op9_decontaminate,
         "op10_secrets": op10_secrets,
+        "op13_bpe": op13_bpe,
     }
 
 
