@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, line_dedup, near_dedup, sharding, simhash, spelling, token_files, toxicity
+from . import bpe, chat, decontaminate, line_dedup, near_dedup, ranked, sharding, simhash, spelling, token_files, toxicity
 from .common import stage, staging_dir, table
 from .pieces import digest_documents
 from .secrets import scan_secrets
@@ -78,6 +78,12 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(joined("base_spans"), 256).alias("base_sha256"), joined("secret_spans").alias("spans"))
 
 
+def op11_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = staging_dir(spark, "index")
+    ranked.write_index(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    return ranked.search(ranked.read_index(spark, path), table(spark, sf_dir, "benchmark"), "item_id")
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = spelling.occurrences(table(spark, sf_dir, "documents").select("doc_id", "text"))
     lost = runs.select(spelling.with_losses(F.col("word"), F.col("doc_id")).alias("word"))
@@ -100,10 +106,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sentencepiece": op8_sentencepiece,
         "op9_decontaminate": op9_decontaminate,
         "op10_secrets": op10_secrets,
+        "op11_ranked": op11_ranked,
         "op12_spelling": op12_spelling,
         "op13_bpe": op13_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": line_dedup.ORACLE, "op7_chat": chat.ORACLE, "op12_spelling": spelling.ORACLE}
+    return {"op5_line_dedup": line_dedup.ORACLE, "op7_chat": chat.ORACLE, "op11_ranked": ranked.ORACLE, "op12_spelling": spelling.ORACLE}
