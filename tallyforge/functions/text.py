@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -72,16 +73,63 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(either > 0, both / either).otherwise(F.lit(0.0))
 
 
+def letter_counts(x: Column) -> Column:
+    """How often each letter (code point) of a text occurs, as a map."""
+    letters = F.array_distinct(F.regexp_extract_all(x, F.lit("(?s)."), F.lit(0)))
+    return let(F.struct(x.alias("x")), lambda v: F.map_from_entries(F.transform(letters, lambda c: F.struct(c, F.length(v["x"]) - F.length(F.replace(v["x"], c, F.lit("")))))))
+
+
+def length_bound(a: Column, b: Column) -> Column:
+    """What sequence_ratio() of two texts can be at most, by their lengths; 1 for two empty ones."""
+    both = F.length(a) + F.length(b)
+    return F.when(both == 0, 1.0).otherwise(2.0 * F.least(F.length(a), F.length(b)) / both)
+
+
+def letter_bound(a: Column, b: Column) -> Column:
+    """What it can be at most by the letters that both have, however they are ordered."""
+    both = F.length(a) + F.length(b)
+    common = let(F.struct(letter_counts(a).alias("a"), letter_counts(b).alias("b")), lambda v: F.aggregate(F.map_entries(v["a"]), F.lit(0), lambda acc, e: acc + F.least(e["value"], F.coalesce(F.try_element_at(v["b"], e["key"]), F.lit(0)))))
+    return F.when(both == 0, 1.0).otherwise(2.0 * common / both)
+
+
+#: Product of lengths up to which difflib itself is the faster way to matching blocks.
+SMALL = 20_000
+
+
+def longest_block(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
+    """Start in a, start in b and size of the longest run that both have; of several the first in a, then in b."""
+    ends = np.zeros(len(b) + 1, np.int32)
+    best = (0, 0, 0)
+    for i, letter in enumerate(a.tolist()):
+        ends[1:] = (ends[:-1] + 1) * (b == letter)
+        if (size := int(ends.max())) > best[2]:
+            best = (i + 1 - size, int(ends.argmax()) - size, size)
+    return best
+
+
+def matching_ratio(x: str, y: str) -> float:
+    """What difflib's SequenceMatcher without junk gives; rows of the table of runs are arrays."""
+    if x == y:
+        return 1.0
+    if len(x) * len(y) <= SMALL:
+        return difflib.SequenceMatcher(None, x, y, autojunk=False).ratio()
+    a, b = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (x, y))
+    matched, parts = 0, [(a, b)]
+    while parts:
+        a, b = parts.pop()
+        i, j, size = longest_block(a, b) if len(a) and len(b) else (0, 0, 0)
+        if size:
+            matched += size
+            parts += [(a[:i], b[:j]), (a[i + size :], b[j + size :])]
+    return 2.0 * matched / (len(x) + len(y))
+
+
 def sequence_ratio(a: Column, b: Column) -> Column:
-    """Similarity of two texts by matching blocks, behind the two quick upper bounds; 0 where a bound already falls below 0.9."""
+    """Similarity of two texts by matching blocks: twice the letters in them over all letters. Its work grows with the product of the lengths; the two bounds above rule out most pairs first."""
 
     @F.pandas_udf("double")
     def run(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for left, right in pairs:
-            out = []
-            for x, y in zip(left, right):
-                m = difflib.SequenceMatcher(None, x or "", y or "", autojunk=False)
-                out.append(m.ratio() if m.real_quick_ratio() > 0.9 and m.quick_ratio() > 0.9 else 0.0)
-            yield pd.Series(out)
+            yield pd.Series([matching_ratio(x or "", y or "") for x, y in zip(left, right)], dtype="float64")
 
     return run(a, b)

@@ -114,8 +114,20 @@ def similar_pairs(df: DataFrame, group: str, item: str, body: str, threshold: fl
 
 
 def close_texts(pairs: DataFrame, a: str, b: str, threshold: float = 0.9) -> DataFrame:
-    """pairs with ratio, the similarity of two text columns by matching blocks, where it is over the threshold."""
-    return pairs.withColumn("ratio", text.sequence_ratio(F.col(a), F.col(b))).where(F.col("ratio") > threshold)
+    """pairs with ratio, the similarity of two text columns by matching blocks, where it is over the threshold. A null text counts as empty.
+
+    A cascade: lengths, then letters rule out pairs in the JVM, and only those that both bounds leave go to the exact ratio.
+    """
+    left, right = (F.coalesce(F.col(c), F.lit("")) for c in (a, b))
+    possible = pairs.where(text.length_bound(left, right) > threshold).where(text.letter_bound(left, right) > threshold)
+    return possible.withColumn("ratio", text.sequence_ratio(left, right)).where(F.col("ratio") > threshold)
+
+
+def close_pairs(df: DataFrame, group: str, item: str, body: str, candidate: float = 0.5, threshold: float = 0.9, n: int = 5) -> DataFrame:
+    """group, a, b, ratio: pairs of items of one group that share at least `candidate` of their shingles and whose texts are close (close_texts()). Items with the same shingles are paired with the least of them only."""
+    pairs = similar_pairs(df, group, item, body, candidate, n)
+    side = lambda c, k: df.select(F.col(item).alias(c), F.col(body).alias(k))
+    return close_texts(pairs.join(side("a", "_tf_x"), "a").join(side("b", "_tf_y"), "b"), "_tf_x", "_tf_y", threshold).select(group, "a", "b", "ratio")
 
 
 def top_pairs(pairs: DataFrame, k: int = 25) -> DataFrame:

@@ -572,9 +572,10 @@ def membership_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").join(ids, "o_custkey", "left_semi").select("o_orderkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def missing_from_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """Customers without an urgent order."""
+    orders = read(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return audits.missing_from(read(spark, sf_dir, "customer").select("c_custkey"), orders, "c_custkey")
 
 
@@ -631,14 +632,29 @@ def similar_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(audits.similar_pairs(read(spark, sf_dir, "documents"), "source", "doc_id", "text"))
 
 
-@query("""WITH t AS (SELECT doc_id, lang, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS body FROM documents) SELECT doc_id FROM t WHERE lang = 'en' AND body IN (SELECT body FROM t WHERE lang <> 'en')
-UNION ALL SELECT doc_id FROM t WHERE lang <> 'en' AND body IN (SELECT body FROM t WHERE lang = 'en')
-UNION ALL SELECT -item_id - 1 FROM benchmark WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) IN (SELECT body FROM t)""")
+@query(r"""WITH t AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS body FROM documents) SELECT doc_id FROM t WHERE doc_id % 3 = 0 AND body IN (SELECT body FROM t WHERE doc_id % 3 = 1)
+UNION ALL SELECT -item_id - 1 FROM benchmark WHERE item_id % 2 = 0""")
 def shared_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, items = read(spark, sf_dir, "documents").select("doc_id", "text", "lang"), read(spark, sf_dir, "benchmark")
-    english, others = docs.where("lang = 'en'"), docs.where("lang <> 'en'")
-    both = audits.shared_texts(english, others, "text").unionByName(audits.shared_texts(others, english, "text")).select("doc_id")
-    return both.unionByName(audits.shared_texts(items, docs, "text").select((-F.col("item_id") - 1).alias("doc_id")))
+    """A third of the documents whose text, with other white space, is in another third; and benchmark items in a table that holds half of them, with other white space."""
+    docs, items = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), read(spark, sf_dir, "benchmark")
+    spaced = lambda df: df.withColumn("text", F.concat(F.lit("\n "), F.replace("text", F.lit(" "), F.lit(" \t"))))
+    both = audits.shared_texts(docs.where("doc_id % 3 = 0"), spaced(docs.where("doc_id % 3 = 1")), "text").select("doc_id")
+    return both.unionByName(audits.shared_texts(items, spaced(items.where("item_id % 2 = 0")), "text").select((-F.col("item_id") - 1).alias("doc_id")))
+
+
+#: Each document beside a text that is made of it by a rule.
+EDITED = """SELECT doc_id, coalesce(text, '') AS a, CASE doc_id % 4 WHEN 0 THEN coalesce(text, '') WHEN 1 THEN replace(coalesce(text, ''), 'e', '') WHEN 2 THEN reverse(coalesce(text, '')) ELSE coalesce(text, '') || ' ' || repeat(source, 40) END AS b FROM documents"""
+
+
+@query(f"""WITH p AS ({EDITED}), l AS (SELECT doc_id, c, count(*) FILTER (side = 0) AS n, count(*) FILTER (side = 1) AS m FROM (SELECT doc_id, 0 AS side, unnest(regexp_extract_all(a, '(?s).')) AS c FROM p UNION ALL SELECT doc_id, 1, unnest(regexp_extract_all(b, '(?s).')) FROM p) GROUP BY doc_id, c),
+s AS (SELECT doc_id, sum(least(n, m)) AS k FROM l GROUP BY doc_id), r AS (SELECT p.doc_id, CASE WHEN length(a) + length(b) = 0 THEN 1.0::DOUBLE ELSE 2 * least(length(a), length(b)) / (length(a) + length(b)) END AS x, CASE WHEN length(a) + length(b) = 0 THEN 1.0::DOUBLE ELSE 2 * coalesce(k, 0) / (length(a) + length(b)) END AS y FROM p LEFT JOIN s USING (doc_id))
+SELECT doc_id, round(x, 6) AS by_length, round(y, 6) AS by_letters, x > 0.9 AND y > 0.9 AS possible FROM r""")
+def ratio_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, k = F.coalesce("text", F.lit("")), F.col("doc_id") % 4
+    b = F.when(k == 0, a).when(k == 1, F.replace(a, F.lit("e"), F.lit(""))).when(k == 2, F.reverse(a)).otherwise(F.concat(a, F.lit(" "), F.repeat(F.col("source"), F.lit(40))))
+    pairs = read(spark, sf_dir, "documents").select("doc_id", a.alias("a"), b.alias("b"))
+    bounds = pairs.select("doc_id", text.length_bound(F.col("a"), F.col("b")).alias("by_length"), text.letter_bound(F.col("a"), F.col("b")).alias("by_letters"))
+    return rounded(bounds.withColumn("possible", (F.col("by_length") > 0.9) & (F.col("by_letters") > 0.9)))
 
 
 @query("""WITH o AS (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN lower(c_name) ELSE c_name END AS c_name, CASE WHEN c_custkey % 2 = 1 THEN c_acctbal END AS c_acctbal FROM customer WHERE c_custkey % 3 <> 0)
@@ -834,9 +850,98 @@ def arm_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.paired(rate(0), rate(1), "item", "track", "v")
 
 
-@query()
+def bootstrap_sql(keys: str, iterations: int) -> str:
+    """CTEs from `pairs` (keys, track, arm, base) to `intervals` (keys, lo, hi), by the draws that statistics.paired_bootstrap() states."""
+    prime, (first, second, third) = statistics.PRIME, statistics.MULTIPLIERS
+    steps, last = [], "its"
+
+    def step(expr: str, source: str, name: str = "x") -> str:
+        out = f"x{len(steps)}"
+        steps.append(f"{out} AS (SELECT * REPLACE ({expr} AS {name}) FROM {source})")
+        return out
+
+    def scramble(source: str, parts: list[str], name: str) -> str:
+        source = step("1::BIGINT", source, name)
+        for part in parts:
+            source = step(f"({name} * {first} + {part}) % {prime}", source, name)
+            source = step(f"xor({name}, {name} >> 13) * {second} % {prime}", source, name)
+        return step(f"xor({name}, {name} >> 16) * {third} % {prime}", source, name)
+
+    last = scramble(last, ["0", "it", "place", "j"], "x")
+    last = scramble(last, ["x", "1"], "u")
+    last = scramble(last, ["x", "2"], "v")
+    one = " + ".join(f"(x >= {b})::INT" for b in statistics.poisson_bounds())
+    grouped = f"{keys}, " if keys else ""
+    named = "".join(f"coalesce({k}::VARCHAR, ''), " for k in keys.split(", ") if k)
+    pick = lambda q: f"ds[least(len(ds), floor({q} * len(ds))::INT + 1)]"
+    return f"""diffs AS (SELECT {grouped}track, round(coalesce(arm - base, 0), 9) AS d, count(*) AS n FROM pairs WHERE track IS NOT NULL GROUP BY ALL),
+placed AS (SELECT *, ('0x' || md5(concat_ws(':', {named}track, round(d * 1000000000)::BIGINT::VARCHAR))[1:7])::BIGINT AS place FROM diffs),
+drawn AS (SELECT *, unnest(CASE WHEN n <= {statistics.FEW} THEN range(1, n + 1) ELSE [0] END) AS j FROM placed),
+its AS (SELECT *, unnest(range({iterations})) AS it, 0::BIGINT AS x, 0::BIGINT AS u, 0::BIGINT AS v FROM drawn), {", ".join(steps)},
+normal AS (SELECT *, sqrt(-2 * ln((u + 0.5) / {prime})) * cos(2 * pi() * ((v + 0.5) / {prime})) AS z FROM {last}),
+weighed AS (SELECT *, CASE WHEN j > 0 THEN {one} ELSE greatest(0, floor(n + sqrt(n) * z + (z * z - 1) / 6 + 0.5)) END AS w FROM normal),
+sums AS (SELECT {grouped}it, track, sum(w) AS w, sum(w * d) AS s FROM weighed GROUP BY ALL),
+means AS (SELECT {grouped}it, avg(CASE WHEN w > 0 THEN s / w END) AS delta FROM sums GROUP BY ALL),
+intervals AS (SELECT {grouped}{pick(0.025)} AS lo, {pick(0.975)} AS hi FROM (SELECT {grouped}list(delta ORDER BY delta) AS ds FROM means WHERE delta IS NOT NULL GROUP BY ALL))"""
+
+
+@query(f"""WITH a AS (SELECT o_custkey, avg((o_orderstatus = 'F')::INT) AS arm FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1), b AS (SELECT o_custkey, avg((o_orderstatus = 'F')::INT) AS base FROM orders WHERE o_orderkey % 2 = 1 GROUP BY 1),
+pairs AS (SELECT 't' || (o_custkey % 2) AS track, arm, base FROM a JOIN b USING (o_custkey)), {bootstrap_sql("", 10_000)} SELECT round(lo, 6) AS lo, round(hi, 6) AS hi FROM intervals""")
 def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return statistics.paired_bootstrap(arm_pairs(spark, sf_dir))
+    return rounded(statistics.paired_bootstrap(arm_pairs(spark, sf_dir)))
+
+
+#: A log of four arms over all documents: an item is graded at step 10 and, but for some, twice at step 20; some records are infrastructure failures.
+ARM_LOG = """SELECT 'arm' || a AS arm, doc_id AS item, lang AS track, s[1] AS step, 2 * s[1] + s[2] AS position, CASE WHEN (n_chars + a * doc_id + s[2]) % 10 < 4 + a THEN 1.0 ELSE 0.0 END AS value
+FROM documents, (SELECT unnest(range(4)) AS a), (SELECT unnest([[10, 0], [20, 0], [20, 1]]) AS s) WHERE (s[1] = 10 OR (doc_id + a) % 9 <> 0) AND (doc_id * 7 + a) % 31 <> 0"""
+
+
+def arm_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("a"))
+    rows = docs.withColumn("s", F.explode(F.array(*[F.struct(F.lit(step).alias("step"), F.lit(turn).alias("turn")) for step, turn in ((10, 0), (20, 0), (20, 1))])))
+    rows = rows.where((F.col("s.step") == 10) | ((F.col("doc_id") + F.col("a")) % 9 != 0))
+    value = F.when((F.col("n_chars") + F.col("a") * F.col("doc_id") + F.col("s.turn")) % 10 < 4 + F.col("a"), 1.0).otherwise(0.0)
+    infra = (F.col("doc_id") * 7 + F.col("a")) % 31 == 0
+    return rows.select(F.concat(F.lit("arm"), "a").alias("arm"), F.col("doc_id").alias("item"), F.col("lang").alias("track"), F.col("s.step").alias("step"), (2 * F.col("s.step") + F.col("s.turn")).alias("position"), value.alias("value"), infra.alias("infra"))
+
+
+@query(f"""WITH log AS ({ARM_LOG}), final AS (SELECT arm, max(step) AS step FROM log GROUP BY arm), scores AS (SELECT arm, item, any_value(step) AS step, any_value(track) AS track, arg_max(value, position) AS value FROM log JOIN final USING (arm, step) GROUP BY arm, item),
+shared AS (SELECT a.arm AS name, a.track, a.value AS arm, b.value AS base FROM scores a JOIN scores b USING (item) WHERE b.arm = 'arm0' AND a.arm <> 'arm0'),
+pairs AS (SELECT * FROM shared), {bootstrap_sql("name", 2_000)},
+tracks AS (SELECT name, track, avg(arm) AS rate, count(*) AS n FROM shared GROUP BY ALL), own AS (SELECT avg(rate) AS base FROM (SELECT avg(value) AS rate FROM scores WHERE arm = 'arm0' GROUP BY track)),
+rates AS (SELECT name, avg(rate) AS resolved, sum(n)::BIGINT AS n_shared, string_agg(concat_ws(':', track, round(rate, 4), n, round(sqrt(rate * (1 - rate) / n), 4)), ';' ORDER BY track) AS per_track FROM tracks GROUP BY name),
+won AS (SELECT name, count(*) FILTER (arm > base) AS wins, count(*) FILTER (arm < base) AS losses FROM shared GROUP BY name)
+SELECT name AS arm, step, n_shared, round(resolved, 6) AS resolved, round(resolved - own.base, 6) AS delta, round(lo, 6) AS lo, round(hi, 6) AS hi, wins, losses,
+round(least(1.0, 2 * (SELECT sum(exp(lgamma(wins + losses + 1) - lgamma(i + 1) - lgamma(wins + losses - i + 1) - (wins + losses) * ln(2))) FROM (SELECT unnest(range(least(wins, losses) + 1)) AS i))), 6) AS p, lo <= 0 AND hi >= 0 AS tied, per_track
+FROM rates JOIN won USING (name) JOIN intervals USING (name) JOIN final ON final.arm = name, own""")
+def arm_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = arm_log(spark, sf_dir)
+    out = statistics.compare_arms(statistics.last_scores(log, "arm", "item", "track", "step", "position", "value", F.col("infra")), "arm0", iterations=2_000)
+    shown = F.transform("per_track", lambda t: F.concat_ws(":", t["track"], F.round(t["rate"], 4), t["n"], F.round(t["se"], 4)))
+    return rounded(out.withColumn("per_track", F.array_join(shown, ";")))
+
+
+#: Runs of twenty plans, in the order of documents; the first of a plan is its baseline.
+RUNS = """SELECT 'plan' || (doc_id % 20) AS plan, doc_id AS position, 'run' || doc_id AS run, CASE WHEN doc_id % 23 = 0 THEN NULL ELSE ((n_chars * 37 + doc_id * 101) % 1000) / 1000.0 + doc_id / 50000.0 END AS value,
+doc_id < 20 AS base, doc_id % 11 = 0 AS failed, CASE WHEN doc_id % 17 <> 0 THEN (doc_id % 13) / 10.0 END AS kl, (n_chars % 29) / 10.0 AS length FROM documents"""
+
+
+@query(f"""WITH RECURSIVE runs AS (SELECT *, value IS NOT NULL AND NOT failed AS sound, concat_ws(',', CASE WHEN kl > 1.1 THEN 'kl' END, CASE WHEN length > 2.5 THEN 'length' END) AS broken, row_number() OVER (PARTITION BY plan ORDER BY position, run) AS k FROM ({RUNS})),
+fold AS (SELECT plan, 0::BIGINT AS k, NULL::BIGINT AS position, NULL::VARCHAR AS run, NULL::VARCHAR AS decision, NULL::VARCHAR AS reason, NULL::VARCHAR AS broken, NULL::VARCHAR AS best, NULL::DOUBLE AS best_value, NULL::VARCHAR AS after, NULL::DOUBLE AS after_value, false AS aborted FROM runs GROUP BY plan
+UNION ALL SELECT plan, k, position, run, CASE WHEN reason = 'aborted' THEN NULL WHEN reason = 'better' OR reason = 'baseline' AND sound THEN 'keep' ELSE 'reject' END, reason, broken, after, after_value,
+CASE WHEN reason = 'better' OR reason = 'baseline' AND sound THEN run ELSE after END, CASE WHEN reason = 'better' OR reason = 'baseline' AND sound THEN value::DOUBLE ELSE after_value END, aborted OR reason = 'baseline' AND NOT sound
+FROM (SELECT r.*, f.after, f.after_value, f.aborted, CASE WHEN f.aborted THEN 'aborted' WHEN base THEN 'baseline' WHEN NOT sound THEN 'failed' WHEN r.broken <> '' THEN 'guards' WHEN f.after_value IS NOT NULL AND NOT r.value::DOUBLE > f.after_value + 0.01 THEN 'not better' ELSE 'better' END AS reason
+FROM fold f JOIN runs r ON r.plan = f.plan AND r.k = f.k + 1))
+SELECT plan, position, run, decision, reason, broken, best, round(best_value, 6) AS best_value FROM fold WHERE k > 0""")
+def run_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    doc = F.col("doc_id")
+    runs = read(spark, sf_dir, "documents").select(
+        F.concat(F.lit("plan"), doc % 20).alias("plan"), doc.alias("position"), F.concat(F.lit("run"), doc).alias("run"),
+        F.when(doc % 23 != 0, ((F.col("n_chars") * 37 + doc * 101) % 1000) / 1000.0 + doc / 50000.0).alias("value"),
+        (doc < 20).alias("base"), (doc % 11 == 0).alias("failed"), F.when(doc % 17 != 0, (doc % 13) / 10.0).alias("kl"), ((F.col("n_chars") % 29) / 10.0).alias("length"),
+    )
+    out = statistics.decisions(runs, "plan", "position", "run", "value", F.col("base"), F.col("failed"), {"kl": 1.1, "length": 2.5}, 0.01)
+    return rounded(out.withColumn("broken", F.array_join("broken", ",")))
 
 
 @query("""SELECT o_orderpriority, round(p, 6) AS p, round(sqrt(greatest(p * (1 - p), 1e-6) / n), 6) AS se, round(p - 0.5, 6) AS delta, abs(p - 0.5) > sqrt(greatest(p * (1 - p), 1e-6) / n) * sqrt(2) AS significant
