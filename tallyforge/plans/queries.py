@@ -322,28 +322,38 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = None
-    for parser in ("strict", "markdown", "fallback", "baseline"):
-        one = responses(spark, sf_dir).withColumn("e", patches.extract_column(F.col("response"), parser)).select("p_partkey", "wrapping", "gold", F.lit(parser).alias("parser"), F.lit("last").alias("select"), F.col("e.status").alias("status"), F.col("e.fmt").alias("fmt"), F.col("e.patch").alias("patch"))
-        out = one if out is None else out.unionByName(one)
-    return out.withColumn("recovered_gold", (F.col("status") == "diff_parse_success") & (F.trim(F.col("patch")) == F.trim(F.col("gold"))))
-
-
-@query("""WITH p AS (SELECT p_partkey % 6 AS k FROM part), c AS (SELECT * FROM p, (VALUES ('strict'), ('markdown'), ('fallback'), ('baseline')) AS v(parser)),
-s AS (SELECT parser, k, CASE parser WHEN 'strict' THEN CASE k WHEN 2 THEN 's' WHEN 4 THEN 'n' ELSE 'f' END WHEN 'markdown' THEN CASE k WHEN 0 THEN 's' WHEN 4 THEN 'n' ELSE 'f' END
-WHEN 'fallback' THEN CASE k WHEN 4 THEN 'n' WHEN 5 THEN 'f' ELSE 's' END ELSE CASE k WHEN 4 THEN 'n' ELSE 's' END END AS s FROM c),
-f AS (SELECT *, CASE WHEN k = 4 THEN 'none' WHEN parser = 'strict' THEN CASE WHEN k = 5 THEN 'fenced_diff' ELSE 'raw' END WHEN k IN (0, 5) THEN 'fenced_diff' WHEN parser = 'markdown' THEN 'unfenced' WHEN k = 1 THEN 'fenced_any' ELSE 'raw_git' END AS fmt FROM s),
-h AS (SELECT parser, string_agg(fmt || ':' || n, ',' ORDER BY fmt) AS fmts FROM (SELECT parser, fmt, count(*) AS n FROM f GROUP BY 1, 2) GROUP BY 1)
+    """A patch of each part, in each wrapping, as each parser reads it. Every fifth patch states a wrong count."""
+    key = F.col("p_partkey").cast("string")
+    gold = F.concat(F.lit(DIFF.format("")[:-1]), key, F.lit("\n"))
+    gold = F.when(F.col("p_partkey") % 5 == 0, F.replace(gold, F.lit("-1,2"), F.lit("-1,3"))).otherwise(gold)
+    files = F.to_json(F.create_map(F.lit("src/f.py"), F.lit("a\nb\n")))
+    rows = read(spark, sf_dir, "part").select("p_partkey", gold.alias("gold")).withColumn("w", F.explode(patches.wrapped_column(F.col("gold")))).select("p_partkey", "gold", "w.wrapping", "w.response")
+    # blocks of a patch that states wrong counts can't be cut from it; they are those of the sound one
+    blocks = F.concat(F.lit("### src/f.py\n<<<<<<< SEARCH\na\nb\n=======\na\nc"), key, F.lit("\n>>>>>>> REPLACE\n"))
+    rows = rows.withColumn("response", F.when(F.col("wrapping") == "search_replace", blocks).otherwise(F.col("response")))
+    each = rows.select("p_partkey", "wrapping", "gold", F.explode(patches.extract_all_column(F.col("response"), files=files)).alias("e"))
+    out = each.select("p_partkey", "wrapping", "gold", F.col("e.parser").alias("parser"), F.lit("last").alias("select"), F.col("e.status").alias("status"), F.col("e.fmt").alias("fmt"), F.col("e.patch").alias("patch"))
+    return out.withColumn("recovered_gold", (F.col("status") == "diff_parse_success") & (F.col("patch") == F.col("gold")))
+
+
+PARSED = """SELECT p_partkey, parser, w, CASE WHEN w = 'search_replace' THEN CASE parser WHEN 'strict' THEN 'n' ELSE 's' END WHEN parser = 'baseline' THEN 's' WHEN bad OR w = 'truncated_hunk' THEN 'f'
+WHEN parser = 'strict' THEN CASE WHEN w IN ('raw', 'crlf_fenced') THEN 's' ELSE 'f' END WHEN parser = 'markdown' THEN CASE WHEN w IN ('fenced_diff', 'crlf_fenced', 'two_blocks_example_then_final') THEN 's' ELSE 'f' END ELSE 's' END AS s,
+CASE WHEN w = 'search_replace' THEN CASE parser WHEN 'strict' THEN 'none' ELSE w END WHEN parser = 'strict' THEN CASE WHEN w IN ('crlf_fenced', 'truncated_hunk') THEN 'fenced_diff' ELSE 'raw' END
+WHEN w IN ('fenced_diff', 'crlf_fenced', 'two_blocks_example_then_final', 'truncated_hunk') THEN 'fenced_diff' WHEN parser = 'markdown' THEN 'unfenced' WHEN w = 'fenced_python_lang' THEN 'fenced_any' ELSE 'raw_git' END AS fmt,
+s = 's' AND CASE WHEN w = 'search_replace' THEN NOT bad WHEN parser = 'baseline' THEN w NOT IN ('raw_prose_after', 'truncated_hunk') ELSE true END AS gold
+FROM (SELECT p_partkey, p_partkey % 5 = 0 AS bad FROM part), (SELECT unnest(['strict', 'markdown', 'fallback', 'baseline']) AS parser), (SELECT unnest([""" + ", ".join(f"'{w}'" for w in patches.WRAPPINGS) + """]) AS w)"""
+
+
+@query(f"""WITH f AS ({PARSED}), h AS (SELECT parser, string_agg(fmt || ':' || n, ',' ORDER BY fmt) AS fmts FROM (SELECT parser, fmt, count(*) AS n FROM f GROUP BY 1, 2) GROUP BY 1)
 SELECT parser, 'last' AS "select", round(avg((s <> 'n')::INT), 6) AS extract_rate, round(avg((s = 's')::INT), 6) AS valid_rate, count(*) AS n, any_value(fmts) AS fmts FROM f JOIN h USING (parser) GROUP BY 1""")
 def parser_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = F.array_join(F.transform(F.array_sort(F.map_entries("fmts")), lambda e: F.concat(e["key"], F.lit(":"), e["value"])), ",")
     return rounded(difficulty.parser_rates(parsed(spark, sf_dir)).withColumn("fmts", shown))
 
 
-@query("""SELECT p AS parser, 'last' AS "select", CASE p WHEN 'strict' THEN 0.0 ELSE 1.0 END::DOUBLE AS fenced_diff, CASE WHEN p IN ('fallback', 'baseline') THEN 1.0 ELSE 0.0 END::DOUBLE AS fenced_python_lang,
-CASE p WHEN 'markdown' THEN 0.0 ELSE 1.0 END::DOUBLE AS raw, CASE WHEN p = 'fallback' THEN 1.0 ELSE 0.0 END::DOUBLE AS prose_around FROM (VALUES ('strict'), ('markdown'), ('fallback'), ('baseline')) AS v(p)""")
+@query(f"""SELECT parser, 'last' AS "select", {", ".join(f"round(avg(gold::INT) FILTER (w = '{w}'), 6) AS {w}" for w in patches.WRAPPINGS)} FROM ({PARSED}) GROUP BY 1""")
 def recovery_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return difficulty.recovery_pivot(parsed(spark, sf_dir), ["fenced_diff", "fenced_python_lang", "raw", "prose_around"])
+    return rounded(difficulty.recovery_pivot(parsed(spark, sf_dir), list(patches.WRAPPINGS)))
 
 
 # Responses that are graded whole: part p is answered in form p % 6 (no fences that fit for 4, wrong counts for 5); every 7th instance is not in the index, every 5th run was not recorded.

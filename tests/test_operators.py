@@ -69,7 +69,8 @@ def test_copies_give_rows_not_pairs(spark):
 
 def test_close_texts(spark):
     df = spark.createDataFrame([("abcdefghij", "abcdefghik"), ("abc", "xyz"), (None, "a")], "a string, b string")
-    assert [round(r.ratio, 3) for r in audits.close_texts(df, "a", "b", 0.85).collect()] == []
+    assert [round(r.ratio, 3) for r in audits.close_texts(df, "a", "b", 0.85).collect()] == [0.9]
+    assert audits.close_texts(df, "a", "b", 0.9).collect() == []
     near = spark.createDataFrame([("abcdefghijklmnopqrst", "abcdefghijklmnopqrsu")], "a string, b string")
     assert audits.close_texts(near, "a", "b").head().ratio == difflib.SequenceMatcher(None, "abcdefghijklmnopqrst", "abcdefghijklmnopqrsu", autojunk=False).ratio()
 
