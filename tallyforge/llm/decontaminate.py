@@ -2,7 +2,7 @@
 
 The windows of all benchmark items (13 consecutive words; an item of fewer words, but not none, is one window of its own length) are hashed and sent to the workers. Each text is cut into words, words outside the benchmark's vocabulary are ruled out first, windows of the rest are looked up by hash, and hits are verified word by word.
 
-The windows are counted before anything is sent. Where they pass WINDOWS_AT_ONCE, items are cut into pieces (overlapping, so that no window is lost), pieces are dealt into blocks below that bound by their hash, and the texts are scanned once for each block: each scan is written to the shared folder, and its windows are dropped everywhere, before the next block is read. The driver never holds more than one block and a number for each block.
+What is sent is measured before: items are cut into pieces (overlapping, so that no window is lost), equal pieces of an item count once, and a piece's windows and words are reckoned in bytes. Where all of them pass BYTES_AT_ONCE, pieces are dealt into blocks below that bound by their hash, and the texts are scanned once for each block: texts are written once, with a number for each row, and a scan writes the numbers and hits of the rows that it hits, before the next block's windows are sent. The driver never holds more than one block and a number for each block; a bound below a single piece is refused.
 
 Defined cases: a null text has no words, and neither has a null item; texts are scanned whole; an item without an id counts for nothing; repeated items count each by its own id, repeated documents each alike; empty tables give an empty result or no hits; other columns pass through, except those named as a result column, which the result replaces.
 """
@@ -22,10 +22,12 @@ from pyspark.sql import functions as F
 from .common import map_texts, small_batches, stage
 
 N = 13
-#: Windows sent to the workers at once: 64 bytes each in arrays, and a word of the vocabulary (some 120 bytes) each at worst.
-WINDOWS_AT_ONCE = 1_000_000
-#: Windows of a piece of an item, where a benchmark is dealt into blocks.
+#: Bytes of windows and words that are sent to the workers at once (and held by the driver).
+BYTES_AT_ONCE = 128 << 20
+#: Windows of a piece of an item.
 PIECE = 10_000
+#: What a piece, a window (its hash, owner and sorting, without its word numbers), and a word (its bytes object, number and place in the dictionary, without its letters) take, at least as much as measured.
+PIECE_BYTES, WINDOW_BYTES, WORD_BYTES = 600, 48, 220
 
 # A word is a run of [^\x00-\x2F\x3A-\x60\x7B-\x7F] after A-Z are lower-cased; in UTF-8 these are digits, a-z and all bytes from 0x80.
 LOWERED = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -125,8 +127,14 @@ def without(text: str, runs: list[tuple[int, int]]) -> str:
 RUNS, ITEMS = "array<struct<start:bigint,end:bigint>>", "array<string>"
 
 
+def reckoned(words: list[bytes], n: int) -> int:
+    """Bytes that a piece takes in Windows, at most: its words might all be new."""
+    size = min(n, len(words))
+    return PIECE_BYTES + max(1, len(words) - n + 1) * (WINDOW_BYTES + 8 * size) + sum(WORD_BYTES + len(w) for w in set(words))
+
+
 def pieces(benchmark: DataFrame, n: int) -> DataFrame:
-    """item_id, text and windows of the items, each cut into pieces of at most PIECE windows; neighbours share n - 1 words."""
+    """item_id, text and bytes (reckoned()) of the items, each cut into pieces of at most PIECE windows; neighbours share n - 1 words. Equal ones of an item are one."""
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         for x in batches:
@@ -135,29 +143,33 @@ def pieces(benchmark: DataFrame, n: int) -> DataFrame:
                 words = words_of(text)
                 for k in range(0, max(1, len(words) - n + 1), PIECE):
                     part = words[k : k + PIECE + n - 1]
-                    rows.append((item, b" ".join(part).decode(), max(1, len(part) - n + 1)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((), (), ()), (pa.string(), pa.string(), pa.int64()))], names=["item_id", "text", "windows"])
+                    if part:
+                        rows.append((item, b" ".join(part).decode(), reckoned(part, n)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((), (), ()), (pa.string(), pa.string(), pa.int64()))], names=["item_id", "text", "bytes"])
 
     small_batches(benchmark.sparkSession)
-    return benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.col("item_id").isNotNull()).mapInArrow(cut, "item_id string, text string, windows bigint")
+    source = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.col("item_id").isNotNull())
+    return source.mapInArrow(cut, "item_id string, text string, bytes bigint").dropDuplicates(["item_id", "text"])
 
 
 def item_blocks(benchmark: DataFrame, n: int, at_once: int) -> list[DataFrame]:
-    """The pieces of all items, in tables of at most at_once windows each."""
+    """The pieces of all items, in tables of at most at_once bytes each."""
     cut = stage(pieces(benchmark, n), "items")
-    total, largest = cut.agg(F.sum("windows"), F.max("windows")).head()
+    total, largest = cut.agg(F.sum("bytes"), F.max("bytes")).head()
     if (total or 0) <= at_once:
         return [cut]
+    if largest > at_once:
+        raise ValueError(f"a piece of {PIECE} windows takes {largest} bytes, more than the {at_once} that may be sent at once")
     blocks = -(-2 * total // at_once)
-    while True:
+    while True:  # pieces differ, so that their hashes part them at last
         dealt = cut.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
-        sizes = dict(dealt.groupBy("block").agg(F.sum("windows")).collect())  # a number for each block
-        if max(sizes.values()) <= max(at_once, largest) or blocks > 64 * total:
+        sizes = dict(dealt.groupBy("block").agg(F.sum("bytes")).collect())  # a number for each block
+        if max(sizes.values()) <= at_once:
             return [dealt.where(F.col("block") == b).drop("block") for b in sorted(sizes)]
         blocks *= 2
 
 
-def find_windows(docs: DataFrame, benchmark: DataFrame, text: str = "text", n: int = N, keep: list[str] | None = None, at_once: int = WINDOWS_AT_ONCE) -> DataFrame:
+def find_windows(docs: DataFrame, benchmark: DataFrame, text: str = "text", n: int = N, keep: list[str] | None = None, at_once: int = BYTES_AT_ONCE) -> DataFrame:
     """docs with n_words, hit_runs (array of struct start, end: merged runs of hit words, end exclusive) and hit_items (array of item ids as strings, sorted)."""
     spark = docs.sparkSession
     columns = docs.columns if keep is None else keep
@@ -165,7 +177,7 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, text: str = "text", n: i
     blocks = item_blocks(benchmark, n, at_once)
 
     def scanned(source: DataFrame, block: DataFrame, carry: list[str]) -> tuple[DataFrame, object]:
-        items = block.select("item_id", "text").collect()  # at most at_once windows
+        items = block.select("item_id", "text").collect()  # at most at_once bytes with all that is made of them
         shared = spark.sparkContext.broadcast(Windows(items, n))
 
         def batch(texts: list[str]) -> dict[str, pa.Array]:
@@ -180,18 +192,26 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, text: str = "text", n: i
 
     if len(blocks) == 1:
         return scanned(docs, blocks[0], keep)[0].select(*keep, "n_words", "hit_runs", "hit_items")
-    carried = [*dict.fromkeys([*keep, text])]
-    out = docs.select(*carried).withColumn("_tf_runs", F.expr("array()").cast(RUNS)).withColumn("_tf_items", F.expr("array()").cast(ITEMS))
+    row = "_tf_row"
+    numbered = stage(docs.select(*dict.fromkeys([*keep, text])).withColumn(row, F.monotonically_increasing_id()), "numbered")
+    hits, counts = [], None
     for block in blocks:
-        one, shared = scanned(out, block, [*carried, "_tf_runs", "_tf_items"])
-        out = stage(one.withColumn("_tf_runs", F.concat("_tf_runs", "hit_runs")).withColumn("_tf_items", F.concat("_tf_items", "hit_items")).drop("hit_runs", "hit_items"), "scanned")
+        one, shared = scanned(numbered, block, [row])
+        one = stage(one.where(F.lit(counts is None) | (F.size("hit_runs") > 0)), "scanned")  # the first scan counts the words of all rows
         shared.destroy()  # written: no later task needs the windows
+        counts = one.select(row, "n_words") if counts is None else counts
+        hits.append(one.where(F.size("hit_runs") > 0).select(row, "hit_runs", "hit_items"))
+    together = hits[0]
+    for more in hits[1:]:
+        together = together.unionByName(more)
+    together = together.groupBy(row).agg(F.flatten(F.collect_list("hit_runs")).alias("_tf_runs"), F.flatten(F.collect_list("hit_items")).alias("_tf_items"))  # a list for each block
+    empty = lambda kind: F.expr("array()").cast(kind)
+    out = numbered.join(counts, row).join(together, row, "left").withColumns({"_tf_runs": F.coalesce("_tf_runs", empty(RUNS)), "_tf_items": F.coalesce("_tf_items", empty(ITEMS))})
     # runs of several blocks are merged: fold the sorted runs, joining those that touch
-    empty = F.expr("array()").cast(RUNS)
     last = lambda acc: F.element_at(acc, -1)
     joined = F.aggregate(
         F.array_sort("_tf_runs"),
-        empty,
+        empty(RUNS),
         lambda acc, r: F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] >= r["start"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["end"], r["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(r))),
     )
     return out.select(*keep, "n_words", F.when(F.size("_tf_runs") > 1, joined).otherwise(F.col("_tf_runs")).alias("hit_runs"), F.array_sort(F.array_distinct("_tf_items")).alias("hit_items"))

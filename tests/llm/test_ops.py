@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -629,7 +630,7 @@ def plain_hits(doc, items):
     return len(words_), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("at_once", [decontaminate.WINDOWS_AT_ONCE, 5])
+@pytest.mark.parametrize("at_once", [decontaminate.BYTES_AT_ONCE, 15_000])
 def test_contamination(spark, docs, nothing, at_once):
     rng = random.Random(6)
     items = [(k, words(rng, 20)) for k in range(6)] + [(10, "alpha beta!"), (11, None), (12, ""), (13, "ÉCOLE Zürich"), (14, words(random.Random(5), 3))]
@@ -652,16 +653,61 @@ def test_blocks_of_items_are_bounded_and_scanned_one_by_one(spark, monkeypatch):
     items = [(k, words(rng, 30)) for k in range(20)] + [(50, words(rng, 400)), (51, "short item"), (None, words(rng, 30))]
     bench = spark.createDataFrame(items, "item_id long, text string")
     monkeypatch.setattr(decontaminate, "PIECE", 40)
-    blocks = decontaminate.item_blocks(bench, 13, 100)
-    assert len(blocks) > 5 and all(b.agg(F.sum("windows")).head()[0] <= 100 for b in blocks)
+    blocks = decontaminate.item_blocks(bench, 13, 25_000)
+    assert len(blocks) > 5 and all(b.agg(F.sum("bytes")).head()[0] <= 25_000 for b in blocks)
+    with pytest.raises(ValueError, match="may be sent at once"):
+        decontaminate.item_blocks(bench, 13, 10_000)
     long = items[20][1].split()
     df = spark.createDataFrame([(1, items[3][1] + " x " + items[4][1]), (2, " ".join(long[30:70])), (3, "a short item"), (4, " ".join(long)), (5, None)], "doc_id long, text string")
-    out = decontaminate.find_windows(df, bench, at_once=100)
+    out = decontaminate.find_windows(df, bench, at_once=25_000)
     assert "MapInArrow" not in out._jdf.queryExecution().executedPlan().toString()  # every scan is written before the next
     want = Counter((k, *plain_hits(t, [x for x in items if x[0] is not None])[:2], ",".join(plain_hits(t, [x for x in items if x[0] is not None])[2])) for k, t in [(r.doc_id, r.text) for r in df.collect()])
     assert Counter((r.doc_id, r.n_words, sum(x["end"] - x["start"] for x in r.hit_runs), ",".join(r.hit_items)) for r in out.collect()) == want
 
 
+def measured(block):
+    """Bytes that the windows of a block's items take, and at most took while they were made."""
+    items = [tuple(r) for r in block.select("item_id", "text").collect()]
+    tracemalloc.start()
+    try:
+        windows = decontaminate.Windows(items)
+        return (*tracemalloc.get_traced_memory(), windows)
+    finally:
+        tracemalloc.stop()
+
+
+def test_repeated_and_short_items_stay_below_the_bound(spark):
+    rng = random.Random(8)
+    long = words(rng, 5012)
+    copies = spark.createDataFrame([(7, long)] * 60 + [(8, long)], "item_id long, text string")
+    blocks = decontaminate.item_blocks(copies, 13, 3 << 19)
+    assert len(blocks) == 2 and [b.count() for b in blocks] == [1, 1]  # a repeated item is one, another of the same text isn't
+    n = 50_000
+    short = spark.range(n).select(F.col("id").alias("item_id"), F.concat_ws(" ", *[F.concat(F.lit(f"w{k}x"), "id") for k in range(13)]).alias("text"))
+    bound = 8 << 20
+    blocks = decontaminate.item_blocks(short, 13, bound)
+    sizes = [b.agg(F.sum("bytes")).head()[0] for b in blocks[:5]]
+    assert max(sizes) <= bound and len(blocks) * bound > n * 13 * 100
+    now, most, windows = measured(blocks[0])
+    assert most <= sizes[0] <= bound and now > sizes[0] / 5, (now, most, sizes[0])
+    now, most, _ = measured(decontaminate.item_blocks(copies, 13, 3 << 19)[0])
+    assert most <= 3 << 19
+
+
+def test_texts_are_written_once_for_all_blocks(spark, tmp_path, monkeypatch):
+    """Scans of several blocks write row numbers and hits, and of rows without hits only the first one's count."""
+    seen = []
+    inner = decontaminate.stage
+    monkeypatch.setattr(decontaminate, "stage", lambda df, name, **k: seen.append((name, df.columns)) or inner(df, name, **k))
+    rng = random.Random(9)
+    items = spark.createDataFrame([(k, words(rng, 40)) for k in range(12)], "item_id long, text string")
+    docs = items.select(F.col("item_id").alias("doc_id"), F.concat(F.lit("so "), "text").alias("text"), F.lit("z").alias("hit_runs")).union(spark.createDataFrame([(99, "nothing here", "z"), (99, None, "z"), (None, "", "z")], "doc_id long, text string, hit_runs string"))
+    out = decontaminate.judged(decontaminate.find_windows(docs, items, at_once=25_000)).collect()
+    assert [c for n, c in seen if n == "numbered"] == [["doc_id", "text", "_tf_row"]]
+    assert all("text" not in c for n, c in seen if n == "scanned") and sum(n == "scanned" for n, _ in seen) > 3
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_words, r.n_hit) for r in out) == sorted([(k, 41, 40) for k in range(12)] + [(99, 2, 0), (99, 0, 0), (-1, 0, 0)])
+
+
 def plain_base(text):
     found = []
     for kind, pattern, least in (("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12), ("access", r"AKIA[A-Z0-9]+", 18), ("hex", r"[0-9a-f]+", 16)):
