@@ -777,6 +777,25 @@ LEXED = [
     (f"db_pwd = f(g('{SECRET}'), k='x')", [SECRET]),
     (f"db_pwd = f(user=g('{SECRET}'))", []),
     (f"db_pwd = f(g('x'), '{SECRET}')", [SECRET]),
+    (f"<password>{SECRET}</password>", [SECRET]),
+    (f'passwords = ["{SECRET}", "{OTHER}"]\nnames = ["{SECRET}x"]', [SECRET, OTHER]),
+    (f'{{"passwords": [\n "{SECRET}",\n "{OTHER}"], "user": "{OTHER}1"}}', [SECRET, OTHER]),
+    (f"db_passwords:\n  - {SECRET}\n  - '{OTHER}'\nusers:\n  - {OTHER}2", [SECRET, OTHER]),
+    (f'user, password = "{OTHER}", "{SECRET}"', [SECRET]),
+    (f'password, user := "{SECRET}", "{OTHER}"', [SECRET]),
+    (f"f(user, password='{SECRET}', other='{OTHER}')", [SECRET]),
+    (f'const dbPassword string = "{SECRET}"', [SECRET]),
+    (f'var (\n\tuser string = "{OTHER}"\n\tdbPassword []byte = []byte("{SECRET}")\n)', [SECRET]),
+    (f"let db_password: &'static str = \"{SECRET}\";", [SECRET]),
+    (f'char db_password[] = "{SECRET}";', [SECRET]),
+    (f'{{"clientSecret": {{"value": "{SECRET}"}}, "color": {{"value": "{OTHER}"}}}}', [SECRET]),
+    (f'{{"clientSecret": {{"kind": "{OTHER}", "default": "{SECRET}"}}}}', [SECRET]),
+    (f"client_secret:\n  value: {SECRET}\ncolor:\n  value: {OTHER}\n", [SECRET]),
+    (f'<add key="DbPassword" value="{SECRET}"/><add key="Color" value="{OTHER}"/>', [SECRET]),
+    (f'<add value="{SECRET}" key="DbPassword"/>', [SECRET]),
+    (f'env:\n- name: DB_PASSWORD\n  value: "{SECRET}"\n- name: COLOR\n  value: "{OTHER}"', [SECRET]),
+    (f'[{{"name": "DB_PASSWORD", "value": "{SECRET}"}}, {{"name": "COLOR", "value": "{OTHER}"}}]', [SECRET]),
+    ("db_pwd = f(" + "a_long_name" * 30 + f" = g('{SECRET}'))", []),
 ]
 
 
@@ -786,6 +805,97 @@ def test_lexer(text, want):
     assert [text[s:e] for s, e in got] == want
 
 
+def generated_file(rng, syntax):
+    """A file of one syntax, and the literals in it that stand for secrets, by their places; written by rules that know nothing of the lexer."""
+    bad, good = ["db_password", "apiKeySecret", "AUTH_TOKEN", "clientCredential", "signing-passphrase"], ["colour", "userName", "HOST_PORT", "title_text", "retry-count"]
+    letters = "abcdefghkmnpqrstuvwxyzABCDEFGHKLMNPQRSTUVWXYZ23456789"
+    out, spans = "", []
+
+    def literal(sensitive):
+        if rng.random() < 0.15:
+            return rng.choice(["changeme", "example", "your_value", "none"]), False
+        return "".join(rng.sample(letters, 16)) + rng.choice(["q7", "Z9", "x3"]), sensitive
+
+    def put(*parts):
+        nonlocal out
+        for x in parts:
+            text, secret = x if isinstance(x, tuple) else (x, False)
+            if secret:
+                spans.append((len(out), len(out) + len(text)))
+            out += text
+
+    for k in range(rng.randrange(3, 14)):
+        sensitive = rng.random() < 0.5
+        name = rng.choice(bad if sensitive else good)
+        value, other = literal(sensitive), literal(False)
+        plain = name.replace("-", "_")
+        if syntax == "python":
+            form = rng.randrange(7)
+            if form == 0:
+                put(f"{plain} = '", value, "'\n")
+            elif form == 1:
+                put(f'self.{plain}: str = "', value, '"  # set\n')
+            elif form == 2:
+                put(f"colour{k}, {plain} = '", other, "', \"", value, '"\n')
+            elif form == 3:
+                put(f"{plain} = [\n    '", value, "',\n    '", literal(sensitive), "',\n]\n")
+            elif form == 4:
+                put(f"connect(host{k}, {plain}='", value, "', mode='", other, "')\n")
+            elif form == 5:
+                put(f"held{k} = '", value, f"'\n{plain} = held{k}\n")
+            else:
+                put(f"{plain} = get('", other if not sensitive else value, "')\n")
+        elif syntax == "json":
+            form = rng.randrange(4)
+            put("{" if not k else "", f'"{name}": ')
+            if form == 0:
+                put('"', value, '",\n')
+            elif form == 1:
+                put('["', value, '", "', literal(sensitive), '"],\n')
+            elif form == 2:
+                put('{"note": "', other, '", "value": "', value, '"},\n')
+            else:
+                put('"",\n"list": [{"name": "' + name + '", "value": "', value, '"}],\n')
+        elif syntax == "yaml":
+            form = rng.randrange(5)
+            if form == 0:
+                put(f"{name}: ", value, "\n")
+            elif form == 1:
+                put(f"{name}:\n  - ", value, "\n  - '", literal(sensitive), "'\n")
+            elif form == 2:
+                put(f"{name}:\n  note: ", other, "\n  value: '", value, "'\n")
+            elif form == 3:
+                put(f"{name}: |\n  ", value, "\nend: 1\n")
+            else:
+                put(f"env:\n  - name: {name}\n    value: ", value, "\n")
+        elif syntax == "shell":
+            form = rng.randrange(3)
+            if form == 0:
+                put(f"export {plain}=", value, "\n")
+            elif form == 1:
+                put(f"VALUE{k}='", value, f"'\n{plain}=${{VALUE{k}}}\n")
+            else:
+                put(f"run --{name}=", value, " --mode=", other, "\n")
+        else:
+            form = rng.randrange(3)
+            if form == 0:
+                put(f"<{name}>", value, f"</{name}>\n")
+            elif form == 1:
+                put(f'<add key="{name}" value="', value, '"/>\n')
+            else:
+                put(f'<set {name}="', value, '" mode="', other, '"/>\n')
+    return out, sorted(spans)
+
+
+@pytest.mark.parametrize("syntax", ["python", "json", "yaml", "shell", "xml"])
+def test_lexer_finds_what_generated_files_hold(syntax):
+    rng = random.Random(len(syntax))
+    for _ in range(300):
+        text, want = generated_file(rng, syntax)
+        got = secrets.lexed_spans(text)
+        assert got == want, (text, [text[a:b] for a, b in want], [text[a:b] for a, b in got])
+
+
 def test_lexer_on_any_text():
     rng = random.Random(3)
     pool = ["pwd", "secret_key", "=", ":", '"', "'", "`", "\\", "\n", " ", "(", ")", "|", ">", "<pwd>", "</pwd>", "+", "${", "}", "q8Wz-77kLmP", '"' * 3, "'" * 3, "[", "]", "--", "x"]
@@ -793,7 +903,7 @@ def test_lexer_on_any_text():
         t = "".join(rng.choice(pool) for _ in range(rng.randrange(40)))
         spans = secrets.lexed_spans(t)
         assert all(0 <= s < e <= len(t) for s, e in spans) and spans == sorted(set(spans))
-    for t in ('pwd="' + "\\" * 200_001, "pwd=" + "'" * 150_000, "pwd: |\n" + "  x\n" * 50_000, "a" * 300_000 + "=", "x=(" * 50_000, "<pwd>" * 40_000, '"' * 100_000, "pwd=f(" * 20_000):
+    for t in ('pwd="' + "\\" * 200_001, "pwd=" + "'" * 150_000, "pwd: |\n" + "  x\n" * 50_000, "a" * 300_000 + "=", "x=(" * 50_000, "<pwd>" * 40_000, '"' * 100_000, "pwd=f(" * 20_000, "pwd=[" * 20_000, "pwd={" * 20_000, "value=" * 20_000, "a, " * 50_000 + "pwd = 1", "pwd:\n" + "- x\n" * 50_000, "name='x' value='y' " * 20_000, ("pwd:\n" + " " * 50) * 5_000):
         secrets.lexed_spans(t)  # in time that grows with the length alone
 
 
