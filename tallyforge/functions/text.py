@@ -73,10 +73,15 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(either > 0, both / either).otherwise(F.lit(0.0))
 
 
-def letter_counts(x: Column) -> Column:
-    """How often each letter (code point) of a text occurs, as a map."""
-    letters = F.array_distinct(F.regexp_extract_all(x, F.lit("(?s)."), F.lit(0)))
-    return let(F.struct(x.alias("x")), lambda v: F.map_from_entries(F.transform(letters, lambda c: F.struct(c, F.length(v["x"]) - F.length(F.replace(v["x"], c, F.lit("")))))))
+def common_letters(x: str, y: str) -> int:
+    """How many letters (code points) two texts have in common, each as often as both have it."""
+    a, b = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (x, y))
+    if not len(a) or not len(b):
+        return 0
+    if (size := int(max(a.max(), b.max())) + 1) > 1 << 14:
+        a, b = np.split(np.unique(np.r_[a, b], return_inverse=True)[1], [len(a)])
+        size = int(max(a.max(), b.max())) + 1
+    return int(np.minimum(np.bincount(a, minlength=size), np.bincount(b, minlength=size)).sum())
 
 
 def length_bound(a: Column, b: Column) -> Column:
@@ -86,10 +91,14 @@ def length_bound(a: Column, b: Column) -> Column:
 
 
 def letter_bound(a: Column, b: Column) -> Column:
-    """What it can be at most by the letters that both have, however they are ordered."""
-    both = F.length(a) + F.length(b)
-    common = let(F.struct(letter_counts(a).alias("a"), letter_counts(b).alias("b")), lambda v: F.aggregate(F.map_entries(v["a"]), F.lit(0), lambda acc, e: acc + F.least(e["value"], F.coalesce(F.try_element_at(v["b"], e["key"]), F.lit(0)))))
-    return F.when(both == 0, 1.0).otherwise(2.0 * common / both)
+    """What it can be at most by the letters that both have, however they are ordered; 1 for two empty texts."""
+
+    @F.pandas_udf("double")
+    def run(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for left, right in pairs:
+            yield pd.Series([2.0 * common_letters(x, y) / (len(x) + len(y)) if x or y else 1.0 for x, y in zip(left, right)], dtype="float64")
+
+    return run(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))
 
 
 #: Product of lengths up to which difflib itself is the faster way to matching blocks.

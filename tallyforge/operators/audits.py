@@ -116,7 +116,7 @@ def similar_pairs(df: DataFrame, group: str, item: str, body: str, threshold: fl
 def close_texts(pairs: DataFrame, a: str, b: str, threshold: float = 0.9) -> DataFrame:
     """pairs with ratio, the similarity of two text columns by matching blocks, where it is over the threshold. A null text counts as empty.
 
-    A cascade: lengths, then letters rule out pairs in the JVM, and only those that both bounds leave go to the exact ratio.
+    A cascade: lengths rule out pairs in the JVM, then letters, whose work grows with the lengths alone, and only those that both bounds leave go to the exact ratio.
     """
     left, right = (F.coalesce(F.col(c), F.lit("")) for c in (a, b))
     possible = pairs.where(text.length_bound(left, right) > threshold).where(text.letter_bound(left, right) > threshold)

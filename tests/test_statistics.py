@@ -192,7 +192,7 @@ def test_bounds_equal_quick_ratios_and_rule_out_first(spark):
     want = {k for k, (a, b) in enumerate(pairs) if difflib.SequenceMatcher(None, a or "", b or "", autojunk=False).ratio() > 0.9}
     assert {r.k for r in close.collect()} == want
     plan = close._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.index("ArrowEvalPython") < plan.rindex("Filter")  # the filters by bounds are below
+    assert plan.count("ArrowEvalPython") == 2 and plan.index("ArrowEvalPython") < plan.rindex("Filter")  # the filters by bounds are below
 
 
 def test_close_pairs_of_documents(spark):
