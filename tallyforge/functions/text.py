@@ -141,4 +141,4 @@ def sequence_ratio(a: Column, b: Column) -> Column:
         for left, right in pairs:
             yield pd.Series([matching_ratio(x or "", y or "") for x, y in zip(left, right)], dtype="float64")
 
-    return run(a, b)
+    return run.asNondeterministic()(a, b)  # else a filter by it would have it computed twice
