@@ -2,7 +2,7 @@ r"""Line dedup over levelled sorted runs of line hashes, in DataFrame operations
 
 Texts are read twice: once to hash their long lines into a staged table (document, key), 24 bytes a line, and once to drop lines. A key is a pair of 64-bit hashes of the line (stripped, A-Z lower-cased).
 
-A run is a table of line keys with the number of documents that hold them and the largest doc_id among those, in buckets by key, each bucket sorted by key. All runs have the same buckets, so they are folded, merged and anti-joined bucket by bucket, and no run is shuffled again. Documents come in batches of descending doc_id. Each new batch is merge-anti-joined against the runs' settled keys (those already in min_docs documents: their fate and their last holder can't change any more, as later batches have smaller ids) and the rest is added as a new run of level 0. When a level holds `fanout` runs, they are merged into one of the next level. In the end the keys of all runs in min_docs documents or more are the frequent ones, and documents lose the lines with such keys unless they are the key's last holder. A batch is combined by document and key before it is brought together by key, so a line that most documents share makes no large task.
+A run is a table of line keys with the number of documents that hold them and the largest doc_id among those, in buckets by key, each bucket sorted by key. All runs have the same buckets, so they are folded and merged bucket by bucket, and no run is shuffled. Documents come in batches of descending doc_id. For each new batch the runs are folded into one run of settled keys (those already in min_docs documents: their fate and their last holder can't change any more, as later batches have smaller ids); the batch is combined by document and key, then by key in each task, dealt to the buckets as sums and merge-anti-joined against that run, and the rest is added as a new run of level 0. So a line that most documents share makes no large task. When a level holds `fanout` runs, they are merged into one of the next level. In the end the keys of all runs in min_docs documents or more are the frequent ones, and documents lose the lines with such keys unless they are the key's last holder.
 
 Defined cases: a null or empty text is one empty line, which is never dropped, and a null text stays null; lines of any length and texts of any size are handled whole; a doc_id that repeats is one document, all of whose rows are treated alike; a null doc_id counts as the smallest; keys of fewer than min_chars code points always stay; a text that loses all its lines becomes empty; an empty table gives an empty result; other columns pass through.
 """
@@ -68,6 +68,7 @@ class Runs:
     min_docs: int = MIN_DOCS
     fanout: int = FANOUT
     levels: list[list[str]] = field(default_factory=list)
+    tables: list[str] = field(default_factory=list)
     made: int = 0
 
     def __post_init__(self) -> None:
@@ -83,31 +84,48 @@ class Runs:
     def names(self) -> list[str]:
         return [n for level in self.levels for n in level]
 
-    def write(self, run: DataFrame, level: int) -> None:
+    def table(self, run: DataFrame) -> str:
+        """The name of a new table of keys, in the runs' buckets."""
         name = f"tf_run_{uuid.uuid4().hex}"
-        self.made += 1
+        self.tables.append(name)  # before it is written: what a failure leaves is dropped too
         run.write.format("parquet").bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", f"{self.root}/{name}").saveAsTable(name)
+        return name
+
+    def write(self, run: DataFrame, level: int) -> None:
+        self.made += 1
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(name)
+        self.levels[level].append(self.table(run))
 
-    def drop(self, names: list[str]) -> None:
-        for n in names:
+    def drop(self, names: list[str] | None = None) -> None:
+        """Removes tables, all that there are by default."""
+        for n in list(self.tables if names is None else names):
             self.spark.sql(f"DROP TABLE IF EXISTS {n}")
             remove(self.spark, f"{self.root}/{n}")
+            self.tables.remove(n)
 
     def folded(self, rows: DataFrame) -> DataFrame:
         return rows.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
 
     def frequent(self) -> DataFrame:
+        """The settled keys: the runs are folded bucket by bucket."""
         return self.folded(self.read(self.names())).where(F.col("n_docs") >= self.min_docs)
 
+    def fresh(self, batch: DataFrame, settled: str) -> DataFrame:
+        """The keys of batch (h1, h2, n_docs, last_doc) that aren't in the run of settled keys: the batch is dealt to the runs' buckets and merged with that run, which stays where it is."""
+        # an anti-join would be moved below the batch's sums, so that raw rows were dealt by key; a left join that keeps what finds nothing isn't
+        known = self.spark.table(settled).select(*KEY, F.lit(True).alias("known"))
+        return batch.join(known.hint("merge"), KEY, "left").where(F.col("known").isNull()).select(*KEY, "n_docs", "last_doc")
+
     def add(self, held: DataFrame) -> None:
         """held: h1, h2, doc (a row for each document and key, possibly repeated), all of documents below those added before."""
         batch = held.select("doc", *KEY).distinct().groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc").alias("last_doc"))
         if self.names():
-            batch = batch.join(self.frequent().select(*KEY).hint("merge"), KEY, "left_anti")
-        self.write(batch, 0)
+            settled = self.table(self.frequent())
+            self.write(self.fresh(batch, settled), 0)
+            self.drop([settled])
+        else:
+            self.write(batch, 0)
         self.compact()
 
     def compact(self) -> None:
@@ -131,13 +149,17 @@ def build_runs(held: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES
     spark = held.sparkSession
     runs = Runs(spark, staging_dir(spark, "line-runs"), min_docs)
     bounds = sorted(set(held.select(F.percentile_approx("doc", [k / batches for k in range(1, batches)])).head()[0] or []))
-    for k in range(len(bounds), -1, -1):
-        part = held
-        if k < len(bounds):
-            part = part.where(F.col("doc") < bounds[k])
-        if k:
-            part = part.where(F.col("doc") >= bounds[k - 1])
-        runs.add(part)
+    try:
+        for k in range(len(bounds), -1, -1):
+            part = held
+            if k < len(bounds):
+                part = part.where(F.col("doc") < bounds[k])
+            if k:
+                part = part.where(F.col("doc") >= bounds[k - 1])
+            runs.add(part)
+    except BaseException:
+        runs.drop()
+        raise
     return runs
 
 
@@ -151,8 +173,10 @@ def dedup_lines(docs: DataFrame, text: str = "text", min_docs: int = MIN_DOCS, m
     """docs with n_lines (before), n_dropped, and text without the dropped lines."""
     held = line_hashes(docs, text, min_chars)
     runs = build_runs(held, min_docs, batches)
-    frequent = stage(runs.frequent(), "frequent")
-    runs.drop(runs.names())
+    try:
+        frequent = stage(runs.frequent(), "frequent")
+    finally:
+        runs.drop()
     if frequent.count() <= BROADCAST_KEYS:
         frequent = F.broadcast(frequent)
     drop = dropped_keys(held, frequent)

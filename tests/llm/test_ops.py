@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tallyforge.llm import chat, decontaminate, line_dedup, near_dedup, probminhash, rans, secrets, sharding, simhash, token_files, toxicity, wordtable
+from tallyforge.llm import chat, common, decontaminate, line_dedup, near_dedup, probminhash, rans, secrets, sharding, simhash, token_files, toxicity, wordtable
 from tallyforge.llm.pieces import SPACE, Pieces, digest_documents, encode_documents, pieces_of
 
 public = pytest.importorskip("public_tokenizers")
@@ -409,7 +409,52 @@ def test_runs_compact_into_levels(spark, docs, nothing):
     assert got == {k: max(v) for k, v in docs_of.items() if len(v) >= 5}
     runs.drop(runs.names())
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("tf_run_")]
-    assert line_dedup.build_runs(line_dedup.line_hashes(nothing)).frequent().count() == 0
+    empty = line_dedup.build_runs(line_dedup.line_hashes(nothing))
+    assert empty.frequent().count() == 0
+    empty.drop()
+
+
+def test_a_batch_meets_the_runs_where_they_are(spark, tmp_path):
+    """Over two and three runs: nothing above a run is an exchange, raw rows are summed before they are dealt by key, and a line of a third of all documents makes no large task."""
+    path = f"file://{tmp_path}/held"
+    key = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 2500)
+    spark.range(30_000).select((F.col("id") % 3000).alias("doc"), F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2")).repartition(8).write.parquet(path)
+    held = spark.read.parquet(path)
+    runs = line_dedup.Runs(spark, common.staging_dir(spark, "runs"), 5, 10)
+    for k in range(3):
+        runs.add(held.where(F.col("doc") % 4 == k))
+        if k == 0:
+            continue
+        assert len(runs.names()) == k + 1
+        fold = runs.frequent()._jdf.queryExecution().executedPlan().toString()
+        assert fold.count("Bucketed: true") >= k + 1 and "Exchange" not in fold
+        settled = runs.table(runs.frequent())
+        batch = held.where(F.col("doc") % 4 == 3).select("doc", "h1", "h2").distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc").alias("last_doc"))
+        out = runs.fresh(batch, settled)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        left, right = plan.split("Bucketed: true")[0], plan[plan.index("tf_run_") - 800 :]
+        assert plan.count("Exchange hashpartitioning(h1") == 1 and "SortMergeJoin" in plan
+        assert "HashAggregate" in left.split("Exchange hashpartitioning(h1")[1].split("\n")[1] and "partial_count" in left.split("Exchange hashpartitioning(h1")[1].split("\n")[1]
+        assert "Exchange" not in right.split("SortMergeJoin")[-1].split("Sort [")[-1]
+        assert out.where(F.col("h1") == F.xxhash64(F.lit(0))).count() == 0  # the hot line is settled
+        runs.drop([settled])
+    runs.drop()
+    assert not runs.tables and not [t.name for t in spark.catalog.listTables() if t.name.startswith("tf_run_")]
+
+
+def test_a_failing_batch_leaves_no_tables(spark, docs, monkeypatch):
+    inner, made = line_dedup.Runs.add, []
+
+    def add(self, held):
+        if made:
+            raise RuntimeError("lost")
+        made.append(1)
+        inner(self, held)
+
+    monkeypatch.setattr(line_dedup.Runs, "add", add)
+    with pytest.raises(RuntimeError, match="lost"):
+        line_dedup.dedup_lines(docs)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("tf_run_")]
 
 
 def test_line_dedup_of_odd_rows(spark):
