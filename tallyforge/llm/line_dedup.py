@@ -10,6 +10,8 @@ Defined cases: a null or empty text is one empty line, which is never dropped, a
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +23,9 @@ MIN_DOCS, MIN_CHARS, BATCHES, FANOUT = 5, 40, 4, 2
 KEY = ["h1", "h2"]
 #: Most frequent keys (24 bytes each) that are broadcast; beyond that they are joined by a shuffle, whose skewed parts adaptive execution splits.
 BROADCAST_KEYS = 200_000
+#: Rows of line hashes (24 bytes each) for a bucket of the runs, about; at least a bucket for each core.
+BUCKET_ROWS = 2_000_000
+PARTITIONS = "spark.sql.shuffle.partitions"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LEAST_ID = -(1 << 63)
 #: Letters beyond ASCII that lower() would change.
@@ -67,13 +72,23 @@ class Runs:
     root: str
     min_docs: int = MIN_DOCS
     fanout: int = FANOUT
+    buckets: int = 0
     levels: list[list[str]] = field(default_factory=list)
     tables: list[str] = field(default_factory=list)
     made: int = 0
 
     def __post_init__(self) -> None:
-        # as many buckets as a shuffle has partitions, so that a new batch meets the runs as it is dealt
-        self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = self.buckets or int(self.spark.conf.get(PARTITIONS))
+
+    @contextmanager
+    def dealt(self) -> Iterator[None]:
+        """Shuffles have as many partitions as there are buckets, so that a batch meets the runs as it is dealt."""
+        before = self.spark.conf.get(PARTITIONS)
+        self.spark.conf.set(PARTITIONS, str(self.buckets))
+        try:
+            yield
+        finally:
+            self.spark.conf.set(PARTITIONS, before)
 
     def read(self, names: list[str]) -> DataFrame:
         first, *rest = [self.spark.table(n) for n in names]
@@ -120,13 +135,14 @@ class Runs:
     def add(self, held: DataFrame) -> None:
         """held: h1, h2, doc (a row for each document and key, possibly repeated), all of documents below those added before."""
         batch = held.select("doc", *KEY).distinct().groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc").alias("last_doc"))
-        if self.names():
-            settled = self.table(self.frequent())
-            self.write(self.fresh(batch, settled), 0)
-            self.drop([settled])
-        else:
-            self.write(batch, 0)
-        self.compact()
+        with self.dealt():
+            if self.names():
+                settled = self.table(self.frequent())
+                self.write(self.fresh(batch, settled), 0)
+                self.drop([settled])
+            else:
+                self.write(batch, 0)
+            self.compact()
 
     def compact(self) -> None:
         level = 0
@@ -147,7 +163,9 @@ def line_hashes(docs: DataFrame, text: str = "text", min_chars: int = MIN_CHARS)
 def build_runs(held: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> Runs:
     """Runs over all of held (line_hashes()), in batches of descending doc_id, each about as large."""
     spark = held.sparkSession
-    runs = Runs(spark, staging_dir(spark, "line-runs"), min_docs)
+    # buckets of a bounded size, and so few files: one for each bucket and run
+    buckets = max(spark.sparkContext.defaultParallelism, -(-held.count() // BUCKET_ROWS))
+    runs = Runs(spark, staging_dir(spark, "line-runs"), min_docs, buckets=buckets)
     bounds = sorted(set(held.select(F.percentile_approx("doc", [k / batches for k in range(1, batches)])).head()[0] or []))
     try:
         for k in range(len(bounds), -1, -1):
