@@ -102,12 +102,14 @@ def mcnemar(pairs: DataFrame) -> tuple[int, int, float]:
 
 
 def scrambled(*parts: Column) -> Column:
-    """A number below PRIME from whole numbers: the same in any engine with 64-bit integers."""
+    """A number below PRIME from whole numbers below 2^31: the same in any engine with 64-bit integers."""
     x = F.lit(1).cast("long")
     for part in parts:
-        x = (x * MULTIPLIERS[0] + part) % PRIME
-        x = (x.bitwiseXOR(F.shiftright(x, 13))) * MULTIPLIERS[1] % PRIME
-    return (x.bitwiseXOR(F.shiftright(x, 16))) * MULTIPLIERS[2] % PRIME
+        x = (x.bitwiseXOR(part) * MULTIPLIERS[0] + 12_345) % PRIME
+        x = x.bitwiseXOR(F.shiftright(x, 15)) * MULTIPLIERS[1] % PRIME
+        x = x.bitwiseXOR(F.shiftright(x, 13)) * MULTIPLIERS[2] % PRIME
+        x = x.bitwiseXOR(F.shiftright(x, 16))
+    return x % PRIME
 
 
 def poisson_bounds() -> list[int]:

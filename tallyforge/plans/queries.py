@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import patches, scaffold, scoring, testruns, text
-from ..operators import audits, curation, difficulty, grading, ordering, statistics
-from ..sources import readers, sinks
+from ..operators import audits, curation, difficulty, grading, ordering, reports, statistics
+from ..sources import commits, readers, sinks
 from ..sources.staging import staging_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -873,9 +873,11 @@ def bootstrap_sql(keys: str, iterations: int) -> str:
     def scramble(source: str, parts: list[str], name: str) -> str:
         source = step("1::BIGINT", source, name)
         for part in parts:
-            source = step(f"({name} * {first} + {part}) % {prime}", source, name)
-            source = step(f"xor({name}, {name} >> 13) * {second} % {prime}", source, name)
-        return step(f"xor({name}, {name} >> 16) * {third} % {prime}", source, name)
+            source = step(f"(xor({name}, {part}) * {first} + 12345) % {prime}", source, name)
+            source = step(f"xor({name}, {name} >> 15) * {second} % {prime}", source, name)
+            source = step(f"xor({name}, {name} >> 13) * {third} % {prime}", source, name)
+            source = step(f"xor({name}, {name} >> 16)", source, name)
+        return step(f"{name} % {prime}", source, name)
 
     last = scramble(last, ["0", "it", "place", "j"], "x")
     last = scramble(last, ["x", "1"], "u")
@@ -1037,5 +1039,63 @@ def markdown_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(table)), "k int, line string")
 
 
+#: An audit of all documents as instances of a dataset.
+AUDIT = """SELECT CASE WHEN quality = 0 THEN 'excluded' WHEN doc_id % 10 = 0 THEN 'test' WHEN doc_id % 10 = 1 THEN 'validation' ELSE 'train' END AS split, lang AS variant, 't' || (doc_id % 2) AS track,
+CASE WHEN quality = 0 THEN CASE WHEN n_chars > 2000 THEN 'CONTEXT_OVERFLOW' ELSE 'UNVALIDATED' END ELSE '' END AS reason, list_filter([CASE WHEN toxic = 1 THEN 'JUDGE_DROP' END, CASE WHEN n_chars % 3 = 0 THEN 'F2P_PRUNED:' || (n_chars % 7) END], lambda x: x IS NOT NULL) AS flags,
+CASE WHEN doc_id % 4 <> 0 THEN CASE WHEN n_chars % 5 = 0 THEN 'gold_fail' ELSE 'ok' END END AS status, CASE WHEN doc_id % 6 <> 0 THEN (n_chars % 9) / 8.0 END AS p_hat FROM documents LEFT JOIN labels USING (doc_id)"""
+
+
+@query(f"""WITH audit AS ({AUDIT}), f AS (SELECT 'counts' AS section, split AS a, coalesce(variant, 'none') AS b, NULL::DOUBLE AS p FROM audit UNION ALL SELECT 'counts', split, NULL, NULL FROM audit UNION ALL SELECT 'exclusions', reason, NULL, NULL FROM audit WHERE reason <> ''
+UNION ALL SELECT 'flags', split_part(unnest(flags), ':', 1), NULL, NULL FROM audit WHERE reason = '' UNION ALL SELECT 'validation', track, status, NULL FROM audit WHERE status IS NOT NULL UNION ALL SELECT 'difficulty', coalesce(variant, 'none'), NULL, p_hat FROM audit WHERE p_hat IS NOT NULL)
+SELECT section, a, b, count(*) AS n, round(avg(p), 6) AS mean, round(avg((p = 0)::INT), 6) AS share_zero, round(avg((p = 1)::INT), 6) AS share_one, round(avg((p BETWEEN 0.2 AND 0.8)::INT), 6) AS share_band FROM f GROUP BY 1, 2, 3""")
+def quality_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All numbers of a dataset's report, from one pass."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").join(read(spark, sf_dir, "labels"), "doc_id", "left")
+    key, n, out = F.col("doc_id"), F.col("n_chars"), F.coalesce(F.col("quality") == 0, F.lit(False))
+    audit = docs.select(
+        F.when(out, "excluded").when(key % 10 == 0, "test").when(key % 10 == 1, "validation").otherwise("train").alias("split"), F.col("lang").alias("variant"), F.concat(F.lit("t"), key % 2).alias("track"),
+        F.when(out, F.when(n > 2000, "CONTEXT_OVERFLOW").otherwise("UNVALIDATED")).otherwise("").alias("reason"), curation.flag_list((F.col("toxic") == 1, "JUDGE_DROP"), (n % 3 == 0, F.concat(F.lit("F2P_PRUNED:"), n % 7))).alias("flags"),
+        F.when(key % 4 != 0, F.when(n % 5 == 0, "gold_fail").otherwise("ok")).alias("status"), F.when(key % 6 != 0, (n % 9) / 8.0).alias("p_hat"),
+    )
+    return rounded(reports.quality_facts(audit))
+
+
+@query("""WITH s AS (SELECT 'exp_' || lang AS experiment_id, source AS variant, count(*) AS n_instances, avg((n_chars % 9) / 8.0) AS mean_p_hat, avg((n_chars % 5) / 4.0) AS mean_reward FROM documents WHERE lang <> 'fr' GROUP BY 1, 2),
+a AS (SELECT 'exp_' || lang AS experiment_id, avg((n_chars % 7) / 6.0) AS val_resolved, avg((n_chars % 3) / 2.0) AS val_p2p, avg((n_chars % 4) / 3.0) AS val_apply, avg((n_chars % 8) / 8.0) AS val_invalid, max(n_chars % 97)::DOUBLE + count(*) % 9 AS max_grad_norm FROM documents GROUP BY 1),
+t AS (SELECT experiment_id, sum(mean_p_hat * n_instances) / sum(n_instances) AS test_solve, sum(mean_reward * n_instances) / sum(n_instances) AS test_reward, sum(n_instances)::BIGINT AS test_n FROM s GROUP BY 1),
+j AS (SELECT a.*, test_solve, test_reward, test_n, test_solve AS p, sqrt(greatest(test_solve * (1 - test_solve), 1e-6) / (8 * max(test_n) OVER ())) AS se, first_value(test_solve) OVER (ORDER BY a.experiment_id <> 'exp_en') AS base FROM a LEFT JOIN t USING (experiment_id)),
+k AS (SELECT *, max_grad_norm < 100 AND val_invalid < 0.6 AS stable FROM j)
+SELECT experiment_id, round(val_resolved, 6) AS val_resolved, round(test_solve, 6) AS test_solve, round(test_reward, 6) AS test_reward, test_n, round(p, 6) AS "primary", round(se, 6) AS primary_se, round(p - base, 6) AS delta, abs(p - base) > se * sqrt(2) AS significant, stable,
+row_number() OVER (ORDER BY stable DESC, p DESC NULLS LAST, val_p2p DESC, val_apply DESC, experiment_id)::INT AS rank FROM k""")
+def final_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages as arms: their sources as variants of a test split, which one language lacks."""
+    docs, n = read(spark, sf_dir, "documents").select(F.concat(F.lit("exp_"), "lang").alias("experiment_id"), F.col("source").alias("variant"), "n_chars"), F.col("n_chars")
+    mean = lambda m: F.avg((n % m) / float(m - 1))
+    solved = docs.where("experiment_id <> 'exp_fr'").groupBy("experiment_id", "variant").agg(F.count(F.lit(1)).alias("n_instances"), mean(9).alias("mean_p_hat"), mean(5).alias("mean_reward"))
+    arms = docs.groupBy("experiment_id").agg(mean(7).alias("val_resolved"), mean(3).alias("val_p2p"), mean(4).alias("val_apply"), F.avg((n % 8) / 8.0).alias("val_invalid"), (F.max(n % 97).cast("double") + F.count(F.lit(1)) % 9).alias("max_grad_norm"))
+    out = reports.final_selection(arms, solved, F.col("experiment_id") == "exp_en")
+    return rounded(out.select("experiment_id", "val_resolved", "test_solve", "test_reward", "test_n", "primary", "primary_se", "delta", "significant", "stable", "rank"))
+
+
+@query(r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(t, '[^\S\n]+(\n)', '\1', 'g'), '^\s+|\s+$', '', 'g')) AS sha FROM (SELECT doc_id, '  ' || replace(replace(coalesce(text, ''), '. ', '.  ' || chr(9) || chr(10) || ' '), chr(10), ' ' || chr(10)) || chr(10) AS t FROM documents)""")
+def norm_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with white space at line ends, as program output is compared."""
+    noisy = F.concat(F.lit("  "), F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit(". "), F.lit(".  \t\n ")), F.lit("\n"), F.lit(" \n")), F.lit("\n"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.sha2(testruns.norm_out(noisy), 256).alias("sha"))
+
+
+@query("SELECT c_custkey, c_name, CASE WHEN c_custkey % 2 = 0 THEN -c_acctbal ELSE c_acctbal END AS balance FROM customer")
+def committed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log in batches, of which one is run twice and one was lost half way."""
+    path, c = staging_dir(spark, "batches"), read(spark, sf_dir, "customer")
+    rows = c.select("c_custkey", F.lit(1).alias("at"), "c_name", F.col("c_acctbal").alias("balance"))
+    later = c.where("c_custkey % 2 = 0").select("c_custkey", F.lit(2).alias("at"), F.lit(None).cast("string").alias("c_name"), (-F.col("c_acctbal")).alias("balance"))
+    commits.append(rows, path, 0)
+    commits.append(rows.withColumn("balance", F.lit(0.0)), path, 0)  # run again: counts once
+    commits.append(later, path, 1)
+    rows.withColumn("at", F.lit(3)).write.parquet(commits.folder(path, 2))  # lost before its commit: not read
+    return ordering.fold_records(commits.read_appended(spark, path, "c_custkey bigint, at int, c_name string, balance double"), "c_custkey", "at")
+
+
 #: The flagship: success rates by instance, then by variant.
 FLAGSHIP = phat_per_variant

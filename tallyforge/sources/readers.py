@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import dataclasses
+import hashlib
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,9 +97,35 @@ def parse_run_info(text: str) -> dict[str, str | int | None]:
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """path, sha: 16 hex digits of the SHA-256 of each file of a path or glob (files of up to 2 GB)."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.substring(F.sha2("content", 256), 1, 16).alias("sha"))
+    """path, bytes, sha: 16 hex digits of the SHA-256 of each file of a path or glob, of any size.
+
+    A file is read in splits and lines, whose bytes stay as they are; its lines are brought back into order and folded into one digest as a stream, so that a task holds a line, not a file. An empty file has the digest of nothing.
+    """
+    source = spark.read.text(path, lineSep="\n")
+    files = spark.createDataFrame([(x,) for x in source.inputFiles()], "path string")  # empty ones too, which have no lines
+    lines = source.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.col("value").cast("binary").alias("line"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, digest, left, whole = None, None, 0, 0
+        done = lambda: pa.RecordBatch.from_arrays([pa.array([path]), pa.array([whole]), pa.array([digest.hexdigest()[:16]])], names=["path", "bytes", "sha"])
+        for x in batches:
+            for name, size, line in zip(x.column("path").to_pylist(), x.column("size").to_pylist(), x.column("line").to_pylist()):
+                if name != path:
+                    if path is not None:
+                        yield done()
+                    path, digest, left, whole = name, hashlib.sha256(), size, size
+                digest.update(line)
+                left -= len(line)
+                if left:  # but for a last line without one
+                    digest.update(b"\n")
+                    left -= 1
+        if path is not None:
+            yield done()
+
+    folded = lines.repartition("path").sortWithinPartitions("path", "block", "row").select("path", "size", "line").mapInArrow(fold, "path string, bytes bigint, sha string")
+    plain = lambda c: F.regexp_replace(F.col(c), "^file:/+", "/")  # noqa: E731 - local files are named with one slash or three
+    found = folded.select(plain("path").alias("_tf_path"), "bytes", "sha")
+    return files.join(found, plain("path") == F.col("_tf_path"), "left").select("path", F.coalesce("bytes", F.lit(0)).alias("bytes"), F.coalesce("sha", F.lit(hashlib.sha256(b"").hexdigest()[:16])).alias("sha"))
 
 
 def read_yaml(path: str) -> dict:
@@ -106,3 +136,24 @@ def read_yaml(path: str) -> dict:
         raise RuntimeError("reading YAML settings needs the yaml package") from e
     with open(path, encoding="utf-8") as f:
         return yaml.safe_load(f) or {}
+
+
+def write_yaml(settings: object, path: str) -> None:
+    """Settings (a mapping, or an instance of a dataclass) as a YAML file that read_yaml() reads back, in their own order; tuples become lists."""
+    try:
+        import yaml
+    except ImportError as e:
+        raise RuntimeError("writing YAML settings needs the yaml package") from e
+    plain = lambda x: {k: plain(v) for k, v in x.items()} if isinstance(x, dict) else [plain(v) for v in x] if isinstance(x, (list, tuple)) else x
+    with open(path, "w", encoding="utf-8") as f:
+        yaml.safe_dump(plain(dataclasses.asdict(settings) if dataclasses.is_dataclass(settings) else settings), f, sort_keys=False, allow_unicode=True)
+
+
+def settings_of(kind: type, settings: dict) -> object:
+    """An instance of a dataclass from settings; names that it doesn't have are an error, lists become tuples where its own values are."""
+    known = {f.name: f for f in dataclasses.fields(kind)}
+    if odd := sorted(set(settings) - set(known)):
+        raise ValueError(f"{kind.__name__} has no {odd}")
+    tuples = lambda x: tuple(tuples(v) for v in x) if isinstance(x, (list, tuple)) else x
+    own = kind()
+    return dataclasses.replace(own, **{k: tuples(v) if isinstance(getattr(own, k), tuple) else v for k, v in settings.items()})

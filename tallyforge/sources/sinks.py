@@ -3,7 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
+import math
+import re
+import zipfile
+from collections.abc import Iterable, Iterator
+from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -71,17 +77,65 @@ def to_markdown(df: DataFrame, limit: int = 1000) -> str:
     return "\n".join([*lines, *("| " + " | ".join(map(cell, r)) + " |" for r in rows)]) + "\n"
 
 
-def write_workbook(sheets: dict[str, DataFrame], path: str, limit: int = 100_000) -> None:
-    """One sheet for each small result (needs the openpyxl package); fails where one has over limit rows."""
-    try:
-        import openpyxl
-    except ImportError as e:
-        raise RuntimeError("writing a workbook needs the openpyxl package") from e
-    book = openpyxl.Workbook()
-    book.remove(book.active)
-    for name, df in sheets.items():
-        sheet = book.create_sheet(name[:31])
-        sheet.append(df.columns)
-        for r in small(df, limit):
-            sheet.append([x if isinstance(x, (int, float, str, type(None))) else str(x) for x in r])
-    book.save(path)
+def sheet_xml(columns: list[str], rows: Iterable) -> Iterator[str]:
+    """The XML of a sheet, row by row."""
+    yield '<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>'
+    # control characters can't stand in XML at all
+    shown = lambda x: escape(re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]", "\ufffd", x))
+
+    def cell(x: object) -> str:
+        if x is None or isinstance(x, float) and not math.isfinite(x):
+            return "<c/>"
+        if isinstance(x, bool):
+            return f'<c t="b"><v>{int(x)}</v></c>'
+        if isinstance(x, (int, float)):
+            return f"<c><v>{x!r}</v></c>"
+        return f'<c t="inlineStr"><is><t xml:space="preserve">{shown(x if isinstance(x, str) else str(x))}</t></is></c>'
+
+    for r in ([columns], rows):
+        for values in r:
+            yield f"<row>{''.join(map(cell, values))}</row>"
+    yield "</sheetData></worksheet>"
+
+
+#: Rows that a sheet of a workbook can hold, its head among them.
+SHEET_ROWS = 1 << 20
+
+
+def write_workbook(sheets: dict[str, DataFrame], path: str) -> None:
+    """A workbook with a sheet for each table, in their order. Rows go from the cluster into the file as a stream, a partition at a time, so the driver holds no table; what one sheet can't hold goes on in others (name, name 2, ...). A table without columns is a sheet that says so."""
+    main, office = "http://schemas.openxmlformats.org", "officeDocument/2006/relationships"
+    names: list[str] = []
+
+    def put(book: zipfile.ZipFile, name: str, columns: list[str], rows: Iterator) -> bool:
+        names.append(name)
+        n = 0
+
+        def counted() -> Iterator:
+            nonlocal n
+            for r in itertools.islice(rows, SHEET_ROWS - 1):
+                n += 1
+                yield r
+
+        with book.open(f"xl/worksheets/sheet{len(names)}.xml", "w", force_zip64=True) as f:
+            for part in sheet_xml(columns, counted()):
+                f.write(part.encode())
+        return n == SHEET_ROWS - 1
+
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as book:
+        for name, df in sheets.items():
+            columns = df.columns or ["note"]
+            rows = iter(df.toLocalIterator()) if df.columns else iter([["no rows"]])
+            part, base = 1, re.sub(r"[\[\]:*?/\\]", "_", name)
+            while put(book, base[:31] if part == 1 else f"{base[:26]} {part}", columns, rows):
+                first = next(rows, None)
+                if first is None:
+                    break
+                rows, part = itertools.chain([first], rows), part + 1
+        tag = lambda k, n: f'<sheet name="{escape(n, {chr(34): "&quot;"})}" sheetId="{k}" r:id="r{k}"/>'
+        listed = list(enumerate(names, 1))
+        book.writestr("xl/workbook.xml", f'<?xml version="1.0" encoding="UTF-8"?><workbook xmlns="{main}/spreadsheetml/2006/main" xmlns:r="{main}/{office}"><sheets>{"".join(tag(k, n) for k, n in listed)}</sheets></workbook>')
+        book.writestr("xl/_rels/workbook.xml.rels", f'<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="{main}/package/2006/relationships">' + "".join(f'<Relationship Id="r{k}" Type="{main}/{office}/worksheet" Target="worksheets/sheet{k}.xml"/>' for k, _ in listed) + "</Relationships>")
+        book.writestr("_rels/.rels", f'<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="{main}/package/2006/relationships"><Relationship Id="r0" Type="{main}/{office}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
+        book.writestr("[Content_Types].xml", f'<?xml version="1.0" encoding="UTF-8"?><Types xmlns="{main}/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/>' + "".join(f'<Override PartName="/xl/worksheets/sheet{k}.xml" ContentType="{kind}.worksheet+xml"/>' for k, _ in listed) + "</Types>")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import commits
+
 INSTANCE_LOG = (
     "instance_id string, data_source string, track string, step int, ts double, final_reward double, rule_correctness_score double, f2p_frac double, p2p_frac double,"
     " patch_format_score double, patch_apply_score double, infra_excluded double, rubric_score double, gated_out double, err_kind string, note string, resp_len long"
@@ -29,9 +31,18 @@ def windowed_rates(log: DataFrame, width: str = "5 minutes", late: str = "10 min
 
 
 def write_means(means: DataFrame, path: str, checkpoint: str):
-    """Starts a query that replaces path with the means after each batch."""
+    """Starts a query that commits the means after each batch to path, for commits.read_committed(): a reader finds the whole table of the last committed batch, and a batch that is run again changes nothing."""
 
-    def put(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+    def put(batch: DataFrame, batch_id: int) -> None:
+        commits.commit(batch, path, batch_id)
 
     return means.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(put).start()
+
+
+def append_batches(log: DataFrame, path: str, checkpoint: str):
+    """Starts a query that adds each batch of records to the log at path once, for commits.read_appended()."""
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        commits.append(batch, path, batch_id)
+
+    return log.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(put).start()

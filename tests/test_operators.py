@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions import testruns, text
 from tallyforge.operators import audits, curation, difficulty, ordering, statistics
 from tallyforge.plans import queries
-from tallyforge.sources import readers, sinks
+from tallyforge.sources import commits, readers, sinks
 from tallyforge.streaming import logs
 
 
@@ -232,5 +232,5 @@ def test_log_stream(spark, tmp_path):
     q = logs.write_means(logs.running_means(logs.read_log_stream(spark, f"file://{tmp_path}/log")), f"file://{tmp_path}/out", f"file://{tmp_path}/cp")
     q.processAllAvailable()
     q.stop()
-    r = spark.read.parquet(f"file://{tmp_path}/out").head()
+    r = commits.read_committed(spark, f"file://{tmp_path}/out", "step int, track string, n long, final_reward double").head()
     assert (r.step, r.track, r.n, r.final_reward) == (1, "swe", 2, 0.25)
