@@ -189,3 +189,21 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         common.staging_root(Session())
+
+
+def test_op2_tells_toxic_documents_apart():
+    """Held-out quality on the given tables: ranking and decisions of documents whose labels were not learnt from."""
+    import os
+
+    from pyspark.sql import SparkSession
+
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("no driver tables here")
+    spark = SparkSession.getActiveSession()
+    labels = common.table(spark, sf, "labels").select("doc_id", "toxic").where("toxic IS NOT NULL")
+    rows = [tuple(r) for r in queries.op2_toxicity(spark, sf).where("held_out").join(labels, "doc_id").select("toxic", "score", "predicted").collect()]
+    bad, good = [s for t, s, _ in rows if t == 1], [s for t, s, _ in rows if t == 0]
+    assert len(bad) >= 5 and len(good) >= 50
+    auc = sum((b > g) + 0.5 * (b == g) for b in bad for g in good) / (len(bad) * len(good))
+    assert auc > 0.9 and sum(t == p for t, _, p in rows) / len(rows) > 0.9, (auc, len(bad), len(good))
