@@ -19,8 +19,8 @@ BLOCK = 250
 FEW = 32
 #: Steps of the continued fraction and the shape up to which it is used; beyond, points of the quadrature.
 STEPS, SHAPE, POINTS = 200, 3000, 32
-#: Modulus and multipliers of the number generator behind bootstrap weights: a prime, so that all products stay within 64 bits.
-PRIME, MULTIPLIERS = (1 << 31) - 1, (48_271, 69_621, 16_807)
+#: Numbers that a draw's digest gives are below this.
+WHOLE = 1 << 32
 
 
 def binomial_se(p: Column, n: Column, floor: float = 0.0) -> Column:
@@ -101,15 +101,9 @@ def mcnemar(pairs: DataFrame) -> tuple[int, int, float]:
     return b, c, mcnemar_exact(b, c)
 
 
-def scrambled(*parts: Column) -> Column:
-    """A number below PRIME from whole numbers below 2^31: the same in any engine with 64-bit integers."""
-    x = F.lit(1).cast("long")
-    for part in parts:
-        x = (x.bitwiseXOR(part) * MULTIPLIERS[0] + 12_345) % PRIME
-        x = x.bitwiseXOR(F.shiftright(x, 15)) * MULTIPLIERS[1] % PRIME
-        x = x.bitwiseXOR(F.shiftright(x, 13)) * MULTIPLIERS[2] % PRIME
-        x = x.bitwiseXOR(F.shiftright(x, 16))
-    return x % PRIME
+def digits(digest: Column, place: int) -> Column:
+    """The number below WHOLE that the place-th eight hex digits of a digest are."""
+    return F.conv(F.substring(digest, 8 * place + 1, 8), 16, 10).cast("long")
 
 
 def poisson_bounds() -> list[int]:
@@ -117,25 +111,24 @@ def poisson_bounds() -> list[int]:
     total, out = 0.0, []
     for k in range(10):
         total += math.exp(-1) / math.factorial(k)
-        out.append(int(total * PRIME))
+        out.append(int(total * WHOLE))
     return out
 
 
-def resampled(n: Column, j: Column, x: Column) -> Column:
-    """Weights of equal items in one iteration of a Poisson bootstrap: the j-th of n draws of mean 1, or, for j = 0, one draw from the sum of n of them by its normal quantile and the first correction for skewness. x: a whole number below PRIME, evenly spread."""
+def resampled(n: Column, j: Column, x: Column, y: Column) -> Column:
+    """Weights of equal items in one iteration of a Poisson bootstrap: the j-th of n draws of mean 1, or, for j = 0, one draw from the sum of n of them by its normal quantile and the first correction for skewness. x, y: whole numbers below WHOLE, evenly spread."""
     one = sum(((x >= bound).cast("double") for bound in poisson_bounds()[1:]), (x >= poisson_bounds()[0]).cast("double"))
-    unit = lambda k: (scrambled(x, F.lit(k)) + 0.5) / PRIME
-    z = F.sqrt(-2 * F.log(unit(1))) * F.cos(2 * math.pi * unit(2))
+    z = F.sqrt(-2 * F.log((x + 0.5) / WHOLE)) * F.cos(2 * math.pi * ((y + 0.5) / WHOLE))
     many = F.greatest(F.lit(0.0), F.floor(n + F.sqrt(n.cast("double")) * z + (z * z - 1) / 6 + 0.5).cast("double"))
     return F.when(j > 0, one).otherwise(many)
 
 
 def differences(pairs: DataFrame, keys: list[str], track: str = "track") -> DataFrame:
-    """keys, track, d, n, place: how often each difference of arm and base occurs in each track, and a number that stands for it in draws. Null tracks are left out, null differences are 0."""
+    """keys, track, d, n, place: how often each difference of arm and base occurs in each track, and a text that stands for it in draws. Null tracks are left out, null differences are 0."""
     d = F.coalesce(F.col("arm").cast("double") - F.col("base").cast("double"), F.lit(0.0))
     counts = pairs.where(F.col(track).isNotNull()).groupBy(*keys, F.col(track).cast("string").alias("track"), F.round(d, 9).alias("d")).agg(F.count(F.lit(1)).alias("n"))
     named = F.concat_ws(":", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys], "track", F.round(F.col("d") * 1_000_000_000, 0).cast("long").cast("string"))
-    return counts.withColumn("place", F.conv(F.substring(F.md5(named), 1, 7), 16, 10).cast("long"))
+    return counts.withColumn("place", named)
 
 
 def paired_bootstrap(pairs: DataFrame, iterations: int = 10_000, seed: int = 0, track: str = "track", keys: list[str] | None = None) -> DataFrame:
@@ -148,8 +141,9 @@ def paired_bootstrap(pairs: DataFrame, iterations: int = 10_000, seed: int = 0,
     blocks = F.explode(F.sequence(F.lit(0), F.lit((iterations - 1) // BLOCK)))
     dealt = differences(pairs, keys, track).withColumn("block", blocks).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "block", "place").withColumn("j", draws)
     drawn = dealt.withColumn("it", F.explode(F.sequence(F.col("block") * BLOCK, F.least(F.lit(iterations), (F.col("block") + 1) * BLOCK) - 1)))
-    numbered = drawn.withColumn("x", scrambled(F.lit(seed), F.col("it").cast("long"), F.col("place"), F.col("j")))
-    weighed = numbered.withColumn("w", resampled(F.col("n"), F.col("j"), F.col("x")))
+    hashed = drawn.withColumn("h", F.md5(F.concat_ws(":", F.lit(str(seed)), "it", "place", "j")))
+    numbered = hashed.withColumns({"x": digits(F.col("h"), 0), "y": digits(F.col("h"), 1)})
+    weighed = numbered.withColumn("w", resampled(F.col("n"), F.col("j"), F.col("x"), F.col("y")))
     sums = weighed.groupBy(*keys, "it", "track").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("d")).alias("s"))
     means = sums.groupBy(*keys, "it").agg(F.avg(F.when(F.col("w") > 0, F.col("s") / F.col("w"))).alias("delta"))
     sorted_ = means.where(F.col("delta").isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list("delta")).alias("ds"))  # a number for each iteration

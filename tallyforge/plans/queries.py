@@ -862,35 +862,17 @@ def arm_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bootstrap_sql(keys: str, iterations: int) -> str:
     """CTEs from `pairs` (keys, track, arm, base) to `intervals` (keys, lo, hi), by the draws that statistics.paired_bootstrap() states."""
-    prime, (first, second, third) = statistics.PRIME, statistics.MULTIPLIERS
-    steps, last = [], "its"
-
-    def step(expr: str, source: str, name: str = "x") -> str:
-        out = f"x{len(steps)}"
-        steps.append(f"{out} AS (SELECT * REPLACE ({expr} AS {name}) FROM {source})")
-        return out
-
-    def scramble(source: str, parts: list[str], name: str) -> str:
-        source = step("1::BIGINT", source, name)
-        for part in parts:
-            source = step(f"(xor({name}, {part}) * {first} + 12345) % {prime}", source, name)
-            source = step(f"xor({name}, {name} >> 15) * {second} % {prime}", source, name)
-            source = step(f"xor({name}, {name} >> 13) * {third} % {prime}", source, name)
-            source = step(f"xor({name}, {name} >> 16)", source, name)
-        return step(f"{name} % {prime}", source, name)
-
-    last = scramble(last, ["0", "it", "place", "j"], "x")
-    last = scramble(last, ["x", "1"], "u")
-    last = scramble(last, ["x", "2"], "v")
+    whole = statistics.WHOLE
     one = " + ".join(f"(x >= {b})::INT" for b in statistics.poisson_bounds())
     grouped = f"{keys}, " if keys else ""
     named = "".join(f"coalesce({k}::VARCHAR, ''), " for k in keys.split(", ") if k)
     pick = lambda q: f"ds[least(len(ds), floor({q} * len(ds))::INT + 1)]"
     return f"""diffs AS (SELECT {grouped}track, round(coalesce(arm - base, 0), 9) AS d, count(*) AS n FROM pairs WHERE track IS NOT NULL GROUP BY ALL),
-placed AS (SELECT *, ('0x' || md5(concat_ws(':', {named}track, round(d * 1000000000)::BIGINT::VARCHAR))[1:7])::BIGINT AS place FROM diffs),
+placed AS (SELECT *, concat_ws(':', {named}track, round(d * 1000000000)::BIGINT::VARCHAR) AS place FROM diffs),
 drawn AS (SELECT *, unnest(CASE WHEN n <= {statistics.FEW} THEN range(1, n + 1) ELSE [0] END) AS j FROM placed),
-its AS (SELECT *, unnest(range({iterations})) AS it, 0::BIGINT AS x, 0::BIGINT AS u, 0::BIGINT AS v FROM drawn), {", ".join(steps)},
-normal AS (SELECT *, sqrt(-2 * ln((u + 0.5) / {prime})) * cos(2 * pi() * ((v + 0.5) / {prime})) AS z FROM {last}),
+hashed AS (SELECT *, md5(concat_ws(':', '0', it, place, j)) AS h FROM (SELECT *, unnest(range({iterations})) AS it FROM drawn)),
+numbered AS (SELECT *, ('0x' || h[1:8])::BIGINT AS x, ('0x' || h[9:16])::BIGINT AS y FROM hashed),
+normal AS (SELECT *, sqrt(-2 * ln((x + 0.5) / {whole})) * cos(2 * pi() * ((y + 0.5) / {whole})) AS z FROM numbered),
 weighed AS (SELECT *, CASE WHEN j > 0 THEN {one} ELSE greatest(0, floor(n + sqrt(n) * z + (z * z - 1) / 6 + 0.5)) END AS w FROM normal),
 sums AS (SELECT {grouped}it, track, sum(w) AS w, sum(w * d) AS s FROM weighed GROUP BY ALL),
 means AS (SELECT {grouped}it, avg(CASE WHEN w > 0 THEN s / w END) AS delta FROM sums GROUP BY ALL),
