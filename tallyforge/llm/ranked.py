@@ -26,7 +26,7 @@ from .line_dedup import lowered
 from .wordtable import chunks
 
 #: Postings of a block; text of a segment; rows of an Arrow batch of index rows; distinct terms of the queries that are run at once (a query of more is run alone).
-BLOCK, SEGMENT_BYTES, ROWS, TERMS_AT_ONCE = 64, 24 << 20, 1 << 16, 100_000
+BLOCK, SEGMENT_BYTES, ROWS, TERMS_AT_ONCE = 64, 12 << 20, 1 << 15, 100_000
 #: Best blocks of a query in a segment, whose documents the first pass scores.
 SEED_BLOCKS = 2
 # What stands between terms, once A-Z are lower-cased.
