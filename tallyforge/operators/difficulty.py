@@ -112,10 +112,12 @@ def derived_val_metrics(metrics: DataFrame, wanted: dict[str, tuple[str, str]])
 
 
 def parser_rates(results: DataFrame) -> DataFrame:
-    """Extraction and validity rates of each parser and selection; fmts, a map of counts."""
-    rates = results.groupBy("parser", "select").agg(share(F.col("status") != "no_patch").alias("extract_rate"), share(F.col("status") == "diff_parse_success").alias("valid_rate"), F.count(F.lit(1)).alias("n"))
-    fmts = results.groupBy("parser", "select", "fmt").count().groupBy("parser", "select").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("fmt", "count")))).alias("fmts"))
-    return rates.join(fmts, ["parser", "select"])
+    """Extraction and validity rates of each parser and selection; fmts, a map of counts. The results are read once, since they may be costly to make."""
+    got, valid = F.col("status") != "no_patch", F.col("status") == "diff_parse_success"
+    counts = results.groupBy("parser", "select", "fmt").agg(F.count(F.lit(1)).alias("n"), F.count("status").alias("known"), F.count_if(got).alias("got"), F.count_if(valid).alias("valid"))
+    share_ = lambda c: F.sum(c) / F.sum("known")
+    fmts = F.map_from_entries(F.array_sort(F.collect_list(F.struct("fmt", F.col("n").alias("count")))))  # an entry for each format
+    return counts.groupBy("parser", "select").agg(share_("got").alias("extract_rate"), share_("valid").alias("valid_rate"), F.sum("n").alias("n"), fmts.alias("fmts"))
 
 
 def recovery_pivot(results: DataFrame, wrappings: list[str]) -> DataFrame:
