@@ -3,6 +3,7 @@ import hashlib
 import inspect
 import math
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -128,6 +129,17 @@ def test_weighted_order_prefers_weight_and_splits_buckets(spark):
     assert 0.8 < sum(early) / len(early) < 0.97
 
 
+def test_numbers_are_placed_by_one_computation_a_row(spark):
+    cuts = [-1.0, 0.0, 0.5, 2.0, 2.5]
+    for some in (cuts, cuts[:1], cuts[:3], []):
+        numbers = [-5.0, -1.0, 0.2, 0.5, 2.2, 9.0, float("inf"), float("nan"), None]
+        got = [r.n for r in spark.createDataFrame([(x,) for x in numbers], "x double").select(ordering.cuts_below(F.col("x"), some).alias("n")).collect()]
+        assert got == [0 if x is None else len(some) if math.isnan(x) else sum(c < x for c in some) for x in numbers]
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    rows = spark.range(2000).select(F.col("id").alias("i"), F.lit("b").alias("b"))
+    assert not re.search(r"lambda \S+ < [^,]*md5", plan(ordering.weighted_order(rows, ["b"], "i", None)))
+
+
 def test_statistics(spark):
     assert statistics.mcnemar_exact(0, 0) == 1.0
     tails = spark.createDataFrame([(b, c) for b in (0, 1, 7, 400) for c in (0, 1, 2, 9, 380)], "b long, c long").withColumn("p", statistics.mcnemar_p(F.col("b"), F.col("c")))
