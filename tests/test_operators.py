@@ -140,6 +140,12 @@ def test_numbers_are_placed_by_one_computation_a_row(spark):
     assert not re.search(r"lambda \S+ < [^,]*md5", plan(ordering.weighted_order(rows, ["b"], "i", None)))
 
 
+def test_draws_of_a_sampler_are_hashed_once(spark):
+    rows = spark.range(2000).select(F.col("id").alias("i"), (F.col("id") % 3).alias("t"), (F.col("id") % 2).alias("v"))
+    plan = ordering.Sampler(rows, "t", "v", "i", draws=50).order()._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5" in plan and not re.search(r"<= [^,]*md5", plan)
+
+
 def test_statistics(spark):
     assert statistics.mcnemar_exact(0, 0) == 1.0
     tails = spark.createDataFrame([(b, c) for b in (0, 1, 7, 400) for c in (0, 1, 2, 9, 380)], "b long, c long").withColumn("p", statistics.mcnemar_p(F.col("b"), F.col("c")))
