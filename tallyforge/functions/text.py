@@ -36,6 +36,11 @@ def has_hangul(x: Column) -> Column:
     return x.rlike("[가-힣]")
 
 
+def plain_number(x: Column, digits: int) -> Column:
+    """A number as text, rounded, with at least one decimal place and never in powers of ten (a double below 0.001 is cast to 9.0E-4)."""
+    return F.regexp_replace(F.round(x, digits).cast(f"decimal(38,{digits})").cast("string"), r"(\.\d+?)0+$", "$1")
+
+
 def token_estimate(x: Column, chars_per_token: float = 3.5) -> Column:
     return F.length(x) / chars_per_token
 

@@ -244,6 +244,12 @@ def test_train_log(spark):
     assert readers.parse_run_info("start=a git=b\nEND_TRAIN rc=0 c") == {"end_rc": 0, "end_time": "c", "start_time": "a", "git": "b"}
 
 
+def test_small_numbers_are_written_without_powers(spark):
+    numbers = [0.0009, 0.00009, 0.00004, 0.0, 1.0, 0.5, 0.1203, -0.0007, 12345678.25, None]
+    got = [r.t for r in spark.createDataFrame([(x,) for x in numbers], "x double").select(text.plain_number(F.col("x"), 4).alias("t")).collect()]
+    assert got == ["0.0009", "0.0001", "0.0", "0.0", "1.0", "0.5", "0.1203", "-0.0007", "12345678.25", None]
+
+
 def test_log_stream(spark, tmp_path):
     rows = spark.createDataFrame([("i", "swe", 1, 0.5, 1.0), ("j", "swe", 1, None, 0.0)], "instance_id string, track string, step int, final_reward double, infra_excluded double")
     sinks.append_log(rows, f"file://{tmp_path}/log")
