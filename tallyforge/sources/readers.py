@@ -69,15 +69,16 @@ def source_map(col: Column) -> Column:
     return F.from_json(col, "map<string,string>")
 
 
-def parse_train_log(lines: DataFrame, line: str = "value") -> DataFrame:
-    """step, metrics (map): what the log's step lines say; of a metric that a step has twice the later line and place."""
+def parse_train_log(lines: DataFrame, line: str = "value", log: str | None = None) -> DataFrame:
+    """step, metrics (map): what the log's step lines say; of a metric that a step has twice the later line and place. log: a column that tells the lines of several logs apart; it comes first, and a step is one in each."""
+    own = [log] if log else []
     plain = F.regexp_replace(line, LOG_ANSI, "")
-    rows = lines.select(F.monotonically_increasing_id().alias("at"), F.regexp_extract(plain, STEP, 1).alias("step"), F.regexp_extract(plain, STEP, 2).alias("rest")).where("step <> ''")
+    rows = lines.select(*own, F.monotonically_increasing_id().alias("at"), F.regexp_extract(plain, STEP, 1).alias("step"), F.regexp_extract(plain, STEP, 2).alias("rest")).where("step <> ''")
     keys, values = (F.regexp_extract_all("rest", F.lit(PAIR), F.lit(k)) for k in (1, 2))
-    each = rows.select("at", F.col("step").cast("long").alias("step"), F.posexplode(F.arrays_zip(keys.alias("k"), values.alias("v"))).alias("i", "kv"))
+    each = rows.select(*own, "at", F.col("step").cast("long").alias("step"), F.posexplode(F.arrays_zip(keys.alias("k"), values.alias("v"))).alias("i", "kv"))
     number = F.when(F.col("kv.v") == "inf", float("inf")).when(F.col("kv.v") == "-inf", float("-inf")).when(F.col("kv.v") == "nan", float("nan")).otherwise(F.expr("try_cast(kv.v AS double)"))
-    last = each.select("step", F.col("kv.k").alias("k"), number.alias("v"), "at", "i").where("v IS NOT NULL").groupBy("step", "k").agg(F.max_by("v", F.struct("at", "i")).alias("v"))
-    return last.groupBy("step").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("metrics"))
+    last = each.select(*own, "step", F.col("kv.k").alias("k"), number.alias("v"), "at", "i").where("v IS NOT NULL").groupBy(*own, "step", "k").agg(F.max_by("v", F.struct("at", "i")).alias("v"))
+    return last.groupBy(*own, "step").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("metrics"))
 
 
 def read_train_log(spark: SparkSession, path: str) -> DataFrame:

@@ -244,6 +244,15 @@ def test_train_log(spark):
     assert readers.parse_run_info("start=a git=b\nEND_TRAIN rc=0 c") == {"end_rc": 0, "end_time": "c", "start_time": "a", "git": "b"}
 
 
+def test_orders_of_one_key_are_steps_of_their_own(spark, tmp_path):
+    rows = [(8, "F", 10.5), (8, "O", 16.0), (7, "P", 3.0)]
+    spark.createDataFrame(rows, "o_orderkey long, o_orderstatus string, o_totalprice double").write.parquet(f"file://{tmp_path}/orders.parquet")
+    got = queries.training_curves(spark, f"file://{tmp_path}").collect()
+    assert sorted((r.step, r.reward, str(r.kl)) for r in got if r.reward) == [(8, 10.5, "nan"), (8, 16.0, "-2.0")] and [(r.step, r.kl) for r in got if not r.reward] == [(7, math.inf)]
+    lines = spark.createDataFrame([("a", "step:1 - actor/lr:1 actor/entropy:2"), ("b", "step:1 - actor/lr:3")], "f string, value string")
+    assert sorted((r.f, r.step, r.metrics) for r in readers.parse_train_log(lines, log="f").collect()) == [("a", 1, {"actor/entropy": 2.0, "actor/lr": 1.0}), ("b", 1, {"actor/lr": 3.0})]
+
+
 def test_small_numbers_are_written_without_powers(spark):
     numbers = [0.0009, 0.00009, 0.00004, 0.0, 1.0, 0.5, 0.1203, -0.0007, 12345678.25, None]
     got = [r.t for r in spark.createDataFrame([(x,) for x in numbers], "x double").select(text.plain_number(F.col("x"), 4).alias("t")).collect()]
