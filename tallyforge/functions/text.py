@@ -71,6 +71,12 @@ def shingles(x: Column, n: int = 5) -> Column:
     return F.array_distinct(let(F.filter(F.split(x, r"\s+"), lambda w: w != ""), runs))
 
 
+def shingle_hashes(x: Column, n: int = 5) -> Column:
+    """The distinct hashes of a text's shingles()."""
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - n + 1)), lambda i: F.xxhash64(F.array_join(F.slice(w, i, F.lit(n)), " ")))
+    return F.array_distinct(let(F.filter(F.split(x, r"\s+"), lambda w: w != ""), runs))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Similarity of two sets given as arrays without repeats; 0 for two empty ones."""
     both = F.size(F.array_intersect(a, b))

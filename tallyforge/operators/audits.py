@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..functions import text
+from ..sources.staging import staging_dir
 
 QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9, 0.99)
 
@@ -83,33 +90,75 @@ def duplicate_detail(df: DataFrame, key: str, *details: str) -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *[(F.count_distinct(d) <= 1).alias(f"same_{d}") for d in details]).where("n > 1")
 
 
-def shingle_groups(df: DataFrame, group: str, item: str, body: str, n: int = 5) -> DataFrame:
-    """group, item, rep and s of each row: the sorted hashes of its distinct shingles, and the least item of its group with the same ones. So copies are one node, however many they are."""
-    hashes = F.array_sort(F.array_distinct(F.transform(text.shingles(F.coalesce(F.col(body), F.lit("")), n), lambda s: F.xxhash64(s))))
-    rows = df.select(F.col(group).alias("g"), F.col(item).alias("i"), hashes.alias("s")).withColumn("h", F.sha2(F.concat_ws(",", F.col("s").cast("array<string>")), 256))
-    reps = rows.groupBy(F.col("g").alias("rg"), F.col("h").alias("rh")).agg(F.min("i").alias("rep"))
-    return rows.join(reps, F.col("g").eqNullSafe(F.col("rg")) & (F.col("h") == F.col("rh"))).select("g", "i", "rep", "s")
+#: Buckets of hashes by whose sizes shingles are ordered, and candidate pairs up to which their items are broadcast.
+BUCKETS, MOST_PAIRS = 1 << 16, 500_000
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    path = staging_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucket_sizes(sets: DataFrame) -> np.ndarray:
+    """How many hashes of column s fall into each of BUCKETS buckets; a task gives one count for each."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for x in batches:
+            total += np.bincount(x.column(0).flatten().to_numpy() & (BUCKETS - 1), minlength=BUCKETS)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS, dtype=np.int32)), pa.array(total)], names=["b", "c"])
+
+    sizes = np.zeros(BUCKETS, np.int64)
+    for b, c in sets.select("s").mapInArrow(count, "b int, c long").groupBy("b").agg(F.sum("c")).collect():
+        sizes[b] = c
+    return sizes
+
+
+def shingle_heads(sets: DataFrame, threshold: float) -> DataFrame:
+    """g, i, h, n and p of sets (g, i, s): the digest and the size of the set, and as many of its hashes as two sets of that similarity must meet in, those of the smallest buckets first. The order is one for all sets, so that no pair is lost however well a bucket tells what is rare."""
+    sizes = bucket_sizes(sets)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            column = x.column("s")
+            values, ends = column.flatten().to_numpy(), np.cumsum(column.value_lengths().to_numpy())
+            digests, counts, heads = [], [], []
+            for s in np.split(values, ends[:-1]) if len(ends) else []:
+                s = np.sort(s)
+                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                counts.append(len(s))
+                heads.append(s[np.argsort(sizes[s & (BUCKETS - 1)], kind="stable")][: len(s) - math.ceil(len(s) * threshold - 1e-9) + 1])
+            ends = np.cumsum([0, *map(len, heads)], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(heads) if heads else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([x.column("g"), x.column("i"), pa.array(digests, pa.binary()), pa.array(counts, pa.int32()), lists], names=["g", "i", "h", "n", "p"])
+
+    kinds = dict(sets.dtypes)
+    return sets.mapInArrow(cut, f"g {kinds['g']}, i {kinds['i']}, h binary, n int, p array<long>")
 
 
 def similar_pairs(df: DataFrame, group: str, item: str, body: str, threshold: float = 0.8, n: int = 5) -> DataFrame:
     """group, a, b, similarity: pairs of items of one group whose shingle sets have a similarity of threshold or more, exactly. Items with equal sets are one, by their least: a row of them is that least one, the other, and 1.0, so that copies give as many rows as there are, not their pairs.
 
-    A pair that similar shares one of the rarest few shingles of both (prefix filtering), so candidates meet in those; no pair is formed that shares none.
+    A similar pair shares one of the rarest few shingles of both (prefix filtering), so candidates meet in those, where what is left of both can still make them similar; no pair is formed that shares none. Sets are hashed once, into a staged table; only those few shingles are dealt out, and only the sets of candidates are joined.
     """
-    rows = shingle_groups(df, group, item, body, n)
-    nodes = rows.where("i = rep").dropDuplicates(["g", "i"])
-    each = nodes.select("g", "i", F.explode("s").alias("x"))
-    rare = each.groupBy(F.col("g").alias("fg"), F.col("x").alias("fx")).agg(F.count(F.lit(1)).alias("f"))
-    ranked = each.join(rare, F.col("g").eqNullSafe(F.col("fg")) & (F.col("x") == F.col("fx")))
-    sorted_sets = ranked.groupBy("g", "i").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "x"))), lambda e: e["x"]).alias("s"))
-    prefix = F.size("s") - F.ceil(F.size("s") * threshold).cast("int") + 1
-    heads = sorted_sets.select("g", "i", F.explode(F.slice("s", F.lit(1), prefix)).alias("x"))
-    pairs = heads.alias("a").join(heads.alias("b"), F.col("a.g").eqNullSafe(F.col("b.g")) & (F.col("a.x") == F.col("b.x")) & (F.col("a.i") < F.col("b.i"))).select(F.col("a.g").alias("g"), F.col("a.i").alias("a"), F.col("b.i").alias("b")).distinct()
-    side = lambda c: nodes.select(F.col("g").alias(f"g{c}"), F.col("i").alias(f"i{c}"), F.col("s").alias(f"s{c}"))
+    sets = staged(df.select(F.col(group).alias("g"), F.col(item).alias("i"), text.shingle_hashes(F.coalesce(F.col(body), F.lit("")), n).alias("s")), "shingles")
+    rows = staged(shingle_heads(sets, threshold), "shingle_heads")
+    nodes = rows.groupBy("g", "h").agg(F.min("i").alias("i"), F.first("n").alias("n"), F.first("p").alias("p"))  # equal sets have equal heads
+    heads = nodes.select("g", "i", "n", F.posexplode("p").alias("at", "x")).select(F.xxhash64("g", "x").alias("k"), "g", "i", "n", "at")
+    left = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))  # what the two can share from here on
+    meet = (F.col("a.k") == F.col("b.k")) & F.col("a.g").eqNullSafe(F.col("b.g")) & (F.col("a.i") < F.col("b.i")) & (left >= threshold / (1 + threshold) * (F.col("a.n") + F.col("b.n")) - 1e-6)
+    pairs = staged(heads.alias("a").join(heads.alias("b"), meet).select(F.col("a.g").alias("g"), F.col("a.i").alias("a"), F.col("b.i").alias("b")).distinct(), "candidates")
+    small = F.broadcast if pairs.count() <= MOST_PAIRS else lambda x: x
+    ids = pairs.select(F.col("g").alias("ig"), F.explode(F.array("a", "b")).alias("ii")).distinct()
+    met = sets.join(small(ids), F.col("g").eqNullSafe(F.col("ig")) & (F.col("i") == F.col("ii")), "left_semi")
+    side = lambda c: met.select(F.col("g").alias(f"g{c}"), F.col("i").alias(f"i{c}"), F.col("s").alias(f"s{c}"))
     at = lambda c: F.col("g").eqNullSafe(F.col(f"g{c}")) & (F.col(c) == F.col(f"i{c}"))
     out = pairs.join(side("a"), at("a")).join(side("b"), at("b"))
     out = out.withColumn("similarity", text.jaccard(F.col("sa"), F.col("sb"))).where(F.col("similarity") >= threshold).select("g", "a", "b", "similarity")
-    same = rows.where("i <> rep").select("g", F.col("rep").alias("a"), F.col("i").alias("b"), F.lit(1.0).alias("similarity"))
+    reps = rows.groupBy(F.col("g").alias("rg"), F.col("h").alias("rh")).agg(F.min("i").alias("rep"))
+    copies = rows.select("g", "i", "h").join(reps, F.col("g").eqNullSafe(F.col("rg")) & (F.col("h") == F.col("rh"))).where("i <> rep")
+    same = copies.select("g", F.col("rep").alias("a"), F.col("i").alias("b"), F.lit(1.0).alias("similarity"))
     return out.unionByName(same).withColumnRenamed("g", group)
 
 

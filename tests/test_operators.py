@@ -62,6 +62,21 @@ def test_similar_pairs_equal_brute_force(spark):
     assert got == want and len(want) > 3
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.8])
+def test_only_the_rarest_shingles_of_a_set_are_dealt(spark, threshold):
+    rows = [(f"g{k % 2}", k, [*range(1000 * k, 1000 * k + 5 + k), -7]) for k in range(12)]
+    for r in audits.shingle_heads(spark.createDataFrame(rows, "g string, i int, s array<long>"), threshold).collect():
+        s = next(x for _, i, x in rows if i == r.i)
+        assert r.n == len(s) and len(r.p) == len(s) - math.ceil(len(s) * threshold) + 1 and set(r.p) < set(s) and -7 not in r.p
+
+
+def test_pairs_beyond_a_broadcast_are_the_same(spark, monkeypatch):
+    rows = spark.range(60).select(F.col("id").alias("i"), F.lit("g").alias("g"), F.concat_ws(" ", F.transform(F.sequence(F.lit(1), 40 + F.col("id") % 4), lambda w: w * (F.col("id") % 5 + 1)).cast("array<string>")).alias("t"))
+    want = sorted(audits.similar_pairs(rows, "g", "i", "t").collect())
+    monkeypatch.setattr(audits, "MOST_PAIRS", 0)
+    assert sorted(audits.similar_pairs(rows, "g", "i", "t").collect()) == want and len(want) > 40
+
+
 def test_copies_give_rows_not_pairs(spark):
     rows = spark.range(400).select(F.col("id").alias("i"), F.lit("g").alias("g"), F.lit("one two three four five six seven").alias("t"))
     got = audits.similar_pairs(rows, "g", "i", "t").collect()
