@@ -140,10 +140,11 @@ def shingle_heads(sets: DataFrame, threshold: float) -> DataFrame:
 def similar_pairs(df: DataFrame, group: str, item: str, body: str, threshold: float = 0.8, n: int = 5) -> DataFrame:
     """group, a, b, similarity: pairs of items of one group whose shingle sets have a similarity of threshold or more, exactly. Items with equal sets are one, by their least: a row of them is that least one, the other, and 1.0, so that copies give as many rows as there are, not their pairs.
 
-    A similar pair shares one of the rarest few shingles of both (prefix filtering), so candidates meet in those, where what is left of both can still make them similar; no pair is formed that shares none. Sets are hashed once, into a staged table; only those few shingles are dealt out, and only the sets of candidates are joined.
+    A similar pair shares one of the rarest few shingles of both (prefix filtering), so candidates meet in those, where what is left of both can still make them similar; no pair is formed that shares none. Only those few shingles are staged and dealt out, and only the sets of candidates are joined; sets are hashed again for each pass, as all of them would be twice the input.
     """
-    sets = staged(df.select(F.col(group).alias("g"), F.col(item).alias("i"), text.shingle_hashes(F.coalesce(F.col(body), F.lit("")), n).alias("s")), "shingles")
-    rows = staged(shingle_heads(sets, threshold), "shingle_heads")
+    texts = df.select(F.col(group).alias("g"), F.col(item).alias("i"), F.coalesce(F.col(body), F.lit("")).alias("t"))
+    hashed = lambda rows: rows.select("g", "i", text.shingle_hashes(F.col("t"), n).alias("s"))
+    rows = staged(shingle_heads(hashed(texts), threshold), "shingle_heads")
     nodes = rows.groupBy("g", "h").agg(F.min("i").alias("i"), F.first("n").alias("n"), F.first("p").alias("p"))  # equal sets have equal heads
     heads = nodes.select("g", "i", "n", F.posexplode("p").alias("at", "x")).select(F.xxhash64("g", "x").alias("k"), "g", "i", "n", "at")
     left = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))  # what the two can share from here on
@@ -151,7 +152,7 @@ def similar_pairs(df: DataFrame, group: str, item: str, body: str, threshold: fl
     pairs = staged(heads.alias("a").join(heads.alias("b"), meet).select(F.col("a.g").alias("g"), F.col("a.i").alias("a"), F.col("b.i").alias("b")).distinct(), "candidates")
     small = F.broadcast if pairs.count() <= MOST_PAIRS else lambda x: x
     ids = pairs.select(F.col("g").alias("ig"), F.explode(F.array("a", "b")).alias("ii")).distinct()
-    met = sets.join(small(ids), F.col("g").eqNullSafe(F.col("ig")) & (F.col("i") == F.col("ii")), "left_semi")
+    met = hashed(texts.join(small(ids), F.col("g").eqNullSafe(F.col("ig")) & (F.col("i") == F.col("ii")), "left_semi"))
     side = lambda c: met.select(F.col("g").alias(f"g{c}"), F.col("i").alias(f"i{c}"), F.col("s").alias(f"s{c}"))
     at = lambda c: F.col("g").eqNullSafe(F.col(f"g{c}")) & (F.col(c) == F.col(f"i{c}"))
     out = pairs.join(side("a"), at("a")).join(side("b"), at("b"))
